@@ -5,10 +5,11 @@ unbiased for the Jaccard similarity and the pair has a lower variance than two m
 25 bands of 5 of these values make the candidates: at a similarity of 0.85 a pair shares no band with probability
 (1 - 0.85^5)^25 = 4e-7. Candidates are confirmed on the full shingle sets.
 
-Documents with equal sets are one class from the start. In a bucket every class is first compared with the smallest
-one only (a star). Components of the confirmed links follow; then, and only for buckets that still hold several
-components, the pairs across components are compared. So a group of n near copies costs n comparisons, and no link that
-joins two components is missed.
+Documents with equal sets are one class from the start. In a bucket every class is first compared with one only, that
+which meets most others in buckets (a star around the likely original). Components of the confirmed links follow. Then,
+for the classes in buckets that still hold several components, all pairs across components that can meet the threshold
+are found by an exact prefix filter on the full sets. So a group of n near copies costs n comparisons, and no link between
+band-sharing documents that joins two components is missed.
 
 Nulls and edges: null or word-less text has an empty set, ``component_id = doc_id``, and is linked with nothing.
 Rows that repeat a ``doc_id`` are one node. A null ``doc_id`` takes part in its class and names no component.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, Words, chunks, mix, spans, table, to_long
@@ -72,16 +73,22 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets meet the threshold. Only the sets of documents that stand in a pair are moved."""
-    spark = docs.sparkSession
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the documents named in ``ids`` (doc_id); only their texts are moved. Written to the shared folder."""
 
-    def sets(batches):
+    def run(batches):
         for chunk in chunks(batches):
             h, doc = shingle_sets(Words(chunk.column("text"), lower=True), width)
             ends = np.searchsorted(doc, np.arange(chunk.num_rows + 1))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array([h[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "set"])
 
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    return table(docs.sparkSession, chosen.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]))
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose full sets meet the threshold."""
+
     def compare(batches):
         for batch in batches:
             keep = []
@@ -91,12 +98,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id", "left_semi")
-    held = table(spark, chosen.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]))
     with_x = pairs.join(held.select(F.col("id").alias("x"), F.col("set").alias("sx")).hint("merge"), "x")
     both = with_x.join(held.select(F.col("id").alias("y"), F.col("set").alias("sy")).hint("merge"), "y")
-    return both.select("x", "y", "sx", "sy").mapInArrow(compare, "x long, y long")
+    return table(pairs.sparkSession, both.select("x", "y", "sx", "sy").mapInArrow(compare, "x long, y long"))
+
+
+def prefix_pairs(held: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of ``held`` of different components (``named``: x, component) that may meet the threshold.
+
+    The shingles of a set are ordered by how many of the sets have them. Two sets of similarity t share at least
+    t / (1 + t) of their joint size, so they share a shingle near the front of both orders: in the first
+    n - ceil(2 t / (1 + t) n) + 1 of the smaller set and the first n - ceil(t n) + 1 of the larger; and what follows that
+    place must be enough for the overlap. Shingles of one set only stand in front and match nothing, so copies that
+    were changed in places of their own make no pairs, however many there are."""
+
+    def rows(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+            n = np.array([len(x) for x in own], np.int64)
+            ids = np.repeat(batch.column("id").to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if len(own) else np.zeros(0, np.int64)), pa.array(ids), pa.array(np.repeat(n, n))], ["h", "x", "n"])
+
+    every = held.mapInArrow(rows, "h long, x long, n long")
+    often = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("x")  # as many rows as a document has shingles
+    placed = every.join(often.hint("merge"), "h").withColumns({"place": F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h"))})
+    p = percent
+    front = placed.where(f"place <= n - (({p} * n + 99) div 100) + 1").join(named.hint("merge"), "x").select("h", "x", "n", "place", "component")
+    front = table(held.sparkSession, front)
+    small = front.where(f"place <= n - ((2 * {p} * n + {99 + p}) div {100 + p}) + 1")
+    large = front.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other"))
+    fits = f"component <> other and (n < m or n = m and x < y) and 100 * n >= {p} * m and least(n - place, m - at) + 1 >= ({p} * (n + m) + {99 + p}) div {100 + p}"
+    return small.join(large.hint("merge"), "h").where(fits).select("x", "y").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -122,21 +155,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     spark = docs.sparkSession
     signed = table(spark, signatures(docs, width))
     classes = table(spark, signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    buckets = classes.where("x is not null").select("x", "n", F.explode("bands").alias("key"))
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    heads = buckets.groupBy("key").agg(F.min(F.struct("x", "n")).alias("head"), F.max("x").alias("last")).where("head.x < last").select("key", F.col("head.x").alias("y"), F.col("head.n").alias("m"))
-    stars = table(spark, buckets.join(heads.hint("merge"), "key").where(f"x <> y and {fits}").select("x", "y").distinct())
-    links = table(spark, confirmed(stars, docs, width, percent))
-    found = components(links)
+    keys = classes.where("x is not null").select("x", "n", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("x").alias("low"), F.max("x").alias("high")).where("low < high").select("key", "members")
+    buckets = keys.join(shared.hint("merge"), "key")
+    weights = buckets.groupBy("x").agg(F.sum("members").alias("weight"))
+    buckets = table(spark, buckets.join(weights.hint("merge"), "x").select("key", "x", "n", "weight"))
+    heads = buckets.groupBy("key").agg(F.max(F.struct("weight", -F.col("x"), "x", "n")).alias("head")).select("key", F.col("head.x").alias("y"), F.col("head.n").alias("m"))
+    stars = buckets.join(heads.hint("merge"), "key").where(f"x <> y and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    stars = table(spark, stars.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    held = full_sets(docs, stars.select(F.explode(F.array("x", "y")).alias("doc_id")), width)
+    found = components(confirmed(stars, held, percent))
     named = found.select(F.col("node").alias("x"), "component").hint("merge")
-    spread = buckets.join(named, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    spread = table(spark, buckets.select("key", "x").join(named, "x", "left").withColumn("component", F.coalesce("component", "x")))
     mixed = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    mixed = table(spark, spread.join(mixed.hint("merge"), "key"))
-    right = mixed.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
-    across = mixed.join(right.hint("merge"), "key").where(f"component < other and {fits}").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    across = table(spark, across.join(stars.hint("merge"), ["x", "y"], "left_anti"))
-    if not across.isEmpty():
-        found = components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(confirmed(across, docs, width, percent)))
+    rest = table(spark, spread.join(mixed.hint("merge"), "key").select("x", "component").distinct())
+    if not rest.isEmpty():
+        held = full_sets(docs, rest.select(F.col("x").alias("doc_id")), width)
+        across = prefix_pairs(held, rest, percent)
+        across = across.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        across = table(spark, across.join(stars.hint("merge"), ["x", "y"], "left_anti"))
+        if not across.isEmpty():
+            found = components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(confirmed(across, held, percent)))
     tops = classes.select("a", "b", "x").join(found.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").select("a", "b", F.coalesce("component", "x").alias("component"))
     out = signed.select("doc_id", "n_shingles", "a", "b").join(tops.hint("merge"), ["a", "b"], "left")
     name = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
