@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Results depend on them.
 COUNTERS = r"(?i)(?:访问量|浏览量|阅读量|点击量|当前时间|系统时间)\s*[:：]?\s*\d+"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, for which Spark has no built-in function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
