@@ -38,7 +38,7 @@ MULT = U(0x9DDFEA08EB382D69)
 class Lattice:
     """The vocabulary of a model as a hash table of pieces, and the best segmentations of words seen so far."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         sp = model(path)
         every = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in every}
@@ -195,6 +195,8 @@ class Lattice:
 
     def alternatives(self, number: int, word: str, n: int):
         if (number, n) not in self.few:
+            if len(self.few) >= self.limit // 6:
+                self.few.clear()
             self.few[number, n] = self.search(MARK + word.replace(" ", MARK), n)
         return self.few[number, n]
 
