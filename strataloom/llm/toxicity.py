@@ -3,14 +3,16 @@
 The kernel of two stretches of text is the sum over all three-letter subsequences u of phi_u(s) phi_u(t), where phi_u(s)
 adds ``decay`` to the power of the covered length for each occurrence that spans at most ``SPAN`` characters. Gaps cost
 only decay, so insults with characters put in between, or left out, stay close to the plain ones. Letters are folded
-(case, common digits and @ for letters, accents dropped to one code); blanks and signs lengthen a gap and match nothing.
+(case, common digits and @ for letters, letters beyond ASCII to a few codes); the blank before a word is a symbol of its
+own, so word beginnings count; all else lengthens a gap and matches nothing.
 
-Training: labelled documents (at most ``sample``, a documented limit, chosen by a hash of the id) are cut into stretches
+Training: labelled documents (about ``sample`` of each label at most, a documented limit, chosen by a hash of the id, and
+weighted back to the share of toxic ones in the calibration) are cut into stretches
 at the word starts of their sentences. A toxic document is known to hold a toxic stretch, not where: the stretch is first
 taken by how much more often toxic documents hold its word or the word's stem, then by the highest score, in turns with the fit. Landmarks are stretches of both
 kinds; K_nm K_mm^(-1/2) is the feature map and a squared-hinge machine is fitted by Newton steps. Because the kernel is a
 sum over subsequences, the machine is a table with one weight for each of them: the score of every stretch of a whole
-text is a sum of table values, and a document takes its highest stretch, calibrated by a logistic curve.
+text is a sum of table values, and a document takes its three highest separate stretches, calibrated by a logistic curve.
 
 Null, empty and letter-free texts score like a text without any subsequence. With labels of one kind only, the score is
 the share of 1 (0.5 without labels). Rows are kept one for one; repeated labels count each; other columns are ignored.
@@ -27,36 +29,47 @@ from pyspark.sql import functions as F
 
 from .common import IS_BLANK, chunks, remainder, share, text_bytes
 
-SPAN, LENGTH, SYMBOLS = 6, 12, 28
+SPAN, LENGTH = 6, 13
+#: Symbols: 0 gap, 1-26 letters, ACCENTED codes of letters beyond ASCII, then the blank before a word.
+ACCENTED = 11
+EDGE = 27 + ACCENTED
+SYMBOLS = EDGE + 1
 PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 CODE = np.zeros(256, np.int32)
 CODE[97:123] = np.arange(1, 27)
 CODE[65:91] = np.arange(1, 27)
 for sign, letter in zip("0134578@", "oieastba", strict=True):
     CODE[ord(sign)] = ord(letter) - 96
-CODE[192:] = 27  # all letters beyond ASCII; the bytes that follow are gaps
+CODE[128:192] = 27 + (np.arange(128, 192) | 32) % ACCENTED  # the last bytes tell the letter; its case is bit 32
 DECAY = 0.6
-CODE_LETTER = [32, *range(97, 123), 35]
+CODE_LETTER = [32, *range(97, 123), *range(65, 65 + ACCENTED), 32]
 #: Share of a subsequence below which the metric of the kernel stops growing.
 FLOOR = 2e-5
 #: Log-likelihood ratio from which a word marks a toxic stretch in the first turn.
-SURPRISE, RATIO = 15.0, 6
+SURPRISE, RATIO = 30.0, 6
 #: Letters of the word beginnings that are counted in the first turn.
-STEMS = (4, 6, 24)
+STEMS = (4, 5, 6, 7, 24)
+#: Peaks of a document that the calibration sees, and the limits of their scores.
+TOP, LIMITS = 3, (-1.5, 2.0)
 
 
 def stretch_starts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all texts with SPAN gaps after each, the text of each place, and the word starts."""
+    """Codes of all texts with a blank before and LENGTH gaps after each, the text of each place, and the places before words."""
     raw, off = text_bytes(text)
     n = len(off) - 1
+    body = raw < 192  # the first byte of a letter beyond ASCII takes no place
+    off = np.r_[0, np.cumsum(body)][off]
+    raw = raw[body]
     doc = np.repeat(np.arange(n), np.diff(off))
-    code = np.zeros(len(raw) + n * LENGTH, np.int32)
-    at = np.arange(len(raw)) + doc * LENGTH
+    code = np.zeros(len(raw) + n * (LENGTH + 1), np.int32)
+    at = np.arange(len(raw)) + doc * (LENGTH + 1) + 1
     code[at] = CODE[raw]
-    owner = np.repeat(np.arange(n), np.diff(off) + LENGTH)
+    owner = np.repeat(np.arange(n), np.diff(off) + LENGTH + 1)
     solid = np.zeros(len(code), bool)
     solid[at] = ~IS_BLANK[raw]
-    return code, owner, np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
+    starts = np.flatnonzero(solid & ~np.r_[False, solid[:-1]]) - 1
+    code[starts] = EDGE
+    return code, owner, starts
 
 
 def subsequences(code: np.ndarray):
@@ -82,16 +95,40 @@ def stretch_scores(code: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return total[np.minimum(np.arange(len(code)) + LENGTH, len(code))] - total[:-1]
 
 
-def document_scores(text: pa.Array, weights: np.ndarray) -> np.ndarray:
-    code, owner, starts = stretch_starts(text)
-    out = np.zeros(len(text))
-    if len(starts):
-        s, doc = stretch_scores(code, weights)[starts], owner[starts]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        out[doc[first]] = np.maximum.reduceat(s, first)
+def peaks(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """The TOP highest local maxima of each document's stretch scores, within LIMITS (lower limit: missing)."""
+    out = np.full((n_docs, TOP), LIMITS[0])
+    if len(score):
+        edge = doc[1:] != doc[:-1]
+        rise, fall = np.r_[True, edge | (score[1:] >= score[:-1])], np.r_[edge | (score[:-1] > score[1:]), True]
+        at = np.flatnonzero(rise & fall)
+        at = at[np.lexsort((-score[at], doc[at]))]
+        own = doc[at]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        top = rank < TOP
+        out[own[top], rank[top]] = np.clip(score[at[top]], *LIMITS)
     return out
 
 
+def document_scores(text: pa.Array, model: tuple) -> np.ndarray:
+    """Log odds that each text is toxic."""
+    weights, offset, slopes, base = model
+    code, owner, starts = stretch_starts(text)
+    return peaks(stretch_scores(code, weights)[starts] + offset, owner[starts], len(text)) @ slopes + base
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, turns: int = 25) -> tuple[np.ndarray, float]:
+    """Slopes and base of a weighted logistic curve over the peaks, by Newton steps with a small ridge."""
+    x = np.c_[x, np.ones(len(x))]
+    w, penalty = np.zeros(x.shape[1]), ridge * np.diag(np.r_[np.ones(x.shape[1] - 1), 1e-3])
+    for _ in range(turns):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + penalty
+        w = w - np.clip(np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty @ w), -2, 2)
+    return w[:-1], float(w[-1])
+
+
 def profile(code: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Subsequences of the stretch at each start, with their weights."""
     rows = [(u, d) for u, d in subsequences(code)]
@@ -109,13 +146,14 @@ def features(profiles: list) -> np.ndarray:
 
 
 def kernel(profiles: list, landmarks: np.ndarray) -> np.ndarray:
-    return np.array([d @ landmarks[:, u].T if len(u) else np.zeros(len(landmarks)) for u, d in profiles])
+    columns = np.ascontiguousarray(landmarks.T)
+    return np.array([d @ columns[u] if len(u) else np.zeros(len(landmarks)) for u, d in profiles])
 
 
 def word_keys(code: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The folded letters from each start up to the first place that is no letter."""
-    line = bytes(CODE_LETTER[c] for c in code)
-    return [line[s : s + 24].split(b" ", 1)[0] for s in starts.tolist()]
+    """The folded letters behind each word's blank up to the first place that is no letter."""
+    line = np.array(CODE_LETTER, np.uint8)[code].tobytes()
+    return [line[s + 1 : s + 25].split(b" ", 1)[0] for s in starts.tolist()]
 
 
 def surprise(a: int, n: int, b: int, m: int) -> float:
@@ -140,13 +178,13 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-
     return w
 
 
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int = 3, seed: int = 11) -> tuple[np.ndarray, float, float]:
-    """Weights of all subsequences, and slope and offset of the calibration."""
+def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int = 3, seed: int = 11, prior: float | None = None) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """Weights of all subsequences, the machine's offset, slopes and base of the calibration (for a share ``prior`` of 1)."""
     random = np.random.default_rng(seed)
     zero = np.zeros(SYMBOLS**3, np.float32)
     share_ = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
-        return zero, 0.0, float(np.log((share_ + 1e-3) / (1 - share_ + 1e-3)))
+        return zero, 0.0, np.zeros(TOP), float(np.log((share_ + 1e-3) / (1 - share_ + 1e-3)))
     code, owner, starts = stretch_starts(pa.array(texts))
     n = np.bincount(labels, minlength=2)
     doc = owner[starts]
@@ -188,38 +226,33 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
         w = machine(x / scale, y, np.where(y > 0, len(bad) / max(1, len(good)), 1.0))
         weights = ((z.T @ (root @ (w[:-1] / scale))) * metric).astype(np.float32)
         weights[0], offset = 0, float(w[-1])
-    top = np.zeros(len(texts))
-    s = stretch_scores(code, weights)[starts]
-    if len(s):
-        np.maximum.at(top, doc, s)
-    mean, spread = float(top.mean()), max(1e-9, float(top.std()))
-    t, a, b = (top - mean) / spread, 1.0, 0.0
-    for _ in range(3000):  # logistic calibration on the standardised scores, by gradient steps with a small ridge
-        g = 1 / (1 + np.exp(-(a * t + b))) - labels
-        a, b = a - 2 * ((g * t).mean() + 2e-4 * a), b - 2 * g.mean()
-    a, b = a / spread, b - a * mean / spread
-    return weights, float(a), float(b)
+    top = peaks(stretch_scores(code, weights)[starts] + offset, doc, len(texts))
+    prior = share_ if prior is None else prior
+    slopes, base = calibrate(top, labels, np.where(labels == 1, prior / share_, (1 - prior) / (1 - share_)))
+    return weights, offset, slopes, base
 
 
 
+def labelled(docs: DataFrame, labels: DataFrame, target: str, modulo: int, left_out: int, sample: int) -> tuple[list, float | None]:
+    """(id, text, label) of about ``sample`` learnable documents of each label, and the share of 1 among all of them.
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, modulo: int, left_out: int, sample: int) -> list:
-    """(text, label) of about ``sample`` learnable labelled documents; the label ids, not the texts, are sampled first."""
+    The label ids, not the texts, are sampled first.
+    """
     able = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where((remainder("doc_id", modulo) != left_out) & F.col("y").isin(0, 1))
-    chosen = able.where(share("doc_id", sample, able.count()))  # bounded by the sample
+    n = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in able.groupBy("y").count().collect()}
+    chosen = able.where(F.when(F.col("y") == 1, share("doc_id", sample, n[1])).otherwise(share("doc_id", sample, n[0])))  # bounded by the sample
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").collect()
-    return sorted(((r[0], r[1] or "", r[2]) for r in rows), key=lambda r: (r[0], r[2], r[1]))
+    return sorted(((r[0], r[1] or "", r[2]) for r in rows), key=lambda r: (r[0], r[2], r[1])), n[1] / (n[0] + n[1]) if n[0] + n[1] else None
 
 
 def score(docs: DataFrame, labels: DataFrame, modulo: int = 3, left_out: int = 1, sample: int = 1500, target: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); labels: doc_id and ``target``."""
-    rows = labelled(docs, labels, target, modulo, left_out, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64)))
+    rows, prior = labelled(docs, labels, target, modulo, left_out, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), prior=prior))
 
     def run(batches):
-        weights, a, b = shared.value
         for chunk in chunks(batches):
-            s = 1 / (1 + np.exp(-np.clip(a * document_scores(chunk.column("text"), weights) + b, -30, 30)))
+            s = 1 / (1 + np.exp(-np.clip(document_scores(chunk.column("text"), shared.value), -30, 30)))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

@@ -227,3 +227,33 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert substring.remove_repeats(d).count() == n
         assert sharding.balanced_shards(d).count() == n
     assert language_id.identify(odd).where("lang_pred = 'und'").count() >= 3
+
+
+def test_peaks_are_the_highest_separate_stretches():
+    rnd = np.random.default_rng(5)
+    for _ in range(50):
+        doc, s = np.sort(rnd.integers(0, 6, 30)), rnd.integers(-3, 4, 30) / 1.5
+        got = toxicity.peaks(s, doc, 7)
+        for k in range(7):
+            own = s[doc == k].tolist()
+            tops = [v for i, v in enumerate(own) if (i == 0 or v >= own[i - 1]) and (i == len(own) - 1 or v > own[i + 1])]
+            want = sorted((min(max(v, -1.5), 2.0) for v in tops), reverse=True)[:3]
+            assert np.allclose(got[k], want + [-1.5] * (3 - len(want)))
+    assert toxicity.peaks(np.zeros(0), np.zeros(0, int), 2).shape == (2, 3)
+
+
+def test_table_of_the_string_kernel_equals_subsequences_one_by_one():
+    text = pa.array(["Ab éc ab", None, "", "x"])
+    code, owner, starts = toxicity.stretch_starts(text)
+    assert owner[starts].tolist() == [0, 0, 0, 3]
+    assert toxicity.word_keys(code, starts)[0] == b"ab"
+    weights = np.random.default_rng(1).random(toxicity.SYMBOLS**3).astype(np.float32)
+    weights[0] = 0
+    for start in starts.tolist():
+        want = 0.0
+        for i in range(start, start + toxicity.LENGTH):
+            for k in range(2, toxicity.SPAN):
+                for j in range(1, k):
+                    if i + k < len(code) and i < len(code) - toxicity.SPAN and code[i] and code[i + j] and code[i + k]:
+                        want += weights[(code[i] * toxicity.SYMBOLS + code[i + j]) * toxicity.SYMBOLS + code[i + k]] * toxicity.DECAY ** (k + 1)
+        assert abs(toxicity.stretch_scores(code, weights)[start] - want) < 1e-4
