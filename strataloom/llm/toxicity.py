@@ -20,16 +20,16 @@ the share of 1 (0.5 without labels). Rows are kept one for one; repeated labels
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_BLANK, chunks, remainder, share, text_bytes
+from .common import IS_BLANK, chunks, mix, remainder, share, text_bytes
 
 SPAN, LENGTH = 6, 13
+#: Places that are scored at a time.
+BLOCK = 1 << 20
 #: Symbols: 0 gap, 1-26 letters, ACCENTED codes of letters beyond ASCII, then the blank before a word.
 ACCENTED = 11
 EDGE = 27 + ACCENTED
@@ -42,7 +42,6 @@ for sign, letter in zip("0134578@", "oieastba", strict=True):
     CODE[ord(sign)] = ord(letter) - 96
 CODE[128:192] = 27 + (np.arange(128, 192) | 32) % ACCENTED  # the last bytes tell the letter; its case is bit 32
 DECAY = 0.6
-CODE_LETTER = [32, *range(97, 123), *range(65, 65 + ACCENTED), 32]
 #: Share of a subsequence below which the metric of the kernel stops growing.
 FLOOR = 2e-5
 #: Log-likelihood ratio from which a word marks a toxic stretch in the first turn.
@@ -60,11 +59,11 @@ def stretch_starts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = raw < 192  # the first byte of a letter beyond ASCII takes no place
     off = np.r_[0, np.cumsum(body)][off]
     raw = raw[body]
-    doc = np.repeat(np.arange(n), np.diff(off))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
     code = np.zeros(len(raw) + n * (LENGTH + 1), np.int32)
-    at = np.arange(len(raw)) + doc * (LENGTH + 1) + 1
+    at = np.arange(1, len(raw) + 1, dtype=np.int64 if len(code) >> 31 else np.int32) + doc * (LENGTH + 1)
     code[at] = CODE[raw]
-    owner = np.repeat(np.arange(n), np.diff(off) + LENGTH + 1)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(off) + LENGTH + 1)
     solid = np.zeros(len(code), bool)
     solid[at] = ~IS_BLANK[raw]
     starts = np.flatnonzero(solid & ~np.r_[False, solid[:-1]]) - 1
@@ -81,18 +80,21 @@ def subsequences(code: np.ndarray):
             yield np.where((a > 0) & (b > 0) & (c > 0), (a * SYMBOLS + b) * SYMBOLS + c, 0), DECAY ** (k + 1)
 
 
-def place_scores(code: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum of the table values of all subsequences that begin at each place."""
-    out = np.zeros(len(code), np.float32)
-    for u, d in subsequences(code):
-        out[: len(u)] += weights[u] * np.float32(d)
-    return out
+def blocks(code: np.ndarray):
+    """Where each block of places begins, and its codes with those of the SPAN places after it."""
+    for at in range(0, max(len(code) - SPAN, 0), BLOCK):
+        yield at, code[at : at + BLOCK + SPAN]
 
 
-def stretch_scores(code: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Score of the stretch of LENGTH places from each place."""
-    total = np.r_[0.0, np.cumsum(place_scores(code, weights), dtype=np.float64)]
-    return total[np.minimum(np.arange(len(code)) + LENGTH, len(code))] - total[:-1]
+def stretch_scores(code: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each start, the sum of the table values of all subsequences that begin in its LENGTH places."""
+    place = np.zeros(len(code), np.float32)
+    for at, part in blocks(code):
+        for u, d in subsequences(part):
+            place[at : at + len(u)] += weights[u] * np.float32(d)
+    total = np.zeros(len(code) + 1)
+    np.cumsum(place, dtype=np.float64, out=total[1:])
+    return total[np.minimum(starts + LENGTH, len(code))] - total[starts]
 
 
 def peaks(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -115,7 +117,7 @@ def document_scores(text: pa.Array, model: tuple) -> np.ndarray:
     """Log odds that each text is toxic."""
     weights, offset, slopes, base = model
     code, owner, starts = stretch_starts(text)
-    return peaks(stretch_scores(code, weights)[starts] + offset, owner[starts], len(text)) @ slopes + base
+    return peaks(stretch_scores(code, starts, weights) + offset, owner[starts], len(text)) @ slopes + base
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, turns: int = 25) -> tuple[np.ndarray, float]:
@@ -131,10 +133,11 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def profile(code: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Subsequences of the stretch at each start, with their weights."""
-    rows = [(u, d) for u, d in subsequences(code)]
-    at = starts[:, None] + np.arange(LENGTH)
-    u = np.concatenate([np.where(at < len(u), u[np.minimum(at, len(u) - 1)], 0) for u, _ in rows], 1)
-    d = np.concatenate([np.full(LENGTH, d) for _, d in rows])
+    at = starts[:, None] + np.arange(LENGTH + SPAN)
+    near = np.where(at < len(code), code[np.minimum(at, len(code) - 1)], 0)
+    rows = list(subsequences(near.T))
+    u = np.concatenate([u.T for u, _ in rows], 1)
+    d = np.repeat([d for _, d in rows], LENGTH)
     return [(x[x > 0], d[x > 0]) for x in u]
 
 
@@ -150,19 +153,38 @@ def kernel(profiles: list, landmarks: np.ndarray) -> np.ndarray:
     return np.array([d @ columns[u] if len(u) else np.zeros(len(landmarks)) for u, d in profiles])
 
 
-def word_keys(code: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The folded letters behind each word's blank up to the first place that is no letter."""
-    line = np.array(CODE_LETTER, np.uint8)[code].tobytes()
-    return [line[s + 1 : s + 25].split(b" ", 1)[0] for s in starts.tolist()]
+def stem_hashes(code: np.ndarray, starts: np.ndarray, sizes: tuple):
+    """For each size: a hash of the letters behind each word's blank, up to that many or the first place that is no letter."""
+    h, alive = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
+    for k in range(1, max(sizes) + 1):
+        c = code[np.minimum(starts + k, len(code) - 1)]
+        alive &= (c > 0) & (c < EDGE)
+        h[alive] = mix(h[alive] * np.uint64(SYMBOLS) + c[alive].astype(np.uint64))
+        if k in sizes:
+            yield h
 
 
-def surprise(a: int, n: int, b: int, m: int) -> float:
-    """Log-likelihood ratio of a word in a of n toxic and b of m other documents; 0 if it isn't RATIO times as frequent."""
-    if a * m < RATIO * b * n:
-        return 0.0
+def surprise(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """Log-likelihood ratios of words in a of n toxic and b of m other documents; 0 if not RATIO times as frequent."""
     p = (a + b) / max(1, n + m)
-    cell = lambda k, t, q: (k * np.log(k / (t * q)) if k else 0.0) + ((t - k) * np.log((t - k) / (t * (1 - q))) if t > k and q < 1 else 0.0)
-    return float(2 * (cell(a, n, p) + cell(b, m, p)))
+    part = lambda k, t, q: k * np.log(np.maximum(k, 1) / np.maximum(t * q, 1e-9))
+    out = 2 * (part(a, n, p) + part(n - a, n, 1 - p) + part(b, m, p) + part(m - b, m, 1 - p))
+    return np.where(a * m < RATIO * b * n, 0.0, out)
+
+
+def word_odds(code: np.ndarray, starts: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The highest log-likelihood ratio among the stems of the word at each start."""
+    n = np.bincount(labels, minlength=2)
+    odds = np.zeros(len(starts))
+    for h in stem_hashes(code, starts, STEMS):
+        order = np.lexsort((doc, h))
+        stem, own = h[order], doc[order]
+        fresh = np.r_[True, stem[1:] != stem[:-1]]
+        group = np.cumsum(fresh) - 1
+        once = fresh | np.r_[True, own[1:] != own[:-1]]  # one row a stem and document
+        seen = [np.bincount(group[once & (labels[own] == y)], minlength=group[-1] + 1) for y in (0, 1)]
+        odds[order] = np.maximum(odds[order], surprise(seen[1], n[1], seen[0], n[0])[group])
+    return odds
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, turns: int = 20) -> np.ndarray:
@@ -186,23 +208,15 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
     if len(set(labels.tolist())) < 2:
         return zero, 0.0, np.zeros(TOP), float(np.log((share_ + 1e-3) / (1 - share_ + 1e-3)))
     code, owner, starts = stretch_starts(pa.array(texts))
-    n = np.bincount(labels, minlength=2)
     doc = owner[starts]
-    word = word_keys(code, starts)
-    odds = np.zeros(len(starts))
-    for size in STEMS:
-        stem = [w[:size] for w in word]
-        seen = [Counter(), Counter()]
-        for k, w in set(zip(doc.tolist(), stem, strict=True)):
-            seen[labels[k]][w] += 1
-        known = {w: surprise(seen[1][w], n[1], seen[0][w], n[0]) for w in seen[1]}
-        odds = np.maximum(odds, [known.get(w, 0.0) for w in stem])
-    common = sum(d * np.bincount(u, minlength=SYMBOLS**3) for u, d in subsequences(code))
+    del owner
+    odds = word_odds(code, starts, doc, labels) if len(starts) else np.zeros(0)
+    common = sum((d * np.bincount(u, minlength=SYMBOLS**3) for _, part in blocks(code) for u, d in subsequences(part)), np.zeros(SYMBOLS**3))
     common[0] = 0
     metric = 1 / np.sqrt(common / common.sum() + FLOOR) * np.sqrt(FLOOR)  # rare subsequences tell more
     weights, offset, bad = zero, 0.0, np.zeros(0, np.int64)
     for turn in range(turns):
-        score = stretch_scores(code, weights)[starts] + offset if turn else odds - SURPRISE
+        score = stretch_scores(code, starts, weights) + offset if turn else odds - SURPRISE
         order = np.lexsort((-score, doc))
         best = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
         toxic = labels[doc[best]] == 1
@@ -226,7 +240,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
         w = machine(x / scale, y, np.where(y > 0, len(bad) / max(1, len(good)), 1.0))
         weights = ((z.T @ (root @ (w[:-1] / scale))) * metric).astype(np.float32)
         weights[0], offset = 0, float(w[-1])
-    top = peaks(stretch_scores(code, weights)[starts] + offset, doc, len(texts))
+    top = peaks(stretch_scores(code, starts, weights) + offset, doc, len(texts))
     prior = share_ if prior is None else prior
     slopes, base = calibrate(top, labels, np.where(labels == 1, prior / share_, (1 - prior) / (1 - share_)))
     return weights, offset, slopes, base
