@@ -5,22 +5,25 @@ one put in front); a character that is no piece gets an edge of its own at ``lea
 pieces. Scores are those of the model file (pieces that it marks as never merged count as the lowest rank). The score
 of a segmentation is the sum over its edges.
 
-The forward Viterbi scores of all positions are exact, so the backward A-star search from the end, ordered by the
-score of the part behind plus the forward score before it, pops complete segmentations in order of score. No piece
-spans two words, so the lattice of a text is a chain of word lattices: Viterbi runs once for each distinct word of a
-worker, for all new words of a chunk together in numpy, and gives the gap between its best and second-best
-segmentation. The N best of a text can only differ from its best in the N - 1 words of smallest gap; A-star runs on
-those words and a heap merges their alternatives.
-
-Ties: the shorter last piece is taken in the best segmentation. Null text gives null ids and zero pieces; empty text
+The forward Viterbi scores of all positions are exact, so the backward A-star search from the end, ordered by what is
+lost against the best, gives complete segmentations in order of score. Along the best pieces nothing more is lost, so
+each step of the search runs on to the beginning of the word, and of all branches on the way only as many are held as
+segmentations are still wanted: time and memory follow the length of a word, however many segmentations tie. No piece
+spans two words, so the lattice of a text is a chain of word lattices; words of more than ``LONG`` characters (texts
+without blanks) are cut further between any two characters that stand together in no piece. Viterbi runs once for each
+distinct word of a worker, for all new words of a chunk together in numpy (words still over ``WIDE`` one by one), and
+gives the gap between its best and second-best segmentation. The N best of a text can only differ from its best in the
+N - 1 words of smallest gap; A-star runs on those words and a sort merges their alternatives.
+
+Ties: the shorter last piece is taken in the best segmentation, and the best comes first. Null text gives null ids and zero pieces; empty text
 gives an empty list. ``decode`` gives back the text byte for byte (except that U+2581 in a text becomes a blank).
 Rows are kept one for one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +36,21 @@ from .token_counts import MARK, model, pre_tokens
 
 NEVER, UNKNOWN = -1e8, 10.0
 MULT = U(0x9DDFEA08EB382D69)
+#: Characters from which a word is cut where no piece crosses, and from which Viterbi runs on it alone.
+LONG, WIDE = 24, 256
+#: Stands before a part of a word that is not its beginning; no text in UTF-8 has it.
+INNER = "\ud800"
+
+
+def written(word: str) -> str:
+    """A word, or a later part of one, as the pieces spell it."""
+    return (word[1:] if word[:1] == INNER else MARK + word).replace(" ", MARK)
 
 
 class Lattice:
     """The vocabulary of a model as a hash table of pieces, and the best segmentations of words seen so far."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 300_000, room: int = 6_000_000):
         sp = model(path)
         every = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in every}
@@ -52,6 +64,7 @@ class Lattice:
         self.back = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.ids))
         pieces = list(self.ids)
+        self.pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         keys = self.keys(pieces)
         bits = 20
         while True:  # slots for open addressing are not needed if a table this sparse has no more than four in a slot
@@ -76,13 +89,14 @@ class Lattice:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_n = np.array(list(map(len, spelled)), np.int64)
         self.spelled_at = np.cumsum(self.spelled_n) - self.spelled_n
-        self.limit = limit
+        self.limit, self.room = limit, room  # words and characters that the cache holds
         self.forget()
 
     def forget(self) -> None:
         """Empties the cache: words by number, and what is known of each number."""
         self.number: dict[str, int] = {}
         self.few: dict[tuple[int, int], list] = {}
+        self.characters = self.few_ids = 0
         self.total, self.gap = np.zeros(0), np.zeros(0)
         self.many, self.at, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -108,14 +122,15 @@ class Lattice:
         """Viterbi for new words, all words of a length at once: score, gap to the second best, ids."""
         by: dict[int, list[str]] = {}
         for w in words:
-            by.setdefault(len(w), []).append(w)
+            by.setdefault(len(w) - 1 if w[:1] == INNER else len(w) + 1, []).append(w)
         got = []
         for n, group in by.items():
-            step = 1 + 200_000 // (n + 1)
+            self.characters += n * len(group)
+            step = 1 + 200_000 // n if n <= WIDE else 1
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
-                got.append(self.viterbi([MARK + w.replace(" ", MARK) for w in part], n + 1))
+                got.append(self.viterbi(list(map(written, part)), n) if n <= WIDE else self.alone(written(part[0])))
         total, gap, many, flat = (np.concatenate(x) for x in zip(*got, strict=True))
         self.total, self.gap, self.many, self.flat = np.r_[self.total, total], np.r_[self.gap, gap], np.r_[self.many, many], np.r_[self.flat, flat]
         self.at = np.cumsum(self.many) - self.many
@@ -175,40 +190,97 @@ class Lattice:
                 out.append((u, i, self.score[i] if i else self.unknown))
         return out
 
+    def forward(self, word: str) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Viterbi for one word: best score up to each position, its lead over the runner-up, length and id of its last piece."""
+        alpha, lead, size, piece = [0.0], [np.inf], [0], [0]
+        for v in range(1, len(word) + 1):
+            top = runner = -np.inf
+            for u, i, s in self.edges(word, v):
+                s += alpha[u]
+                if s > top:
+                    top, runner, at, found = s, top, u, i
+                elif s > runner:
+                    runner = s
+            alpha.append(top)
+            lead.append(top - runner)
+            size.append(v - at)
+            piece.append(found)
+        return alpha, lead, size, piece
+
+    def own_ids(self, word: str, u: int, v: int, i: int) -> tuple[int, ...]:
+        return (i,) if i else tuple(self.byte[b] for b in word[u:v].encode())
+
+    def alone(self, word: str) -> tuple[np.ndarray, ...]:
+        """What ``viterbi`` gives, for one long word."""
+        alpha, lead, size, piece = self.forward(word)
+        v, gap, parts = len(word), np.inf, []
+        while v:
+            gap = min(gap, lead[v])
+            parts.append(self.own_ids(word, v - size[v], v, piece[v]))
+            v -= size[v]
+        ids = np.array([i for p in parts[::-1] for i in p], np.int32)
+        return np.array([alpha[-1]]), np.array([gap]), np.array([len(ids)]), ids
+
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a word: backward A-star with the forward Viterbi scores as exact heuristics."""
-        into = [[], *(self.edges(word, v) for v in range(1, len(word) + 1))]
-        alpha = [0.0]
-        for v in range(1, len(word) + 1):
-            alpha.append(max(alpha[u] + s for u, _, s in into[v]))
-        agenda, found, k = [(-alpha[-1], 0, len(word), 0.0, ())], [], 1
+        alpha, _, size, _ = self.forward(word)
+        agenda, found, k = [(0.0, 0, len(word), 0.0, None)], [], 1  # lost, order, position, score behind, (piece, parent)
         while agenda and len(found) < n:
-            full, _, v, behind, ids = heapq.heappop(agenda)
-            if v == 0:
-                found.append((-full, ids))
-                continue
-            for u, i, s in into[v]:
-                own = (i,) if i else tuple(self.byte[b] for b in word[u:v].encode())
-                heapq.heappush(agenda, (-(alpha[u] + s + behind), k, u, behind + s, own + ids))
-                k += 1
+            lost, _, v, behind, chain = agenda.pop(0)
+            while v:
+                for u, i, s in self.edges(word, v):
+                    if v - u == size[v]:
+                        onward = u, behind + s, ((u, v, i), chain)
+                        continue
+                    entry = (lost + alpha[v] - (alpha[u] + s), k, u, behind + s, ((u, v, i), chain))
+                    k += 1
+                    if len(agenda) < n - len(found) - 1 or agenda and entry < agenda[-1]:
+                        bisect.insort(agenda, entry)
+                        del agenda[n - len(found) - 1 :]
+                v, behind, chain = onward
+            ids = []
+            while chain:
+                (u, v, i), chain = chain
+                ids += self.own_ids(word, u, v, i)
+            found.append((behind, tuple(ids)))
         return found
 
     def alternatives(self, number: int, word: str, n: int):
         if (number, n) not in self.few:
-            if len(self.few) >= self.limit // 6:
+            own = self.search(written(word), n)
+            self.few_ids += sum(len(ids) for _, ids in own)
+            if len(self.few) >= self.limit // 6 or self.few_ids > self.room // 4:
                 self.few.clear()
-            self.few[number, n] = self.search(MARK + word.replace(" ", MARK), n)
+                self.few_ids = sum(len(ids) for _, ids in own)
+            self.few[number, n] = own
         return self.few[number, n]
 
+    def parts(self, text: str) -> list[str]:
+        """Pre-tokens, long ones cut wherever no piece crosses."""
+        words = pre_tokens(text)
+        if max(map(len, words)) <= LONG:
+            return words
+        out = []
+        for w in words:
+            if len(w) <= LONG:
+                out.append(w)
+                continue
+            spelled = w.replace(" ", MARK)
+            cuts = [k for k in range(1, len(w)) if spelled[k - 1 : k + 1] not in self.pairs]
+            ends = [*cuts, len(w)]
+            out.append(w[: ends[0]])
+            out += [INNER + w[a:b] for a, b in zip(cuts, ends[1:], strict=True)]
+        return out
+
     def encode(self, texts: list[str | None], n: int):
         """Ids of the best segmentations one after the other, where each text's begin and end, and for each text its n
         best: score and the words that change, as (first id, last id, new ids) within the text's best."""
-        split = [pre_tokens(t) if t else [] for t in texts]
+        split = [self.parts(t) if t else [] for t in texts]
         every = [w for s in split for w in s]
         numbers = list(map(self.number.get, every))
         if None in numbers:
             new = {w for w, k in zip(every, numbers, strict=True) if k is None}
-            if len(self.number) + len(new) > self.limit:
+            if len(self.number) + len(new) > self.limit or self.characters + sum(map(len, new)) > self.room:
                 self.forget()
                 new = set(every)
             self.learn(list(new))

@@ -151,6 +151,34 @@ def test_nbest_against_enumeration():
         assert len({tuple(lat.changed(flat, c)) for _, c in ways[0]}) == len(best)
 
 
+def test_nbest_of_long_words():
+    lat, rnd, n = pieces.lattice(PATH), random.Random(6), 100_000
+    words = [rnd.choice(["house", "river", "été", "walks", "x1"]) for _ in range(n)]
+    for text, many in [("\n".join(words)[:n], 4), ("\t".join(words)[:n], 4), ("a" * n, 4), ("".join(words)[:n], 4), ("\u4f60\u597d" * (n // 2), 1)]:  # no piece has those two signs
+        flat, _, ways = lat.encode([text], 4)
+        assert lat.decode(flat) == text
+        assert len({lat.changed(flat, c).tobytes() for _, c in ways[0]}) == len(ways[0]) == many
+        assert all(lat.decode(lat.changed(flat, c)) == text for _, c in ways[0])
+        scores = [s for s, _ in ways[0]]
+        assert scores == sorted(scores, reverse=True)
+
+
+def test_nbest_with_cuts_and_ties_against_enumeration():
+    lat = pieces.lattice(PATH)
+
+    def best(word, n):  # the n best scores at each position, kept by brute force
+        at = [[0.0]]
+        for v in range(1, len(word) + 1):
+            at.append(sorted((a + s for u, _, s in lat.edges(word, v) for a in at[u]), reverse=True)[:n])
+        return at[-1]
+
+    for text in ["a" * 300, "ab" * 200, "abc\ndef\tghi" * 30, "house" * 60, "\u4f60x" * 40, "q" + " " * 50, "x" * 24, "x" * 25, "x" * 255, "x" * 256, "x" * 257]:
+        flat, _, ways = lat.encode([text], 6)
+        words = "".join("▁" + w.replace(" ", "▁") for w in token_counts.pre_tokens(text))
+        assert np.allclose(best(words, 6), [s for s, _ in ways[0]], rtol=1e-12) and lat.decode(flat) == text
+        assert len({tuple(lat.changed(flat, c)) for _, c in ways[0]}) == len(ways[0])
+
+
 def test_round_trip(docs):
     rows = pieces.segment(docs, PATH, every=True).collect()
     back = {r.doc_id: r.text for r in pieces.decode(pieces.segment(docs, PATH).select("doc_id", "ids"), PATH).collect()}
