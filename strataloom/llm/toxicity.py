@@ -6,9 +6,13 @@ only decay, so insults with characters put in between, or left out, stay close t
 (case, common digits and @ for letters, letters beyond ASCII to a few codes); the blank before a word is a symbol of its
 own, so word beginnings count; all else lengthens a gap and matches nothing.
 
+Stretches begin before each word, at each sign inside a word that is no letter and has a letter behind it, and every
+``STRIDE`` places inside words of more than ``LENGTH``, in fit and scoring alike, so no place of a text without blanks is
+left out; there, without a blank before it, a word has no word beginning. ``LENGTH`` places of a stretch can begin a subsequence.
+
 Training: labelled documents (about ``sample`` of each label at most, a documented limit, chosen by a hash of the id, and
 weighted back to the share of toxic ones in the calibration) are cut into stretches
-at the word starts of their sentences. A toxic document is known to hold a toxic stretch, not where: the stretch is first
+at these places. A toxic document is known to hold a toxic stretch, not where: the stretch is first
 taken by how much more often toxic documents hold its word or the word's stem, then by the highest score, in turns with the fit. Landmarks are stretches of both
 kinds; K_nm K_mm^(-1/2) is the feature map and a squared-hinge machine is fitted by Newton steps. Because the kernel is a
 sum over subsequences, the machine is a table with one weight for each of them: the score of every stretch of a whole
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import IS_BLANK, chunks, mix, remainder, share, text_bytes
 
 SPAN, LENGTH = 6, 13
+STRIDE = LENGTH - SPAN
 #: Places that are scored at a time.
 BLOCK = 1 << 20
 #: Symbols: 0 gap, 1-26 letters, ACCENTED codes of letters beyond ASCII, then the blank before a word.
@@ -53,7 +58,7 @@ TOP, LIMITS = 3, (-1.5, 2.0)
 
 
 def stretch_starts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all texts with a blank before and LENGTH gaps after each, the text of each place, and the places before words."""
+    """Codes of all texts with a blank before and LENGTH gaps after each, the text of each place, and the places where stretches begin."""
     raw, off = text_bytes(text)
     n = len(off) - 1
     body = raw < 192  # the first byte of a letter beyond ASCII takes no place
@@ -66,9 +71,17 @@ def stretch_starts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(off) + LENGTH + 1)
     solid = np.zeros(len(code), bool)
     solid[at] = ~IS_BLANK[raw]
-    starts = np.flatnonzero(solid & ~np.r_[False, solid[:-1]]) - 1
-    code[starts] = EDGE
-    return code, owner, starts
+    begins = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
+    size = np.flatnonzero(solid & ~np.r_[solid[1:], False]) + 1 - begins
+    begin = np.zeros(len(code), bool)
+    begin[:-1] = solid[:-1] & (code[:-1] == 0) & (code[1:] > 0)
+    code[begins - 1] = EDGE
+    begin[begins - 1] = True
+    long = size > LENGTH
+    many = (size[long] - 2) // STRIDE
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + 1
+    begin[np.repeat(begins[long] - 1, many) + STRIDE * nth] = True
+    return code, owner, np.flatnonzero(begin)
 
 
 def subsequences(code: np.ndarray):

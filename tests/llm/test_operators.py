@@ -286,3 +286,20 @@ def test_table_of_the_string_kernel_equals_subsequences_one_by_one():
                     if i + k < len(code) and i < len(code) - toxicity.SPAN and code[i] and code[i + j] and code[i + k]:
                         want += weights[(code[i] * toxicity.SYMBOLS + code[i + j]) * toxicity.SYMBOLS + code[i + k]] * toxicity.DECAY ** (k + 1)
         assert abs(toxicity.stretch_scores(code, np.array([start]), weights)[0] - want) < 1e-4
+
+
+def test_toxicity_sees_all_of_a_text_without_blanks():
+    rnd = random.Random(8)
+    words = ["the", "house", "river", "walks", "green", "later", "stone", "paper"]
+    say = lambda n, sep: sep.join(rnd.choice(words) for _ in range(n))
+    texts = [say(10, " ") + (" grumblewort " if k % 3 == 0 else " ") + say(10, " ") for k in range(600)]
+    model = toxicity.fit(texts, np.array([int(k % 3 == 0) for k in range(600)]))
+    for sep in ["-", "_", "|", "\u00a0", ""]:
+        clean = [say(20, sep) for _ in range(20)]
+        bad = [t[:at] + sep + "grumblewort" + sep + t[at:] for t in clean for at in (30, 31, 32, 33, 34, 35, 36, 70)]
+        got = toxicity.document_scores(pa.array(bad), model), toxicity.document_scores(pa.array(clean), model)
+        assert got[0].min() > got[1].max(), sep
+    for size in range(1, 60):
+        _, _, starts = toxicity.stretch_starts(pa.array(["x" * size]))
+        assert set(range(max(1, size - 1))) <= {p for s in starts.tolist() for p in range(s, s + toxicity.LENGTH)}
+    assert toxicity.stretch_starts(pa.array(["ab-cd ef--g-"]))[2].tolist() == [0, 3, 6, 10]
