@@ -164,3 +164,40 @@ def i09_run_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h05_changes_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.observed(log(spark, sf_dir), ["item"], ["ts", "event_id"], "payload")
     return rows.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count_if(F.col("event") == "added").alias("added"), F.count_if(F.col("event") == "updated").alias("updated"))
+
+
+GATES = """
+with runs as (select distinct ts::date as run from events), own as (select distinct user_id % 5 as platform from events),
+d as (select platform, run, count(user_id) as n, count(*) filter (user_id is not null and (event_type is null or value is null)) as missing, count(*) filter (event_type = 'error') as errors
+  from runs cross join own left join (select *, user_id % 5 as platform, ts::date as run from events) using (platform, run) group by platform, run),
+h as (select *, median(n) over w as usual, max(n) over (partition by platform order by run rows between unbounded preceding and 1 preceding) as most from d window w as (partition by platform order by run rows between 4 preceding and 1 preceding)),
+g as (select platform, run, n, coalesce(n < 0.8 * usual, false) as dropped, n > 0 and missing > 0.02 * n as fields_missing, n > 0 and n - errors < 0.95 * n as detail_failed, coalesce(n = 0 and most > 0, false) as vanished from h)
+select *, not (dropped or fields_missing or detail_failed or vanished) as publish from g
+"""
+
+
+@query(GATES)
+def i02_publish_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four gates for every platform and run, also where a platform has no event; required fields are event_type and value."""
+    events = read(spark, sf_dir, "events").withColumns({"platform": F.col("user_id") % 5, "run": F.to_date("ts")}).where("user_id is not null")
+    bare = F.col("event_type").isNull() | F.col("value").isNull()
+    counts = events.groupBy("platform", "run").agg(F.count("*").alias("n"), F.count_if(bare).alias("missing"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    runs = read(spark, sf_dir, "events").select(F.to_date("ts").alias("run")).distinct()
+    days = runs.crossJoin(events.select("platform").distinct()).join(counts, ["platform", "run"], "left").fillna(0, ["n", "missing", "errors"])
+    past = Window.partitionBy("platform").orderBy("run")
+    usual, most = F.percentile("n", 0.5).over(past.rowsBetween(-4, -1)), F.max("n").over(past.rowsBetween(Window.unboundedPreceding, -1))
+    n, no = F.col("n"), F.lit(False)
+    gates = {
+        "dropped": F.coalesce(n < 0.8 * usual, no),
+        "fields_missing": (n > 0) & (F.col("missing") > 0.02 * n),
+        "detail_failed": (n > 0) & (n - F.col("errors") < 0.95 * n),
+        "vanished": F.coalesce((n == 0) & (most > 0), no),
+    }
+    return days.select("platform", "run", "n", *[g.alias(k) for k, g in gates.items()]).withColumn("publish", F.expr("not (dropped or fields_missing or detail_failed or vanished)"))
+
+
+@query(f"select date_trunc('hour', ts) + (k + 1) * interval 1 hour as until, count(*) filter (nth = 1) as added, count(*) filter (nth > 1 and payload <> before) as updated from {SEEN}, range(24) r(k) group by 1")
+def h05_changes_trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the 24 hours before each full hour: counts by hour first, each then in 24 windows."""
+    hours = h05_changes_by_hour(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    return hours.groupBy((F.col("hour") + F.make_dt_interval(hours="k")).alias("until")).agg(F.sum("added").alias("added"), F.sum("updated").alias("updated"))
