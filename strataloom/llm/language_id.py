@@ -2,7 +2,8 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of lower-cased text in which all other
 ASCII is one blank). Embeddings and softmax are trained by mini-batch stochastic gradient descent in numpy on a bounded
-sample (``sample`` documents, a documented limit, chosen by a hash of the id among the learnable ones). After training
+sample (``sample`` documents in proportion to the languages, but a twentieth of that of each language at least, or all it
+has: documented limits, chosen by a hash of the id among the learnable ones). After training
 the softmax is folded into the embeddings: one row of class scores for each bucket, so scoring a text is a sum over its
 n-grams. A temperature and a rejection threshold are fitted on a fifth of the sample that is kept out of training:
 ``rejected`` marks predictions whose calibrated score is below the threshold that keeps 99.5 % of the right ones.
@@ -95,8 +96,13 @@ def train(texts: list[str], labels: np.ndarray, k: int, epochs: int = 6, rate: f
 def fit(docs: DataFrame, modulo: int, left_out: int, sample: int) -> tuple[list[str], np.ndarray, float, float]:
     """Languages, folded table, temperature, rejection threshold."""
     able = docs.where((remainder("doc_id", modulo) != left_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = able.select("doc_id").count()
-    rows = able.where(share("doc_id", sample, total)).select(F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("doc_id").alias("h")).collect()
+    n = {r[0]: r[1] for r in able.groupBy("lang").count().collect()}
+    total, own = sum(n.values()), F.lit(False)
+    least = sample // 20  # of each language, whatever its share
+    for lang, k in n.items():
+        wanted = max(sample * k / total, least)
+        own = F.when(F.col("lang") == lang, share("doc_id", wanted, k)).otherwise(own)
+    rows = able.where(own).select(F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("doc_id").alias("h")).collect()
     rows = sorted((r for r in rows if any(c.isalpha() for c in r[0])), key=lambda r: (r[2], r[1], r[0]))
     langs = sorted({r[1] for r in rows})
     if not langs:

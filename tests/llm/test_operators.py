@@ -303,3 +303,9 @@ def test_toxicity_sees_all_of_a_text_without_blanks():
         _, _, starts = toxicity.stretch_starts(pa.array(["x" * size]))
         assert set(range(max(1, size - 1))) <= {p for s in starts.tolist() for p in range(s, s + toxicity.LENGTH)}
     assert toxicity.stretch_starts(pa.array(["ab-cd ef--g-"]))[2].tolist() == [0, 3, 6, 10]
+
+
+def test_rare_languages_are_learned_in_large_tables(spark):
+    rows = [(k, "the house river walks", "x") for k in range(2000)] + [(5000 + k, "der fluss geht heim", "y") for k in range(8)]
+    langs, *_ = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 0, 60)
+    assert langs == ["x", "y"]
