@@ -141,15 +141,34 @@ def table(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables written by ``table`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        inside = shared_folder(spark).split(":", 1)[-1].lstrip("/")
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if inside in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a folder of our own, but on one machine only: executors
+    elsewhere could not read it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='strataloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def neutral(docs: DataFrame) -> DataFrame:
+    """``docs`` with names of our own for all columns but doc_id and text, so that no name can clash; by position."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -162,3 +181,15 @@ def remainder(column: str, k: int):
 def share(column: str, wanted: int, total: int):
     """A fixed pseudo-random choice of about ``wanted`` of ``total`` rows by a hash of ``column``."""
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, wanted / max(total, 1)) + 1)
+
+
+def budgeted(rows: DataFrame, label: str, budget: int) -> list[tuple]:
+    """(id, label) of rows (id, label, size): for each label, in the order of a hash of the id, as many as fit into
+    ``budget`` bytes. Rows that repeat an id are one choice, with the sum of their sizes. ``rows`` is a sample of bounded length."""
+    found = rows.groupBy("id", label).agg(F.sum("size").alias("size")).select("id", label, "size", F.xxhash64("id").alias("h")).collect()
+    out, used = [], {}
+    for r in sorted(found, key=lambda r: (r["h"], r["id"], r[label])):
+        if used.get(r[label], 0) + r["size"] <= budget:
+            used[r[label]] = used.get(r[label], 0) + r["size"]
+            out.append((r["id"], r[label]))
+    return out

@@ -2,30 +2,32 @@
 
 Each of 63 permutations of the shingle hashes gives two signature values, its minimum and its maximum; both are
 unbiased for the Jaccard similarity and the pair has a lower variance than two minima, at half the hash evaluations.
-25 bands of 5 of these values make the candidates: at a similarity of 0.85 a pair shares no band with probability
-(1 - 0.85^5)^25 = 4e-7. Candidates are confirmed on the full shingle sets.
+Bands of these values make the candidates: ``layout`` takes the longest rows at which a pair at the threshold shares no
+band with a probability of at most 1e-6 (25 bands of 5 at 0.85: 4e-7; 31 of 4 at 0.80: 8e-8). Candidates are confirmed on
+the full shingle sets.
 
-Documents with equal sets are one class from the start. In a bucket every class is first compared with one only, that
+Texts with equal sets are one class from the start. In a bucket every class is first compared with one only, that
 which meets most others in buckets (a star around the likely original). Components of the confirmed links follow. Then,
 for the classes in buckets that still hold several components, all pairs across components that can meet the threshold
 are found by an exact prefix filter on the full sets. So a group of n near copies costs n comparisons, and no link between
 band-sharing documents that joins two components is missed.
 
-Nulls and edges: null or word-less text has an empty set, ``component_id = doc_id``, and is linked with nothing.
-Rows that repeat a ``doc_id`` are one node. A null ``doc_id`` takes part in its class and names no component.
-Other columns are ignored.
+Nodes are classes, not ids. Nulls and edges: null or word-less text has an empty set, ``component_id = doc_id``, and is
+linked with nothing. An id that repeats with several texts is one document: it links the classes of all its texts. A null
+``doc_id`` takes part in its class and names no component (``component_id`` is null if no other row of the component has
+an id, and then ``kept``). An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Words, chunks, mix, spans, table, to_long
+from .common import U, Words, chunks, forget, mix, neutral, spans, table, to_long
 
-PERMUTATIONS, BANDS, ROWS = 63, 25, 5
+PERMUTATIONS, MISS = 63, 1e-6
 FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F)) | U(1)
 SHIFTS = mix(np.arange(101, PERMUTATIONS + 101, dtype=np.uint64))
 
@@ -47,8 +49,29 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, doc
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest (a, b), and its band keys."""
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band."""
+    fits = [(2 * PERMUTATIONS // r, r) for r in range(1, 9) if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MISS]
+    return max(fits, key=lambda x: x[1], default=(2 * PERMUTATIONS, 1))
+
+
+def digest(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each document's set; zeros for empty ones."""
+    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if len(h):
+        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        a[doc[at]], b[doc[at]] = np.add.reduceat(mix(h + U(11)), at), np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), at)
+    return a, b
+
+
+def text_key() -> Column:
+    """Tells the texts of an id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def signatures(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, text_key, n_shingles, the set's 128-bit digest (a, b), and its band keys."""
+    bands, rows = layout(percent)
 
     def run(batches):
         for chunk in chunks(batches):
@@ -56,33 +79,38 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
             n = np.bincount(doc, minlength=chunk.num_rows) if len(doc) else np.zeros(chunk.num_rows, np.int64)
             some = np.flatnonzero(n)
             at = (np.cumsum(n) - n)[some]
-            a, b = np.zeros(chunk.num_rows, np.uint64), np.zeros(chunk.num_rows, np.uint64)
-            keys = np.zeros((chunk.num_rows, BANDS), np.uint64)
+            keys = np.zeros((chunk.num_rows, bands), np.uint64)
             if len(some):
-                a[some], b[some] = np.add.reduceat(mix(h + U(11)), at), np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), at)
                 low, high = np.empty((PERMUTATIONS, len(some)), np.uint64), np.empty((PERMUTATIONS, len(some)), np.uint64)
                 for p in range(PERMUTATIONS):
                     v = (h ^ SHIFTS[p]) * FACTORS[p]
                     low[p], high[p] = np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
-                values = np.concatenate([low, high])[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
-                for k in range(BANDS):
-                    keys[some, k] = mix(spans(np.ascontiguousarray(mix(values[k])).T.ravel(), ROWS)[::ROWS] + U(k + 1))
-            bands = pa.FixedSizeListArray.from_arrays(to_long(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n.astype(np.int64)), to_long(a), to_long(b), bands], ["doc_id", "n_shingles", "a", "b", "bands"])
+                values = np.concatenate([low, high])[: bands * rows].reshape(bands, rows, -1)
+                for k in range(bands):
+                    keys[some, k] = mix(spans(np.ascontiguousarray(mix(values[k])).T.ravel(), rows)[::rows] + U(k + 1))
+            lists = pa.FixedSizeListArray.from_arrays(to_long(keys.ravel()), bands).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("text_key"), pa.array(n.astype(np.int64)), *map(to_long, digest(h, doc, chunk.num_rows)), lists], ["doc_id", "text_key", "n_shingles", "a", "b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, "doc_id long, text_key long, n_shingles long, a long, b long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the documents named in ``ids`` (doc_id); only their texts are moved. Written to the shared folder."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the classes in ``wanted`` (id, doc_id, text_key: one row that has the set), written to the shared folder.
+    Texts meet the wanted rows in a merge join, their only shuffle. Rows without an id, whose texts may repeat without end,
+    are reduced to one for each text before they move."""
 
     def run(batches):
         for chunk in chunks(batches):
             h, doc = shingle_sets(Words(chunk.column("text"), lower=True), width)
             ends = np.searchsorted(doc, np.arange(chunk.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array([h[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array([h[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "set"])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
+    chosen = rows.where("doc_id is not null").join(wanted.where("doc_id is not null").hint("merge"), ["doc_id", "text_key"]).select("id", "text")
+    if not wanted.where("doc_id is null").isEmpty():
+        plain = rows.where("doc_id is null").groupBy("text_key").agg(F.first("text").alias("text"))
+        chosen = chosen.union(plain.join(wanted.where("doc_id is null").hint("merge"), "text_key").select("id", "text"))
     return table(docs.sparkSession, chosen.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]))
 
 
@@ -143,19 +171,33 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = table(spark, small.where("u <> v").distinct())
+        old, edges = edges, table(spark, small.where("u <> v").distinct())
+        forget(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+def repeated_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, y) between the classes of each id that has several."""
+    own = signed.where("n_shingles > 0 and doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("one"), F.max(F.struct("a", "b")).alias("other")).where("one <> other").drop("other")
+    every = own.select("doc_id", "a", "b").join(several.hint("merge"), "doc_id").select("one", "a", "b").distinct()
+    x = every.join(classes.select("a", "b", F.col("x").alias("x")).hint("merge"), ["a", "b"]).select("one.a", "one.b", "x")
+    return x.join(classes.select("a", "b", F.col("x").alias("y")).hint("merge"), ["a", "b"]).select("x", "y")
+
+
+def linked(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, their classes (a, b, number x, a row of each: low), and (node, component) of linked classes;
+    ``by_id``: an id with several texts links their classes."""
     spark = docs.sparkSession
-    signed = table(spark, signatures(docs, width))
-    classes = table(spark, signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    keys = classes.where("x is not null").select("x", "n", F.explode("bands").alias("key"))
+    signed = table(spark, signatures(docs, width, percent))
+    # the smallest row of a class; nulls last
+    row = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_key")
+    classes = signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min(row).alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = table(spark, classes.withColumn("x", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    keys = classes.select("x", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("x").alias("low"), F.max("x").alias("high")).where("low < high").select("key", "members")
     buckets = keys.join(shared.hint("merge"), "key")
     weights = buckets.groupBy("x").agg(F.sum("members").alias("weight"))
@@ -163,30 +205,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     heads = buckets.groupBy("key").agg(F.max(F.struct("weight", -F.col("x"), "x", "n")).alias("head")).select("key", F.col("head.x").alias("y"), F.col("head.n").alias("m"))
     stars = buckets.join(heads.hint("merge"), "key").where(f"x <> y and 100 * least(n, m) >= {percent} * greatest(n, m)")
     stars = table(spark, stars.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    held = full_sets(docs, stars.select(F.explode(F.array("x", "y")).alias("doc_id")), width)
-    found = components(confirmed(stars, held, percent))
+    rows = classes.select("x", "low.doc_id", "low.text_key")
+    some = lambda ids: table(spark, rows.join(ids.distinct().hint("merge"), "x").withColumnRenamed("x", "id"))
+    held = full_sets(docs, some(stars.select(F.explode(F.array("x", "y")).alias("x"))), width)
+    good = confirmed(stars, held, percent)
+    forget(held)
+    if by_id:
+        good = good.union(repeated_ids(signed, classes))
+    found = components(good)
     named = found.select(F.col("node").alias("x"), "component").hint("merge")
     spread = table(spark, buckets.select("key", "x").join(named, "x", "left").withColumn("component", F.coalesce("component", "x")))
     mixed = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = table(spark, spread.join(mixed.hint("merge"), "key").select("x", "component").distinct())
+    forget(spread, buckets)
     if not rest.isEmpty():
-        held = full_sets(docs, rest.select(F.col("x").alias("doc_id")), width)
+        held = full_sets(docs, some(rest.select("x")), width)
         across = prefix_pairs(held, rest, percent)
         across = across.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
         across = table(spark, across.join(stars.hint("merge"), ["x", "y"], "left_anti"))
         if not across.isEmpty():
             found = components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(confirmed(across, held, percent)))
-    tops = classes.select("a", "b", "x").join(found.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").select("a", "b", F.coalesce("component", "x").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "a", "b").join(tops.hint("merge"), ["a", "b"], "left")
+        forget(held, across)
+    forget(stars, rest)
+    return signed, classes, found
+
+
+def tops(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b, low and the smallest low of the component (top), for each class."""
+    members = found.select(F.col("node").alias("x"), "component").union(found.select("component", "component").distinct())  # roots are no nodes
+    least = members.join(classes.select("x", "low").hint("merge"), "x").groupBy("component").agg(F.min("low").alias("least"))
+    named = members.join(least.hint("merge"), "component").select("x", "least")
+    return classes.select("a", "b", "low", "x").join(named.hint("merge"), "x", "left").select("a", "b", "low", F.coalesce("least", "low").alias("top"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    signed, classes, found = linked(docs, width, percent, True)
+    own = tops(classes, found).select("a", "b", F.col("top.doc_id").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "a", "b").join(own.hint("merge"), ["a", "b"], "left")
     name = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", name.alias("component_id"), F.coalesce(F.col("doc_id") == name, name.isNull()).alias("kept"))
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without near duplicates: one document of each component stays, its smallest id.
-    Of rows that are equal in doc_id and text one stays; rows without a doc_id stay unless a numbered document has their set."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The rows of ``docs``, all columns, without near duplicates: of each component of texts one row stays, that of the
+    smallest id (rows without an id come last, ties go by a hash of the text). Here an id that repeats links nothing: each of
+    its texts is judged by itself. Rows without words stay. Rows that are equal in doc_id and text count once."""
+    signed, classes, found = linked(docs, width, percent, False)
+    first = tops(classes, found).where("low <=> top").select("low.doc_id", "low.text_key")
+    chosen = first.union(signed.where("n_shingles = 0").select("doc_id", "text_key")).distinct()
+    chosen = table(docs.sparkSession, chosen.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")))
+    own = neutral(docs)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (text_key().eqNullSafe(F.col("own_key")))
+    out = own.join(chosen.hint("merge"), same, "left_semi").toDF(*docs.columns)
+    if signed.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id", "text"])

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, chunks, mix, spans, table, to_long
-from .sharding import numbered
+from .common import U, Words, chunks, mix, neutral, spans, table, to_long
+from .sharding import PART, ROW_AT, numbered
 
 GRAM = 8
 STEP2 = U(0xE7037ED1A0B428DB)
@@ -197,9 +197,9 @@ def marked(docs: DataFrame, length: int) -> DataFrame:
         for part, count, _ in parts:
             before.append((part, n))
             n += count
-        starts = spark.createDataFrame(before, "__part int, __before long")  # one row for each partition
-        held = held.join(F.broadcast(starts), F.col("part") == F.col("__part"))
-        rows = table(spark, held.withColumn("__id", F.col("__before") + F.col("row_at")).select(*docs.columns, "__id"))
+        starts = spark.createDataFrame(before, f"{PART} int, __before long")  # one row for each partition
+        held = held.join(F.broadcast(starts), PART)
+        rows = table(spark, held.withColumn("__id", F.col("__before") + F.col(ROW_AT)).select(*docs.columns, "__id"))
     plain = rows.select(F.col("__id").alias("doc_id"), "text")
     found = table(spark, judged(seeds(plain, length)))
     opened = found.where("not settled").groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, texts: bool = False) -> Da
 
 def rewrite(docs: DataFrame, length: int = 20) -> DataFrame:
     """``docs``, all rows and columns, with repeated passages cut out of text."""
-    own = docs.withColumn("text", F.col("text").cast("string"))
+    own = neutral(docs).withColumn("text", F.col("text").cast("string"))
     names = own.columns
 
     def run(batches):
@@ -238,4 +238,4 @@ def rewrite(docs: DataFrame, length: int = 20) -> DataFrame:
             chunk = chunk.set_column(chunk.schema.get_field_index("text"), "text", cut(chunk.column("text"), words, gone))
             yield chunk.select(names)
 
-    return marked(own, length).mapInArrow(run, own.schema)
+    return marked(own, length).mapInArrow(run, own.schema).toDF(*docs.columns)
