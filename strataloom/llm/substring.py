@@ -5,16 +5,22 @@ smallest hash (leftmost on ties) is its anchor: equal windows have equal anchors
 anchors, one in seven positions, seed every match.
 
 1. Seeds: each anchor with the hash of its context, the 12 words on either side that its windows can reach (document
-   ends count). Within a chunk, a repeated (anchor, context) is settled at once: its earlier copy lies in the chunk.
+   ends count). Within a task, a repeated (anchor, context) is settled at once where an earlier copy was sent on.
 2. Join on anchors: the rest is partitioned and sorted by anchor. An occurrence whose whole context occurred earlier is
    settled: all its windows are repeats (the match extends past both ends). The first occurrence of a context whose
    anchor has other contexts too is open: the match ends within reach, and must be extended word by word.
-3. Extend: for open anchors only, the windows themselves are hashed (128 bits) and compared by first occurrence.
-4. The repeated windows of a document merge into maximal runs of at least ``length`` words; their words go.
+3. Extend: for open anchors only, in all steps to the left and to the right that keep ``length`` words (the 13 windows about
+   the anchor). Each extension is hashed (128 bits) and meets all occurrences at once, the earliest of which stays; comparing
+   pairs of occurrences would grow with the square of a passage's copies.
+4. The repeated extensions of a document merge into maximal runs of at least ``length`` words; their words go.
+
+Hot anchors: a passage that many documents share sends one row for each task (a bounded table of repeated contexts, kept
+from chunk to chunk), and an anchor with ``MANY`` contexts in one chunk sends two; its other occurrences are open without
+being joined, which is always right, as open anchors are compared exactly, and spreads over the hashes of their windows.
 
 Windows are judged on the input, not on what is left. Order is (doc_id, position). Null text has no words. If doc_ids
 repeat or are null, rows are first numbered in the order (doc_id with nulls first, checksum, size) and that number
-takes the place of doc_id, so that of equal rows the first stays. Other columns are ignored.
+takes the place of doc_id, so that of equal rows the first stays. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from .common import U, Words, chunks, mix, neutral, spans, table, to_long
 from .sharding import PART, ROW_AT, numbered
 
 GRAM = 8
+#: Contexts of an anchor in a chunk from which it is hot; entries that a task's tables hold.
+MANY, HELD = 8, 1 << 16
 STEP2 = U(0xE7037ED1A0B428DB)
 
 
@@ -61,8 +69,40 @@ def contexts(words: Words, w: np.ndarray, anchors: np.ndarray, length: int) -> n
     return mix((v * mix(np.arange(1, v.shape[1] + 1, dtype=np.uint64))[None, :]).sum(axis=1, dtype=np.uint64))
 
 
+class Known:
+    """What a task has already sent on: repeated (anchor, context) pairs with their smallest place, and hot anchors."""
+
+    def __init__(self):
+        self.key, self.ctx, self.doc, self.pos = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hot = np.zeros(0, np.uint64)
+
+    def judge(self, key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Status of each seed: 0 to be joined, 1 settled, 2 open."""
+        n, old = len(key), len(self.key)
+        k, c, d, p = (np.concatenate(x) for x in ((self.key, key), (self.ctx, ctx), (self.doc, doc), (self.pos, pos)))
+        order = np.lexsort((p, d, c, k))
+        same_key = np.r_[False, k[order[1:]] == k[order[:-1]]]
+        same = same_key & np.r_[False, c[order[1:]] == c[order[:-1]]]
+        status = np.zeros(old + n, np.int8)
+        status[order[same]] = 1  # there is an earlier copy, in this chunk or before
+        anchor, group = np.cumsum(~same_key) - 1, np.cumsum(~same) - 1
+        nth = group - group[np.flatnonzero(~same_key)][anchor] if len(order) else group  # contexts of the anchor before this one
+        contexts = np.bincount(anchor, ~same).astype(np.int64)
+        first = np.flatnonzero(~same_key)
+        was = np.isin(k[order[first]], self.hot)
+        spare = (was[anchor] | (contexts[anchor] >= MANY) & (nth >= 2)) & ~same
+        status[order[spare]] = 2
+        if len(self.hot) < HELD:
+            self.hot = np.union1d(self.hot, k[order[first[contexts >= MANY]]])
+        sizes = np.bincount(group)
+        held = order[~same][sizes > 1][-HELD:]
+        self.key, self.ctx, self.doc, self.pos = k[held], c[held], d[held], p[held]
+        return status[old:]
+
+
 def seeds(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
+        known = Known()
         for chunk in chunks(batches):
             words = Words(chunk.column("text"))
             w = words.hashes()
@@ -72,13 +112,11 @@ def seeds(docs: DataFrame, length: int) -> DataFrame:
             ids = chunk.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             key, ctx = spans(w, GRAM)[anchors], contexts(words, w, anchors, length)
             doc, pos = ids[words.doc[anchors]], (anchors - words.first[words.doc[anchors]]).astype(np.int32)
-            order = np.lexsort((pos, doc, ctx, key))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (ctx[order[1:]] == ctx[order[:-1]])
-            key = np.where(again, mix(doc.view(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([to_long(key), to_long(ctx), pa.array(doc), pa.array(pos), pa.array(again)], ["anchor", "ctx", "doc_id", "pos", "settled"])
+            status = known.judge(key, ctx, doc, pos)
+            key = np.where(status > 0, mix(doc.view(np.uint64)), key)  # judged already: anywhere
+            yield pa.RecordBatch.from_arrays([to_long(key), to_long(ctx), pa.array(doc), pa.array(pos), pa.array(status)], ["anchor", "ctx", "doc_id", "pos", "status"])
 
-    return docs.mapInArrow(run, "anchor long, ctx long, doc_id long, pos int, settled boolean")
+    return docs.mapInArrow(run, "anchor long, ctx long, doc_id long, pos int, status byte")
 
 
 def judged(seeded: DataFrame) -> DataFrame:
@@ -90,10 +128,11 @@ def judged(seeded: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            known = b.column("settled").to_numpy(zero_copy_only=False).astype(bool)
+            status = b.column("status").to_numpy()
+            known = status > 0
             ids, pos = b.column("doc_id").to_numpy(), b.column("pos").to_numpy()
             anchor, ctx = b.column("anchor").to_numpy(), b.column("ctx").to_numpy()
-            out = [(ids[known], pos[known], np.ones(known.sum(), bool))]
+            out = [(ids[known], pos[known], status[known] == 1)]
             ids, pos, anchor, ctx = ids[~known], pos[~known], anchor[~known], ctx[~known]
             if len(anchor):
                 same = np.r_[last is not None and last[0] == anchor[0], anchor[1:] == anchor[:-1]]
