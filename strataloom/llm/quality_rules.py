@@ -1,15 +1,17 @@
 """Quality rules by distribution divergence.
 
 Two histograms describe a document: characters by class, and how often each word of a fixed list of common words occurs
-(with one bin for all other words). The references are the same histograms summed over all documents of each language
-that the corpus names; a document is compared with every reference and the nearest counts, so a wrong or missing
-language does not matter. The divergence is the Jensen-Shannon distance (base 2, 0 to 1). It is judged only from a
-minimum length on: below ``min_chars`` characters the class histogram says too little, below ``min_words`` words the
-word histogram, and the document keeps the verdict of the base rules. The base rules reject documents under 50 words and those with more than half of
-their words in repeated three-word windows.
+(with one bin for all other words). The references are the same histograms summed over the documents of each language
+that the corpus names, but only those that pass the base rules, and only languages with ``least_docs`` of them and
+``least_share`` of all of them at least: so junk under a language of its own is no reference to itself, and there are
+1 / ``least_share`` references at most, however dirty the column is. A document is compared with every reference and the
+nearest counts, so a wrong or missing language does not matter. The divergence is the Jensen-Shannon distance (base 2,
+0 to 1). It is judged only from a minimum length on: below ``min_chars`` characters the class histogram says too little,
+below ``min_words`` words the word histogram, and the document keeps the verdict of the base rules. The base rules reject
+documents under 50 words and those with more than half of their words in repeated three-word windows.
 
 Null text has no words. Documents without a language add to no reference; with no reference at all nothing diverges
-(distance 0). Rows are kept one for one, with repeated rows; other columns are ignored.
+(distance 0). An empty table gives no rows. Rows are kept one for one, with repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, chunks, mix, spans, table
+from .common import U, Words, chunks, forget, mix, spans, table
 
 #: Common words of four languages.
 COMMON = (
@@ -37,6 +39,7 @@ CLASS = np.full(256, 5, np.int64)
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[[0x20, 9, 10, 11, 12, 13]], CLASS[list(SYMBOLS)], CLASS[192:], CLASS[128:192] = 0, 1, 2, 3, 4, 6, 7
 CLASSES = 7
 MAX_CHAR, MAX_WORD, MIN_CHARS, MIN_WORDS, BASE_WORDS = 0.30, 0.26, 200, 200, 50
+LEAST_DOCS, LEAST_SHARE = 10, 0.005
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -113,12 +116,6 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def references(rows: DataFrame) -> list:
-    """One row for each language: both histograms, summed over all its documents."""
-    sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(CLASSES)] + [F.sum(F.col("words")[k]).alias(f"w{k}") for k in range(len(COMMON) + 1)]
-    return [(r[0], list(r[1 : 1 + CLASSES]), list(r[1 + CLASSES :])) for r in rows.where("lang is not null").groupBy("lang").agg(*sums).orderBy("lang").collect()]
-
-
 def distances(h: np.ndarray, reference: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of each row to one reference; an empty histogram is at distance 0."""
     n = h.sum(1, keepdims=True)
@@ -139,25 +136,35 @@ class Limits(NamedTuple):
     min_chars: int = MIN_CHARS
     min_words: int = MIN_WORDS
     base_words: int = BASE_WORDS
+    least_docs: int = LEAST_DOCS
+    least_share: float = LEAST_SHARE
+
+
+def references(rows: DataFrame, limits: Limits) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """A language's name and both histograms, summed over all its documents that pass the base rules; see above for the
+    languages that count."""
+    good = rows.where(f"lang is not null and n_words >= {limits.base_words} and 100 * n_repeat_words <= 50 * n_words")
+    sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(CLASSES)] + [F.sum(F.col("words")[k]).alias(f"w{k}") for k in range(len(COMMON) + 1)]
+    each = table(rows.sparkSession, good.groupBy("lang").agg(F.count("*").alias("docs"), *sums))
+    total = each.agg(F.sum("docs")).first()[0] or 0
+    found = each.where((F.col("docs") >= limits.least_docs) & (F.col("docs") >= limits.least_share * total)).orderBy("lang").collect()
+    forget(each)
+    return [(r[0], np.array(r[2 : 2 + CLASSES], np.int64), np.array(r[2 + CLASSES :], np.int64)) for r in found]
 
 
 def verdict(base: list[np.ndarray], chars: np.ndarray, words: np.ndarray, refs: list, limits: Limits):
     """Distances to the nearest reference, and whether each document diverges, fails the base rules, is kept."""
-    near = [np.min([distances(h, r[k]) for r in refs], axis=0) if refs and len(h) else np.zeros(len(h)) for k, h in enumerate((chars, words))]
+    near = [np.min([distances(h, r[k]) for r in refs], axis=0) if refs and len(h) else np.zeros(len(h)) for k, h in enumerate((chars, words), 1)]
     diverges = (chars.sum(1) >= limits.min_chars) & (near[0] > limits.max_char)
     diverges |= (base[0] >= limits.min_words) & (near[1] > limits.max_word)
     failed = (base[0] < limits.base_words) | (100 * base[4] > 50 * base[0])
     return near, diverges, failed, ~failed & ~diverges
 
 
-def arrays(rows: DataFrame) -> list:
-    return [(np.array(c, np.int64), np.array(w, np.int64)) for _, c, w in references(rows)]
-
-
 def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """doc_id, the base counts, char_distance, word_distance, diverges, base_failed, kept for every row of ``docs``."""
     rows, limits = table(docs.sparkSession, measured(docs)), limits or Limits()
-    refs = arrays(rows)
+    refs = references(rows, limits)
 
     def run(batches):
         for b in batches:
@@ -170,7 +177,8 @@ def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 def keep(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep; the texts are read twice and never shuffled."""
-    refs, limits = arrays(measured(docs)), limits or Limits()
+    limits = limits or Limits()
+    refs = references(measured(docs), limits)
 
     def run(batches):
         listed = listed_hashes()

@@ -81,15 +81,16 @@ each as (select doc_id, coalesce(k, {len(quality_rules.COMMON)}) as k, count(*)
 words as (select d.doc_id, d.lang, b.k, coalesce(e.n, 0) as n from d cross join bins b left join each e on e.doc_id = d.doc_id and e.k = b.k),
 hist as (select 'c' as kind, * from chars union all select 'w', * from words),
 h as (select *, sum(n) over (partition by kind, doc_id) as all_n from hist),
-r as (select kind, lang, k, sum(n) as n, sum(sum(n)) over (partition by kind, lang) as all_n from hist where lang is not null group by kind, lang, k),
+base as (select w.doc_id, d.lang, len(ws) as n_words, length(w.t) - c3 as word_chars, c4 as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, length(w.t) as n_chars,
+  len(ws) < {quality_rules.BASE_WORDS} or 100 * coalesce(rep.n, 0) > 50 * len(ws) as base_failed from w join d using (doc_id) join c using (doc_id) left join dup using (doc_id) left join rep using (doc_id)),
+langs as (select lang from base where not base_failed and lang is not null group by lang
+  having count(*) >= {quality_rules.LEAST_DOCS} and count(*) >= {quality_rules.LEAST_SHARE} * (select count(*) from base where not base_failed and lang is not null)),
+r as (select kind, hist.lang, k, sum(n) as n, sum(sum(n)) over (partition by kind, hist.lang) as all_n from hist join base using (doc_id) join langs on langs.lang = hist.lang where not base_failed group by kind, hist.lang, k),
 pq as (select h.kind, h.doc_id, r.lang, h.all_n, r.all_n as ref_n, h.n / greatest(h.all_n, 1) as p, r.n / greatest(r.all_n, 1) as q from h join r on h.kind = r.kind and h.k = r.k),
 js as (select kind, doc_id, lang, case when max(all_n) = 0 or max(ref_n) = 0 then 0 else sqrt(greatest((sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end)
   + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2, 0)) end as js from pq group by all),
-near as (select doc_id, min(js) filter (kind = 'c') as cd, min(js) filter (kind = 'w') as wd from js group by doc_id),
-base as (select w.doc_id, len(ws) as n_words, length(t) - c3 as word_chars, c4 as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, length(t) as n_chars
-  from w join c using (doc_id) left join dup using (doc_id) left join rep using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_chars >= {quality_rules.MIN_CHARS} and coalesce(cd, 0) > {quality_rules.MAX_CHAR})
+near as (select doc_id, min(js) filter (kind = 'c') as cd, min(js) filter (kind = 'w') as wd from js group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (n_chars >= {quality_rules.MIN_CHARS} and coalesce(cd, 0) > {quality_rules.MAX_CHAR})
   and not (n_words >= {quality_rules.MIN_WORDS} and coalesce(wd, 0) > {quality_rules.MAX_WORD}) as kept, round(coalesce(cd, 0), 6) as char_distance, round(coalesce(wd, 0), 6) as word_distance
 from base left join near using (doc_id)
 """
