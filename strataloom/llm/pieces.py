@@ -17,7 +17,7 @@ N - 1 words of smallest gap; A-star runs on those words and a sort merges their
 
 Ties: the shorter last piece is taken in the best segmentation, and the best comes first. Null text gives null ids and zero pieces; empty text
 gives an empty list. ``decode`` gives back the text byte for byte (except that U+2581 in a text becomes a blank).
-Rows are kept one for one; other columns are ignored.
+Rows are kept one for one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -330,7 +330,7 @@ def lattice(path: str) -> Lattice:
 
 def segment(docs: DataFrame, path: str, n: int = 4, every: bool = False, digests: bool = True) -> DataFrame:
     """doc_id, ids (best segmentation), n_pieces, scores (of the n best, best first), round_trip (decoding the best gives
-    the text); digests: sha256 of each of the n best (ids joined by blanks); every: all n best lists of ids."""
+    the text); digests: sha256 of each of the n best (ids as little-endian 32-bit integers); every: all n best lists of ids."""
 
     def run(batches):
         lat = lattice(path)

@@ -2,12 +2,12 @@
 
 A pre-token is a run of blanks (U+0020) with what follows up to the next blank. No piece of the model goes from a
 non-blank to a blank (checked when the model is read), so the count of a text is the sum over its pre-tokens. Tier one
-is a table of the most frequent pre-tokens of a bounded sample (``frequent`` entries, so the broadcast is bounded); tier
-two is a cache in each Python worker, emptied at ``cache`` entries. Only what misses both is encoded. Pre-tokens are
+is a table of the most frequent pre-tokens of a random sample of about ``sample`` rows (``frequent`` entries, so the
+broadcast is bounded); tier two is a cache in each Python worker, emptied at ``cache`` entries. Only what misses both is encoded. Pre-tokens are
 never shuffled. The sample decides speed only: the counts are those of the library for every text.
 
 Null text counts as empty: 0 bytes, 0 tokens. A text that holds U+2581 itself, which the library takes for a blank, is
-encoded whole. Rows are kept one for one, with repeated rows; other columns are ignored.
+encoded whole. Rows are kept one for one, with repeated rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,16 +83,18 @@ def lengths_of(path: str, words: list[str]) -> list[int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample: int, frequent: int) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens in about ``sample`` texts (whole texts, chosen by a hash of the id)."""
-    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select(F.col("text").cast("string")).where("text is not null").limit(sample)
+    """Lengths of the most frequent pre-tokens in about ``sample`` texts (whole texts, a fixed random share of the rows, counted
+    where they lie)."""
+    n = docs.count()
+    texts = docs.sample(False, min(1.0, sample / max(n, 1)), seed=5).select(F.col("text").cast("string")).where("text is not null")
 
     def run(batches):
+        n = Counter()
         for chunk in chunks(batches):
-            n = Counter()
             for t in chunk.column("text").to_pylist():
                 n.update(pre_tokens(t))
-            n = n.most_common(frequent)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n]), pa.array([c for _, c in n])], ["word", "n"])
+            n = Counter(dict(n.most_common(frequent)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     top = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
     words = [r[0] for r in top.collect()]
