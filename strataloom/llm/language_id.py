@@ -3,13 +3,14 @@
 A text is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of lower-cased text in which all other
 ASCII is one blank). Embeddings and softmax are trained by mini-batch stochastic gradient descent in numpy on a bounded
 sample (``sample`` documents in proportion to the languages, but a twentieth of that of each language at least, or all it
-has: documented limits, chosen by a hash of the id among the learnable ones). After training
-the softmax is folded into the embeddings: one row of class scores for each bucket, so scoring a text is a sum over its
+has, and ``budget`` bytes at most, in equal parts for the languages, of its ``languages`` most frequent languages: documented limits, chosen by
+a hash of the id among the learnable ones; of rows that repeat an id and a language the smallest text is learned). After training the softmax is folded into the embeddings: one row of class scores for each bucket, so scoring a text is a sum over its
 n-grams. A temperature and a rejection threshold are fitted on a fifth of the sample that is kept out of training:
 ``rejected`` marks predictions whose calibrated score is below the threshold that keeps 99.5 % of the right ones.
 
 Null text and text without a letter give ``und`` with score 0. With nothing to learn from, all texts give ``und``.
-Documents with null doc_id are not learned from. Rows are kept one for one; other columns are ignored.
+Documents with null doc_id are not learned from. Rows are kept one for one; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, mix, remainder, share, text_bytes
+from .common import U, budgeted, chunks, mix, remainder, share, text_bytes
 
 SIZES, BITS, WIDTH = (2, 3, 4), 16, 16
 FOLD = np.arange(256, dtype=np.uint8)
@@ -63,47 +64,62 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def descend(vectors: np.ndarray, weights: np.ndarray, bags: list, labels: np.ndarray, rate: float) -> None:
+    """One step down the gradient of the mean log loss of a batch, in place; ``weights`` takes a twentieth of the rate."""
+    idx, part = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    row = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    hidden = np.add.reduceat(vectors[idx] * part[:, None], first)
+    error = softmax(hidden @ weights)
+    error[np.arange(len(bags)), labels] -= 1
+    rate /= len(bags)
+    back = error @ weights.T
+    weights -= rate * 0.05 * hidden.T @ error
+    np.add.at(vectors, idx, -rate * back[row] * part[:, None])
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and the share of each."""
+    value, many = np.unique(np.concatenate([g for g, _ in ngrams(pa.array([text]))] or [np.zeros(0, np.int64)]), return_counts=True)
+    return value, (many / max(1, many.sum())).astype(np.float32)
+
+
 def train(texts: list[str], labels: np.ndarray, k: int, epochs: int = 6, rate: float = 20.0, batch: int = 32, seed: int = 7) -> np.ndarray:
     """The folded table of class scores (bucket x class)."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     weights = random.normal(0, 0.3, (WIDTH, k)).astype(np.float32)
-    bags = []
-    for t in texts:
-        h = np.concatenate([g for g, _ in ngrams(pa.array([t]))] or [np.zeros(0, np.int64)])
-        value, many = np.unique(h, return_counts=True)
-        bags.append((value, (many / max(1, many.sum())).astype(np.float32)))
+    bags = list(map(bag, texts))
     used = [i for i, b in enumerate(bags) if len(b[0])]
     steps, done = max(1, epochs * -(-len(used) // batch)), 0
     for _ in range(epochs):
         order = random.permutation(used)
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            idx, share_ = np.concatenate([bags[i][0] for i in own]), np.concatenate([bags[i][1] for i in own])
-            row = np.repeat(np.arange(len(own)), [len(bags[i][0]) for i in own])
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            hidden = np.add.reduceat(vectors[idx] * share_[:, None], first)
-            error = softmax(hidden @ weights)
-            error[np.arange(len(own)), labels[own]] -= 1
-            now = rate * (1 - done / steps) / len(own)
-            back = error @ weights.T
-            weights -= now * 0.05 * hidden.T @ error
-            np.add.at(vectors, idx, -now * back[row] * share_[:, None])
+            descend(vectors, weights, [bags[i] for i in own], labels[own], rate * (1 - done / steps))
             done += 1
     return (vectors @ weights).astype(np.float64)
 
 
-def fit(docs: DataFrame, modulo: int, left_out: int, sample: int) -> tuple[list[str], np.ndarray, float, float]:
-    """Languages, folded table, temperature, rejection threshold."""
-    able = docs.where((remainder("doc_id", modulo) != left_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r[0]: r[1] for r in able.groupBy("lang").count().collect()}
+def learnable(docs: DataFrame, modulo: int, left_out: int, sample: int, languages: int, budget: int) -> list[tuple[str, str]]:
+    """(text, lang) of the sample."""
+    able = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    able = able.where((remainder("doc_id", modulo) != left_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n = {r[0]: r[1] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     total, own = sum(n.values()), F.lit(False)
     least = sample // 20  # of each language, whatever its share
     for lang, k in n.items():
-        wanted = max(sample * k / total, least)
-        own = F.when(F.col("lang") == lang, share("doc_id", wanted, k)).otherwise(own)
-    rows = able.where(own).select(F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("doc_id").alias("h")).collect()
-    rows = sorted((r for r in rows if any(c.isalpha() for c in r[0])), key=lambda r: (r[2], r[1], r[0]))
+        own = F.when(F.col("lang") == lang, share("doc_id", max(sample * k / total, least), k)).otherwise(own)
+    chosen = able.where(own)
+    sizes = chosen.select(F.col("doc_id").alias("id"), "lang", F.octet_length("text").cast("long").alias("size"))
+    fits = docs.sparkSession.createDataFrame(budgeted(sizes, "lang", budget // max(1, len(n))), "doc_id long, lang string")  # bounded by the sample
+    rows = chosen.join(F.broadcast(fits), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return [(r[0], r[1]) for r in sorted(rows.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").collect(), key=lambda r: (r[2], r[3], r[1]))]
+
+
+def fit(docs: DataFrame, modulo: int, left_out: int, sample: int, languages: int = 200, budget: int = 32 << 20) -> tuple[list[str], np.ndarray, float, float]:
+    """Languages, folded table, temperature, rejection threshold."""
+    rows = learnable(docs, modulo, left_out, sample, languages, budget)
     langs = sorted({r[1] for r in rows})
     if not langs:
         return [], np.zeros((1 << BITS, 0)), 1.0, 0.0

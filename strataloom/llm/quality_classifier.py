@@ -6,10 +6,11 @@ that one feature and adds it, with a small rate, to the feature's lookup table.
 residuals have the largest gain on a coarse grid get tables of two dimensions, boosted in the same way. The model is
 nothing but these tables: a score is the sum of looked-up values, vectorised over rows.
 
-Labels are learned from at most ``sample`` rows (a documented limit, chosen by a hash of the id); only features of those
-rows are collected. labels, lang, source and doc_id are never features. A document with several labels counts each.
-Null and empty texts have zero features and are scored like all others. Without labels of both kinds the score is the
-share of 1 (0.5 without labels). Rows are kept one for one; other columns are ignored.
+Labels are learned from at most about ``sample`` documents (a documented limit, chosen by a hash of the id); only features of
+those are collected. labels, lang, source and doc_id are never features. A document with both labels counts with each, equal
+rows of labels count once, and of rows that repeat an id the one with the smallest features is learned from. Null and empty
+texts have zero features and are scored like all others. Without labels of both kinds the score is the share of 1 (0.5
+without labels). An empty table gives no rows. Rows are kept one for one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,9 +149,9 @@ def score(docs: DataFrame, labels: DataFrame, modulo: int = 4, left_out: int = 2
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); labels: doc_id and ``target``."""
     spark = docs.sparkSession
     rows = table(spark, featured(docs))
-    able = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where((remainder("doc_id", modulo) != left_out) & F.col("y").isin(0, 1))
-    chosen = able.where(share("doc_id", sample, able.count()))  # bounded by the sample
-    known = sorted((r[0], r[1], list(r[2])) for r in chosen.join(rows.hint("merge"), "doc_id").select("doc_id", "y", "x").collect())
+    able = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where((remainder("doc_id", modulo) != left_out) & F.col("y").isin(0, 1)).distinct()
+    chosen = able.where(share("doc_id", sample, able.count())).join(rows.hint("merge"), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    known = sorted((r[0], r[1], list(r[2])) for r in chosen.collect())  # bounded by the sample
     model = Model(np.array([r[2] for r in known]).reshape(-1, len(FEATURES)), np.array([r[1] for r in known], np.int64))
     shared = spark.sparkContext.broadcast(model)
 

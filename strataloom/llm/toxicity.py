@@ -10,16 +10,17 @@ Stretches begin before each word, at each sign inside a word that is no letter a
 ``STRIDE`` places inside words of more than ``LENGTH``, in fit and scoring alike, so no place of a text without blanks is
 left out; there, without a blank before it, a word has no word beginning. ``LENGTH`` places of a stretch can begin a subsequence.
 
-Training: labelled documents (about ``sample`` of each label at most, a documented limit, chosen by a hash of the id, and
-weighted back to the share of toxic ones in the calibration) are cut into stretches
-at these places. A toxic document is known to hold a toxic stretch, not where: the stretch is first
-taken by how much more often toxic documents hold its word or the word's stem, then by the highest score, in turns with the fit. Landmarks are stretches of both
-kinds; K_nm K_mm^(-1/2) is the feature map and a squared-hinge machine is fitted by Newton steps. Because the kernel is a
+Training: the labels mark documents, not sentences, so stretches stand in for labelled sentences. Labelled documents (about
+``sample`` of each label and ``budget`` bytes of text of each at most: documented limits, chosen by a hash of the id, and
+weighted back to the share of toxic ones in the calibration) are cut into stretches at these places. A toxic document is
+known to hold a toxic stretch, not where: the stretch is first taken by how much more often toxic documents hold its word or
+the word's stem, then by the highest score, in turns with the fit. Landmarks are stretches of both kinds; K_nm K_mm^(-1/2) is the feature map and a squared-hinge machine is fitted by Newton steps. Because the kernel is a
 sum over subsequences, the machine is a table with one weight for each of them: the score of every stretch of a whole
 text is a sum of table values, and a document takes its three highest separate stretches, calibrated by a logistic curve.
 
 Null, empty and letter-free texts score like a text without any subsequence. With labels of one kind only, the score is
-the share of 1 (0.5 without labels). Rows are kept one for one; repeated labels count each; other columns are ignored.
+the share of 1 (0.5 without labels). Rows are kept one for one; equal rows of labels count once, a document with both labels
+with each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_BLANK, chunks, mix, remainder, share, text_bytes
+from .common import IS_BLANK, budgeted, chunks, mix, remainder, share, text_bytes
 
 SPAN, LENGTH = 6, 13
 STRIDE = LENGTH - SPAN
@@ -166,6 +167,13 @@ def kernel(profiles: list, landmarks: np.ndarray) -> np.ndarray:
     return np.array([d @ columns[u] if len(u) else np.zeros(len(landmarks)) for u, d in profiles])
 
 
+def inverse_root(landmarks: np.ndarray) -> np.ndarray:
+    """K_mm^(-1/2) of the landmarks, up to a rotation, without directions of no weight."""
+    value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    keep = value > 1e-6 * value.max()
+    return vector[:, keep] / np.sqrt(value[keep])
+
+
 def stem_hashes(code: np.ndarray, starts: np.ndarray, sizes: tuple):
     """For each size: a hash of the letters behind each word's blank, up to that many or the first place that is no letter."""
     h, alive = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
@@ -245,9 +253,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
         y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
         chosen = np.r_[random.choice(len(good), min(len(good), landmarks // 2), False), len(good) + random.choice(len(bad), min(len(bad), landmarks // 2), False)]
         z = features([profiles[k] for k in chosen])
-        value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
-        keep = value > 1e-6 * value.max()
-        root = vector[:, keep] / np.sqrt(value[keep])
+        root = inverse_root(z)
         x = kernel(profiles, z) @ root
         scale = max(1e-9, float(np.abs(x).std()))
         w = machine(x / scale, y, np.where(y > 0, len(bad) / max(1, len(good)), 1.0))
@@ -259,22 +265,22 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
     return weights, offset, slopes, base
 
 
-
-def labelled(docs: DataFrame, labels: DataFrame, target: str, modulo: int, left_out: int, sample: int) -> tuple[list, float | None]:
-    """(id, text, label) of about ``sample`` learnable documents of each label, and the share of 1 among all of them.
-
-    The label ids, not the texts, are sampled first.
-    """
-    able = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where((remainder("doc_id", modulo) != left_out) & F.col("y").isin(0, 1))
+def labelled(docs: DataFrame, labels: DataFrame, target: str, modulo: int, left_out: int, sample: int, budget: int) -> tuple[list, float | None]:
+    """(id, text, label) of about ``sample`` learnable documents of each label, ``budget`` bytes of each at most, and the
+    share of 1 among all of them. Ids are sampled first, then sizes; only the texts that fit are collected."""
+    able = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("y")).where((remainder("doc_id", modulo) != left_out) & F.col("y").isin(0, 1)).distinct()
     n = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in able.groupBy("y").count().collect()}
     chosen = able.where(F.when(F.col("y") == 1, share("doc_id", sample, n[1])).otherwise(share("doc_id", sample, n[0])))  # bounded by the sample
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").collect()
-    return sorted(((r[0], r[1] or "", r[2]) for r in rows), key=lambda r: (r[0], r[2], r[1])), n[1] / (n[0] + n[1]) if n[0] + n[1] else None
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "y", F.octet_length("text").cast("long").alias("size"))
+    fits = docs.sparkSession.createDataFrame(budgeted(sizes, "y", budget), "doc_id long, y int")
+    rows = texts.join(F.broadcast(fits), "doc_id").collect()
+    return sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[2], r[1])), n[1] / (n[0] + n[1]) if n[0] + n[1] else None
 
 
-def score(docs: DataFrame, labels: DataFrame, modulo: int = 3, left_out: int = 1, sample: int = 1500, target: str = "toxic", threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, modulo: int = 3, left_out: int = 1, sample: int = 1500, budget: int = 8 << 20, target: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); labels: doc_id and ``target``."""
-    rows, prior = labelled(docs, labels, target, modulo, left_out, sample)
+    rows, prior = labelled(docs, labels, target, modulo, left_out, sample, budget)
     shared = docs.sparkSession.sparkContext.broadcast(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), prior=prior))
 
     def run(batches):
