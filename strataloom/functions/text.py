@@ -7,27 +7,36 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Results depend on them.
 COUNTERS = r"(?i)(?:访问量|浏览量|阅读量|点击量|当前时间|系统时间)\s*[:：]?\s*\d+"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+EMAIL = r"(?<![A-Za-z0-9_.+-])([A-Za-z0-9_.+-]{1,2})[A-Za-z0-9_.+-]{0,62}@([A-Za-z0-9.-]+\.[A-Za-z]{2,})(?![A-Za-z0-9_.-])"
+MOBILE = r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)"
+IDENTITY = r"(?<!\d)(\d{6})\d{8}(\d{3}[0-9Xx])(?!\d)"
+CATALOGUE_WORDS = r"(?i)数据产品|数据商品|产品|商品|数据集|数据服务|数据组件|组件|场景|需求|数商|catalog|product|dataset|component|scenario|demand"
+COUNTED_ROUTES = ("product", "goods", "catalog", "dataset", "scenario", "component", "demand", "market")
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition, for which Spark has no built-in function."""
+def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, for which Spark has no built-in function. Only texts beyond ASCII go to Python."""
+    return F.coalesce(composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def squeezed(text: Column) -> Column:
     """One blank for each run of white space (of any script), none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize_text(text: Column, stable: bool = False) -> Column:
-    """NFKC, counters removed, white space squeezed. ``stable``: the text is known to be in that form already."""
-    return squeezed(F.regexp_replace(text if stable else nfkc(text), COUNTERS, ""))
+def normalize_text(text: Column) -> Column:
+    """NFKC, counters removed, white space squeezed."""
+    return squeezed(F.regexp_replace(nfkc(text), COUNTERS, ""))
 
 
 def content_hash(body: Column) -> Column:
@@ -35,6 +44,7 @@ def content_hash(body: Column) -> Column:
 
 
 def snippet(text: Column, limit: int) -> Column:
+    """The start of a normalised text, with a mark where it was cut."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
 
 
@@ -44,9 +54,39 @@ def key_fold(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Masks e-mail addresses, mobile numbers and identity numbers."""
-    text = F.regexp_replace(text, r"(?<![A-Za-z0-9_.+-])([A-Za-z0-9_.+-]{1,2})[A-Za-z0-9_.+-]{0,62}@([A-Za-z0-9.-]+\.[A-Za-z]{2,})(?![A-Za-z0-9_.-])", "$1***@$2")
-    text = F.regexp_replace(text, r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)", "$1****$2")
-    return F.regexp_replace(text, r"(?<!\d)(\d{6})\d{8}(\d{3}[0-9Xx])(?!\d)", "$1********$2")
+    text = F.regexp_replace(text, EMAIL, "$1***@$2")
+    return F.regexp_replace(F.regexp_replace(text, MOBILE, "$1****$2"), IDENTITY, "$1********$2")
+
+
+def redact_fields(value: Column, kind: DataType) -> Column:
+    """The same through nested structs, arrays and map values; keys, numbers and all else stay."""
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: redact_fields(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: redact_fields(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[redact_fields(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def declared_total(text: Column, url: Column, role: Column) -> Column:
+    """The total that a listing states, if a word of the catalogue stands within 80 characters; else null."""
+    counts = role.isin("listing", "api")
+    for route in COUNTED_ROUTES:
+        counts = counts | F.contains(F.lower(url), F.lit(route))
+    hit = F.regexp_extract(text, r"共\s*[0-9,，]+\s*(?:条|个)", 0)
+    at = F.instr(text, hit)
+    near = F.substring(text, F.greatest(at - 80, F.lit(1)), F.length(hit) + F.least(at - 1, F.lit(80)) + 80)
+    total = F.regexp_replace(F.regexp_extract(hit, r"([0-9,，]+)", 1), "[,，]", "").try_cast("long")
+    return F.when(counts & (hit != "") & near.rlike(CATALOGUE_WORDS), total)
+
+
+def decoded(body: Column, declared: Column) -> Column:
+    """Text of a response body: UTF-8 if it is that (also where another charset is declared but unknown), else GB18030 or GBK."""
+    named = F.when(F.lower(declared).isin("gb18030", "gbk", "gb2312"), F.decode(body, "GB18030")).when(F.lower(declared).isin("iso-8859-1", "latin-1"), F.decode(body, "ISO-8859-1"))
+    return F.coalesce(named, F.try_validate_utf8(body.cast("string")), F.decode(body, "GB18030"))
 
 
 def unescaped(text: Column) -> Column:
@@ -76,5 +116,5 @@ def parse_datetime(text: Column) -> Column:
 
 def period(text: Column) -> Column:
     """First and last of all dates in a text; the end is null if there is one date only."""
-    dates = F.regexp_extract_all(text, F.lit(r"(\d{4}[-/.年]\d{1,2}(?:[-/.月]\d{1,2})?)"), 1)
+    dates = F.regexp_extract_all(text, F.lit(r"((?:19|20)\d{2}[-/.年]\d{1,2}(?:[-/.月]\d{1,2})?)"), 1)
     return F.struct(F.try_element_at(dates, F.lit(1)).alias("start"), F.when(F.size(dates) > 1, F.element_at(dates, -1)).alias("end"))

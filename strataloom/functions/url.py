@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Results depend on them.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "source", "timestamp", "_", "t", "v", "rnd", "random")
@@ -21,6 +23,14 @@ ID_KEYS = ("productId", "goodsId", "resourceId", "sceneId", "id", "code")
 ROLE_BONUS = {"entry": 8.0, "sitemap": 7.0, "listing": 5.0, "api": 5.0, "detail": 4.0}
 SECOND_LEVEL = ("com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn")
 
+# Networks that no public host lies in: first and last address.
+CLOSED = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
+    ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"),
+    ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"),
+)
+CLOSED_V6 = r"^(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:db8:.*|100::.*|64:ff9b:1:.*)$"
+
 PARTS = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -33,24 +43,45 @@ def encoded(value: Column) -> Column:
     return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def decoded(value: Column) -> Column:
+    """Form decoding; a per cent sign without two hexadecimal digits behind it stays."""
+    return F.try_url_decode(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+@F.pandas_udf(StringType())
+def ascii_form(host: pd.Series) -> pd.Series:
+    def one(h):
+        try:
+            return None if h is None else h.encode("idna").decode("ascii").lower()
+        except UnicodeError:
+            return ""
+
+    return host.map(one)
+
+
+def ascii_host(name: Column) -> Column:
+    """A host in its ASCII form, for which Spark has no function. Only hosts beyond ASCII go to Python; '' if there is none."""
+    return F.coalesce(ascii_form(F.when(name.rlike(r"[^\x00-\x7F]"), name)), F.lower(name))
+
+
 def query_pairs(url: Column) -> Column:
     """Decoded (key, value) pairs of the query, in their order."""
     pairs = F.filter(F.split(part(url, 5), "&"), lambda p: p != "")
-    return F.transform(pairs, lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
+    return F.transform(pairs, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
 
 
 def canonical_url(url: Column) -> Column:
-    """Canonical http(s) URL: lower-case scheme and host, no default port, single slashes, sorted query without tracking
+    """Canonical http(s) URL: lower-case scheme, ASCII host, no default port, single slashes, sorted query without tracking
     parameters, fragment only if it is a route. Anything else gives ''."""
-    scheme, port = F.lower(part(url, 1)), part(url, 3)
+    scheme, port, name = F.lower(part(url, 1)), part(url, 3), ascii_host(part(url, 2))
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    host = F.concat(F.lower(part(url, 2)), F.when((port != "") & ~default, F.concat(F.lit(":"), port)).otherwise(""))
+    host = F.concat(name, F.when((port != "") & ~default, F.concat(F.lit(":"), port)).otherwise(""))
     path = F.regexp_replace(part(url, 4), "/{2,}", "/")
     pairs = F.array_sort(F.filter(query_pairs(url), lambda p: ~F.lower(p.k).isin(*TRACKING)))
     query = F.array_join(F.transform(pairs, lambda p: F.concat(encoded(p.k), F.lit("="), encoded(p.v))), "&")
     route = part(url, 6)
     out = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(route.rlike("^!?/"), F.concat(F.lit("#"), route)).otherwise(""))
-    return F.when(url.isNotNull(), F.when(scheme != "", out).otherwise(""))
+    return F.when(url.isNotNull(), F.when((scheme != "") & (name != ""), out).otherwise(""))
 
 
 def resolved(base: Column, href: Column) -> Column:
@@ -84,6 +115,56 @@ def family(host_name: Column) -> Column:
     return F.when((F.size(labels) > 2) & two.isin(*SECOND_LEVEL), F.substring_index(host_name, ".", -3)).otherwise(two)
 
 
+def host_allowed(host_name: Column, allowed) -> Column:
+    """Whether a host is one of the allowed names or lies below one."""
+    labels = F.split(host_name, r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    return F.exists(ends, lambda e: e.isin(*allowed))
+
+
+def address(dotted: Column) -> Column:
+    """Number of a dotted quad."""
+    steps = F.split(dotted, r"\.")
+    return sum((steps[k].try_cast("long") * 256 ** (3 - k) for k in range(4)), F.lit(0).cast("long"))
+
+
+def public_literal(host_name: Column) -> Column:
+    """False for empty names, localhost and addresses that are not public; names are not looked up."""
+    bare = F.regexp_replace(F.lower(host_name), r"^\[|\]$", "")
+    number, closed = address(bare), F.lit(False)
+    for first, last in CLOSED:
+        closed = closed | number.between(*[sum(int(x) << (24 - 8 * k) for k, x in enumerate(v.split("."))) for v in (first, last)])
+    quad = bare.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$")
+    return F.coalesce(~bare.isin("", "localhost") & ~(quad & closed) & ~(F.contains(bare, F.lit(":")) & bare.rlike(CLOSED_V6)), F.lit(False))
+
+
+def page_url(endpoint: Column, page: Column, marker: str = "_page") -> Column:
+    """An endpoint's URL for one page, so that each page has a state of its own."""
+    base = F.regexp_replace(endpoint, "#.*$", "")
+    return F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit(f"{marker}="), page.cast("string"))
+
+
+def page_number(url: Column, marker: str = "_page") -> Column:
+    """The page that ``page_url`` wrote into a URL; null without one."""
+    return F.nullif(F.regexp_extract(url, rf"[?&]{marker}=(\d+)", 1), F.lit("")).cast("long")
+
+
+def detail_url(template: Column, external: Column, otherwise: Column) -> Column:
+    """The URL of a record's detail page, where there are a template and an id."""
+    return F.when((template != "") & (external != ""), F.replace(template, F.lit("{id}"), external)).otherwise(otherwise)
+
+
+def looks_like_app(html: Column, url: Column, mime: Column) -> Column:
+    """Whether a page is an application that shows its records only in a browser."""
+    head = F.substring(html, 1, 300_000)
+    visible = F.trim(F.regexp_replace(F.regexp_replace(head, "<[^>]+>", " "), r"\s+", " "))
+    server = any_of(head, ("window.__NUXT__", "__NEXT_DATA__"))
+    app = any_of(head, ('id="app"', "id='app'", 'id="root"', "id='root'", 'id="main"', "id='main'", "webpack", "vite"))
+    page = F.contains(mime, F.lit("html")) | F.lower(F.ltrim(html)).startswith("<!doctype html")
+    scripts = F.regexp_count(head, F.lit(r"(?i)<script\b"))
+    return page & (url.rlike("#!?/") | (scripts >= 2) & (server | app & (F.length(visible) < 800)))
+
+
 def any_of(value: Column, terms) -> Column:
     out = F.lit(False)
     for t in terms:

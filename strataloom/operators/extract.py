@@ -40,7 +40,7 @@ def links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     is dropped before the window, so only link rows are shuffled."""
     pattern = F.lit(r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>")
     found = pages.select(id_col, "url", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("href"), F.regexp_extract_all("html", pattern, 2).alias("inner"))).alias("place", "a"))
-    anchor = T.snippet(T.squeezed(T.unescaped(F.regexp_replace("a.inner", r"(?s)<[^>]*>", " "))), 300)
+    anchor = T.snippet(T.normalize_text(T.unescaped(F.regexp_replace("a.inner", r"(?s)<[^>]*>", " "))), 300)
     rows = found.select(id_col, "place", U.canonical_url(U.resolved(F.col("url"), F.col("a.href"))).alias("to_url"), anchor.alias("anchor")).where("to_url <> ''")
     rows = rows.withColumn("relevance", U.link_relevance(F.col("to_url"), F.col("anchor")))
     own = Window.partitionBy(id_col, "to_url").orderBy("place")
@@ -57,20 +57,34 @@ def item_kind(url: Column, context: Column) -> Column:
     return out.otherwise("product")
 
 
-def item_name(fields_name: Column, html: Column) -> Column:
-    """The first usable of: name field, h1, h2, title up to a separator; 2 to 300 characters and not generic."""
-    title = F.trim(F.regexp_extract(T.element(html, "title"), r"^([^-_|—]*)", 1))
-    options = F.array(F.coalesce(fields_name, F.lit("")), T.element(html, "h1"), T.element(html, "h2"), title)
-    return F.try_element_at(F.filter(options, lambda n: (F.length(n) >= 2) & (F.length(n) <= 300) & ~n.isin(*GENERIC_NAMES)), F.lit(1))
+def usable_name(name: Column) -> Column:
+    return (F.length(name) >= 2) & (F.length(name) <= 300) & ~name.isin(*GENERIC_NAMES)
 
 
-def description(html: Column) -> Column:
-    """Meta description of 15 characters or more, else the longest paragraph of 20 to 5,000."""
-    meta = F.regexp_extract(html, r'(?is)<meta\b[^>]*name="description"[^>]*content="([^"]*)"', 1)
-    inner = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1)
+def item_name(fields_name: Column, html: Column) -> Column:
+    """The first usable of: name field, h1, detail or product title, h2 under a title, h2, page title up to a separator."""
+    inner = lambda pattern, k: T.squeezed(T.unescaped(F.regexp_replace(F.regexp_extract(html, pattern, k), r"(?s)<[^>]*>", " ")))
+    titles = [inner(rf'(?is)<(\w+)\b[^>]*\bclass="(?:[^"]*\s)?{c}(?:\s[^"]*)?"[^>]*>(.*?)</\1>', 2) for c in ("detail-title", "product-title")]
+    under = inner(r'(?is)\bclass="(?:[^"]*\s)?title(?:\s[^"]*)?"[^>]*>(?:(?!</div>).)*?<h2\b[^>]*>(.*?)</h2>', 1)
+    title = F.trim(F.regexp_extract(T.element(html, "title"), r"^([^-_|—]*)", 1))
+    options = F.array(F.coalesce(fields_name, F.lit("")), T.element(html, "h1"), *titles, under, T.element(html, "h2"), title)
+    return F.try_element_at(F.filter(options, usable_name), F.lit(1))
+
+
+def description(html: Column, given: Column | None = None) -> Column:
+    """A given description, else that of the meta tags (15 characters or more), else the longest paragraph of 20 to 5,000
+    characters in an article, content or detail block."""
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda m: m.rlike(r"""(?i)\b(?:name=["']description|property=["']og:description)["']"""))
+    meta = F.coalesce(F.try_element_at(F.transform(metas, lambda m: T.squeezed(T.unescaped(F.regexp_extract(m, r"""(?is)\bcontent=["']([^"']*)["']""", 1)))), F.lit(1)), F.lit(""))
+    parts = F.concat(
+        F.regexp_extract_all(html, F.lit(r"(?is)<article\b[^>]*>(.*?)</article>"), 1),
+        F.regexp_extract_all(html, F.lit(r'(?is)<div\b[^>]*\bclass="(?:[^"]*\s)?(?:content|detail)(?:\s[^"]*)?"[^>]*>(.*?)</div>'), 1),
+    )
+    inner = F.flatten(F.transform(parts, lambda a: F.regexp_extract_all(a, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1)))
     plain = F.transform(inner, lambda p: T.squeezed(T.unescaped(F.regexp_replace(p, r"(?s)<[^>]*>", " "))))
-    fits = F.transform(F.filter(plain, lambda p: (F.length(p) >= 20) & (F.length(p) <= 5000)), lambda p: F.struct(F.length(p).alias("n"), p.alias("text")))
-    return F.when(F.length(meta) >= 15, meta).otherwise(F.coalesce(F.array_max(fits).text, F.lit("")))
+    fits = F.transform(F.filter(plain, lambda p: (F.length(p) >= 20) & (F.length(p) <= 5000)), lambda p, k: F.struct(F.length(p).alias("n"), (-k).alias("k"), p.alias("text")))
+    found = F.when(F.length(meta) >= 15, meta).otherwise(F.coalesce(F.array_max(fits).text, F.lit("")))
+    return found if given is None else F.coalesce(F.nullif(given, F.lit("")), found)
 
 
 def item_score(url: Column, title: Column, n_fields: Column, has_name: Column, has_trade: Column) -> Column:
@@ -79,16 +93,29 @@ def item_score(url: Column, title: Column, n_fields: Column, has_name: Column, h
     return score - F.when(U.any_of(title, NEWS) & (n_fields < 3), 4.0).otherwise(0.0)
 
 
-def admitted(url: Column, score: Column) -> Column:
-    """The gate: 3.0 on detail routes, else 4.5."""
-    return score >= F.when(U.any_of(F.lower(url), U.DETAIL_TERMS), 3.0).otherwise(4.5)
+def admitted(url: Column, score: Column, named: Column) -> Column:
+    """The gate: 3.0 on detail routes, else 4.5; a page that looks like a list needs a name of its own among its fields."""
+    path = F.regexp_replace(F.lower(U.part(url, 4)), "/+$", "")
+    listing = path.rlike("/list|/catalog|/search|/index|/(?:product|goods|dataset|scenario|demand)$")
+    return (score >= F.when(U.any_of(path, U.DETAIL_TERMS), 3.0).otherwise(4.5)) & (~listing | named)
 
 
 def natural_key(kind: Column, external: Column, url: Column, name: Column, provider: Column) -> Column:
-    """sha256 of the kind and the first of: external id, URL, name with provider."""
-    nonblank = lambda c: F.when(F.trim(c) != "", c)
-    base = F.coalesce(nonblank(external), nonblank(url), F.concat_ws("|", name, provider))
-    return F.sha2(F.concat_ws("|", kind, base), 256)
+    """sha256 of what tells an item apart: external id, else URL, else name and provider; each with the kind."""
+    fold = lambda c: F.lower(F.trim(c))
+    some = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    raw = (
+        F.when(some(external), F.concat_ws(":", F.lit("external"), kind, fold(external)))
+        .when(some(url), F.concat_ws(":", F.lit("url"), kind, url))
+        .otherwise(F.concat_ws(":", F.lit("name"), kind, fold(F.coalesce(name, F.lit(""))), fold(F.coalesce(provider, F.lit("")))))
+    )
+    return F.sha2(raw, 256)
+
+
+def declared_kind(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """The kind that the item's collection declares (rules: collection, declared), unless that is mixed. The rule table is broadcast."""
+    out = items.join(F.broadcast(rules), "collection", "left")
+    return out.withColumn("kind", F.when(F.coalesce("declared", F.lit("mixed")) != "mixed", F.col("declared")).otherwise(F.col("kind"))).drop("declared")
 
 
 def keyword_class(text: Column, groups, other: str = "other") -> Column:
@@ -97,12 +124,3 @@ def keyword_class(text: Column, groups, other: str = "other") -> Column:
     for value, words in groups:
         out = out.when(U.any_of(F.lower(text), words), value)
     return out.otherwise(other)
-
-
-def keyword_labels(rows: DataFrame, text: str, groups) -> DataFrame:
-    """A row for each matched group: label, confidence min(.65 + .08 hits, .95), matched words."""
-    hit = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(text), w))
-    labels = F.array(*[F.struct(F.lit(g).alias("label"), hit(w).alias("hits")) for g, w in groups])
-    out = rows.withColumn("found", F.explode(F.filter(labels, lambda s: F.size(s.hits) > 0)))
-    confidence = F.round(F.least(0.65 + 0.08 * F.size("found.hits"), F.lit(0.95)), 4)
-    return out.select(*[c for c in rows.columns if c != text], F.col("found.label").alias("label"), confidence.alias("confidence"), F.array_join("found.hits", "/").alias("raw"))

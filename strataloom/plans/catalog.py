@@ -116,19 +116,3 @@ def g18_run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, quality from labels where toxic = 1 order by doc_id desc limit 1000")
 def g21_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", "quality").orderBy(F.desc("doc_id")).limit(1000)
-
-
-@query(f"with d as (select p_partkey, unnest(['product_type', 'province', 'city', 'provider']) as type, unnest([p_type, r_name, n_name, s_name]) as value, unnest([0.96, 0.9, 0.9, 0.8]) as confidence from {ITEMS}) select p_partkey, type, value, confidence::double as confidence from d where value is not null")
-def c14_item_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = lambda t, c, k: F.struct(F.lit(t).alias("type"), F.col(c).alias("value"), F.lit(k).alias("confidence"))
-    dims = F.array(dim("product_type", "p_type", 0.96), dim("province", "r_name", 0.9), dim("city", "n_name", 0.9), dim("provider", "s_name", 0.8))
-    return catalogue(spark, sf_dir).select("p_partkey", F.explode(F.filter(dims, lambda d: d.value.isNotNull())).alias("d")).select("p_partkey", "d.*")
-
-
-@query("select p_partkey, coalesce(case lower(p_brand) when 'brand#1' then 'provider' when 'brand#2' then 'name' end, 'other') as field from part")
-def c04_field_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.text import key_fold
-
-    aliases = spark.createDataFrame([("brand1", "provider"), ("brand2", "name")], "folded string, field string")  # a rule table
-    rows = read(spark, sf_dir, "part").withColumn("folded", key_fold(F.col("p_brand"))).join(F.broadcast(aliases), "folded", "left")
-    return rows.select("p_partkey", F.coalesce("field", F.lit("other")).alias("field"))

@@ -6,12 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import extract as X
 from .registry import query, read
 
-# Rule tables on the driver's own words; the production lists are parameters of the same operators.
-TYPE_GROUPS = (("api", ("promo",)), ("dataset", ("economy", "standard")), ("report", ("small",)), ("model", ("large",)))
-WORD_GROUPS = (("finance", (" the ", " of ")), ("healthcare", (" der ", " die ")), ("energy", (" que ", " los ")), ("legal", (" les ", " des ")))
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
@@ -27,7 +23,7 @@ def b07_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"select doc_id, sha256({NORM}) as semantic_hash from documents")
 def b08_semantic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", T.content_hash(T.normalize_text(F.col("text"), True)).alias("semantic_hash"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.content_hash(T.normalize_text(F.col("text"))).alias("semantic_hash"))
 
 
 @query("""select p_partkey, '{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}' as canonical_json from part""")
@@ -48,7 +44,7 @@ def b11_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"select doc_id, case when length({NORM}) > 300 then left({NORM}, 299) || '…' else {NORM} end as snippet from documents")
 def b12_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", T.snippet(T.squeezed(F.col("text")), 300).alias("snippet"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.snippet(T.normalize_text(F.col("text")), 300).alias("snippet"))
 
 
 @query("select p_partkey, regexp_replace(lower(p_name || p_brand), '[^0-9a-z一-鿿]', '', 'g') as folded from part")
@@ -91,12 +87,6 @@ def b21_back_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", hours.cast("long").alias("hours"), (F.col("ts") + F.make_dt_interval(F.lit(0), hours)).alias("retry_at"))
 
 
-@query("select p_partkey, 'https://example.org/product/' || p_partkey || '/detail' as url, 'https://example.org/list?_dmp_page=' || (p_partkey % 9) as page_url, p_partkey % 9 as page_no from part")
-def b22_b23_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit("https://example.org/list?_dmp_page="), F.col("p_partkey") % 9)
-    return read(spark, sf_dir, "part").select("p_partkey", F.replace(F.lit("https://example.org/product/{id}/detail"), F.lit("{id}"), F.col("p_partkey").cast("string")).alias("url"), page.alias("page_url"), F.regexp_extract(page, r"_dmp_page=(\d+)", 1).cast("long").alias("page_no"))
-
-
 @query("with r as (select doc_id, lang, sha256(text) as h, row_number() over (partition by lang, sha256(text) order by doc_id) as nth, lag(sha256(text)) over (partition by lang order by doc_id) as before from documents) select doc_id, h as content_hash, before is null or before <> h as changed from r where nth = 1")
 def a10_snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of each (state, content hash); only hashes are shuffled. A revert is a change of state."""
@@ -121,21 +111,6 @@ def a16_observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.substring(F.concat(F.lit("request failed: "), "props"), 1, 8000).alias("message"), F.when(F.col("event_type") == "error", "error").otherwise("warning").alias("level"))
 
 
-def first_group(v: str, groups) -> str:
-    return "case " + " ".join("when " + " or ".join(f"contains(lower({v}), '{w}')" for w in words) + f" then '{g}'" for g, words in groups) + " else 'other' end"
-
-
-@query(f"select p_partkey, {first_group('p_type', TYPE_GROUPS)} as product_type, case when {first_group('p_type', TYPE_GROUPS)} = 'other' then 0.4 else 0.96 end::double as confidence from part")
-def c15_product_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = X.keyword_class(F.col("p_type"), TYPE_GROUPS)
-    return read(spark, sf_dir, "part").select("p_partkey", kind.alias("product_type"), F.when(kind == "other", 0.4).otherwise(0.96).alias("confidence"))
-
-
-@query("with k as (" + " union all ".join(f"select '{g}' as label, {list(w)!r} as words" for g, w in WORD_GROUPS) + "), m as (select doc_id, label, list_filter(words, lambda w: contains(text, w)) as hits from documents, k) select doc_id, label, round(least(0.65 + 0.08 * len(hits), 0.95), 4)::double as confidence, array_to_string(hits, '/') as raw from m where len(hits) > 0")
-def c16_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.keyword_labels(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", WORD_GROUPS)
-
-
 @query("select conv_id, turn, 1 as depth, sha256(text) as content_hash from conversations where turn > 0 and length(text) > 0")
 def c18_sub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured sub-responses become corpus rows of depth 1 with the parent's id."""
@@ -144,14 +119,6 @@ def c18_sub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "c.turn", F.lit(1).alias("depth"), T.content_hash(F.col("c.text")).alias("content_hash"))
 
 
-@query("select p_partkey, case when p_partkey % 4 = 0 then 'dataset' when p_type = 'PROMO' then 'product' else 'component' end as kind from part")
-def c17_kind_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([(0, "dataset"), (1, "mixed")], "collection long, own string")  # a rule table
-    kind = F.when(F.col("p_type") == "PROMO", "product").otherwise("component")
-    rows = read(spark, sf_dir, "part").withColumn("collection", F.col("p_partkey") % 4).join(F.broadcast(rules), "collection", "left")
-    return rows.select("p_partkey", F.when(F.col("own").isNotNull() & (F.col("own") != "mixed"), F.col("own")).otherwise(kind).alias("kind"))
-
-
 @query("select p_partkey, unnest(['product_type', 'brand']) as type, unnest([p_type, p_brand]) as value from part")
 def d07_dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = F.array(F.struct(F.lit("product_type").alias("type"), F.col("p_type").alias("value")), F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import extract as X
+from ..operators import frontier as FR
 from .registry import query, read
 
 # SQL fragments over pages, written without the functions above.
@@ -60,10 +61,21 @@ def b03_host_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_of(spark, sf_dir).select("page_id", h.alias("host"), U.family(h).alias("family"))
 
 
-@query(rf"select page_id, url from pages where {P_HOST} = 'example.org' or suffix({P_HOST}, '.example.org')")
+@query(rf"select page_id, url from pages where {P_HOST} in ('example.org', 'blog.example.com') or suffix({P_HOST}, '.example.org') or suffix({P_HOST}, '.blog.example.com')")
 def b04_allowed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = spark.createDataFrame([("example.org",)], "family string")  # a rule table
-    return url_of(spark, sf_dir).withColumn("family", U.family(U.host(F.col("url")))).join(F.broadcast(allowed), "family", "left_semi").select("page_id", "url")
+    return url_of(spark, sf_dir).where(U.host_allowed(U.host(F.col("url")), ("example.org", "blog.example.com")))
+
+
+OCTETS = "(select s_suppkey, [s_suppkey * 7 % 256, s_nationkey * 31 % 256, (s_suppkey * 3 + s_nationkey) % 256, s_suppkey % 256] as o from supplier)"
+CLOSED_SQL = " or ".join("n between " + " and ".join(str(sum(int(x) << (24 - 8 * k) for k, x in enumerate(v.split(".")))) for v in pair) for pair in U.CLOSED)
+
+
+@query(f"with h as (select s_suppkey, array_to_string(o, '.') as host, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as n from {OCTETS}) select s_suppkey, host, not ({CLOSED_SQL}) as public from h")
+def b05_public_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of supplier keys."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    host = F.concat_ws(".", k * 7 % 256, n * 31 % 256, (k * 3 + n) % 256, k % 256)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", host.alias("host")).withColumn("public", U.public_literal(F.col("host")))
 
 
 @query(f"select page_id, {role_sql('url', chr(39) * 2)} as role from pages")
@@ -76,11 +88,27 @@ def b17_link_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.links(read(spark, sf_dir, "pages")).select("page_id", "to_url", "relevance")
 
 
-@query(r"""select page_id, length(left(html, 300000)) as n_chars, regexp_matches(lower(html), '#!?/[a-z]') and not regexp_matches(lower(html), '</article>') as route,
- len(regexp_extract_all(lower(left(html, 300000)), '<script')) as scripts from pages""")
-def b18_script_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(F.substring("html", 1, 300_000))
-    return read(spark, sf_dir, "pages").select("page_id", F.length(F.substring("html", 1, 300_000)).alias("n_chars"), (F.lower("html").rlike("#!?/[a-z]") & ~F.contains(F.lower("html"), F.lit("</article>"))).alias("route"), F.regexp_count(head, F.lit("<script")).alias("scripts"))
+B18 = r"""
+with p as (select page_id, case when page_id % 3 = 0 then replace(url, '#top', '') || '#/list' else url end as url,
+  case page_id % 5 when 0 then html || '<script>window.__NUXT__</script><SCRIPT src="x">' when 1 then '<div id="app"></div><script></script><script src="vite">' else html end as html from pages),
+v as (select page_id, url, left(html, 300000) as head from p),
+w as (select *, length(trim(regexp_replace(regexp_replace(head, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) as seen, len(regexp_extract_all(lower(head), '<script\b')) as scripts,
+  contains(head, 'window.__NUXT__') or contains(head, '__NEXT_DATA__') as server,
+  contains(head, 'id="app"') or contains(head, 'id="root"') or contains(head, 'id="main"') or contains(head, 'webpack') or contains(head, 'vite') as app from v)
+select page_id, regexp_matches(url, '#!?/') or (scripts >= 2 and (server or (app and seen < 800))) as is_app from w
+"""
+
+
+@query(B18)
+def b18_app_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, some with the marks of applications put in."""
+    k, html, url = F.col("page_id"), F.col("html"), F.col("url")
+    rows = read(spark, sf_dir, "pages").select(
+        "page_id",
+        F.when(k % 3 == 0, F.concat(F.replace(url, F.lit("#top"), F.lit("")), F.lit("#/list"))).otherwise(url).alias("url"),
+        F.when(k % 5 == 0, F.concat(html, F.lit('<script>window.__NUXT__</script><SCRIPT src="x">'))).when(k % 5 == 1, '<div id="app"></div><script></script><script src="vite">').otherwise(html).alias("html"),
+    )
+    return rows.select("page_id", U.looks_like_app(F.col("html"), F.col("url"), F.lit("text/html")).alias("is_app"))
 
 
 @query(r"select page_id, case when regexp_matches(tail, '^[0-9a-fA-F_-]{6,80}$') then tail else '' end as external_id from (select page_id, regexp_extract(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) as tail from pages)")
@@ -120,7 +148,7 @@ def c05_item_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 P_ALL = SQL_TEXT.format(r"regexp_replace(p, '<[^>]*>', ' ', 'gs')")
 
 
-@query(rf"with p as (select page_id, unnest(regexp_extract_all(html, '<p\b[^>]*>(.*?)</p>', 1, 's')) as p from pages), t as (select page_id, {P_ALL} as t from p) select page_id, coalesce(max(t) filter (n = top), '') as description from (select pages.page_id, t, length(t) as n, max(length(t)) over (partition by pages.page_id) as top from pages left join (select * from t where length(t) between 20 and 5000) t on t.page_id = pages.page_id) group by page_id")
+@query(rf"with a as (select page_id, unnest(regexp_extract_all(html, '<article\b[^>]*>(.*?)</article>', 1, 's')) as a from pages), p as (select page_id, unnest(regexp_extract_all(a, '<p\b[^>]*>(.*?)</p>', 1, 's')) as p from a), t as (select page_id, {P_ALL} as t from p) select page_id, coalesce(max(t) filter (n = top), '') as description from (select pages.page_id, t, length(t) as n, max(length(t)) over (partition by pages.page_id) as top from pages left join (select * from t where length(t) between 20 and 5000) t on t.page_id = pages.page_id) group by page_id")
 def c06_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", X.description(F.col("html")).alias("description"))
 
@@ -130,15 +158,16 @@ def kind_sql(url: str, context: str) -> str:
     return "case " + " ".join(f"when {has(v, t)} then '{k}'" for k, t, v in rows) + " else 'product' end"
 
 
-ITEM = f"select page_id, url, {kind_sql('url', SQL_TITLE)} as kind, (case when {has('lower(url)', U.DETAIL_TERMS)} then 3.0 else 0 end + case when {has(f'lower({SQL_TITLE})', U.TARGET_TERMS)} then 2.0 else 0 end + 0.8 + case when {SQL_NAME} is not null then 1.5 else 0 end)::double as score, {SQL_NAME} as name, {SQL_CANON} as canonical from pages"
+SQL_EXTERNAL = r"(case when regexp_matches(regexp_extract(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '^[0-9a-fA-F_-]{{6,80}}$') then regexp_extract(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) else '' end)".replace("{{", "{").replace("}}", "}")
+ITEM = f"select page_id, url, {kind_sql('url', f'concat_ws(chr(32), url, {SQL_TITLE}, left({SQL_BODY}, 1500))')} as kind, (case when {has('lower(url)', U.DETAIL_TERMS)} then 3.0 else 0 end + case when {has(f'lower({SQL_TITLE})', U.TARGET_TERMS)} then 2.0 else 0 end - case when {has(SQL_TITLE, X.NEWS)} then 4.0 else 0 end)::double as score, {SQL_NAME} as name, {SQL_CANON} as canonical, {SQL_EXTERNAL} as external from pages"
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page to item: canonical URL, kind, score, name, key."""
+    """Page to item, for pages without labelled fields: canonical URL, kind, score, name, key."""
     url, html = F.col("url"), F.col("html")
-    title = T.element(html, "title")
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), X.item_name(F.lit(None).cast("string"), html).alias("name"), U.canonical_url(url).alias("canonical"))
-    rows = rows.select("*", X.item_kind(url, F.col("title")).alias("kind"), X.item_score(url, F.col("title"), F.lit(1), F.col("name").isNotNull(), F.lit(False)).alias("score"))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", T.element(html, "title").alias("title"), F.substring(T.stripped(html), 1, 1500).alias("body"), X.item_name(F.lit(None).cast("string"), html).alias("name"), U.canonical_url(url).alias("canonical"))
+    no = F.lit(False)
+    rows = rows.select("*", X.item_kind(url, F.concat_ws(" ", "url", "title", "body")).alias("kind"), X.item_score(url, F.col("title"), F.lit(0), no, no).alias("score"))
     return rows.withColumn("natural_key", X.natural_key(F.col("kind"), U.external_id(url), F.col("canonical"), F.col("name"), F.lit("")))
 
 
@@ -147,17 +176,7 @@ def c07_item_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("page_id", "kind")
 
 
-@query(f"select page_id, round(score, 4) as score from ({ITEM})")
-def c08_item_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("page_id", F.round("score", 4).alias("score"))
-
-
-@query(f"select page_id from ({ITEM}) where score >= case when {has('lower(url)', U.DETAIL_TERMS)} then 3.0 else 4.5 end")
-def c09_item_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).where(X.admitted(F.col("url"), F.col("score"))).select("page_id")
-
-
-SQL_KEY = "sha256(kind || '|' || canonical)"
+SQL_KEY = "sha256(case when external <> '' then 'external:' || kind || ':' || lower(external) else 'url:' || kind || ':' || canonical end)"
 
 
 @query(f"select page_id, {SQL_KEY} as natural_key from ({ITEM})")
@@ -191,21 +210,25 @@ def e01_queue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier(spark, sf_dir).select("page_id", "to_url", "score")
 
 
-@query(SQL_LINKS + f" select page_id, to_url from links where round({Q_SCORE}, 4) >= 1.0 or (page_id % 3 = 0 and round({Q_SCORE}, 4) > -0.1)")
+E02_REL = f"({relevance_sql('to_url', 'anchor')})"
+
+
+@query(SQL_LINKS + f" select page_id, to_url from links where case when page_id % 4 = 0 then {E02_REL} > -5 when page_id % 3 = 0 then {E02_REL} > -0.1 or regexp_matches(anchor, '^[0-9]+$') else {E02_REL} >= 1 end")
 def e02_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parent = F.when(F.col("page_id") % 3 == 0, "listing").otherwise("unknown")
-    rows = frontier(spark, sf_dir)
-    return rows.where(U.admitted(F.col("to_url"), F.col("anchor"), F.col("score"), F.lit(2), parent)).select("page_id", "to_url")
+    """Links at depth 1 from every fourth page, from listings on every third, from other pages at depth 2."""
+    k = F.col("page_id")
+    rows = X.links(read(spark, sf_dir, "pages"))
+    keep = U.admitted(F.col("to_url"), F.col("anchor"), F.col("relevance"), F.when(k % 4 == 0, 1).otherwise(2), F.when(k % 3 == 0, "listing").otherwise("unknown"))
+    return rows.where(keep).select("page_id", "to_url")
 
 
-@query(SQL_LINKS + rf""", d as (select to_url, max(round({Q_SCORE}, 4)) as score, min(page_id * 1000 + place) as seq from links group by to_url),
- r as (select *, regexp_extract(to_url, '^https?://([^/?#:]+)', 1) as host, row_number() over (partition by regexp_extract(to_url, '^https?://([^/?#:]+)', 1) order by score desc, seq) as rank from d)
- select host, to_url, score, rank::int as rank from r where rank <= 5""")
+@query(SQL_LINKS + rf""", d as (select to_url, max(round({Q_SCORE}, 4)) as score, min((page_id, place)) as seq from links where to_url not in (select {SQL_CANON} from pages) group by to_url),
+ r as (select *, regexp_extract(to_url, '^https?://([^/?#:]+)', 1) as host, row_number() over (partition by regexp_extract(to_url, '^https?://([^/?#:]+)', 1) order by score desc, seq) as rank, count(*) over (partition by regexp_extract(to_url, '^https?://([^/?#:]+)', 1)) as n from d)
+ select host, to_url, score, rank::int as rank, n > 5 as hit_limit from r where rank <= 5""")
 def e03_best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best links of each host; a page budget for each platform is the feature."""
-    rows = frontier(spark, sf_dir).groupBy("to_url").agg(F.max("score").alias("score"), F.min(F.col("page_id") * 1000 + F.col("place")).alias("seq")).withColumn("host", U.host(F.col("to_url")))
-    best = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "seq"))
-    return rows.withColumn("rank", best).where("rank <= 5").select("host", "to_url", "score", "rank")
+    """The five best links of each host that are no captured pages themselves; the budget of a host is the feature."""
+    visited = url_of(spark, sf_dir).select(U.canonical_url(F.col("url")).alias("url"))
+    return FR.best_first(frontier(spark, sf_dir).select("to_url", "score", F.struct("page_id", "place").alias("seq")), visited, 5).select("host", "to_url", "score", "rank", "hit_limit")
 
 
 @query("select page_id, url, timestamp '2024-01-01' + to_minutes(page_id::int) as due_at from pages where page_id % 4 <> 0 order by due_at, page_id limit 50")
@@ -214,11 +237,12 @@ def e04_due_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("page_id % 4 <> 0").orderBy(F.asc_nulls_first("due_at"), "page_id").limit(50)
 
 
-@query(SQL_LINKS + " select l.page_id, l.to_url, count(*) as hops from links l join links m on l.page_id + 1 = m.page_id and l.place = m.place group by all")
+@query(SQL_LINKS + f", s as (select to_url as from_url, page_id * 1000000 + place as n, regexp_extract(to_url, '^(https?://[^/]+)', 1) || '/next/' || place as to_url, page_id % 2 = 0 as active from links), u as (select page_id, to_url from links) select distinct u.page_id, s.to_url from u join s on s.from_url = u.to_url where s.active")
 def e10_stored_link_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.links(read(spark, sf_dir, "pages"))
-    after = rows.select((F.col("page_id") - 1).alias("page_id"), "place")
-    return rows.join(after.hint("merge"), ["page_id", "place"]).groupBy("page_id", "to_url").agg(F.count("*").alias("hops"))
+    """Links of pages that did not change, read from the stored edges of the page that they point to."""
+    found = X.links(read(spark, sf_dir, "pages"))
+    stored = found.select(F.col("to_url").alias("from_url"), F.concat(F.regexp_extract("to_url", "^(https?://[^/]+)", 1), F.lit("/next/"), "place").alias("to_url"), (F.col("page_id") % 2 == 0).alias("active"))
+    return FR.stored_links(found.select("page_id", F.col("to_url").alias("url")), stored)
 
 
 @query("select page_id, case when html like '{%' or html like '[%' then 'json' when html like '<?xml%' then 'xml' when html like '%PDF%' and html like '\\%PDF%' escape '\\' then 'pdf' else 'html' end as content_kind, length(html) as n_chars from pages")

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when they are imported.
-MODULES = ("pages", "documents", "versions", "coverage", "catalog", "streams", "extensions")
+MODULES = ("pages", "documents", "records", "versions", "coverage", "catalog", "streams")
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
