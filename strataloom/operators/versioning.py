@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def observed(rows: DataFrame, key: list[str], order: list[str], payload: str) -> DataFrame:
     """Adds ``before`` (the payload seen last) and ``event``: added, updated or unchanged."""
@@ -32,15 +34,181 @@ def diff(rows: DataFrame, key: list[str], order: list[str], fields: list[str]) -
 
 
 def absences(sightings: DataFrame, runs: DataFrame, key: str, run: str, limit: int = 3) -> DataFrame:
-    """(key, run) where an item is retired: missed in ``limit`` complete runs in a row. ``sightings``: key, run;
-    ``runs``: complete runs. Runs are numbered; the gap between two sightings of an item is the number of misses, so no
-    item x run grid is built."""
-    numbered = runs.select(run).distinct().withColumn("n", F.row_number().over(Window.orderBy(run)))  # one row for each run
-    own = Window.partitionBy(key).orderBy("n")
-    seen = sightings.select(key, run).distinct().join(F.broadcast(numbered), run).withColumn("next", F.lead("n").over(own))
-    last = F.lit(numbered.agg(F.max("n")).first()[0] or 0)
-    gone = seen.where(F.coalesce("next", last + 1) - F.col("n") > limit).select(key, (F.col("n") + limit).alias("n"))
-    return gone.join(F.broadcast(numbered), "n").select(key, run)
+    """(key, run) where an item is retired: missed in ``limit`` complete full runs in a row; once for each gap, as any sighting
+    begins anew. ``sightings``: key, run, also of runs that are not complete; ``runs``: the complete full runs. A run misses
+    an item if it begins after the item was last seen.
+
+    Each run gets the number of complete ones up to it, in a table of one row for each run; a sighting takes the number of its
+    run. The gap between two sightings of an item is the number of misses, so no item x run grid is built."""
+    every = runs.select(run, F.lit(1).alias("whole")).union(sightings.select(run, F.lit(0))).groupBy(run).agg(F.max("whole").alias("whole"))
+    numbered = every.withColumn("n", F.sum("whole").over(Window.orderBy(run)))  # one row for each run
+    placed = sightings.select(key, run).distinct().join(numbered.select(run, "n"), run).select(key, "n").distinct()
+    seen = placed.withColumn("next", F.lead("n").over(Window.partitionBy(key).orderBy("n")))
+    total = numbered.agg(F.max("n").alias("last"))  # one row
+    gone = seen.join(F.broadcast(total)).where(F.coalesce(F.col("next"), F.col("last") + 1) - F.col("n") > limit).select(key, (F.col("n") + limit).alias("n"))
+    return gone.join(numbered.where("whole = 1").select("n", run), "n").select(key, run)
+
+
+def history(sightings: DataFrame, removals: DataFrame | None, key: list[str], order: list[str], payload: str) -> DataFrame:
+    """The state of items over time: ``sightings`` (key, order, payload and more) and ``removals`` (key, order) as one log with ``event``
+    (added, unchanged, updated, recovered, removed), ``before`` (the payload seen last), ``version_no`` and ``new_version``.
+
+    A sighting after a removal is a recovery, whatever its payload; only a changed payload makes a version. A removal sorts
+    behind sightings of the same place in the order."""
+    rows = sightings.withColumn("removed", F.lit(False))
+    if removals is not None:
+        rows = rows.unionByName(removals.select(*key, *order).withColumn("removed", F.lit(True)), allowMissingColumns=True)
+    own = Window.partitionBy(*key).orderBy(*order, "removed")
+    past = own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "__last": F.last(F.when(~F.col("removed"), F.struct(F.col(payload).alias("p"))), ignorenulls=True).over(past),
+        "__gone": F.coalesce(F.lag("removed").over(own), F.lit(False)),
+    })
+    same = F.col("__last").isNotNull() & F.col(payload).eqNullSafe(F.col("__last.p"))
+    event = F.when(F.col("removed"), "removed").when(F.col("__last").isNull(), "added").when(F.col("__gone"), "recovered").when(same, "unchanged").otherwise("updated")
+    rows = rows.withColumns({"event": event, "before": F.col("__last.p"), "new_version": ~F.col("removed") & ~same})
+    return rows.withColumn("version_no", F.sum(F.col("new_version").cast("int")).over(own)).drop("__last", "__gone")
+
+
+def intervals(states: DataFrame, key: list[str], order: list[str], at: str) -> DataFrame:
+    """The versions in a history: valid_from, valid_to (where the next begins), is_current."""
+    own = Window.partitionBy(*key).orderBy(*order)
+    out = states.where("new_version").withColumns({"valid_from": F.col(at), "valid_to": F.lead(at).over(own)})
+    return out.withColumn("is_current", F.col("valid_to").isNull())
+
+
+def change_events(states: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The change log of a history: all but unchanged sightings, each with its version. A removal says why."""
+    rows = states.where("event <> 'unchanged'")
+    return rows.select(*key, *order, "event", "version_no", F.when(F.col("event") == "removed", "missing from complete full scans").alias("reason"))
+
+
+def semantic_hash(items: DataFrame, fields: list[str], dims: str = "dimensions") -> Column:
+    """Hash of an item's fields and of its (type, value, raw) dimensions in any order: canonical JSON with keys in order."""
+    rest = F.array_sort(F.transform(dims, lambda d: F.struct(d.type.alias("type"), d.value.alias("value"), d.raw.alias("raw"))))
+    columns = sorted([*((f, F.col(f)) for f in fields), (dims, F.transform(rest, lambda d: F.array(d.type, d.value, d.raw)))], key=lambda c: c[0])
+    columns = [(n, F.map_from_entries(F.array_sort(F.map_entries(c))) if n in items.columns and items.schema[n].dataType.typeName() == "map" else c) for n, c in columns]
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in columns]), {"ignoreNullFields": "false"}), 256)
+
+
+def apply_mappings(dims: DataFrame, rules: DataFrame) -> DataFrame:
+    """Dimension rows (type, raw, value, confidence, method) under the enabled rules (type, raw, mapped, sure, enabled); case and
+    white space of raw values do not matter. To be applied before hashing. The rule table is broadcast."""
+    fold = lambda c: F.lower(T.normalize_text(c))
+    own = rules.where("enabled").select("type", fold(F.col("raw")).alias("__raw"), "mapped", "sure")
+    rows = dims.withColumn("__raw", fold(F.coalesce("raw", F.lit("")))).join(F.broadcast(own), ["type", "__raw"], "left")
+    hit = F.col("mapped").isNotNull()
+    changed = {"value": F.coalesce("mapped", "value"), "confidence": F.coalesce("sure", "confidence"), "method": F.when(hit, "taxonomy_mapping").otherwise(F.col("method"))}
+    return rows.withColumns(changed).drop("__raw", "mapped", "sure")
+
+
+def evidence_rows(versions: DataFrame, fields: DataFrame, key: str) -> DataFrame:
+    """(key, version_no, field, raw, locator, method, confidence): what the fields of each version rest on."""
+    return versions.select(key, "version_no").join(fields.hint("merge"), key).select(key, "version_no", "field", T.snippet(F.col("value"), 2000).alias("raw"), "locator", F.lit("rule").alias("method"), F.lit(1.0).alias("confidence"))
+
+
+def link_entities(items: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
+    """New links (item, entity, method, confidence) of items (item, kind, name, provider) that ``links`` (item) does not have: to the known
+    entity (entity, kind, name, provider) of the same kind and folded name and provider, else to one that the smallest such item
+    founds. A blank provider links with nothing."""
+    fold = lambda c: F.lower(T.normalize_text(F.coalesce(F.col(c), F.lit(""))))
+    key = ["kind", "__name", "__provider"]
+    named = lambda df: df.withColumns({"__name": fold("name"), "__provider": fold("provider")})
+    fresh = named(items).join(links.select("item").hint("merge"), "item", "left_anti")
+    alone = fresh.where("__provider = ''").select("item", F.col("item").alias("entity"), F.lit(True).alias("founder"))
+    rows = fresh.where("__provider <> ''")
+    known = named(entities).where("__provider <> ''").groupBy(*key).agg(F.min("entity").alias("known"))
+    heads = rows.groupBy(*key).agg(F.min("item").alias("head")).join(known.hint("merge"), key, "left")
+    rows = rows.join(heads.hint("merge"), key).select("item", F.coalesce("known", "head").alias("entity"), (F.col("known").isNull() & (F.col("item") == F.col("head"))).alias("founder"))
+    out = rows.unionByName(alone)
+    return out.select("item", "entity", F.when(F.col("founder"), "new_entity").otherwise("exact_name_provider").alias("method"), F.when(F.col("founder"), 1.0).otherwise(0.995).alias("confidence"))
+
+
+def merge_states(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """URL states (url, collection, anchor, depth, role, first_seen, last_seen, active) after sightings (url, collection, anchor, depth, role, at, nth):
+    depth is the least, collection and anchor are filled if empty, a role only from unknown; what was seen is active."""
+    first = lambda c, good: F.min_by(c, F.when(good, F.struct("at", "nth")))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    new = seen.groupBy("url").agg(
+        first("collection", F.col("collection").isNotNull()).alias("n_collection"), first("anchor", some("anchor")).alias("n_anchor"), F.min("depth").alias("n_depth"),
+        first("role", F.col("role") != "unknown").alias("n_role"), F.min("at").alias("n_first"), F.max("at").alias("n_last"),
+    )
+    rows = stored.hint("merge").join(new, "url", "full")
+    return rows.select(
+        "url",
+        F.coalesce("collection", "n_collection").alias("collection"),
+        F.coalesce(F.nullif("anchor", F.lit("")), "n_anchor", F.lit("")).alias("anchor"),
+        F.least("depth", "n_depth").alias("depth"),
+        F.coalesce(F.nullif("role", F.lit("unknown")), "n_role", F.lit("unknown")).alias("role"),
+        F.coalesce("first_seen", "n_first").alias("first_seen"),
+        F.greatest("last_seen", "n_last").alias("last_seen"),
+        (F.col("n_last").isNotNull() | F.coalesce("active", F.lit(False))).alias("active"),
+    )
+
+
+def not_modified(states: DataFrame, responses: DataFrame) -> DataFrame:
+    """States (url, http_status, last_fetched, errors, etag) after 304 answers (url, at, new_etag): fetched, without errors, no snapshot. An answer
+    without a tag leaves the old one."""
+    last = responses.groupBy("url").agg(F.max("at").alias("at"), F.max_by("new_etag", F.when(F.col("new_etag").isNotNull(), F.col("at"))).alias("new_etag"))
+    rows = states.hint("merge").join(last, "url", "left")
+    hit = F.col("at").isNotNull()
+    return rows.select("url", F.when(hit, 304).otherwise(F.col("http_status")).alias("http_status"), F.coalesce("at", "last_fetched").alias("last_fetched"), F.when(hit, 0).otherwise(F.col("errors")).alias("errors"), F.coalesce("new_etag", "etag").alias("etag"))
+
+
+def review_rows(items: DataFrame, threshold: float = 0.80, automatic: bool = False) -> DataFrame:
+    """Reviews of items (item, product_type, type_confidence, confidence) whose type, or else whole, is too uncertain."""
+    sure = F.coalesce("type_confidence", "confidence")
+    rows = items.where(sure < threshold).select("item", F.lit("product_type").alias("field"), F.col("product_type").alias("proposed"), sure.alias("confidence"))
+    return rows.withColumns({"status": F.lit("accepted" if automatic else "pending"), "reviewer": F.lit("automatic_classifier" if automatic else "")})
+
+
+def resolve_pending(reviews: DataFrame, reviewer: str) -> DataFrame:
+    """All pending reviews accepted; ``resolved`` marks them."""
+    pending = F.col("status") == "pending"
+    return reviews.withColumns({"resolved": pending, "reviewer": F.when(pending, reviewer).otherwise(F.col("reviewer")), "status": F.when(pending, "accepted").otherwise(F.col("status"))})
+
+
+def apply_decisions(versions: DataFrame, dims: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions (item, product_type) and dimension rows (item, type, value, confidence, method) under decisions (item, status, value): an accepted
+    value overwrites both, with confidence 1; without a value only the status counts."""
+    chosen = decisions.where("status = 'accepted' and value is not null and value <> ''").groupBy("item").agg(F.max("value").alias("decided"))
+    out = versions.hint("merge").join(chosen, "item", "left").withColumn("product_type", F.coalesce("decided", "product_type")).drop("decided")
+    rows = dims.hint("merge").join(chosen, "item", "left")
+    hit = F.col("decided").isNotNull() & (F.col("type") == "product_type")
+    changed = {"value": F.when(hit, F.col("decided")).otherwise(F.col("value")), "confidence": F.when(hit, 1.0).otherwise(F.col("confidence")), "method": F.when(hit, "manual_review").otherwise(F.col("method"))}
+    return out, rows.withColumns(changed).drop("decided")
+
+
+def new_snapshots(fetched: DataFrame, stored: DataFrame, states: DataFrame, keep_days: int) -> DataFrame:
+    """Snapshots to be written: the first of each (url, content_hash) in ``fetched`` (url, at, content_hash, semantic_hash, platform, run) that is
+    not in ``stored`` (url, content_hash). ``changed``: raw or semantic hash differ from the state before (``states``: url, content_hash,
+    semantic_hash), a revert included. Bodies take no part: they are joined by hash when they are written."""
+    own = Window.partitionBy("url").orderBy("at", "content_hash")
+    old = states.select("url", F.col("content_hash").alias("c0"), F.col("semantic_hash").alias("s0"))
+    rows = fetched.hint("merge").join(old, "url", "left")
+    raw, meaning = F.coalesce(F.lag("content_hash").over(own), "c0"), F.coalesce(F.lag("semantic_hash").over(own), "s0")
+    rows = rows.withColumn("changed", ~(F.col("content_hash").eqNullSafe(raw) & F.col("semantic_hash").eqNullSafe(meaning)))
+    nth = F.row_number().over(Window.partitionBy("url", "content_hash").orderBy("at"))
+    rows = rows.withColumn("nth", nth).where("nth = 1").drop("nth", "c0", "s0").join(stored.select("url", "content_hash").hint("merge"), ["url", "content_hash"], "left_anti")
+    name = F.concat_ws("-", F.substring(F.sha2("url", 256), 1, 16), F.substring("content_hash", 1, 16))
+    return rows.withColumns({"expires_at": F.col("at") + F.make_dt_interval(F.lit(keep_days)), "object_key": F.concat_ws("/", F.lit("platform"), "platform", F.date_format("at", "yyyy/MM/dd"), "run", name)})
+
+
+def archived(snapshots: DataFrame, now: Column, limit: int) -> DataFrame:
+    """Of snapshots (id, expires_at, tier, stored_hash, body_hash) the ``limit`` that expired first, with ``outcome``: archived if the body still has the
+    hash it was stored with, else failed, which is an alert and leaves the tier."""
+    due = snapshots.where((F.col("tier") != "archive") & (F.col("expires_at") <= now)).orderBy("expires_at", "id").limit(limit)
+    fine = F.col("stored_hash").eqNullSafe(F.col("body_hash"))
+    return due.withColumns({"outcome": F.when(fine, "archived").otherwise("failed"), "tier": F.when(fine, "archive").otherwise(F.col("tier")), "alert": F.when(~fine, "snapshot_archive_failure")})
+
+
+def merge_links(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (from_url, to_url, anchor, relevance, first_seen, last_seen) after a batch (from_url, to_url, place, anchor, relevance, at): the first
+    occurrence of a target counts; a known edge takes the new relevance and a new anchor that is not empty."""
+    nth = F.row_number().over(Window.partitionBy("from_url", "to_url").orderBy("place"))
+    new = found.withColumn("nth", nth).where("nth = 1").select("from_url", "to_url", F.col("anchor").alias("n_anchor"), F.col("relevance").alias("n_relevance"), "at")
+    rows = known.hint("merge").join(new, ["from_url", "to_url"], "full")
+    return rows.select("from_url", "to_url", F.coalesce(F.nullif("n_anchor", F.lit("")), "anchor", F.lit("")).alias("anchor"), F.coalesce("n_relevance", "relevance").alias("relevance"), F.coalesce("first_seen", "at").alias("first_seen"), F.coalesce("at", "last_seen").alias("last_seen"))
 
 
 def as_of(versions: DataFrame, at) -> DataFrame:

@@ -1,118 +1,194 @@
-"""Search, facets, details and lists over the catalogue: part is the item, supplier the provider, nation the platform."""
+"""Search, facets, details, lists and roll-ups over the catalogue's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalogue as K
+from . import model as M
 from .registry import query, read
 
+SHOWN = "coalesce(nullif(name, ''), 'unknown')"
+CURRENT = f"(select * from {M.VERSIONS} where is_current)"
 
-def paged(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page of a fully ordered result."""
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
-
-PROVIDERS = "(select l_partkey, min(l_suppkey) as s_suppkey from lineitem group by l_partkey)"
-ITEMS = f"(select p_partkey, p_name, p_type, p_brand, p_retailprice, p_partkey % 25 as platform, n_name, r_name, s_name from part join nation on n_nationkey = p_partkey % 25 join region on r_regionkey = n_regionkey left join {PROVIDERS} on l_partkey = p_partkey left join supplier using (s_suppkey))"
-
-
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with platform, province and provider; line items are reduced before the join, region (five rows) is broadcast."""
-    first = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
-    places = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("platform"), "n_name", "r_name")
-    parts = read(spark, sf_dir, "part").withColumn("platform", F.col("p_partkey") % 25)
-    names = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return parts.join(places, "platform").join(first, "p_partkey", "left").join(names, "s_suppkey", "left").select("p_partkey", "p_name", "p_type", "p_brand", "p_retailprice", "platform", "n_name", "r_name", "s_name")
-
-
-@query("select n_nationkey, n_name, count(p_partkey) as items, count(distinct p_type) as collections, max(p_partkey) as latest from nation left join part on p_partkey % 25 = n_nationkey group by all")
+@query(f"""select p.platform, coalesce(nullif(p.name, ''), 'unknown') as name, coalesce(i.n, 0) as active_items, coalesce(c.n, 0) as collections, r.started_at as last_start, r.pages as last_pages, r.errors as last_errors from {M.PLATFORMS} p
+ left join (select platform, count(*) as n from {M.ITEMS} where status = 'active' group by 1) i using (platform) left join (select platform, count(*) as n from {M.COLLECTIONS} group by 1) c using (platform)
+ left join (select *, row_number() over (partition by platform order by started_at desc) as nth from {M.RUNS}) r on r.platform = p.platform and nth = 1""")
 def g01_platform_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 25).alias("n_nationkey")).agg(F.count("*").alias("items"), F.countDistinct("p_type").alias("collections"), F.max("p_partkey").alias("latest"))
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(own, "n_nationkey", "left")
-    return rows.select("n_nationkey", "n_name", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("collections", F.lit(0)).alias("collections"), "latest")
+    rows = K.platform_list(M.platforms(spark, sf_dir), M.items(spark, sf_dir), M.collections(spark, sf_dir), M.runs(spark, sf_dir))
+    return rows.select("platform", "name", "active_items", "collections", F.col("last_run.started_at").alias("last_start"), F.col("last_run.pages").alias("last_pages"), F.col("last_run.errors").alias("last_errors"))
 
 
-@query("select distinct p_partkey % 25 as platform, p_type from part where p_partkey % 25 in (3, 4) order by all")
+@query(f"select platform, collection, expected, status, enabled from {M.COLLECTIONS} where platform in (3, 4) order by platform, collection")
 def g02_collection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("platform"), "p_type").where("platform in (3, 4)").distinct().orderBy("platform", "p_type")
+    return M.collections(spark, sf_dir).where("platform in (3, 4)").orderBy("platform", "collection")
+
 
+G03 = f"""
+select v.item, coalesce(nullif(p.name, ''), 'unknown') as platform_name, v.name, v.provider, v.description, coalesce(published_at, detected_at) as "at", version_no from {M.ITEMS} i join {CURRENT} v using (item) join {M.PLATFORMS} p on p.platform = i.platform
+where i.status = 'active' and kind = 'product' and product_type = 'PROMO' and provider ilike '%0%' and (published_at >= timestamp '1999-01-01' and published_at <= timestamp '2001-12-31') and (v.name ilike '%e%' or description ilike '%e%' or provider ilike '%e%')
+and exists (select 1 from {M.DIMS} d where d.item = v.item and d.version_no = v.version_no and type = 'industry' and value = 'trade 3')
+and exists (select 1 from {M.DIMS} d where d.item = v.item and d.version_no = v.version_no and type in ('platform_province', 'platform_city', 'coverage_region') and value = 'ASIA')
+"""
+MASKED = "regexp_replace(description, '(co)ntact[0-9]+@', '\\1***@')"
 
-@query(f"select p_partkey, p_name, n_name, s_name from {ITEMS} where (p_name ilike '%red%' or s_name ilike '%red%') and r_name in ('ASIA', 'EUROPE') and p_type <> 'PROMO' order by p_retailprice desc, p_partkey limit 20 offset 20")
+
+@query(f"with s as ({G03}) select item, platform_name, name, provider, {MASKED} as description, \"at\", version_no::int as version_no from s order by \"at\" desc, item limit 20")
 def g03_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalogue(spark, sf_dir).where("(p_name ilike '%red%' or s_name ilike '%red%') and r_name in ('ASIA', 'EUROPE') and p_type <> 'PROMO'")
-    return paged(rows, [F.desc("p_retailprice"), "p_partkey"], 2, 20).select("p_partkey", "p_name", "n_name", "s_name")
+    """All filters at once."""
+    import datetime
+
+    rows = K.search(
+        M.items(spark, sf_dir), M.versions(spark, sf_dir), M.dims(spark, sf_dir), M.platforms(spark, sf_dir), q="e", kind="product", product_type="PROMO", industry="trade 3", region="ASIA", provider="0",
+        published_from=datetime.datetime(1999, 1, 1), published_to=datetime.datetime(2001, 12, 31),
+    )
+    return K.page_of(rows, [F.desc("at"), "item"], 1, 20).select("item", "platform_name", "name", "provider", "description", "at", "version_no")
 
 
-@query("select doc_id from documents where text ilike '%there%' or source ilike '%rc1%'")
+@query("select doc_id from documents where text ilike '%there%' or source ilike '%there%' or lang ilike '%there%'")
 def g04_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where("text ilike '%there%' or source ilike '%rc1%'").select("doc_id")
+    return read(spark, sf_dir, "documents").where(K.like(["text", "source", "lang"], " there ")).select("doc_id")
 
 
-@query("select doc_id from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and toxic = 1) and exists (select 1 from labels l where l.doc_id = d.doc_id and quality = 1)")
+@query(f"""select v.item, version_no::int as version_no from {M.ITEMS} i join {CURRENT} v using (item) where exists (select 1 from {M.DIMS} d where d.item = v.item and d.version_no = v.version_no and type = 'industry' and value = 'trade 2')
+ and exists (select 1 from {M.DIMS} d where d.item = v.item and d.version_no = v.version_no and type in ('platform_province', 'platform_city', 'coverage_region') and value = 'EUROPE')""")
 def g05_exists_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels")
-    rows = read(spark, sf_dir, "documents").select("doc_id")
-    for condition in ("toxic = 1", "quality = 1"):
-        rows = rows.join(labels.where(condition).select("doc_id").hint("merge"), "doc_id", "left_semi")
-    return rows
+    """Items of all states by industry and region."""
+    return K.search(M.items(spark, sf_dir), M.versions(spark, sf_dir), M.dims(spark, sf_dir), M.platforms(spark, sf_dir), industry="trade 2", region="EUROPE", status=None).select("item", "version_no")
 
 
 @query("select p_partkey, p_name, (select count(*) from part where p_type = 'PROMO') as total from part where p_type = 'PROMO' order by p_name, p_partkey limit 25 offset 50")
 def g06_count_and_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").where("p_type = 'PROMO'")
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    return paged(rows.select("p_partkey", "p_name"), ["p_name", "p_partkey"], 3, 25).join(F.broadcast(total))
+    return K.with_total(read(spark, sf_dir, "part").where("p_type = 'PROMO'").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 3, 25)
 
 
-@query("select p_partkey, '{\"brand\":\"' || p_brand || '\",\"product_type\":\"' || p_type || '\"}' as dimensions from part")
+@query(f"""select item, version_no::int as version_no, '{{"industry":"' || max(value) filter (type = 'industry') || '","platform_city":"' || max(value) filter (type = 'platform_city') || '","platform_province":"' || max(value) filter (type = 'platform_province') || '","product_type":"' || max(value) filter (type = 'product_type') || '"}}' as dimensions from {M.DIMS} group by 1, 2""")
 def g07_dimension_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dims = F.explode(F.create_map(F.lit("product_type"), "p_type", F.lit("brand"), "p_brand")).alias("type", "value")
-    last = read(spark, sf_dir, "part").select("p_partkey", dims).groupBy("p_partkey", "type").agg(F.max("value").alias("value"))
-    return last.groupBy("p_partkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "value"))))).alias("dimensions"))
+    return K.dimension_maps(M.dims(spark, sf_dir)).select("item", "version_no", F.to_json("dimensions").alias("dimensions"))
 
 
-@query(f"select p_partkey, p_name, coalesce(n_name, '') as platform, coalesce(s_name, 'unknown') as provider, dims from {ITEMS} join (select p_partkey, p_brand || ',' || p_type as dims from part) using (p_partkey)")
-def g08_item_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalogue(spark, sf_dir)
-    return rows.select("p_partkey", "p_name", F.coalesce("n_name", F.lit("")).alias("platform"), F.coalesce("s_name", F.lit("unknown")).alias("provider"), F.concat_ws(",", "p_brand", "p_type").alias("dims"))
+G08 = f"""
+with c as (select l_partkey as item from (select distinct l_partkey from lineitem where l_suppkey % 10 = 3)), v as (select * from {CURRENT} semi join c using (item)),
+d as (select item, string_agg(type || '=' || value || '/' || method, ';' order by type) as dims from {M.DIMS} semi join v using (item, version_no) group by item),
+e as (select item, 'provider=' || case when provider = '' then '' else 'ma***@example.org' end as ev from v),
+s as (select p_partkey as state, sha256(p_name) as content_hash from part where p_partkey % 4 <> 0)
+select v.item, coalesce(nullif(p.name, ''), 'unknown') as platform_name, i.external_id, v.version_no::int as version_no, {MASKED} as description, dims, ev as evidence, case when v.item % 2 = 0 then v.item // 10 end as entity, content_hash
+from v join {M.ITEMS} i using (item) join {M.PLATFORMS} p on p.platform = i.platform left join d using (item) left join e using (item) left join s on s.state = i.state
+"""
 
 
-@query("select p_type, count(*) as n from part group by 1")
+@query(G08)
+def g08_item_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of the items that some suppliers sell, with evidence, snapshot and entity."""
+    versions = M.versions(spark, sf_dir)
+    mail = F.when(F.col("provider") == "", "").otherwise(F.concat(F.lit("maker"), F.col("item"), F.lit("@example.org")))
+    evidence = versions.select("item", "version_no", F.lit("provider").alias("field"), mail.alias("raw"), F.lit("dl").alias("locator"), F.lit("rule").alias("method"), F.lit(1.0).alias("confidence"))
+    k = F.col("p_partkey")
+    snapshots = read(spark, sf_dir, "part").where(k % 4 != 0).select(k.alias("state"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.sha2("p_name", 256).alias("content_hash"), F.lit("key").alias("object_key"), F.lit("online").alias("tier"))
+    links = M.items(spark, sf_dir).where("item % 2 = 0").select("item", F.floor(F.col("item") / 10).alias("entity"))
+    chosen = read(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 3").select(F.col("l_partkey").alias("item"))
+    rows = K.item_details(M.items(spark, sf_dir), versions, M.dims(spark, sf_dir), evidence, snapshots, links, M.platforms(spark, sf_dir), chosen)
+    dims = F.array_join(F.transform("dimensions", lambda d: F.concat(d.type, F.lit("="), d.value, F.lit("/"), d.method)), ";")
+    seen = F.array_join(F.transform("evidence", lambda e: F.concat(e.field, F.lit("="), e.raw)), ";")
+    return rows.select("item", "platform_name", "external_id", "version_no", "description", dims.alias("dims"), seen.alias("evidence"), "entity", F.col("snapshot.content_hash").alias("content_hash"))
+
+
+@query(f"select product_type as value, count(*) as n from {M.ITEMS} join {CURRENT} using (item) where status = 'active' group by 1")
 def g10_type_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type")
+    return K.type_facet(M.items(spark, sf_dir), M.versions(spark, sf_dir))
 
 
-@query(f"select n_name, count(*) as n from {ITEMS} group by 1")
+@query(f"select p.platform, {SHOWN} as value, count(*) as n from {M.ITEMS} i join {M.PLATFORMS} p using (platform) where status = 'active' group by all")
 def g11_platform_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 25).alias("n_nationkey")).agg(F.count("*").alias("n"))
-    return read(spark, sf_dir, "nation").join(own, "n_nationkey").select("n_name", "n")
+    return K.platform_facet(M.items(spark, sf_dir), M.platforms(spark, sf_dir))
 
 
-@query("select 'lang' as type, lang as value, count(distinct doc_id) as n from documents group by lang union all select 'source', source, count(distinct doc_id) from documents group by source")
+@query(f"select type, value, count(distinct item) as n from {M.DIMS} join {M.ITEMS} using (item) where status = 'active' and type in ('industry', 'platform_province', 'coverage_region') group by all")
 def g12_dimension_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dims = F.explode(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")).alias("type", "value")
-    return read(spark, sf_dir, "documents").select("doc_id", dims).groupBy("type", "value").agg(F.countDistinct("doc_id").alias("n"))
+    return K.dimension_facet(M.items(spark, sf_dir), M.dims(spark, sf_dir))
 
 
-@query("select s_name, count(*) as n from lineitem join supplier on l_suppkey = s_suppkey where trim(s_name) <> '' group by 1 order by n desc, s_name limit 100")
+@query(f"select provider, count(*) as n from {M.ITEMS} join {CURRENT} using (item) where status = 'active' and provider <> '' group by 1 order by n desc, provider limit 100")
 def g13_top_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted before the join; the 100 largest are the feature."""
-    counts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    rows = counts.join(read(spark, sf_dir, "supplier").where("trim(s_name) <> ''"), "s_suppkey").groupBy("s_name").agg(F.sum("n").alias("n"))
-    return rows.orderBy(F.desc("n"), "s_name").limit(100)
+    return K.provider_facet(M.items(spark, sf_dir), M.versions(spark, sf_dir))
+
+
+MATRIX = f"""(select c.platform, c.collection, expected, c.status, enabled, coalesce(discovered, 0) as discovered, coalesce(active, 0) as active, coalesce(detail, 0) as detail_success, coalesce(versions, 0)::bigint as versions, coalesce(errors, 0) as errors from {M.COLLECTIONS} c
+ left join (select platform, collection, count(*) as discovered, count(*) filter (status = 'active') as active, count(n) as detail, sum(n) as versions from {M.ITEMS} left join (select item, count(*) as n from {M.VERSIONS} group by 1) using (item) group by all) f using (platform, collection)
+ left join (select platform, collection, count(*) as errors from {M.ERRORS} group by all) e using (platform, collection))"""
+CONCLUSIONS = f"(select m.platform, case when bool_or(m.enabled) and bool_and(not m.enabled or status = 'complete') then 'COMPLETE' when bool_or(m.enabled and status = 'blocked') then 'BLOCKED' when bool_or(m.enabled and status = 'offline') then 'OFFLINE' else upper(max(onboarding)) end as conclusion from {MATRIX} m join {M.PLATFORMS} p on p.platform = m.platform group by 1)"
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.coverage_matrix(M.platforms(spark, sf_dir), M.collections(spark, sf_dir), M.items(spark, sf_dir), M.versions(spark, sf_dir), M.errors(spark, sf_dir))
+
 
+@query(f"select *, round(active / nullif(expected, 0), 6) as reconciliation, round(detail_success / nullif(discovered, 0), 6) as detail_rate from {MATRIX}")
+def g16_coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matrix(spark, sf_dir).drop("platform_name", "onboarding")
+    return rows.withColumns({"reconciliation": F.round("reconciliation", 6), "detail_rate": F.round("detail_rate", 6)})
 
-@query("select count(*) as registered, count(*) filter (s_acctbal > 0) as enabled, bool_and(s_suppkey >= 0) as all_audited, count(*) >= 100 as all_registered from supplier")
+
+@query(f"select * from {CONCLUSIONS}")
+def g17_platform_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.conclusions(matrix(spark, sf_dir))
+
+
+ACCEPTED = f"(select coalesce(conclusion, upper(onboarding)) as conclusion from {M.PLATFORMS} left join {CONCLUSIONS} using (platform))"
+
+
+@query(f"""with c as (select conclusion, count(*) as n from {ACCEPTED} group by 1) select sum(n)::bigint as sources, sum(n) = 25 as all_registered, sum(n) = 25 and bool_and(conclusion in ('COMPLETE', 'BLOCKED', 'OFFLINE', 'OUT_OF_SCOPE')) as all_audited,
+ '{{' || string_agg('"' || conclusion || '":' || n, ',' order by conclusion) || '}}' as counts from c""")
 def g14_acceptance_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").agg(F.count("*").alias("registered"), F.count_if(F.col("s_acctbal") > 0).alias("enabled"), F.bool_and(F.col("s_suppkey") >= 0).alias("all_audited"), (F.count("*") >= 100).alias("all_registered"))
+    out = K.acceptance(K.conclusions(matrix(spark, sf_dir)), M.platforms(spark, sf_dir), 25)
+    return out.withColumn("counts", F.to_json("counts"))
+
+
+@query(f"""with s as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before, row_number() over (partition by user_id order by ts, event_id) as nth from events)
+select (select count(*) from {M.PLATFORMS}) as platforms, (select count(*) from {M.PLATFORMS} where enabled) as active_platforms, (select count(*) from {M.ITEMS} where status = 'active') as active_items, (select count(*) from {M.ERRORS} where id % 3 <> 0) as open_alerts,
+ count(*) filter (nth = 1 and ts >= timestamp '2024-01-29 23:00:00') as items_added_24h, count(*) filter (nth > 1 and event_type <> before and ts >= timestamp '2024-01-29 23:00:00') as items_updated_24h,
+ (select arg_max(run, started_at) from {M.RUNS}) as latest_run, (select max(started_at) from {M.RUNS}) as latest_start from s""")
+def g15_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .versions import states
+
+    changes = states(spark, sf_dir).select("event", F.col("ts").alias("created_at"))
+    alerts = M.errors(spark, sf_dir).select(F.when(F.col("id") % 3 != 0, "open").otherwise("acknowledged").alias("status"))
+    return K.dashboard(M.platforms(spark, sf_dir), M.items(spark, sf_dir), alerts, changes, M.runs(spark, sf_dir), F.lit("2024-01-30 23:00:00").cast("timestamp"))
 
 
-@query("select o_orderkey, o_orderdate, o_orderstatus from orders order by o_orderdate desc, o_orderkey desc limit 50 offset 100")
+@query("select o_orderkey, o_orderdate, o_orderstatus, (select count(*) from orders) as total from orders order by o_orderdate desc, o_orderkey desc limit 50 offset 100")
 def g18_run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paged(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, 50)
+    return K.with_total(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, 50)
 
 
-@query("select doc_id, quality from labels where toxic = 1 order by doc_id desc limit 1000")
+@query(f"select 'platform' as part, platform, null::bigint as id, started_at as \"at\", pages from {M.RUNS} where run = date '2024-01-12' union all select * from (select 'error', platform, id, \"at\", null from {M.ERRORS} where run = date '2024-01-12' order by \"at\" desc, id desc limit 500)")
+def g19_run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, failed = K.run_detail(M.runs(spark, sf_dir), M.errors(spark, sf_dir), F.lit("2024-01-12").cast("date"))
+    rows = own.select(F.lit("platform").alias("part"), "platform", F.lit(None).cast("long").alias("id"), F.col("started_at").alias("at"), "pages")
+    return rows.unionByName(failed.select(F.lit("error").alias("part"), "platform", "id", "at", F.lit(None).cast("long").alias("pages")))
+
+
+@query(f"""select * from (select 'review' as list, doc_id as id, 'pending' as status from labels where quality <> 1 order by doc_id desc limit 1000) union all select * from (select 'alert', id, 'open' from {M.ERRORS} where id % 3 <> 0 order by "at" desc, id desc limit 1000)
+ union all select 'mapping', row_number() over (order by p_type, p_brand), 'enabled' from (select distinct p_type, p_brand from part)""")
 def g21_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", "quality").orderBy(F.desc("doc_id")).limit(1000)
+    """Pending reviews, open alerts, and the mappings in the order of their two keys."""
+    from pyspark.sql import Window
+
+    reviews = read(spark, sf_dir, "labels").where("quality <> 1").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.lit("pending").alias("status"))
+    alerts = M.errors(spark, sf_dir).select("id", F.col("at").alias("created_at"), F.when(F.col("id") % 3 != 0, "open").otherwise("acknowledged").alias("status"))
+    rules = read(spark, sf_dir, "part").select("p_type", "p_brand").distinct()  # a rule table
+    rules = rules.select(F.lit("mapping").alias("list"), F.row_number().over(Window.orderBy("p_type", "p_brand")).cast("long").alias("id"), F.lit("enabled").alias("status"))
+    lists = [K.newest(df, s).select(F.lit(n).alias("list"), "id", "status") for n, df, s in (("review", reviews, "pending"), ("alert", alerts, "open"))]
+    return lists[0].unionByName(lists[1]).unionByName(rules)
+
+
+TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels")
+LEAST = {"nation": 25, "region": 6, "part": 1}
+
+
+@query(" union all ".join(f"select '{t}' as table_name, count(*) as n, {LEAST.get(t, 0)}::bigint as needed, count(*) >= {LEAST.get(t, 0)} as healthy from {t}" for t in TABLES))
+def g22_health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts against required ones; one requirement fails."""
+    return K.health({t: read(spark, sf_dir, t) for t in TABLES}, LEAST)

@@ -105,39 +105,7 @@ def f05_completeness_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("platform").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("f")), 1, 12), lambda f: f.note), "；").alias("note"))
 
 
-@query(f"select case when count(*) filter (status = 'blocked') > 0 then 'blocked' when count(*) filter (status = 'offline') > 0 then 'failed' else 'success' end as run_status, count(*) as platforms, count(*) filter (status = 'blocked') as blocked, count(*) filter (status = 'offline') as offline from (select {STATUS} as status from {SUP})")
-def f07_run_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    is_ = lambda s: F.count_if(F.col("status") == s)
-    rows = suppliers(spark, sf_dir).agg(F.count("*").alias("platforms"), is_("blocked").alias("blocked"), is_("offline").alias("offline"))
-    return rows.select(C.run_status(F.lit(False), F.col("blocked") > 0, F.col("offline") > 0, F.lit(False)).alias("run_status"), "platforms", "blocked", "offline")
-
-
-@query("select l_suppkey % 25 as platform, l_returnflag as collection, count(distinct l_partkey) as discovered, count(*) filter (l_linestatus = 'O') as active, round(count(*) filter (l_linestatus = 'O') / nullif(count(*) filter (l_linestatus = 'F'), 0), 6) as reconciliation from lineitem group by all")
-def g16_coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active, other = F.count_if(F.col("l_linestatus") == "O"), F.count_if(F.col("l_linestatus") == "F")
-    return read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 25).alias("platform"), F.col("l_returnflag").alias("collection")).agg(F.countDistinct("l_partkey").alias("discovered"), active.alias("active"), F.round(F.try_divide(active, other), 6).alias("reconciliation"))
-
-
-@query(f"select platform, case when bool_and(observed >= expected) then 'COMPLETE' when platform % 7 = 3 then 'BLOCKED' when platform % 5 = 1 then 'OFFLINE' else 'ACTIVE' end as conclusion from {COLL} group by platform")
-def g17_platform_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collections(spark, sf_dir).groupBy("platform").agg(F.bool_and(F.col("observed") >= F.col("expected")).alias("whole"))
-    p = F.col("platform")
-    return rows.select("platform", C.conclusion(F.col("whole"), p % 7 == 3, p % 5 == 1, F.lit("active")).alias("conclusion"))
-
-
 @query(f"select case when status in ('blocked', 'offline') then 'stopped' else status end as bucket, count(*) as n from (select {STATUS} as status from {SUP}) group by 1")
 def g23_onboarding_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = F.when(F.col("status").isin("blocked", "offline"), "stopped").otherwise(F.col("status"))
     return suppliers(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
-TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels")
-
-
-@query(" union all ".join(f"select '{t}' as table_name, count(*) as n, count(*) > 0 as filled from {t}" for t in TABLES))
-def g22_health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for t in TABLES:
-        one = read(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n", (F.col("n") > 0).alias("filled"))
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -126,22 +126,6 @@ def d07_dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "d.type", "d.value")
 
 
-@query("select p_partkey, case lower(p_type) when 'promo' then 'promotion' when 'large' then 'bulk' else lower(p_type) end as value, case when lower(p_type) in ('promo', 'large') then 'taxonomy_mapping' else 'raw' end as method from part")
-def d03_mapping_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapping = spark.createDataFrame([("promo", "promotion"), ("large", "bulk")], "raw string, mapped string")  # a rule table
-    rows = read(spark, sf_dir, "part").withColumn("raw", F.lower(T.squeezed(F.col("p_type")))).join(F.broadcast(mapping), "raw", "left")
-    return rows.select("p_partkey", F.coalesce("mapped", "raw").alias("value"), F.when(F.col("mapped").isNotNull(), "taxonomy_mapping").otherwise("raw").alias("method"))
-
-
-@query(rf"with k as (select doc_id, source, case when doc_id % 10 = 0 then 'own' || doc_id else lang || '|' || left({NORM}, 40) end as key from documents) select doc_id, min(doc_id) over (partition by key) as entity_id, case when doc_id % 10 = 0 or count(*) over (partition by key) = 1 then 1.0 else 0.995 end::double as confidence from k")
-def d10_entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact kind, name and provider; a blank provider links with nothing. Aggregated before the join back."""
-    key = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("own"), "doc_id")).otherwise(F.concat_ws("|", "lang", F.substring(T.squeezed(F.col("text")), 1, 40)))
-    rows = read(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
-    heads = rows.groupBy("key").agg(F.min("doc_id").alias("entity_id"), F.count("*").alias("n"))
-    return rows.join(heads.hint("merge"), "key").select("doc_id", "entity_id", F.when(F.col("n") == 1, 1.0).otherwise(0.995).alias("confidence"))
-
-
 @query("select doc_id, case when quality = 1 then 0.9 else 0.5 end::double as confidence, 'pending' as status from labels where quality <> 1")
 def d14_review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.when(F.col("quality") == 1, 0.9).otherwise(0.5)

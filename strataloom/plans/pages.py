@@ -190,11 +190,6 @@ def slice_items_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("family", "kind").agg(F.count("*").alias("n_items"), F.countDistinct("natural_key").alias("n_keys"))
 
 
-@query(SQL_LINKS + f" select to_url, min(place)::int as first_place, count(*) as n_pages, max({relevance_sql('to_url', 'anchor')}) as relevance, arg_min(anchor, (page_id, place)) as anchor from links group by to_url")
-def d11_url_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.links(read(spark, sf_dir, "pages")).groupBy("to_url").agg(F.min("place").alias("first_place"), F.count("*").alias("n_pages"), F.max("relevance").alias("relevance"), F.min_by("anchor", F.struct("page_id", "place")).alias("anchor"))
-
-
 Q_SCORE = f"({relevance_sql('to_url', 'anchor')} + case {role_sql('to_url', 'anchor')} when 'sitemap' then 7 when 'listing' then 5 when 'api' then 5 when 'detail' then 4 else 0 end - 0.15 * 2)"
 
 
