@@ -40,13 +40,14 @@ def absences(sightings: DataFrame, runs: DataFrame, key: str, run: str, limit: i
 
     Each run gets the number of complete ones up to it, in a table of one row for each run; a sighting takes the number of its
     run. The gap between two sightings of an item is the number of misses, so no item x run grid is built."""
-    every = runs.select(run, F.lit(1).alias("whole")).union(sightings.select(run, F.lit(0))).groupBy(run).agg(F.max("whole").alias("whole"))
-    numbered = every.withColumn("n", F.sum("whole").over(Window.orderBy(run)))  # one row for each run
-    placed = sightings.select(key, run).distinct().join(numbered.select(run, "n"), run).select(key, "n").distinct()
-    seen = placed.withColumn("next", F.lead("n").over(Window.partitionBy(key).orderBy("n")))
-    total = numbered.agg(F.max("n").alias("last"))  # one row
-    gone = seen.join(F.broadcast(total)).where(F.coalesce(F.col("next"), F.col("last") + 1) - F.col("n") > limit).select(key, (F.col("n") + limit).alias("n"))
-    return gone.join(numbered.where("whole = 1").select("n", run), "n").select(key, run)
+    every = runs.select(run, F.lit(1).alias("__whole")).union(sightings.select(run, F.lit(0))).groupBy(run).agg(F.max("__whole").alias("__whole"))
+    numbered = every.withColumn("__n", F.sum("__whole").over(Window.orderBy(run)))  # one row for each run
+    placed = sightings.select(key, run).distinct().join(numbered.select(run, "__n"), run).select(key, "__n").distinct()
+    seen = placed.withColumn("__next", F.lead("__n").over(Window.partitionBy(key).orderBy("__n")))
+    total = numbered.agg(F.max("__n").alias("__last"))  # one row
+    missed = F.coalesce(F.col("__next"), F.col("__last") + 1) - F.col("__n")
+    gone = seen.join(F.broadcast(total)).where(missed > limit).select(key, (F.col("__n") + limit).alias("__n"))
+    return gone.join(numbered.where("__whole = 1").select("__n", run), "__n").select(key, run)
 
 
 def history(sightings: DataFrame, removals: DataFrame | None, key: list[str], order: list[str], payload: str) -> DataFrame:

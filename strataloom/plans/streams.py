@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..streaming import observations as O
+from . import versions as V
 from .registry import query, read
 
 
@@ -18,11 +19,11 @@ def h01_change_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.drain(O.tail(events(spark, sf_dir), "event_id", 500).select("event_id", "user_id", "event_type"))
 
 
-@query("select e.event_id, e.user_id, e.event_type, r.last = 'purchase' as ended from events e join (select user_id, arg_max(event_type, (ts, event_id)) as last from events group by user_id) r using (user_id) where e.event_type in ('error', 'purchase')")
+@query("select user_id as run, event_id as line, 'line' as kind from events where event_type in ('error', 'purchase') union all select distinct user_id, null::bigint, 'end' from events where event_type = 'purchase'")
 def h02_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = read(spark, sf_dir, "events").groupBy("user_id").agg((F.max_by("event_type", F.struct("ts", "event_id")) == "purchase").alias("ended"))
-    lines = events(spark, sf_dir).where(F.col("event_type").isin("error", "purchase")).select("event_id", "user_id", "event_type")
-    return O.drain(lines.join(status.hint("merge"), "user_id").select("event_id", "user_id", "event_type", "ended"))
+    """Errors and purchases of each user as the log of a run, which a purchase ends."""
+    lines = events(spark, sf_dir).where(F.col("event_type").isin("error", "purchase"))
+    return O.drain(O.tail_with_end(lines.select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_type") == "purchase").alias("final"))))
 
 
 @query("with s as (select *, lag(event_type) over w as before, row_number() over w as nth from events window w as (partition by user_id order by ts, event_id)), c as (select * from s where nth = 1 or before is distinct from event_type) select event_id, user_id as item, row_number() over (partition by user_id order by ts, event_id) as version_no, case when nth = 1 then 'added' else 'updated' end as event from c")
@@ -30,14 +31,34 @@ def h03_stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.changes(events(spark, sf_dir).select("event_id", "ts", F.col("user_id").alias("item"), F.col("event_type").alias("payload")))
 
 
-@query("select distinct event_id, user_id, event_type from events")
+@query("select distinct event_id, user_id, sha256(event_type) as content_hash from events union all select event_id, user_id, sha256('changed') from events where day(ts) % 3 = 0 and event_id % 2 = 0")
 def h04_overlap_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third day is read twice; each event comes out once."""
-    again = events(spark, sf_dir).where(F.dayofmonth("ts") % 3 == 0)
-    both = events(spark, sf_dir).unionByName(again).select("event_id", "ts", "user_id", "event_type")
-    return O.drain(O.once_within(both, ["event_id"], "ts").select("event_id", "user_id", "event_type"))
+    """Every third day is read twice, and every second event of it has another content then; each event comes out once for each content."""
+    own = events(spark, sf_dir).select("event_id", "ts", "user_id", F.sha2("event_type", 256).alias("content_hash"))
+    again = own.where(F.dayofmonth("ts") % 3 == 0).withColumn("content_hash", F.when(F.col("event_id") % 2 == 0, F.sha2(F.lit("changed"), 256)).otherwise(F.col("content_hash")))
+    return O.drain(O.once_within(own.unionByName(again), ["event_id", "content_hash"], "ts").select("event_id", "user_id", "content_hash"))
+
+
+@query(V.TRAILING)
+def h05_stream_trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of the events, written to the shared folder and read as a stream."""
+    at = O.folder(spark)
+    V.states(spark, sf_dir).where("event <> 'unchanged'").select(F.col("ts").cast("timestamp").alias("ts"), "event").write.parquet(f"{at}/changes")
+    return O.drain_whole(O.trailing(O.source(spark, f"{at}/changes")))
+
+
+@query(f"select user_id as item, n.n::bigint as n from {V.RETIRED_PLAIN} r join (select d, row_number() over (order by d) as n from (select distinct ts::date as d from events where day(ts) % 4 <> 0)) n on n.d = r.retired_on")
+def h06_stream_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases on the days of complete runs; all other events of these days only say that the run is over."""
+    days = read(spark, sf_dir, "events").where(F.dayofmonth("ts") % 4 != 0).select(F.to_date("ts").alias("d")).distinct()
+    runs = days.withColumn("n", F.row_number().over(Window.orderBy("d")).cast("long"))  # one row for each run
+    rows = events(spark, sf_dir).withColumn("d", F.to_date("ts")).join(F.broadcast(runs), "d")
+    return O.removals(rows.select(F.when(F.col("event_type") == "purchase", F.col("user_id")).alias("item"), "n"))
 
 
 @query("select distinct url from pages")
 def h07_stream_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.drain(O.source(spark, f"{sf_dir}/pages.parquet").select("url").dropDuplicates(["url"]))
+    """Each page seen twice, a minute apart; a state is kept for no longer than the watermark."""
+    rows = O.source(spark, f"{sf_dir}/pages.parquet").withColumn("seen", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumn("at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("page_id") + F.col("seen")).cast("int")))
+    return O.drain(O.once_within(rows.select("url", "at"), ["url"], "at", "30 days").select("url"))

@@ -39,6 +39,8 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 RETIRED = """(with c as (select distinct ts::date as d from events where day(ts) % 4 <> 0), s as (select distinct user_id, ts::date as d from events where event_type = 'purchase'), a as (select d from c union select d from s),
  n as (select d, d in (select d from c) as whole, sum((d in (select d from c))::int) over (order by d) as n from a), p as (select distinct user_id, n from s join n using (d)), g as (select *, lead(n) over (partition by user_id order by n) as nxt from p)
  select user_id, n.d as retired_on from g join n on n.n = g.n + 3 and n.whole where coalesce(nxt, (select max(n) from n) + 1) - g.n > 3)"""
+#: The same where sightings in runs that are not complete do not count.
+RETIRED_PLAIN = "(with runs as (select d, row_number() over (order by d) as n from (select distinct ts::date as d from events where day(ts) % 4 <> 0)), s as (select distinct user_id, n from events join runs on ts::date = d where event_type = 'purchase'), g as (select *, lead(n) over (partition by user_id order by n) as nxt from s) select user_id, runs.d as retired_on from g join runs on runs.n = g.n + 3 where coalesce(nxt, (select max(n) from runs) + 1) - g.n > 3)"
 SEEN_OR_GONE = f"""(with l as (select user_id as item, ts, event_id, (event_id % 3)::varchar as payload, false as removed from events where event_type = 'purchase' union all select user_id, retired_on::timestamp, null, null, true from {RETIRED}),
  w as (select *, last_value(payload ignore nulls) over (partition by item order by ts rows between unbounded preceding and 1 preceding) as before, coalesce(lag(removed) over (partition by item order by ts), false) as gone from l),
  e as (select *, case when removed then 'removed' when before is null then 'added' when gone then 'recovered' when payload = before then 'unchanged' else 'updated' end as event, not removed and payload is distinct from before as fresh from w)
@@ -235,7 +237,10 @@ def i02_publish_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("platform", "run", "n", *[g.alias(k) for k, g in gates.items()]).withColumn("publish", F.expr("not (dropped or fields_missing or detail_failed or vanished)"))
 
 
-@query(f"select date_trunc('hour', ts) + (k + 1) * interval 1 hour as until, count(*) filter (nth = 1) as added, count(*) filter (nth > 1 and payload <> before) as updated from {SEEN}, range(24) r(k) group by 1")
+TRAILING = f"select date_trunc('hour', ts) + (k + 1) * interval 1 hour as until, count(*) filter (nth = 1) as added, count(*) filter (nth > 1 and payload <> before) as updated from {SEEN}, range(24) r(k) group by 1"
+
+
+@query(TRAILING)
 def h05_changes_trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of the 24 hours before each full hour: counts by hour first, each then in 24 windows."""
     hours = h05_changes_by_hour(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(24))))

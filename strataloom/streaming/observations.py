@@ -8,15 +8,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strataloom-')}"
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local one, but on one machine only: executors elsewhere
+    could not read it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='strataloom-')}"
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -65,32 +72,90 @@ def once_within(stream: DataFrame, keys: list[str], at: str, overlap: str = "3 d
     return stream.withWatermark(at, overlap).dropDuplicatesWithinWatermark(keys)
 
 
-def version_step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Folds observations (event_id, ts, item, payload) into item states (item, payload, version_no): change events, states.
+def drain_whole(stream: DataFrame) -> DataFrame:
+    """The last result of an aggregation, for the files present."""
+    spark, at = stream.sparkSession, folder(stream.sparkSession)
 
-    Batches must come in the order of (ts, event_id) for each item; inside a batch any order will do. A null payload
-    counts as a value of its own.
-    """
-    own = Window.partitionBy("item").orderBy("ts", "event_id")
-    known = before.select("item", F.col("payload").alias("old"), F.col("version_no").alias("base"))
-    rows = batch.withColumns({"previous": F.lag("payload").over(own), "nth": F.row_number().over(own)}).hint("merge").join(known, "item", "left")
-    first = F.col("nth") == 1
-    event = (
-        F.when(first & F.col("base").isNull(), "added")
-        .when(F.col("payload").eqNullSafe(F.when(first, F.col("old")).otherwise(F.col("previous"))), "unchanged")
-        .otherwise("updated")
-    )
-    count = F.sum((F.col("event") != "unchanged").cast("long")).over(own)
-    judged = rows.withColumn("event", event).withColumn("version_no", F.coalesce("base", F.lit(0)) + count)
-    changed = judged.where("event <> 'unchanged'").select("event_id", "item", "version_no", "event")
-    last = judged.groupBy("item").agg(F.max_by("payload", F.struct("ts", "event_id")).alias("payload"), F.max("version_no").alias("version_no"))
-    kept = before.hint("merge").join(last.select("item"), "item", "left_anti")
-    return changed, last.unionByName(kept)
-
-
-ROWS, STATE = "event_id long, item long, version_no long, event string", "item long, payload string, version_no long"
+    def one(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{n % 2}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/{last.batchId % 2}")
+
+
+ROWS, STATE = "event_id long, item long, version_no long, event string", "payload string, version_no long"
+
+
+def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The change events of one item in a batch; the state holds its payload and the number of its versions."""
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+    payload, version = state.get if state.exists else (None, 0)
+    out = []
+    for event_id, new in zip(rows["event_id"], rows["payload"], strict=True):
+        new = None if pd.isna(new) else new
+        if version and new == payload:
+            continue
+        out.append((event_id, "updated" if version else "added", version + 1))
+        payload, version = new, version + 1
+    state.update((payload, version))
+    item = key[0]
+    yield pd.DataFrame({"event_id": [o[0] for o in out], "item": pd.array([item] * len(out), "Int64"), "version_no": [o[2] for o in out], "event": [o[1] for o in out]})
+
+
+def change_stream(stream: DataFrame) -> DataFrame:
+    """The change events of observations (event_id, ts, item, payload), as a stream with one keyed state for each item. Batches must come in the
+    order of (ts, event_id) for each item; inside a batch any order will do. A null payload counts as a value of its own."""
+    return stream.select("event_id", "ts", "item", "payload").groupBy("item").applyInPandasWithState(fold, ROWS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def changes(stream: DataFrame) -> DataFrame:
-    """The change events of a stream of observations."""
-    return drain_with_state(stream, version_step, ROWS, STATE)
+    """The change events of a stream of observations, as a table."""
+    return drain(change_stream(stream))
+
+
+def say_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    ended = state.exists
+    for rows in batches:
+        yield rows.assign(kind="line")[["run", "line", "kind"]]
+        if rows["final"].any() and not ended:
+            ended = True
+            state.update((True,))
+            yield pd.DataFrame({"run": [key[0]], "line": pd.array([None], "Int64"), "kind": ["end"]})
+
+
+def tail_with_end(lines: DataFrame) -> DataFrame:
+    """Lines (run, line, final) as they come, and one row of kind ``end`` for each run, once a line says that its status is final."""
+    return lines.groupBy("run").applyInPandasWithState(say_end, "run long, line long, kind string", "ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def absence_step(limit: int) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Folds sightings (item, n; item is null in a row that only says that complete run n is over) into (item, n, gone): removals (item, n) and new states. Runs are
+    numbered and batches come in their order; any sighting begins anew."""
+
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        over = batch.agg(F.max("n").alias("last"))  # one row
+        seen = batch.where("item is not null").select("item", "n", F.lit(False).alias("gone")).unionByName(before).groupBy("item", "n").agg(F.max("gone").alias("gone"))
+        own = Window.partitionBy("item").orderBy("n")
+        rows = seen.withColumn("next", F.lead("n").over(own)).join(F.broadcast(over))
+        missed = F.coalesce(F.col("next"), F.col("last") + 1) - F.col("n") > limit
+        judged = rows.withColumn("missed", missed)
+        removed = judged.where("missed and not gone").select("item", (F.col("n") + limit).alias("n"))
+        return removed, judged.where("next is null").select("item", "n", (F.col("gone") | F.coalesce("missed", F.lit(False))).alias("gone"))
+
+    return step
+
+
+def removals(stream: DataFrame, limit: int = 3) -> DataFrame:
+    """(item, n): items missed in ``limit`` complete runs in a row, and the run that found it."""
+    return drain_with_state(stream, absence_step(limit), "item long, n long", "item long, n long, gone boolean")
+
+
+def trailing(changes: DataFrame, at: str = "ts") -> DataFrame:
+    """Changes (event, at) of the 24 hours before each full hour, as a stream with sliding windows."""
+    kind = lambda e: F.count_if(F.col("event") == e)
+    rows = changes.withWatermark(at, "1 day").groupBy(F.window(at, "24 hours", "1 hour").alias("w")).agg(kind("added").alias("added"), kind("updated").alias("updated"))
+    return rows.select(F.col("w.end").alias("until"), "added", "updated")

@@ -6,15 +6,35 @@ from strataloom.operators import versioning
 from strataloom.streaming import observations
 
 
+def batches(log, path, n=4, size=30):
+    for k in range(n):
+        log.where(f"event_id div {size} = {k}").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def test_versions_of_many_batches_equal_the_chain(spark, tmp_path):
     log = spark.createDataFrame(
         [(k, k // 2, (k * 7) % 5, None if k % 11 == 0 else "abc"[(k * k) % 7 % 3]) for k in range(120)], "event_id long, ts long, item long, payload string"
     ).withColumn("ts", F.timestamp_seconds("ts"))
-    for n in range(4):
-        log.where(f"event_id div 30 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    got = observations.changes(observations.source(spark, str(tmp_path / "log"), files=1))
-    want = versioning.chain(log, ["item"], ["ts", "event_id"], "payload", "ts").select("event_id", "item", F.col("version_no").cast("long").alias("version_no"), "event")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = observations.changes(observations.source(spark, batches(log, str(tmp_path / "log")), files=1))
+    for states in (versioning.chain(log, ["item"], ["ts", "event_id"], "payload", "ts"), versioning.history(log, None, ["item"], ["ts", "event_id"], "payload").where("new_version")):
+        want = states.select("event_id", "item", F.col("version_no").cast("long").alias("version_no"), "event")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_absences_of_many_batches_equal_the_table(spark, tmp_path):
+    rows = [(k, (k * 13) % 23 if (k * k) % 5 < 2 else None, k // 8) for k in range(120)]
+    log = spark.createDataFrame(rows, "event_id long, item long, n long")
+    got = observations.removals(observations.source(spark, batches(log, str(tmp_path / "log"), 5, 24), files=1).select("item", "n"), 3)
+    want = versioning.absences(log.where("item is not null").select("item", "n"), log.select("n"), "item", "n", 3)
+    assert want.count() > 3 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_end_is_said_once(spark, tmp_path):
+    log = spark.createDataFrame([(k, k % 4, k > 40 and k % 4 < 3) for k in range(100)], "event_id long, run long, final boolean")
+    stream = observations.source(spark, batches(log, str(tmp_path / "log")), files=1).select("run", F.col("event_id").alias("line"), "final")
+    got = observations.drain(observations.tail_with_end(stream)).collect()
+    assert sorted(r.run for r in got if r.kind == "end") == [0, 1, 2] and sum(r.kind == "line" for r in got) == 100
 
 
 def test_empty_stream_and_repeats(spark, tmp_path):
