@@ -112,6 +112,20 @@ def natural_key(kind: Column, external: Column, url: Column, name: Column, provi
     return F.sha2(raw, 256)
 
 
+def replay(snapshots: DataFrame, done: DataFrame, key: str, version: str, extractor) -> DataFrame:
+    """What ``extractor`` (DataFrame -> DataFrame with the key) makes of the stored snapshots that ``done`` (key, extractor_version) does not have for
+    this version."""
+    known = done.where(F.col("extractor_version") == version).select(key)
+    return extractor(snapshots.join(known.hint("merge"), key, "left_anti")).withColumn("extractor_version", F.lit(version))
+
+
+def sub_responses(pages: DataFrame, key: list[str]) -> DataFrame:
+    """Captured sub-responses (``captured``: array of url, status, body) as rows of the corpus: (key, place, url, body, depth), one level deeper; only those
+    with status 200 and a body. Rows are exploded where they lie, without a shuffle."""
+    each = pages.select(*key, (F.col("depth") + 1).alias("depth"), F.posexplode("captured").alias("place", "c"))
+    return each.where("c.status = 200 and c.body <> ''").select(*key, "place", "c.url", "c.body", "depth")
+
+
 def declared_kind(items: DataFrame, rules: DataFrame) -> DataFrame:
     """The kind that the item's collection declares (rules: collection, declared), unless that is mixed. The rule table is broadcast."""
     out = items.join(F.broadcast(rules), "collection", "left")

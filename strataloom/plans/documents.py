@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import extract as X
+from ..operators import logs as L
+from ..operators import records as RC
+from ..operators import versioning as V
+from ..sources import registry as R
+from ..streaming.observations import folder
+from . import records as RP
 from .registry import query, read
 
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -87,63 +94,166 @@ def b21_back_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", hours.cast("long").alias("hours"), (F.col("ts") + F.make_dt_interval(F.lit(0), hours)).alias("retry_at"))
 
 
-@query("with r as (select doc_id, lang, sha256(text) as h, row_number() over (partition by lang, sha256(text) order by doc_id) as nth, lag(sha256(text)) over (partition by lang order by doc_id) as before from documents) select doc_id, h as content_hash, before is null or before <> h as changed from r where nth = 1")
+@query("select p_partkey, unnest(['product_type', 'brand']) as type, unnest([p_type, p_brand]) as value from part")
+def d07_dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = F.array(F.struct(F.lit("product_type").alias("type"), F.col("p_type").alias("value")), F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value")))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(dims, lambda d: F.trim(d.value) != "")).alias("d"))
+    return rows.select("p_partkey", "d.type", "d.value")
+
+
+A10 = f"""with d as (select doc_id, 'u' || doc_id % 97 as url, timestamp '2024-01-01' + to_minutes(doc_id::int) as seen, sha256(text) as h, sha256({NORM}) as m, doc_id % 5 as platform, text from documents where text is not null),
+old as (select url, arg_max(h, seen) as h, arg_max(m, seen) as m from d where doc_id % 10 = 0 group by 1), stored as (select distinct url, h from d where doc_id % 10 = 0),
+f as (select d.*, coalesce(lag(d.h) over (partition by d.url order by seen), old.h) as h0, coalesce(lag(d.m) over (partition by d.url order by seen), old.m) as m0 from d left join old using (url) where doc_id % 10 <> 0),
+k as (select *, row_number() over (partition by url, h order by seen) as nth from f)
+select url, h as content_hash, not (h is not distinct from h0 and m is not distinct from m0) as changed, seen + to_days(30) as expires_at, 'platform/' || platform || '/' || strftime(seen, '%Y/%m/%d') || '/run-1/' || left(sha256(url), 16) || '-' || left(h, 16) as object_key
+from k where nth = 1 and (url, h) not in (select url, h from stored)"""
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as responses of 97 URLs, a minute apart; hashes only."""
+    k, text = F.col("doc_id"), F.col("text")
+    rows = read(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", F.concat(F.lit("u"), k % 97).alias("url"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=k.cast("int"))).alias("at"), T.content_hash(text).alias("content_hash"), T.content_hash(T.normalize_text(text)).alias("semantic_hash"), (k % 5).alias("platform"), F.lit("run-1").alias("run"))
+
+
+@query(A10)
 def a10_snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of each (state, content hash); only hashes are shuffled. A revert is a change of state."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", T.content_hash(F.col("text")).alias("content_hash"))
-    before = F.lag("content_hash").over(Window.partitionBy("lang").orderBy("doc_id"))
-    first = rows.groupBy("lang", "content_hash").agg(F.min("doc_id").alias("doc_id"))
-    changes = rows.withColumn("changed", ~F.coalesce(before == F.col("content_hash"), F.lit(False)))
-    return changes.join(first.hint("merge"), ["lang", "content_hash", "doc_id"]).select("doc_id", "content_hash", "changed")
+    """Every tenth response is stored already."""
+    rows = fetched(spark, sf_dir)
+    old = rows.where("doc_id % 10 = 0")
+    states = old.groupBy("url").agg(F.max_by("content_hash", "at").alias("content_hash"), F.max_by("semantic_hash", "at").alias("semantic_hash"))
+    out = V.new_snapshots(rows.where("doc_id % 10 <> 0").drop("doc_id"), old.select("url", "content_hash").distinct(), states, 30)
+    return out.select("url", "content_hash", "changed", "expires_at", "object_key")
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 'online' when doc_id % 7 = 0 then 'failed' else 'archived' end as outcome from documents")
-def a13_expiry_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expired snapshots whose stored hash matches are archived; the others fail and would raise an alert."""
-    stored = F.when(F.col("doc_id") % 7 == 0, F.lit("damaged")).otherwise(T.content_hash(F.col("text")))
-    rows = read(spark, sf_dir, "documents").withColumns({"stored": stored, "expired": F.col("doc_id") % 3 != 0})
-    return rows.select("doc_id", F.when(~F.col("expired"), "online").when(F.col("stored") == T.content_hash(F.col("text")), "archived").otherwise("failed").alias("outcome"))
+@query("select doc_id as id, case when doc_id % 4 = 0 then 'archive' else 'online' end as tier, sha256(text) as content_hash from documents where doc_id % 3 <> 0 and exists (select 1 from labels l where l.doc_id = documents.doc_id)")
+def a12_snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents read back from two tiers that were written by platform and day; some are in both."""
+    at, k = folder(spark), F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").select(k.alias("id"), "text", (k % 5).alias("platform_id"), (k % 7).alias("day"))
+    for tier, own in (("online", "id % 4 <> 0 and id % 3 <> 0"), ("archive", "id % 2 = 0 and id % 3 <> 0")):
+        rows.where(own).write.partitionBy("platform_id", "day").parquet(f"{at}/{tier}")
+    tiers = [spark.read.schema("id long, text string, platform_id long, day long").parquet(f"{at}/{tier}") for tier in ("online", "archive")]
+    out = R.snapshots(*tiers, read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    return out.select("id", "tier", T.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("select event_id, left('request failed: ' || props, 8000) as message, case when event_type = 'error' then 'error' else 'warning' end as level from events where event_type in ('error', 'signup')")
-def a16_observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
-    return rows.select("event_id", F.substring(F.concat(F.lit("request failed: "), "props"), 1, 8000).alias("message"), F.when(F.col("event_type") == "error", "error").otherwise("warning").alias("level"))
+A13 = """with s as (select doc_id as id, timestamp '2024-01-01' + to_hours((doc_id % 500)::int) as e, doc_id % 5 = 0 as done, doc_id % 7 = 0 as bad from documents),
+d as (select * from s where not done and e <= timestamp '2024-01-15' order by e, id limit 5000) select id, case when bad then 'failed' else 'archived' end as outcome, case when bad then 'online' else 'archive' end as tier, case when bad then 'snapshot_archive_failure' end as alert from d"""
 
 
-@query("select conv_id, turn, 1 as depth, sha256(text) as content_hash from conversations where turn > 0 and length(text) > 0")
+@query(A13)
+def a13_expiry_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5,000 snapshots that expired first (a batch's size is the feature). Every seventh body was damaged after its hash was stored."""
+    k, text = F.col("doc_id"), F.col("text")
+    rows = read(spark, sf_dir, "documents").select(
+        k.alias("id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(k % 500).cast("int"))).alias("expires_at"), F.when(k % 5 == 0, "archive").otherwise("online").alias("tier"),
+        T.content_hash(F.coalesce(text, F.lit(""))).alias("stored_hash"), T.content_hash(F.when(k % 7 == 0, F.concat(F.coalesce(text, F.lit("")), F.lit("!"))).otherwise(F.coalesce(text, F.lit("")))).alias("body_hash"),
+    )
+    return V.archived(rows, F.lit("2024-01-15").cast("timestamp"), 5000).select("id", "outcome", "tier", "alert")
+
+
+@query("""select 'crawl_error' as log, event_id as id, left('failed: ' || repeat(props, 1000), 8000) as message, event_id % 2 = 0 as flag from events where event_type = 'error' union all select 'change_event', event_id, event_type, null from events where event_type in ('signup', 'purchase')
+ union all select 'alert', event_id, 'error', true from events where event_type = 'error' and event_id % 10 = 0""")
+def a16_observation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three logs, appended to the shared folder in two batches and read back."""
+    at, k = folder(spark), F.col("event_id")
+    rows = read(spark, sf_dir, "events")
+    for half in (0, 1):
+        own = rows.where(k % 2 == half)
+        failed = own.where("event_type = 'error'")
+        L.append(failed.select(k.alias("id"), F.concat(F.lit("failed: "), F.repeat("props", F.lit(1000))).alias("message"), (k % 2 == 0).alias("flag")), at, "crawl_error")
+        L.append(own.where("event_type in ('signup', 'purchase')").select(k.alias("id"), F.col("event_type").alias("message"), F.lit(None).cast("boolean").alias("flag")), at, "change_event")
+        L.append(failed.where(k % 10 == 0).select(k.alias("id"), F.lit("error").alias("message"), F.lit(True).alias("flag")), at, "alert")
+    return L.logs(spark, at, "id long, message string, flag boolean")
+
+
+@query("with t as (select conv_id, turn, string_split(text, ' ') as parts from conversations where text is not null), e as (select conv_id, turn, unnest(parts) as body, unnest(range(len(parts))) as place from t) select conv_id, turn, place::int as place, 1 as depth, md5(body) as body_md5 from e where place % 3 <> 2 and body <> ''")
 def c18_sub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured sub-responses become corpus rows of depth 1 with the parent's id."""
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("captured"))
-    rows = rows.select("conv_id", F.explode("captured").alias("c")).where("c.turn > 0 and length(c.text) > 0")
-    return rows.select("conv_id", "c.turn", F.lit(1).alias("depth"), T.content_hash(F.col("c.text")).alias("content_hash"))
+    """The words of a turn as its captured sub-responses; every third has failed."""
+    parts = F.transform(F.split("text", " "), lambda w, k: F.struct(F.concat(F.lit("u"), k).alias("url"), F.when(k % 3 == 2, 500).otherwise(200).alias("status"), w.alias("body")))
+    rows = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.lit(0).alias("depth"), parts.alias("captured"))
+    return X.sub_responses(rows, ["conv_id", "turn"]).select("conv_id", "turn", "place", "depth", F.md5("body").alias("body_md5"))
 
 
-@query("select p_partkey, unnest(['product_type', 'brand']) as type, unnest([p_type, p_brand]) as value from part")
-def d07_dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dims = F.array(F.struct(F.lit("product_type").alias("type"), F.col("p_type").alias("value")), F.struct(F.lit("brand").alias("type"), F.col("p_brand").alias("value")))
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(dims, lambda d: F.trim(d.value) != "")).alias("d"))
-    return rows.select("p_partkey", "d.type", "d.value")
+REVIEWS = "(select doc_id, quality, toxic, case when doc_id % 5 <> 0 then case when quality = 1 then 0.9 else 0.5 end end as type_sure, case when toxic = 1 then 0.6 else 0.85 end as sure from labels)"
+
+
+def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as items; every fifth has no confidence of its type."""
+    sure = F.when(F.col("doc_id") % 5 != 0, F.when(F.col("quality") == 1, 0.9).otherwise(0.5))
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.concat(F.lit("type"), F.col("doc_id") % 4).alias("product_type"), sure.alias("type_confidence"), F.when(F.col("toxic") == 1, 0.6).otherwise(0.85).alias("confidence"))
 
 
-@query("select doc_id, case when quality = 1 then 0.9 else 0.5 end::double as confidence, 'pending' as status from labels where quality <> 1")
+@query(f"select doc_id as item, 'product_type' as field, 'type' || doc_id % 4 as proposed, coalesce(type_sure, sure)::double as confidence, mode as status, case when mode = 'accepted' then 'automatic_classifier' else '' end as reviewer from {REVIEWS}, (select unnest(['accepted', 'pending']) as mode) where coalesce(type_sure, sure) < 0.8")
 def d14_review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confidence = F.when(F.col("quality") == 1, 0.9).otherwise(0.5)
-    return read(spark, sf_dir, "labels").select("doc_id", confidence.alias("confidence"), F.lit("pending").alias("status")).where("confidence < 0.80")
+    """With and without automatic acceptance."""
+    items = labelled_items(spark, sf_dir)
+    return V.review_rows(items, automatic=True).unionByName(V.review_rows(items))
 
 
-@query("select case when toxic = 0 then 'accepted' else 'rejected' end as status, count(*) as n from labels where quality <> 1 group by 1")
+@query(f"select doc_id as item, case when doc_id % 3 = 0 then 'rejected' else 'accepted' end as status, case when doc_id % 3 = 0 then 'editor' else 'bulk' end as reviewer, doc_id % 3 <> 0 as resolved from {REVIEWS} where coalesce(type_sure, sure) < 0.8")
 def d15_bulk_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "labels").where("quality <> 1").groupBy(F.when(F.col("toxic") == 0, "accepted").otherwise("rejected").alias("status")).agg(F.count("*").alias("n"))
+    """Every third review is decided already."""
+    done = F.col("item") % 3 == 0
+    reviews = V.review_rows(labelled_items(spark, sf_dir)).withColumns({"status": F.when(done, "rejected").otherwise(F.col("status")), "reviewer": F.when(done, "editor").otherwise(F.col("reviewer"))})
+    return V.resolve_pending(reviews, "bulk").select("item", "status", "reviewer", "resolved")
 
 
-@query("with r as (select doc_id, min(case when toxic = 0 then 'reviewed' end) as new_lang from labels where quality <> 1 group by doc_id) select d.doc_id, coalesce(r.new_lang, d.lang) as lang, case when r.new_lang is null then 'raw' else 'manual_review' end as method from documents d left join r using (doc_id)")
-def d16_apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted = read(spark, sf_dir, "labels").where("quality <> 1 and toxic = 0").select("doc_id", F.lit("reviewed").alias("new_lang")).distinct()
-    rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(accepted.hint("merge"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("new_lang", "lang").alias("lang"), F.when(F.col("new_lang").isNull(), "raw").otherwise("manual_review").alias("method"))
+D16 = """with i as (select doc_id as item, 'type' || doc_id % 4 as t from labels), n as (select doc_id as item, max('new' || doc_id % 3) as v from labels where toxic = 0 and doc_id % 2 = 0 group by 1)
+select item, coalesce(v, t) as product_type, type, case when type = 'product_type' then coalesce(v, t) else 'other' end as value, case when v is not null and type = 'product_type' then 1.0 else 0.5 end::double as confidence, case when v is not null and type = 'product_type' then 'manual_review' else 'rule' end as method from (select distinct * from i) left join n using (item), (select unnest(['product_type', 'industry']) as type)"""
 
 
-@query(r"select doc_id, regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') as has_email, regexp_matches(lower(text), 'ignore (all )?previous instructions|<script') as has_injection from documents")
+@query(D16)
+def d16_apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted decisions change a type; those without a value and rejected ones change nothing."""
+    labels = read(spark, sf_dir, "labels")
+    versions = labelled_items(spark, sf_dir).select("item", "product_type").distinct()
+    dims = versions.select("item", F.explode(F.create_map(F.lit("product_type"), "product_type", F.lit("industry"), F.lit("other"))).alias("type", "value"), F.lit(0.5).alias("confidence"), F.lit("rule").alias("method"))
+    value = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new"), F.col("doc_id") % 3)).otherwise("")
+    decisions = labels.select(F.col("doc_id").alias("item"), F.when(F.col("toxic") == 0, "accepted").otherwise("rejected").alias("status"), value.alias("value"))
+    out, rows = V.apply_decisions(versions, dims, decisions)
+    return out.join(rows.hint("merge"), "item").select("item", "product_type", "type", "value", "confidence", "method")
+
+
+@query(r"""select doc_id, regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') as has_email, regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)') as has_mobile, regexp_matches(text, '(^|[^0-9])[0-9]{17}[0-9Xx]([^0-9]|$)') as has_identity,
+ regexp_matches(lower(text), 'ignore (all )?(previous|prior|above) instructions|<script|system prompt|javascript:') as has_injection from documents""")
 def i08_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("has_email"), F.lower("text").rlike("ignore (all )?previous instructions|<script").alias("has_injection"))
+    return read(spark, sf_dir, "documents").select("doc_id", L.text_flags(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+@query("select doc_id, md5(text) as text_md5 from documents where text is not null")
+def a07_charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes in UTF-8, GB18030 (declared and not) and, where that can hold them, Latin-1, and back."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for GB18030
+    k, text = F.col("doc_id"), F.col("text")
+    kind = F.when(text.rlike("^[\\x00-\\xFF]*$") & (k % 4 == 3), "latin").when(k % 4 == 1, "gb").when(k % 4 == 2, "plain gb").otherwise("utf")
+    body = F.when(kind == "latin", F.encode(text, "ISO-8859-1")).when(kind == "gb", F.encode(text, "GB18030")).when((kind == "plain gb") & text.rlike("[^\\x00-\\x7F]"), F.encode(text, "UTF-8")).otherwise(F.encode(text, "UTF-8"))
+    declared = F.when(kind == "latin", "ISO-8859-1").when(kind == "gb", "GB18030")
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(T.decoded(body, declared)).alias("text_md5"))
+
+
+@query("""with p as (select p_partkey // 50 as page, p_partkey as k, row_number() over (partition by p_partkey // 50 order by p_partkey) - 1 as place from part), u as (select page, place, 'https://data.example.org/' || case when k % 3 = 0 then 'product/detail/' else 'about/' end || k || case when k % 5 = 0 then '?a=1&b=2' else '' end as to_url from p)
+select page, place::int as place, to_url, case when contains(to_url, 'product') then 3.5 else 2.0 end::double as relevance from u""")
+def a09_sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of fifty parts each."""
+    k = F.col("p_partkey")
+    loc = F.concat(F.lit("<url><loc> https://data.example.org/"), F.when(k % 3 == 0, "product/detail/").otherwise("about/"), k, F.when(k % 5 == 0, "?b=2&amp;a=1&amp;utm_source=x").otherwise(""), F.lit("</loc></url>"))
+    rows = read(spark, sf_dir, "part").select(F.floor(k / 50).alias("page"), F.struct(k.alias("k"), loc.alias("loc")).alias("s"))
+    maps = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.loc), "").alias("body"))  # fifty addresses a page
+    return R.sitemap_links(maps.select("page", F.lit("https://data.example.org/sitemap.xml").alias("url"), F.concat(F.lit("<?xml version='1.0'?><urlset>"), "body", F.lit("</urlset>")).alias("body")), "page")
+
+
+DRIFT = f"""with r as (select page % 2 as run, k from {RP.COPIES}), n as (select run, count(*) as n from r group by 1),
+c as (select run, unnest(['productId', 'productName', 'orgName', 'nested', 'title', 'productType', 'price', 'link']) as key, unnest([true, true, true, true, k % 9 = 0, k % 2 = 0, k % 8 = 0, k % 3 = 0]) as has from r),
+q as (select key, run, count(*) filter (has) / any_value(n) as rate from c join n using (run) group by all)
+select key, round(max(rate) filter (run = 0), 6) as before, round(max(rate) filter (run = 1), 6) as after, abs(max(rate) filter (run = 0) - max(rate) filter (run = 1)) > 0.05 as drifted from q group by key"""
+
+
+@query(DRIFT)
+def i03_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of records in responses of even and of odd pages."""
+    records = RC.json_records(RP.responses(spark, sf_dir), "page", "body").where("path like '$.data.records[%]'")
+    keys = records.select("page", (F.col("page") % 2).alias("run"), F.transform("entries", lambda e: e.key).alias("keys"))
+    out = L.drift(L.key_rates(keys.where("run = 0")), L.key_rates(keys.where("run = 1")), 0.05)
+    return out.withColumns({"before": F.round("before", 6), "after": F.round("after", 6)})

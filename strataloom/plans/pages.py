@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import extract as X
 from ..operators import frontier as FR
+from ..operators import versioning as V
 from .registry import query, read
 
 # SQL fragments over pages, written without the functions above.
@@ -163,9 +164,13 @@ ITEM = f"select page_id, url, {kind_sql('url', f'concat_ws(chr(32), url, {SQL_TI
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_items(read(spark, sf_dir, "pages"))
+
+
+def page_items(pages: DataFrame) -> DataFrame:
     """Page to item, for pages without labelled fields: canonical URL, kind, score, name, key."""
     url, html = F.col("url"), F.col("html")
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", T.element(html, "title").alias("title"), F.substring(T.stripped(html), 1, 1500).alias("body"), X.item_name(F.lit(None).cast("string"), html).alias("name"), U.canonical_url(url).alias("canonical"))
+    rows = pages.select("page_id", "url", T.element(html, "title").alias("title"), F.substring(T.stripped(html), 1, 1500).alias("body"), X.item_name(F.lit(None).cast("string"), html).alias("name"), U.canonical_url(url).alias("canonical"))
     no = F.lit(False)
     rows = rows.select("*", X.item_kind(url, F.concat_ws(" ", "url", "title", "body")).alias("kind"), X.item_score(url, F.col("title"), F.lit(0), no, no).alias("score"))
     return rows.withColumn("natural_key", X.natural_key(F.col("kind"), U.external_id(url), F.col("canonical"), F.col("name"), F.lit("")))
@@ -245,14 +250,22 @@ def a06_content_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", X.content_kind(F.lit(""), F.col("html")).alias("content_kind"), F.length("html").alias("n_chars"))
 
 
-@query(SQL_LINKS + " select to_url, arg_max(nullif(anchor, ''), (page_id, place)) filter (anchor <> '') as anchor, min(page_id) as first_seen, max(page_id) as last_seen from links group by to_url")
-def a11_link_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.struct("page_id", "place")
-    return X.links(read(spark, sf_dir, "pages")).groupBy("to_url").agg(F.max_by("anchor", F.when(F.col("anchor") != "", at)).alias("anchor"), F.min("page_id").alias("first_seen"), F.max("page_id").alias("last_seen"))
+A11 = SQL_LINKS + f""", f as (select url as from_url, to_url, case when place % 3 = 0 then '' else anchor end as anchor, {relevance_sql('to_url', 'anchor')} as relevance, page_id, place from links join (select page_id, url from pages) using (page_id))
+select from_url, to_url, case when page_id % 2 = 0 then coalesce(nullif(anchor, ''), case when place % 2 = 0 then 'old' end, '') else 'old' end as anchor, case when page_id % 2 = 0 then relevance else 0 end::double as relevance, case when place % 2 = 0 then 1 else 2 end as first_seen, case when page_id % 2 = 0 then 2 else 1 end as last_seen from f where page_id % 2 = 0 or place % 2 = 0"""
 
 
-@query("select page_id, sha256(html) as content_hash, timestamp '2024-01-01' + to_minutes(page_id::int) as fetched_at, 'platform/' || (page_id % 5)::varchar || '/' || strftime(timestamp '2024-01-01' + to_minutes(page_id::int), '%Y/%m/%d') || '/' || page_id::varchar as object_key from pages")
-def a12_snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.lit("2024-01-01").cast("timestamp") + F.expr("make_dt_interval(0, 0, int(page_id))")
-    key = F.concat_ws("/", F.lit("platform"), F.col("page_id") % 5, F.date_format(at, "yyyy/MM/dd"), "page_id")
-    return read(spark, sf_dir, "pages").select("page_id", T.content_hash(F.col("html")).alias("content_hash"), at.alias("fetched_at"), key.alias("object_key"))
+@query(A11)
+def a11_link_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the links are known, from all pages; a new batch has those of even pages, some without anchor."""
+    pages = read(spark, sf_dir, "pages")
+    rows = X.links(pages).join(pages.select("page_id", F.col("url").alias("from_url")), "page_id")
+    known = rows.where("place % 2 = 0").select("from_url", "to_url", F.lit("old").alias("anchor"), F.lit(0.0).alias("relevance"), F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"))
+    found = rows.where("page_id % 2 = 0").select("from_url", "to_url", "place", F.when(F.col("place") % 3 == 0, "").otherwise(F.col("anchor")).alias("anchor"), "relevance", F.lit(2).alias("at"))
+    return V.merge_links(known, found)
+
+
+@query(f"select page_id, 'v2' as extractor_version, kind, name from ({ITEM}) where page_id % 3 <> 0")
+def i04_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages extracted anew where that was not yet done with this version."""
+    done = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "v2").otherwise("v1").alias("extractor_version"))
+    return X.replay(read(spark, sf_dir, "pages"), done, "page_id", "v2", page_items).select("page_id", "extractor_version", "kind", "name")

@@ -359,9 +359,9 @@ def i07_failure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.staleness(rows, "user_id", F.lit("2024-01-31").cast("timestamp"))
 
 
-@query("select ts::date as run, count(distinct user_id) as n, sum(distinct ('0x' || left(md5(user_id::varchar), 15))::bigint) as ids_sum, sum(distinct ('0x' || right(md5(user_id::varchar), 15))::bigint) as ids_check from events group by 1")
+@query("select ts::date as run, count(distinct user_id) as n, sum(distinct ('0x' || left(md5(user_id::varchar), 15))::bigint)::varchar as ids_sum, sum(distinct ('0x' || right(md5(user_id::varchar), 15))::bigint)::varchar as ids_check from events group by 1")
 def i09_run_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two order-free sums of 60-bit hashes of a run's distinct ids: no list of ids is gathered."""
     ids = read(spark, sf_dir, "events").select(F.to_date("ts").alias("run"), F.col("user_id").cast("string").alias("id")).distinct()
     half = lambda at: F.conv(F.substring(F.md5("id"), at, 15), 16, 10).cast("decimal(38,0)")
-    return ids.groupBy("run").agg(F.count("*").alias("n"), F.sum(half(1)).alias("ids_sum"), F.sum(half(18)).alias("ids_check"))
+    return ids.groupBy("run").agg(F.count("*").alias("n"), F.sum(half(1)).cast("string").alias("ids_sum"), F.sum(half(18)).cast("string").alias("ids_check"))
