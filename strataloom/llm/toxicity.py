@@ -41,7 +41,7 @@ ACCENTED = 11
 EDGE = 27 + ACCENTED
 SYMBOLS = EDGE + 1
 PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
-CODE = np.zeros(256, np.int32)
+CODE = np.zeros(256, np.int8)
 CODE[97:123] = np.arange(1, 27)
 CODE[65:91] = np.arange(1, 27)
 for sign, letter in zip("0134578@", "oieastba", strict=True):
@@ -59,19 +59,20 @@ TOP, LIMITS = 3, (-1.5, 2.0)
 
 
 def stretch_starts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all texts with a blank before and LENGTH gaps after each, the text of each place, and the places where stretches begin."""
+    """Codes of all texts with a blank before and LENGTH gaps after each, the places where stretches begin, and the text of each."""
     raw, off = text_bytes(text)
     n = len(off) - 1
     body = raw < 192  # the first byte of a letter beyond ASCII takes no place
-    off = np.r_[0, np.cumsum(body)][off]
+    upto = np.cumsum(body, dtype=np.int32 if len(body) < 1 << 31 else np.int64)
+    off = np.where(off > 0, upto[off - 1], 0).astype(np.int64) if len(upto) else off
     raw = raw[body]
-    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
-    code = np.zeros(len(raw) + n * (LENGTH + 1), np.int32)
-    at = np.arange(1, len(raw) + 1, dtype=np.int64 if len(code) >> 31 else np.int32) + doc * (LENGTH + 1)
-    code[at] = CODE[raw]
-    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(off) + LENGTH + 1)
-    solid = np.zeros(len(code), bool)
-    solid[at] = ~IS_BLANK[raw]
+    del body, upto
+    bounds = off[:-1] + np.arange(n) * (LENGTH + 1)
+    letters = np.ones(len(raw) + n * (LENGTH + 1), bool)
+    letters[bounds] = False
+    letters[((bounds + 1 + np.diff(off))[:, None] + np.arange(LENGTH)).ravel()] = False
+    code, solid = np.zeros(len(letters), np.int8), np.zeros(len(letters), bool)
+    code[letters], solid[letters] = CODE[raw], ~IS_BLANK[raw]
     begins = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
     size = np.flatnonzero(solid & ~np.r_[solid[1:], False]) + 1 - begins
     begin = np.zeros(len(code), bool)
@@ -82,12 +83,13 @@ def stretch_starts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     many = (size[long] - 2) // STRIDE
     nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + 1
     begin[np.repeat(begins[long] - 1, many) + STRIDE * nth] = True
-    return code, owner, np.flatnonzero(begin)
+    starts = np.flatnonzero(begin)
+    return code, starts, np.searchsorted(bounds, starts, "right") - 1
 
 
 def subsequences(code: np.ndarray):
     """For each pair of gaps: the subsequence that begins at each place (0: none), and its weight."""
-    n = len(code) - SPAN
+    n, code = len(code) - SPAN, code.astype(np.int32)
     for j, k in PAIRS:
         if n > 0:
             a, b, c = code[:n], code[j : j + n], code[k : k + n]
@@ -95,20 +97,25 @@ def subsequences(code: np.ndarray):
 
 
 def blocks(code: np.ndarray):
-    """Where each block of places begins, and its codes with those of the SPAN places after it."""
+    """Where each block of places begins, and its codes with those that stretches from it can reach."""
     for at in range(0, max(len(code) - SPAN, 0), BLOCK):
-        yield at, code[at : at + BLOCK + SPAN]
+        yield at, code[at : at + BLOCK + LENGTH + SPAN]
 
 
 def stretch_scores(code: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each start, the sum of the table values of all subsequences that begin in its LENGTH places."""
-    place = np.zeros(len(code), np.float32)
+    """For each start (in order), the sum of the table values of all subsequences that begin in its LENGTH places."""
+    out = np.zeros(len(starts))
     for at, part in blocks(code):
+        s, e = np.searchsorted(starts, [at, at + BLOCK])
+        if s == e:
+            continue
+        total = np.zeros(len(part) - SPAN + 1)
         for u, d in subsequences(part):
-            place[at : at + len(u)] += weights[u] * np.float32(d)
-    total = np.zeros(len(code) + 1)
-    np.cumsum(place, dtype=np.float64, out=total[1:])
-    return total[np.minimum(starts + LENGTH, len(code))] - total[starts]
+            total[1:] += weights[u] * np.float32(d)
+        total = np.cumsum(total)
+        own = starts[s:e] - at
+        out[s:e] = total[np.minimum(own + LENGTH, len(total) - 1)] - total[own]
+    return out
 
 
 def peaks(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -130,8 +137,8 @@ def peaks(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
 def document_scores(text: pa.Array, model: tuple) -> np.ndarray:
     """Log odds that each text is toxic."""
     weights, offset, slopes, base = model
-    code, owner, starts = stretch_starts(text)
-    return peaks(stretch_scores(code, starts, weights) + offset, owner[starts], len(text)) @ slopes + base
+    code, starts, doc = stretch_starts(text)
+    return peaks(stretch_scores(code, starts, weights) + offset, doc, len(text)) @ slopes + base
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, turns: int = 25) -> tuple[np.ndarray, float]:
@@ -156,20 +163,21 @@ def profile(code: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 
 def features(profiles: list) -> np.ndarray:
-    out = np.zeros((len(profiles), SYMBOLS**3), np.float32)
+    """A column for each stretch, a row for each subsequence."""
+    out = np.zeros((SYMBOLS**3, len(profiles)), np.float32)
     for k, (u, d) in enumerate(profiles):
-        np.add.at(out[k], u, d)
+        np.add.at(out[:, k], u, d)
     return out
 
 
 def kernel(profiles: list, landmarks: np.ndarray) -> np.ndarray:
-    columns = np.ascontiguousarray(landmarks.T)
-    return np.array([d @ columns[u] if len(u) else np.zeros(len(landmarks)) for u, d in profiles])
+    """Kernel values of stretches (rows) and landmarks (columns of ``features``)."""
+    return np.array([d @ landmarks[u] if len(u) else np.zeros(landmarks.shape[1]) for u, d in profiles])
 
 
 def inverse_root(landmarks: np.ndarray) -> np.ndarray:
     """K_mm^(-1/2) of the landmarks, up to a rotation, without directions of no weight."""
-    value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    value, vector = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
     keep = value > 1e-6 * value.max()
     return vector[:, keep] / np.sqrt(value[keep])
 
@@ -209,15 +217,21 @@ def word_odds(code: np.ndarray, starts: np.ndarray, doc: np.ndarray, labels: np.
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, turns: int = 20) -> np.ndarray:
-    """Squared-hinge linear machine (last column: intercept) by Newton steps over the active rows."""
-    x = np.c_[x, np.ones(len(x))]
-    w, before = np.zeros(x.shape[1]), None
+    """Squared-hinge linear machine (last column: intercept) by Newton steps over the active rows, a thousand at a time."""
+    w, before = np.zeros(x.shape[1] + 1), None
     for _ in range(turns):
-        active = y * (x @ w) < 1
+        active = y * (x @ w[:-1] + w[-1]) < 1
         if before is not None and (active == before).all():
             break
-        before, own = active, x[active] * weight[active, None]
-        w = np.linalg.solve(own.T @ x[active] + ridge * np.eye(x.shape[1]), own.T @ y[active])
+        before, left, right = active, ridge * np.eye(len(w)), np.zeros(len(w))
+        rows = np.flatnonzero(active)
+        for at in range(0, len(rows), 1000):
+            k = rows[at : at + 1000]
+            part = np.c_[x[k], np.ones(len(k))]
+            own = part.T * weight[k]
+            left += own @ part
+            right += own @ y[k]
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -228,11 +242,9 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
     share_ = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return zero, 0.0, np.zeros(TOP), float(np.log((share_ + 1e-3) / (1 - share_ + 1e-3)))
-    code, owner, starts = stretch_starts(pa.array(texts))
-    doc = owner[starts]
-    del owner
+    code, starts, doc = stretch_starts(pa.array(texts))
     odds = word_odds(code, starts, doc, labels) if len(starts) else np.zeros(0)
-    common = sum((d * np.bincount(u, minlength=SYMBOLS**3) for _, part in blocks(code) for u, d in subsequences(part)), np.zeros(SYMBOLS**3))
+    common = sum((d * np.bincount(u[:BLOCK], minlength=SYMBOLS**3) for _, part in blocks(code) for u, d in subsequences(part)), np.zeros(SYMBOLS**3))
     common[0] = 0
     metric = 1 / np.sqrt(common / common.sum() + FLOOR) * np.sqrt(FLOOR)  # rare subsequences tell more
     weights, offset, bad = zero, 0.0, np.zeros(0, np.int64)
@@ -256,9 +268,11 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 320, turns: int =
         root = inverse_root(z)
         x = kernel(profiles, z) @ root
         scale = max(1e-9, float(np.abs(x).std()))
-        w = machine(x / scale, y, np.where(y > 0, len(bad) / max(1, len(good)), 1.0))
-        weights = ((z.T @ (root @ (w[:-1] / scale))) * metric).astype(np.float32)
+        x /= scale
+        w = machine(x, y, np.where(y > 0, len(bad) / max(1, len(good)), 1.0))
+        weights = ((z @ (root @ (w[:-1] / scale))) * metric).astype(np.float32)
         weights[0], offset = 0, float(w[-1])
+        del x, z, profiles
     top = peaks(stretch_scores(code, starts, weights) + offset, doc, len(texts))
     prior = share_ if prior is None else prior
     slopes, base = calibrate(top, labels, np.where(labels == 1, prior / share_, (1 - prior) / (1 - share_)))

@@ -126,7 +126,7 @@ def subsequence_kernel(s, t):
 
 def test_landmark_map_gives_the_subsequence_kernel():
     text = pa.array(["You absolute grumblewort, go away", "grumble-wort und Haus"])
-    code, _, starts = T.stretch_starts(text)
+    code, starts, _ = T.stretch_starts(text)
     profiles = T.profile(code, starts)
     cut = [[int(code[p]) if p < len(code) else 0 for p in range(s, s + T.LENGTH + T.SPAN)] for s in starts]
     want = np.array([[subsequence_kernel(a, b) for b in cut] for a in cut])
@@ -166,3 +166,15 @@ def test_only_allowed_rows_are_learned(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)] * 2, "doc_id long, toxic int")
     rows, share = T.labelled(docs.where("lang is not null and text like '% text %'"), labels, "toxic", 3, 1, 10_000, 1 << 20)
     assert {r[0] for r in rows} == {k for k in range(300) if not held(k, 3, 1)} and 0.4 < share < 0.6
+
+
+def test_scores_do_not_depend_on_blocks(monkeypatch):
+    rnd = random.Random(1)
+    text = pa.array([" ".join(rnd.choice(["you", "gr_umble", "haus", "x" * 40, ""]) for _ in range(rnd.randint(0, 60))) for _ in range(30)] + [None, ""])
+    weights = np.random.default_rng(1).random(T.SYMBOLS**3).astype(np.float32)
+    code, starts, doc = T.stretch_starts(text)
+    want = T.stretch_scores(code, starts, weights)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(T, "BLOCK", size)
+        assert np.allclose(T.stretch_scores(code, starts, weights), want)
+    assert (np.diff(doc) >= 0).all()

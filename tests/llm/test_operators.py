@@ -272,14 +272,14 @@ def test_peaks_are_the_highest_separate_stretches():
 
 def test_table_of_the_string_kernel_equals_subsequences_one_by_one():
     text = pa.array(["Ab éc ab", None, "", "x"])
-    code, owner, starts = toxicity.stretch_starts(text)
-    assert owner[starts].tolist() == [0, 0, 0, 3]
+    code, starts, doc = toxicity.stretch_starts(text)
+    assert doc.tolist() == [0, 0, 0, 3]
     h = next(toxicity.stem_hashes(code, starts, (2,)))
     assert h[0] == h[2] and len(set(h.tolist())) == 3
     weights = np.random.default_rng(1).random(toxicity.SYMBOLS**3).astype(np.float32)
     weights[0] = 0
     for start in starts.tolist():
-        want = 0.0
+        want, code = 0.0, code.astype(int)
         for i in range(start, start + toxicity.LENGTH):
             for k in range(2, toxicity.SPAN):
                 for j in range(1, k):
@@ -300,9 +300,9 @@ def test_toxicity_sees_all_of_a_text_without_blanks():
         got = toxicity.document_scores(pa.array(bad), model), toxicity.document_scores(pa.array(clean), model)
         assert got[0].min() > got[1].max(), sep
     for size in range(1, 60):
-        _, _, starts = toxicity.stretch_starts(pa.array(["x" * size]))
+        _, starts, _ = toxicity.stretch_starts(pa.array(["x" * size]))
         assert set(range(max(1, size - 1))) <= {p for s in starts.tolist() for p in range(s, s + toxicity.LENGTH)}
-    assert toxicity.stretch_starts(pa.array(["ab-cd ef--g-"]))[2].tolist() == [0, 3, 6, 10]
+    assert toxicity.stretch_starts(pa.array(["ab-cd ef--g-"]))[1].tolist() == [0, 3, 6, 10]
 
 
 def test_rare_languages_are_learned_in_large_tables(spark):
