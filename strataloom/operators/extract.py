@@ -40,8 +40,9 @@ def links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     is dropped before the window, so only link rows are shuffled."""
     pattern = F.lit(r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>")
     found = pages.select(id_col, "url", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("href"), F.regexp_extract_all("html", pattern, 2).alias("inner"))).alias("place", "a"))
-    anchor = T.snippet(T.normalize_text(T.unescaped(F.regexp_replace("a.inner", r"(?s)<[^>]*>", " "))), 300)
-    rows = found.select(id_col, "place", U.canonical_url(U.resolved(F.col("url"), F.col("a.href"))).alias("to_url"), anchor.alias("anchor")).where("to_url <> ''")
+    anchor = T.unescaped(F.regexp_replace("a.inner", r"(?s)<[^>]*>", " "))
+    rows = found.select(id_col, "place", U.resolved(F.col("url"), F.col("a.href")).alias("to"), anchor.alias("anchor"))  # long expressions step by step: each would be repeated in the next
+    rows = rows.select(id_col, "place", U.canonical_url(F.col("to")).alias("to_url"), T.normalize_text(F.col("anchor")).alias("anchor")).where("to_url <> ''").withColumn("anchor", T.snippet(F.col("anchor"), 300))
     rows = rows.withColumn("relevance", U.link_relevance(F.col("to_url"), F.col("anchor")))
     own = Window.partitionBy(id_col, "to_url").orderBy("place")
     return rows.withColumn("nth", F.row_number().over(own)).where("nth = 1").drop("nth")

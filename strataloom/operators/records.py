@@ -210,11 +210,17 @@ def cards(pages: DataFrame, key: str, site_rules: tuple = ()) -> DataFrame:
     url, html = F.col("url"), F.col("html")
     listing = U.any_of(F.lower(F.concat_ws(" ", T.element(html, "title"), url)), U.TARGET_TERMS)
     opening = r'<\w+\b[^>]*\bclass="(?:[^"]*\s)?(?:{})(?:\s[^"]*)?"'
-    block = lambda classes: F.lit(rf"(?is)({opening.format('|'.join(classes))}.*?)(?={opening.format('|'.join(classes))}|</main>|</section>|<footer\b|\z)")
-    found, prefix = F.regexp_extract_all(html, block(CARD_CLASSES), 1), F.lit("")
+
+    def blocks(classes: tuple[str, ...]) -> Column:
+        """From each card's tag to the next one's, or to the end of the list."""
+        start = opening.format("|".join(classes))
+        pieces = F.filter(F.split(html, rf"(?i)(?={start})"), lambda c: c.rlike(rf"^(?i){start}"))
+        return F.transform(pieces, lambda c: F.regexp_replace(c, r"(?is)(?:</main>|</section>|<footer\b).*$", ""))
+
+    found, prefix = blocks(CARD_CLASSES), F.lit("")
     for host, route, classes, name in site_rules:
         here = (U.host(url) == host) & F.lower(U.part(url, 4)).endswith(route)
-        found = F.when(here, F.regexp_extract_all(html, block((*CARD_CLASSES, *classes)), 1)).otherwise(found)
+        found = F.when(here, blocks((*CARD_CLASSES, *classes))).otherwise(found)
         prefix, listing = F.when(here, name).otherwise(prefix), listing | here
     anchors = F.regexp_extract_all(html, F.lit(rf'(?is)<a\b[^>]*\bhref="[^"]*{CARD_ROUTES}[^"]*"[^>]*>.*?</a>'), 0)
     rows = pages.where(listing).select(key, "url", prefix.alias("prefix"), F.posexplode(F.concat(found, anchors)).alias("place", "card"))
@@ -222,8 +228,10 @@ def cards(pages: DataFrame, key: str, site_rules: tuple = ()) -> DataFrame:
     href = F.regexp_extract(card, r'(?is)<a\b[^>]*\bhref="([^"]*)"', 1)
     named = [F.nullif(class_text(card, c), F.lit("")) for c in CARD_NAMES] + [F.nullif(T.element(card, t), F.lit("")) for t in ("h2", "h3", "h4")]
     makers = [F.nullif(class_text(card, c), F.lit("")) for c in ("product-org", "provider", r"[^\" ]*provider[^\" ]*")]
-    rows = rows.select(key, "place", "prefix", F.when(href != "", U.canonical_url(U.resolved(url, href))).otherwise(F.when(F.col("prefix") != "", U.canonical_url(url)).otherwise("")).alias("target"), (href != "").alias("linked"), T.normalize_text(plain(card)).alias("text"), F.coalesce(*named).alias("title"), F.coalesce(*makers, F.lit("")).alias("provider"))
-    rows = rows.withColumn("name", F.coalesce(T.normalize_text(F.col("title")), F.col("text"))).where(F.col("target") != "")
+    rows = rows.select(key, "url", "place", "prefix", href.alias("href"), plain(card).alias("text"), F.coalesce(*named).alias("title"), F.coalesce(*makers, F.lit("")).alias("provider"))
+    rows = rows.where("href <> '' or prefix <> ''").withColumn("to", F.when(F.col("href") != "", U.resolved(url, F.col("href"))).otherwise(url))  # step by step: each expression would be repeated in the next
+    rows = rows.withColumns({"target": U.canonical_url(F.col("to")), "linked": F.col("href") != "", "text": T.normalize_text(F.col("text")), "title": T.normalize_text(F.col("title"))})
+    rows = rows.withColumn("name", F.coalesce("title", "text")).where(F.col("target") != "")
     external = F.when(F.col("linked"), U.external_id(F.col("target"))).otherwise(F.concat_ws(":", "prefix", "name"))
     rows = rows.withColumn("external_id", external).withColumn("own", F.when(F.col("linked"), F.col("target")).otherwise(F.col("external_id")))
     first = F.row_number().over(Window.partitionBy(key, "own").orderBy("place"))
@@ -292,9 +300,10 @@ def json_items(rows: DataFrame, key: str, url: str, column: str, rules: DataFram
     first = F.row_number().over(Window.partitionBy(key, "external_id", "name").orderBy("nth"))
     rows = rows.withColumn("order", first).where("order = 1").drop("order")
     targets = F.filter(F.transform("links", lambda h: U.resolved(page, h)), lambda u: u.rlike(r"^(?i)https?://[^/?#]"))
-    target = U.canonical_url(F.try_element_at(targets, F.lit(1)))
+    rows = rows.withColumn("to", F.coalesce(F.try_element_at(targets, F.lit(1)), F.lit("")))
+    rows = rows.withColumn("target", U.canonical_url(F.col("to")))
     has = F.map_contains_key("fields", F.lit("name"))
     trade = F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, TRADE)))
     score = X.item_score(page, F.col("name"), F.size("fields"), has, trade) + F.when(F.col("listed"), 1.5).otherwise(0.0)
     kind = X.item_kind(page, F.concat_ws(" ", page, "name", F.substring(field("description"), 1, 1500)))
-    return rows.select(key, "nth", F.when(F.coalesce(target, F.lit("")) != "", target).otherwise(page).alias("url"), "name", "external_id", kind.alias("kind"), F.greatest(score, F.lit(5.0)).alias("score"), "fields")
+    return rows.select(key, "nth", F.when(F.col("target") != "", F.col("target")).otherwise(page).alias("url"), "name", "external_id", kind.alias("kind"), F.greatest(score, F.lit(5.0)).alias("score"), "fields")

@@ -68,7 +68,7 @@ def history(sightings: DataFrame, removals: DataFrame | None, key: list[str], or
     same = F.col("__last").isNotNull() & F.col(payload).eqNullSafe(F.col("__last.p"))
     event = F.when(F.col("removed"), "removed").when(F.col("__last").isNull(), "added").when(F.col("__gone"), "recovered").when(same, "unchanged").otherwise("updated")
     rows = rows.withColumns({"event": event, "before": F.col("__last.p"), "new_version": ~F.col("removed") & ~same})
-    return rows.withColumn("version_no", F.sum(F.col("new_version").cast("int")).over(own)).drop("__last", "__gone")
+    return rows.withColumn("version_no", F.sum(F.col("new_version").cast("int")).over(own).cast("int")).drop("__last", "__gone")
 
 
 def intervals(states: DataFrame, key: list[str], order: list[str], at: str) -> DataFrame:

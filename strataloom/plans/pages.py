@@ -149,7 +149,14 @@ def c05_item_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 P_ALL = SQL_TEXT.format(r"regexp_replace(p, '<[^>]*>', ' ', 'gs')")
 
 
-@query(rf"with a as (select page_id, unnest(regexp_extract_all(html, '<article\b[^>]*>(.*?)</article>', 1, 's')) as a from pages), p as (select page_id, unnest(regexp_extract_all(a, '<p\b[^>]*>(.*?)</p>', 1, 's')) as p from a), t as (select page_id, {P_ALL} as t from p) select page_id, coalesce(max(t) filter (n = top), '') as description from (select pages.page_id, t, length(t) as n, max(length(t)) over (partition by pages.page_id) as top from pages left join (select * from t where length(t) between 20 and 5000) t on t.page_id = pages.page_id) group by page_id")
+C06 = rf"""
+with a as (select page_id, unnest(regexp_extract_all(html, '<article\b[^>]*>(.*?)</article>', 1, 's')) as a from pages), q as (select page_id, regexp_extract_all(a, '<p\b[^>]*>(.*?)</p>', 1, 's') as ps from a),
+p as (select page_id, unnest(ps) as p, unnest(range(len(ps))) as k from q), t as (select page_id, k, {P_ALL} as t from p)
+select pages.page_id, coalesce(arg_max(t, (length(t), -k)), '') as description from pages left join (select * from t where length(t) between 20 and 5000) t on t.page_id = pages.page_id group by all
+"""
+
+
+@query(C06)
 def c06_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", X.description(F.col("html")).alias("description"))
 

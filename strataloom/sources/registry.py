@@ -62,8 +62,8 @@ def apply_site_rules(platforms: DataFrame, collections: DataFrame, rules: DataFr
 def sitemap_links(pages: DataFrame, key: str, column: str = "body") -> DataFrame:
     """(key, place, to_url, relevance): the addresses in sitemaps; each is worth 2.0 at least."""
     found = pages.select(key, "url", F.posexplode(F.regexp_extract_all(column, F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>(.*?)</(?:\w+:)?loc>"), 1)).alias("place", "loc"))
-    to = U.canonical_url(U.resolved(F.col("url"), F.trim(T.unescaped(F.col("loc")))))
-    return found.select(key, "place", to.alias("to_url")).where("to_url <> ''").withColumn("relevance", F.greatest(F.lit(2.0), U.link_relevance(F.col("to_url"), F.lit("sitemap"))))
+    found = found.select(key, "place", U.resolved(F.col("url"), F.trim(T.unescaped(F.col("loc")))).alias("to"))
+    return found.select(key, "place", U.canonical_url(F.col("to")).alias("to_url")).where("to_url <> ''").withColumn("relevance", F.greatest(F.lit(2.0), U.link_relevance(F.col("to_url"), F.lit("sitemap"))))
 
 
 def snapshots(online: DataFrame, archive: DataFrame, ids: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
         out.append((event_id, "updated" if version else "added", version + 1))
         payload, version = new, version + 1
     state.update((payload, version))
-    item = key[0]
-    yield pd.DataFrame({"event_id": [o[0] for o in out], "item": pd.array([item] * len(out), "Int64"), "version_no": [o[2] for o in out], "event": [o[1] for o in out]})
+    if out:
+        yield pd.DataFrame({"event_id": [o[0] for o in out], "item": pd.array([key[0]] * len(out), "Int64"), "version_no": [o[2] for o in out], "event": [o[1] for o in out]})
 
 
 def change_stream(stream: DataFrame) -> DataFrame:
