@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, mix
+from .common import U, chunks
 from .token_counts import MARK, model, pre_tokens
 
 NEVER, UNKNOWN = -1e8, 10.0
-MULT = U(0x9DDFEA08EB382D69)
+MULT, SPREAD = U(0x9DDFEA08EB382D69), U(0xC4CEB9FE1A85EC53)
 #: Characters from which a word is cut where no piece crosses, and from which Viterbi runs on it alone.
 LONG, WIDE = 24, 256
 #: Stands before a part of a word that is not its beginning; no text in UTF-8 has it.
@@ -68,7 +68,7 @@ class Lattice:
         keys = self.keys(pieces)
         bits = 20
         while True:  # slots for open addressing are not needed if a table this sparse has no more than four in a slot
-            slot = (keys >> U(64 - bits)).astype(np.int64)
+            slot = (keys * SPREAD >> U(64 - bits)).astype(np.int64)
             rank = np.zeros(len(keys), np.int64)
             order = np.argsort(slot, kind="stable")
             s = slot[order]
@@ -82,6 +82,8 @@ class Lattice:
         self.slot_id = np.zeros((self.ways, 1 << bits), np.int32)
         self.slots[rank, slot] = keys
         self.slot_id[rank, slot] = [self.ids[p] for p in pieces]
+        self.taken = np.zeros(1 << bits, bool)
+        self.taken[slot] = True
         self.scores = np.full(sp.get_piece_size(), self.unknown)
         for i, s in self.score.items():
             self.scores[i] = s
@@ -108,15 +110,18 @@ class Lattice:
             for c in p:
                 h = (h * int(MULT) + ord(c) + 1) & (2**64 - 1)
             out[k] = h
-        return mix(out)
+        return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of pieces by key; 0 for none."""
-        slot = (keys >> U(64 - self.bits)).astype(np.int64)
-        out = np.zeros(len(keys), np.int32)
+        """Ids of pieces by key; 0 for none. Most keys end at a small table of the slots that are taken."""
+        flat, out = keys.ravel(), np.zeros(keys.size, np.int32)
+        slot = (flat * SPREAD >> U(64 - self.bits)).astype(np.int64)
+        hit = np.flatnonzero(self.taken[slot])
+        slot, flat, ids = slot[hit], flat[hit], np.zeros(len(hit), np.int32)
         for way in range(self.ways):
-            np.copyto(out, self.slot_id[way][slot], where=self.slots[way][slot] == keys)
-        return out
+            np.copyto(ids, self.slot_id[way][slot], where=self.slots[way][slot] == flat)
+        out[hit] = ids
+        return out.reshape(keys.shape)
 
     def learn(self, words: list[str]) -> None:
         """Viterbi for new words, all words of a length at once: score, gap to the second best, ids."""
@@ -141,21 +146,22 @@ class Lattice:
         alpha, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), np.inf)
         alpha[0] = 0.0
         last, piece = np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int32)
-        keys: list[np.ndarray] = []
+        keys, every = np.zeros((0, m), np.uint64), np.arange(m)
         for v in range(1, n + 1):
-            keys = [k * MULT + code[v - 1] for k in [U(0), *keys[: self.longest - 1]]]
-            top, runner, which, found = np.full(m, -np.inf), np.full(m, -np.inf), np.zeros(m, np.int32), np.zeros(m, np.int32)
-            for size, key in enumerate(keys, 1):
-                ids = self.find(mix(key))
-                s = alpha[v - size] + self.scores[ids]
-                if size > 1:
-                    s[ids == 0] = -np.inf
-                better = s > top
-                runner = np.where(better, top, np.maximum(runner, s))
-                top = np.where(better, s, top)
-                which[better], found[better] = size, ids[better]
-            alpha[v], second[v] = top, top - runner
-            last[v], piece[v] = which, found
+            k = min(v, self.longest)
+            grown = np.empty((k, m), np.uint64)  # keys of the last 1, 2, ... characters
+            grown[0] = code[v - 1]
+            np.multiply(keys[: k - 1], MULT, out=grown[1:])
+            grown[1:] += code[v - 1]
+            keys, ids = grown, self.find(grown)
+            s = self.scores[ids]
+            s += alpha[v - k : v][::-1]
+            s[1:][ids[1:] == 0] = -np.inf
+            size = s.argmax(0)  # of equal ones the shortest
+            alpha[v] = s[size, every]
+            s[size, every] = -np.inf
+            second[v] = alpha[v] - s.max(0)
+            last[v], piece[v] = size + 1, ids[size, every]
         gap, place = np.full(m, np.inf), np.full(m, n)
         rows = np.arange(m)
         out = []
