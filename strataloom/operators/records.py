@@ -225,7 +225,7 @@ def cards(pages: DataFrame, key: str, site_rules: tuple = ()) -> DataFrame:
     anchors = F.regexp_extract_all(html, F.lit(rf'(?is)<a\b[^>]*\bhref="[^"]*{CARD_ROUTES}[^"]*"[^>]*>.*?</a>'), 0)
     rows = pages.where(listing).select(key, "url", prefix.alias("prefix"), F.posexplode(F.concat(found, anchors)).alias("place", "card"))
     card = F.col("card")
-    href = F.regexp_extract(card, r'(?is)<a\b[^>]*\bhref="([^"]*)"', 1)
+    href = F.trim(T.unescaped(F.regexp_extract(card, r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1""", 2)))
     named = [F.nullif(class_text(card, c), F.lit("")) for c in CARD_NAMES] + [F.nullif(T.element(card, t), F.lit("")) for t in ("h2", "h3", "h4")]
     makers = [F.nullif(class_text(card, c), F.lit("")) for c in ("product-org", "provider", r"[^\" ]*provider[^\" ]*")]
     rows = rows.select(key, "url", "place", "prefix", href.alias("href"), plain(card).alias("text"), F.coalesce(*named).alias("title"), F.coalesce(*makers, F.lit("")).alias("provider"))

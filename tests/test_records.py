@@ -98,3 +98,9 @@ def test_totals_charsets_and_nested_masks(spark):
         assert [r[0] for r in rows.select(T.decoded(F.col("body"), F.col("charset"))).collect()] == ["数据 é", "数据", "数据", "é"]
     finally:
         spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_links_in_either_quotes(spark):
+    html = """<a class=x href='/a?b=1&amp;c=2'>One's</a> <A HREF = "it's">Two</A> <a href="/a?c=2&b=1">again</a> <a name="x">none</a>"""
+    pages = spark.createDataFrame([(1, "https://h.org/d/", html), (2, "https://h.org/", None)], "page_id int, url string, html string")
+    assert [(r.place, r.to_url, r.anchor) for r in X.links(pages).orderBy("place").collect()] == [(0, "https://h.org/a?b=1&c=2", "One's"), (1, "https://h.org/d/it's", "Two")]
