@@ -21,6 +21,7 @@ CONTEXT_KINDS = (
     ("component", ("数据组件", "组件详情", "component", "算法工具", "开发工具")),
     ("demand", ("数据需求", "需求详情", "demand")),
 )
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1[^>]*>(.*?)</a>"""
 NEWS = ("新闻", "通知", "公告", "政策", "资讯")
 
 
@@ -38,11 +39,11 @@ def content_kind(mime: Column, body: Column) -> Column:
 def links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Link graph: page, place, canonical target, anchor, relevance; the first occurrence of each target. The page body
     is dropped before the window, so only link rows are shuffled."""
-    pattern = F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1[^>]*>(.*?)</a>""")
-    both = F.arrays_zip(F.regexp_extract_all("html", pattern, 2).alias("href"), F.regexp_extract_all("html", pattern, 3).alias("inner"))
-    found = pages.select(id_col, "url", F.posexplode(both).alias("place", "a"))
-    anchor = T.unescaped(F.regexp_replace("a.inner", r"(?s)<[^>]*>", " "))
-    rows = found.select(id_col, "place", U.resolved(F.col("url"), F.trim(T.unescaped(F.col("a.href")))).alias("to"), anchor.alias("anchor"))  # long expressions step by step: each would be repeated in the next
+    pattern = F.lit(ANCHOR)
+    found = pages.select(id_col, "url", F.posexplode(F.regexp_extract_all("html", pattern, 0)).alias("place", "a"))  # one pass over a page
+    found = found.select(id_col, "url", "place", F.regexp_extract("a", ANCHOR, 2).alias("href"), F.regexp_extract("a", ANCHOR, 3).alias("inner"))
+    anchor = T.unescaped(F.regexp_replace("inner", r"(?s)<[^>]*>", " "))
+    rows = found.select(id_col, "place", U.resolved(F.col("url"), F.trim(T.unescaped(F.col("href")))).alias("to"), anchor.alias("anchor"))  # long expressions step by step: each would be repeated in the next
     rows = rows.select(id_col, "place", U.canonical_url(F.col("to")).alias("to_url"), T.normalize_text(F.col("anchor")).alias("anchor")).where("to_url <> ''").withColumn("anchor", T.snippet(F.col("anchor"), 300))
     rows = rows.withColumn("relevance", U.link_relevance(F.col("to_url"), F.col("anchor")))
     own = Window.partitionBy(id_col, "to_url").orderBy("place")
