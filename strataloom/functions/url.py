@@ -23,6 +23,10 @@ ID_KEYS = ("productId", "goodsId", "resourceId", "sceneId", "id", "code")
 ROLE_BONUS = {"entry": 8.0, "sitemap": 7.0, "listing": 5.0, "api": 5.0, "detail": 4.0}
 SECOND_LEVEL = ("com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn")
 
+# Marks of pages that are rendered on a server, and of those rendered in a browser.
+SERVER_MARKS = ("window.__NUXT__", "__NEXT_DATA__")
+APP_MARKS = ('id="app"', "id='app'", 'id="root"', "id='root'", 'id="main"', "id='main'", "webpack", "vite")
+HEAD, LITTLE_TEXT = 300_000, 800
 # Networks that no public host lies in: first and last address.
 CLOSED = (
     ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
@@ -156,13 +160,12 @@ def detail_url(template: Column, external: Column, otherwise: Column) -> Column:
 
 def looks_like_app(html: Column, url: Column, mime: Column) -> Column:
     """Whether a page is an application that shows its records only in a browser."""
-    head = F.substring(html, 1, 300_000)
+    head = F.substring(html, 1, HEAD)
     visible = F.trim(F.regexp_replace(F.regexp_replace(head, "<[^>]+>", " "), r"\s+", " "))
-    server = any_of(head, ("window.__NUXT__", "__NEXT_DATA__"))
-    app = any_of(head, ('id="app"', "id='app'", 'id="root"', "id='root'", 'id="main"', "id='main'", "webpack", "vite"))
     page = F.contains(mime, F.lit("html")) | F.lower(F.ltrim(html)).startswith("<!doctype html")
     scripts = F.regexp_count(head, F.lit(r"(?i)<script\b"))
-    return page & (url.rlike("#!?/") | (scripts >= 2) & (server | app & (F.length(visible) < 800)))
+    shell = any_of(head, SERVER_MARKS) | any_of(head, APP_MARKS) & (F.length(visible) < LITTLE_TEXT)
+    return page & (url.rlike("#!?/") | (scripts >= 2) & shell)
 
 
 def any_of(value: Column, terms) -> Column:

@@ -21,6 +21,7 @@ CONTEXT_KINDS = (
     ("component", ("数据组件", "组件详情", "component", "算法工具", "开发工具")),
     ("demand", ("数据需求", "需求详情", "demand")),
 )
+LIST_PATHS = "/list|/catalog|/search|/index|/(?:product|goods|dataset|scenario|demand)$"
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1[^>]*>(.*?)</a>"""
 NEWS = ("新闻", "通知", "公告", "政策", "资讯")
 
@@ -99,7 +100,7 @@ def item_score(url: Column, title: Column, n_fields: Column, has_name: Column, h
 def admitted(url: Column, score: Column, named: Column) -> Column:
     """The gate: 3.0 on detail routes, else 4.5; a page that looks like a list needs a name of its own among its fields."""
     path = F.regexp_replace(F.lower(U.part(url, 4)), "/+$", "")
-    listing = path.rlike("/list|/catalog|/search|/index|/(?:product|goods|dataset|scenario|demand)$")
+    listing = path.rlike(LIST_PATHS)
     return (score >= F.when(U.any_of(path, U.DETAIL_TERMS), 3.0).otherwise(4.5)) & (~listing | named)
 
 
