@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, minhash, pieces, quality_classifier, quality_rules, sharding, substring, token_counts, toxicity
+from . import decontamination, language_id, minhash, periods, pieces, quality_classifier, quality_rules, secrets, sharding, spelling, substring, token_counts, toxicity
 from .common import read
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -55,8 +55,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), alter=spelling.drop_letters)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(read(spark, sf_dir, "documents"), tail=periods.tail_period)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+QUERIES = [
+    op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_nbest_pieces, op6_toxicity, op7_balanced_shards, op8_near_duplicates, op9_language_id,
+    op10_substring_dedup, op11_spelling_variants, op12_periodic_runs, op13_secret_scan,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_nbest_pieces, op6_toxicity, op7_balanced_shards, op8_near_duplicates, op9_language_id, op10_substring_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,5 +147,53 @@ select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256
 """
 
 
+#: The table of the CRC-32 of bytes, and the CRC-32 of a list of them.
+CRC_TABLE = """select list(c order by i) as tab from (select i, list_reduce(list_prepend(i, range(0, 8)), lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as c
+  from (select unnest(range(0, 256)) as i))"""
+
+
+def crc_of(column: str) -> str:
+    """SQL for the unsigned CRC-32 of a text column's bytes; needs the table as ``tab``."""
+    each = f"list_transform(range(0, strlen({column})), lambda k: ('0x' || substr(hex(encode({column})), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {each}), lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1])), 4294967295)"
+
+
+OP11 = f"""
+with recursive table_of as ({CRC_TABLE}),
+r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') as w from documents),
+k as (select doc_id, w, doc_id || ':' || w as named, count(*) as c from r where length(w) >= 7 group by all),
+h as (select w, c, {crc_of("named")} as h from k, table_of),
+alt as (select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, c from h),
+v as materialized (select word, sum(c)::bigint as n from alt where length(word) >= 7 group by word having sum(c) >= 2),
+cut as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+shorter as (select distinct c.word as x, c.n as xn, v.word as y, v.n as yn from cut c join v on c.rest = v.word),
+near as (select a.word, b.word as other, b.n as other_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union all select x, y, yn from shorter union all select y, x, xn from shorter),
+best as (select word, count(*) as n_near, max(other_n) as top from near group by word),
+f as materialized (select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when b.top >= 10 * v.n then b.top end as form_n,
+  case when b.top >= 10 * v.n then (select min(other) from near where near.word = v.word and near.other_n = b.top) end as form from v left join best b using (word)),
+follow as (select word, form as last from f where form is not null union all select follow.word, f.form from follow join f on f.word = follow.last where f.form is not null),
+ends as (select follow.word, last from follow join f on f.word = follow.last where f.form is null)
+select f.word, form, coalesce(last, f.word) as root, n, n_near, form_n from f left join ends using (word)
+"""
+
+OP12 = rf"""
+with table_of as ({CRC_TABLE}),
+d as (select doc_id, doc_id::varchar as id, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
+h as (select doc_id, ws, len(ws) as n, {crc_of("id")} as h from d, table_of),
+a as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n else n end as a, 3 + (h // 10) % 8 as parts from h),
+e as materialized (select doc_id, i, ws[1 + case when i >= a then a + (i - a) % (1 + (n - a) // parts) else i end] as word from (select *, unnest(range(0, n)) as i from a)),
+p as (select x.doc_id, y.i - x.i as q, x.i from e x join e y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i),
+s as (select doc_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as g from p) group by doc_id, q, g),
+runs as materialized (select doc_id, start, length, min(q) as period from s where length >= greatest(12, 2 * q) group by all),
+top as (select * from (select *, row_number() over (partition by doc_id order by length desc, start, period) as nth, count(*) over (partition by doc_id) as n_runs from runs) where nth = 1),
+listed as (select doc_id, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t from runs group by doc_id),
+gone as (select distinct e.doc_id, e.i from e join runs r on r.doc_id = e.doc_id and e.i >= r.start + r.period and e.i < r.start + r.length),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.i) as t, count(*) as n from e left join gone g on g.doc_id = e.doc_id and g.i = e.i where g.i is null group by e.doc_id)
+select a.doc_id, a.n as n_words, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli, a.n - coalesce(kept.n, 0) as n_dropped,
+  sha256(coalesce(listed.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256 from a left join top using (doc_id) left join listed using (doc_id) left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op7_balanced_shards": OP7, "op8_near_duplicates": OP8, "op10_substring_dedup": OP10}
+    return {"op1_quality_rules": OP1, "op7_balanced_shards": OP7, "op8_near_duplicates": OP8, "op10_substring_dedup": OP10, "op11_spelling_variants": OP11, "op12_periodic_runs": OP12}
