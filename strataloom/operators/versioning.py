@@ -33,21 +33,26 @@ def diff(rows: DataFrame, key: list[str], order: list[str], fields: list[str]) -
     return both.select(*key, *order, F.explode(changed).alias("c")).select(*key, *order, "c.field", "c.old", "c.new")
 
 
-def absences(sightings: DataFrame, runs: DataFrame, key: str, run: str, limit: int = 3) -> DataFrame:
-    """(key, run) where an item is retired: missed in ``limit`` complete full runs in a row; once for each gap, as any sighting
-    begins anew. ``sightings``: key, run, also of runs that are not complete; ``runs``: the complete full runs. A run misses
-    an item if it begins after the item was last seen.
-
-    Each run gets the number of complete ones up to it, in a table of one row for each run; a sighting takes the number of its
-    run. The gap between two sightings of an item is the number of misses, so no item x run grid is built."""
-    every = runs.select(run, F.lit(1).alias("__whole")).union(sightings.select(run, F.lit(0))).groupBy(run).agg(F.max("__whole").alias("__whole"))
-    numbered = every.withColumn("__n", F.sum("__whole").over(Window.orderBy(run)))  # one row for each run
-    placed = sightings.select(key, run).distinct().join(numbered.select(run, "__n"), run).select(key, "__n").distinct()
-    seen = placed.withColumn("__next", F.lead("__n").over(Window.partitionBy(key).orderBy("__n")))
-    total = numbered.agg(F.max("__n").alias("__last"))  # one row
-    missed = F.coalesce(F.col("__next"), F.col("__last") + 1) - F.col("__n")
-    gone = seen.join(F.broadcast(total)).where(missed > limit).select(key, (F.col("__n") + limit).alias("__n"))
-    return gone.join(numbered.where("__whole = 1").select("__n", run), "__n").select(key, run)
+def absences(sightings: DataFrame, runs: DataFrame, key: list[str], run: str, limit: int = 3, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, key, run) where an item is retired: missed in ``limit`` complete full runs in a row; once for each gap, as any sighting
+    begins anew. ``sightings``: scope, key, run, also of runs that are not complete; ``runs``: scope and run of the complete full ones. A run
+    misses an item if it begins after the item was last seen. Only runs of the item's own ``scope`` (its platform) count.
+
+    Each run gets the number of complete ones of its scope up to it and before it, in a table of one row for each run. Between two sightings of an
+    item lie as many misses as complete runs behind the first and before the second, so no item x run grid is built. A sighting in a run
+    that is not complete, behind the last miss, comes too late: the item was retired by then, and is recovered."""
+    if not scope:
+        one = F.lit(0).alias("__scope")
+        return absences(sightings.select("*", one), runs.select("*", one), key, run, limit, ("__scope",)).drop("__scope")
+    every = runs.select(*scope, run, F.lit(1).alias("__whole")).union(sightings.select(*scope, run, F.lit(0))).groupBy(*scope, run).agg(F.max("__whole").alias("__whole"))
+    numbered = every.withColumn("__n", F.sum("__whole").over(Window.partitionBy(*scope).orderBy(run)))
+    numbered = numbered.withColumn("__before", F.col("__n") - F.col("__whole"))
+    placed = sightings.select(*scope, *key, run).distinct().join(numbered.select(*scope, run, "__n", "__before"), [*scope, run])
+    seen = placed.withColumn("__next", F.lead("__before").over(Window.partitionBy(*scope, *key).orderBy(run)))
+    total = numbered.groupBy(*scope).agg(F.max("__n").alias("__last"))
+    missed = F.coalesce(F.col("__next"), F.col("__last")) - F.col("__n")
+    gone = seen.join(total, [*scope]).where(missed >= limit).select(*scope, *key, (F.col("__n") + limit).alias("__n"))
+    return gone.join(numbered.where("__whole = 1").select(*scope, "__n", run), [*scope, "__n"]).select(*scope, *key, run)
 
 
 def history(sightings: DataFrame, removals: DataFrame | None, key: list[str], order: list[str], payload: str) -> DataFrame:
@@ -78,10 +83,21 @@ def intervals(states: DataFrame, key: list[str], order: list[str], at: str) -> D
     return out.withColumn("is_current", F.col("valid_to").isNull())
 
 
-def change_events(states: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The change log of a history: all but unchanged sightings, each with its version. A removal says why."""
-    rows = states.where("event <> 'unchanged'")
-    return rows.select(*key, *order, "event", "version_no", F.when(F.col("event") == "removed", "missing from complete full scans").alias("reason"))
+def change_events(states: DataFrame, key: list[str], order: list[str], fields: list[str] | None = None) -> DataFrame:
+    """The change log of a history: all but unchanged sightings, each with its version and its ``payload``, JSON text: for a removal the
+    reason, else {"diff": {field: {"old", "new"}}} with the ``fields`` that differ from the sighting before (of an item's first one: none).
+    Values are text; removals carry no fields of their own, so a recovery is compared with the last sighting before the removal."""
+    fields = fields or []
+    own = Window.partitionBy(*key).orderBy(*order, F.col("event") == "removed").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event") != "removed", F.struct(F.lit(1).alias("seen"), *[F.col(f).cast("string").alias(f) for f in fields])), ignorenulls=True).over(own)
+    rows = states.withColumn("__last", last)
+    each = [F.struct(F.lit(f).alias("key"), F.struct(F.col(f"__last.{f}").alias("old"), F.col(f).cast("string").alias("new")).alias("value")) for f in sorted(fields)]
+    changed = F.filter(F.array(*each), lambda c: ~c.value.old.eqNullSafe(c.value.new)) if each else F.array().cast("array<struct<key:string,value:struct<old:string,new:string>>>")
+    diff = F.when(F.col("__last").isNull(), F.slice(changed, 1, 0)).otherwise(changed)
+    told = F.to_json(F.struct(F.map_from_entries(diff).alias("diff")), {"ignoreNullFields": "false"})
+    reason = F.to_json(F.struct(F.lit("missing from complete full scans").alias("reason")))
+    payload = F.when(F.col("event") == "removed", reason).otherwise(told)
+    return rows.where("event <> 'unchanged'").select(*key, *order, "event", "version_no", payload.alias("payload"))
 
 
 def semantic_hash(items: DataFrame, fields: list[str], dims: str = "dimensions") -> Column:
@@ -92,20 +108,37 @@ def semantic_hash(items: DataFrame, fields: list[str], dims: str = "dimensions")
     return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
-def apply_mappings(dims: DataFrame, rules: DataFrame) -> DataFrame:
+def fold_raw(c: Column) -> Column:
+    """Raw values as mappings compare them: case and white space do not matter."""
+    return F.lower(T.normalize_text(F.coalesce(c, F.lit(""))))
+
+
+def apply_mappings(dims: DataFrame, rules: DataFrame, nth: str | None = None) -> DataFrame:
     """Dimension rows (type, raw, value, confidence, method) under the enabled rules (type, raw, mapped, sure, enabled); case and
-    white space of raw values do not matter. To be applied before hashing. The rule table is broadcast."""
-    fold = lambda c: F.lower(T.normalize_text(c))
-    own = rules.where("enabled").select("type", fold(F.col("raw")).alias("__raw"), "mapped", "sure")
-    rows = dims.withColumn("__raw", fold(F.coalesce("raw", F.lit("")))).join(F.broadcast(own), ["type", "__raw"], "left")
+    white space of raw values do not matter. Of several rules for one value the last counts: the one with the largest ``nth``, a column of
+    ``rules``, else the largest mapped value. To be applied before hashing. Spark broadcasts the rules if their size allows."""
+    last = F.max_by(F.struct("mapped", "sure"), F.struct(nth, "mapped") if nth else F.struct("mapped", "sure"))
+    own = rules.where("enabled").groupBy("type", fold_raw(F.col("raw")).alias("__raw")).agg(last.alias("__rule")).select("type", "__raw", "__rule.mapped", "__rule.sure")
+    rows = dims.withColumn("__raw", fold_raw(F.col("raw"))).join(own, ["type", "__raw"], "left")
     hit = F.col("mapped").isNotNull()
     changed = {"value": F.coalesce("mapped", "value"), "confidence": F.coalesce("sure", "confidence"), "method": F.when(hit, "taxonomy_mapping").otherwise(F.col("method"))}
     return rows.withColumns(changed).drop("__raw", "mapped", "sure")
 
 
-def evidence_rows(versions: DataFrame, fields: DataFrame, key: str) -> DataFrame:
-    """(key, version_no, field, raw, locator, method, confidence): what the fields of each version rest on."""
-    return versions.select(key, "version_no").join(fields.hint("merge"), key).select(key, "version_no", "field", T.snippet(F.col("value"), 2000).alias("raw"), "locator", F.lit("rule").alias("method"), F.lit(1.0).alias("confidence"))
+def mapped_types(items: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
+    """``items`` (key, product_type) with the type that a mapping gave to the item's product_type dimension in ``mapped`` (key and what
+    ``apply_mappings`` returns), so that item and dimension agree before they are hashed."""
+    own = mapped.where("type = 'product_type' and method = 'taxonomy_mapping'").groupBy(key).agg(F.max("value").alias("__mapped"))
+    return items.join(own.hint("merge"), key, "left").withColumn("product_type", F.coalesce("__mapped", "product_type")).drop("__mapped")
+
+
+def evidence_rows(versions: DataFrame, fields: DataFrame, key: list[str]) -> DataFrame:
+    """(key, version_no, field, raw, locator, method, confidence, snapshot): what the fields of each version rest on. ``key`` tells a version
+    apart in both tables (item and version number, or item and content hash); ``fields`` (key, field, value, locator, method, confidence)
+    keep how the extraction found them; ``snapshot`` is that of the version. Blank values rest on nothing."""
+    own = versions.select(*dict.fromkeys([*key, "version_no", "snapshot"]))
+    rows = own.join(fields.where("value is not null and value <> ''").hint("merge"), key)
+    return rows.select(*key, *([] if "version_no" in key else ["version_no"]), "field", T.snippet(F.col("value"), 2000).alias("raw"), "locator", "method", "confidence", "snapshot")
 
 
 def link_entities(items: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
@@ -170,9 +203,9 @@ def resolve_pending(reviews: DataFrame, reviewer: str) -> DataFrame:
 
 
 def apply_decisions(versions: DataFrame, dims: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Versions (item, product_type) and dimension rows (item, type, value, confidence, method) under decisions (item, status, value): an accepted
-    value overwrites both, with confidence 1; without a value only the status counts."""
-    chosen = decisions.where("status = 'accepted' and value is not null and value <> ''").groupBy("item").agg(F.max("value").alias("decided"))
+    """Versions (item, product_type) and dimension rows (item, type, value, confidence, method) under decisions (item, status, value, at): the value
+    accepted last (ties: the largest) overwrites both, with confidence 1; without a value only the status counts."""
+    chosen = decisions.where("status = 'accepted' and value is not null and value <> ''").groupBy("item").agg(F.max_by("value", F.struct("at", "value")).alias("decided"))
     out = versions.hint("merge").join(chosen, "item", "left").withColumn("product_type", F.coalesce("decided", "product_type")).drop("decided")
     rows = dims.hint("merge").join(chosen, "item", "left")
     hit = F.col("decided").isNotNull() & (F.col("type") == "product_type")
@@ -217,6 +250,33 @@ def as_of(versions: DataFrame, at) -> DataFrame:
     return versions.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.lit(at) < F.col("valid_to"))))
 
 
+def as_of_each(instants: DataFrame, versions: DataFrame, key: list[str], at: str, since: str, order: list[str], fields: list[str], bucket: str | None = None) -> DataFrame:
+    """``instants`` (key, at, ...) each with the ``fields`` of the version of its key that held then: the last with ``since`` <= ``at`` by (since, order); null
+    before the first. An as-of join as one union, sorted by key and time, in which a row takes the last version before it: one shuffle, and no
+    join that compares each instant with each version.
+
+    A key with a large share of all rows is one sort in one task; ``bucket`` (a unit of date_trunc, such as "month") splits keys by
+    time, and what held at a bucket's begin comes from a table of one row for each key and bucket. Instants of null time or key get nulls."""
+    taken, name = F.struct(*fields), [f"__o{k}" for k in range(len(order))]
+    old = versions.where(F.col(since).isNotNull()).select(*key, F.col(since).cast("timestamp").alias("__at"), F.lit(0).alias("__kind"), *[F.col(o).alias(n) for o, n in zip(order, name, strict=True)], taken.alias("__version"))
+    new = instants.select(*key, F.col(at).cast("timestamp").alias("__at"), F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in instants.columns]).alias("__row"))
+    rows = old.unionByName(new, allowMissingColumns=True)
+    part = [*key]
+    if bucket:
+        rows, part = rows.withColumn("__bucket", F.date_trunc(bucket, "__at")), [*key, "__bucket"]
+    own = Window.partitionBy(*part).orderBy("__at", "__kind", *name)
+    held = rows.withColumn("__held", F.last("__version", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    if bucket:
+        last = rows.groupBy(*part).agg(F.max_by("__version", F.when(F.col("__kind") == 0, F.struct("__at", *name))).alias("__last"))
+        before = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).where("__carried is not null").select(*part, "__carried")
+        held = held.join(carried.hint("merge"), part, "left").withColumn("__held", F.coalesce("__held", "__carried"))
+    known = F.col("__at").isNotNull()
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    return held.where("__kind = 1").select("__row.*", *[F.when(known, F.col(f"__held.{f}")).alias(f) for f in fields])
+
+
 def unchanged_runs(rows: DataFrame, key: list[str], page: str, changed: str, length: int) -> DataFrame:
     """The first page that ends ``length`` consecutive pages without a change."""
     own = Window.partitionBy(*key).orderBy(page)

@@ -9,9 +9,10 @@ from ..functions import text as T
 from ..operators import extract as X
 from ..operators import logs as L
 from ..operators import records as RC
+from ..operators import similar as S
 from ..operators import versioning as V
 from ..sources import registry as R
-from ..streaming.observations import folder
+from ..sources.tables import folder
 from . import records as RP
 from .registry import query, read
 
@@ -200,22 +201,39 @@ def d15_bulk_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolve_pending(reviews, "bulk").select("item", "status", "reviewer", "resolved")
 
 
-D16 = """with i as (select doc_id as item, 'type' || doc_id % 4 as t from labels), n as (select doc_id as item, max('new' || doc_id % 3) as v from labels where toxic = 0 and doc_id % 2 = 0 group by 1)
+D16 = """with i as (select doc_id as item, 'type' || doc_id % 4 as t from labels), n as (select doc_id as item, case when doc_id % 4 = 0 then 'alpha' else 'new' || doc_id % 3 end as v from labels where toxic = 0 and doc_id % 2 = 0 group by 1, 2)
 select item, coalesce(v, t) as product_type, type, case when type = 'product_type' then coalesce(v, t) else 'other' end as value, case when v is not null and type = 'product_type' then 1.0 else 0.5 end::double as confidence, case when v is not null and type = 'product_type' then 'manual_review' else 'rule' end as method from (select distinct * from i) left join n using (item), (select unnest(['product_type', 'industry']) as type)"""
 
 
 @query(D16)
 def d16_apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted decisions change a type; those without a value and rejected ones change nothing."""
+    """Accepted decisions change a type, of several the latest; those without a value and rejected ones change nothing."""
     labels = read(spark, sf_dir, "labels")
     versions = labelled_items(spark, sf_dir).select("item", "product_type").distinct()
     dims = versions.select("item", F.explode(F.create_map(F.lit("product_type"), "product_type", F.lit("industry"), F.lit("other"))).alias("type", "value"), F.lit(0.5).alias("confidence"), F.lit("rule").alias("method"))
     value = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new"), F.col("doc_id") % 3)).otherwise("")
-    decisions = labels.select(F.col("doc_id").alias("item"), F.when(F.col("toxic") == 0, "accepted").otherwise("rejected").alias("status"), value.alias("value"))
+    decisions = labels.select(F.col("doc_id").alias("item"), F.when(F.col("toxic") == 0, "accepted").otherwise("rejected").alias("status"), value.alias("value"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    later = decisions.where("item % 4 = 0").withColumns({"value": F.lit("alpha"), "at": F.lit("2024-01-02").cast("timestamp")})
+    decisions = decisions.unionByName(later).unionByName(later.withColumns({"value": F.lit("zeta"), "at": F.lit("2023-01-01").cast("timestamp")}))
     out, rows = V.apply_decisions(versions, dims, decisions)
     return out.join(rows.hint("merge"), "item").select("item", "product_type", "type", "value", "confidence", "method")
 
 
+I05 = r"""with d as (select doc_id as item, lang as kind, lower(left(coalesce(text, ''), 40) || ' ' || coalesce(text, '')) as t from documents where lang is not null), g as (select distinct item, kind, unnest(regexp_extract_all(t, '[\pL\pN]+')) as w from d),
+s as (select item, kind, list(w order by w) as ws from g group by all), c as (select *, min(item) over (partition by kind, ws) as head from s), r as (select item, kind, len(ws) as n from c where item = head),
+p as (select a.item, b.item as other, a.kind, count(*) as common from g a join g b on a.kind = b.kind and a.w = b.w and a.item < b.item join r x on x.item = a.item join r y on y.item = b.item group by all),
+j as (select p.item, p.other, p.kind, common / (x.n + y.n - common) as score from p join r x on x.item = p.item join r y on y.item = p.other), n as (select doc_id as item, lower(trim(regexp_replace(left(coalesce(text, ''), 40), '\s+', ' ', 'g'))) as name from documents)
+select item, other, kind, round(score, 6) as score, case when score = 1 then 'equal tokens' when a.name <> '' and a.name = b.name then 'equal names' else 'similar tokens' end as reason
+from (select * from j where score >= 0.8 - 1e-9 union all select head, item, kind, 1.0 from c where item <> head) q join n a using (item) join n b on b.item = q.other"""
+
+
+@query(I05)
+def i05_possible_same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: a name of forty characters, the whole text as description, the language as kind."""
+    text = F.coalesce("text", F.lit(""))
+    return S.possible_same_as(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("lang").alias("kind"), F.substring(text, 1, 40).alias("name"), F.col("text").alias("description")))
+
+
 @query(r"""select doc_id, regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') as has_email, regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)') as has_mobile, regexp_matches(text, '(^|[^0-9])[0-9]{17}[0-9Xx]([^0-9]|$)') as has_identity,
  regexp_matches(lower(text), 'ignore (all )?(previous|prior|above) instructions|<script|system prompt|javascript:') as has_injection from documents""")
 def i08_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

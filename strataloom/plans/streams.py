@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import folder
 from ..streaming import observations as O
+from ..streaming import states as ST
 from . import versions as V
 from .registry import query, read
 
@@ -26,9 +28,26 @@ def h02_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.drain(O.tail_with_end(lines.select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_type") == "purchase").alias("final"))))
 
 
-@query("with s as (select *, lag(event_type) over w as before, row_number() over w as nth from events window w as (partition by user_id order by ts, event_id)), c as (select * from s where nth = 1 or before is distinct from event_type) select event_id, user_id as item, row_number() over (partition by user_id order by ts, event_id) as version_no, case when nth = 1 then 'added' else 'updated' end as event from c")
+def log_with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and the ends of complete days, written as an append-only log and read as a stream. Runs are numbered by day."""
+    number = lambda d: F.unix_date(d).cast("long")
+    seen = V.bought(spark, sf_dir).select((F.col("item") % 3).alias("platform"), F.col("item").cast("string").alias("item"), number(F.to_date("ts")).alias("run"), F.col("ts").cast("timestamp").alias("at"), "event_id", "payload")
+    ends = V.complete_days(spark, sf_dir).select("platform", number("retired_on").alias("run"))
+    return O.source(spark, folder_of(seen.unionByName(ends, allowMissingColumns=True)))
+
+
+def folder_of(rows: DataFrame) -> str:
+    at = folder(rows.sparkSession)
+    rows.write.parquet(f"{at}/log")
+    return f"{at}/log"
+
+
+@query(f"select item, ts::date as seen_on, event, version_no::bigint as version_no, payload from (select item, ts, event, version_no, case when removed then before else payload end as payload from {V.SEEN_OR_GONE} where event <> 'unchanged')")
 def h03_stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.changes(events(spark, sf_dir).select("event_id", "ts", F.col("user_id").alias("item"), F.col("event_type").alias("payload")))
+    """Versions, removals and recoveries in one stream. A removal shows the payload that the item had."""
+    with ST.rocks(spark):
+        out = O.drain(ST.item_events(log_with_ends(spark, sf_dir), shards=4))
+    return out.select(F.col("item").cast("long").alias("item"), F.date_from_unix_date(F.col("run").cast("int")).alias("seen_on"), "event", "version_no", "payload")
 
 
 @query("select distinct event_id, user_id, sha256(event_type) as content_hash from events union all select event_id, user_id, sha256('changed') from events where day(ts) % 3 = 0 and event_id % 2 = 0")
@@ -39,21 +58,20 @@ def h04_overlap_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.drain(O.once_within(own.unionByName(again), ["event_id", "content_hash"], "ts").select("event_id", "user_id", "content_hash"))
 
 
-@query(V.TRAILING)
+@query(f"select * from ({V.TRAILING}) where until <= (select max(ts) from events) - interval 1 day")
 def h05_stream_trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log of the events, written to the shared folder and read as a stream."""
-    at = O.folder(spark)
-    V.states(spark, sf_dir).where("event <> 'unchanged'").select(F.col("ts").cast("timestamp").alias("ts"), "event").write.parquet(f"{at}/changes")
-    return O.drain_whole(O.trailing(O.source(spark, f"{at}/changes")))
+    """The windows that are closed: those up to a day before the last event."""
+    rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("item"), F.col("ts").alias("at"), "event_id", F.col("event_type").alias("payload"))
+    with ST.rocks(spark, evolving=False):
+        return O.drain(ST.trailing_day(rows, shards=8))
 
 
-@query(f"select user_id as item, n.n::bigint as n from {V.RETIRED_PLAIN} r join (select d, row_number() over (order by d) as n from (select distinct ts::date as d from events where day(ts) % 4 <> 0)) n on n.d = r.retired_on")
+@query(f"select user_id as item, platform, retired_on from {V.RETIRED}")
 def h06_stream_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases on the days of complete runs; all other events of these days only say that the run is over."""
-    days = read(spark, sf_dir, "events").where(F.dayofmonth("ts") % 4 != 0).select(F.to_date("ts").alias("d")).distinct()
-    runs = days.withColumn("n", F.row_number().over(Window.orderBy("d")).cast("long"))  # one row for each run
-    rows = events(spark, sf_dir).withColumn("d", F.to_date("ts")).join(F.broadcast(runs), "d")
-    return O.removals(rows.select(F.when(F.col("event_type") == "purchase", F.col("user_id")).alias("item"), "n"))
+    """Items of three platforms whose complete runs differ: what the stream of versions says of removals."""
+    with ST.rocks(spark):
+        out = O.drain(ST.item_events(log_with_ends(spark, sf_dir), shards=4).where("event = 'removed'"))
+    return out.select(F.col("item").cast("long").alias("item"), "platform", F.date_from_unix_date(F.col("run").cast("int")).alias("retired_on"))
 
 
 @query("select distinct url from pages")

@@ -35,13 +35,11 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.intervals(states(spark, sf_dir), ["item"], ["ts", "event_id"], "ts")
 
 
-# Purchases are sightings, days are runs, those whose number 4 does not divide are complete.
-RETIRED = """(with c as (select distinct ts::date as d from events where day(ts) % 4 <> 0), s as (select distinct user_id, ts::date as d from events where event_type = 'purchase'), a as (select d from c union select d from s),
- n as (select d, d in (select d from c) as whole, sum((d in (select d from c))::int) over (order by d) as n from a), p as (select distinct user_id, n from s join n using (d)), g as (select *, lead(n) over (partition by user_id order by n) as nxt from p)
- select user_id, n.d as retired_on from g join n on n.n = g.n + 3 and n.whole where coalesce(nxt, (select max(n) from n) + 1) - g.n > 3)"""
-#: The same where sightings in runs that are not complete do not count.
-RETIRED_PLAIN = "(with runs as (select d, row_number() over (order by d) as n from (select distinct ts::date as d from events where day(ts) % 4 <> 0)), s as (select distinct user_id, n from events join runs on ts::date = d where event_type = 'purchase'), g as (select *, lead(n) over (partition by user_id order by n) as nxt from s) select user_id, runs.d as retired_on from g join runs on runs.n = g.n + 3 where coalesce(nxt, (select max(n) from runs) + 1) - g.n > 3)"
-SEEN_OR_GONE = f"""(with l as (select user_id as item, ts, event_id, (event_id % 3)::varchar as payload, false as removed from events where event_type = 'purchase' union all select user_id, retired_on::timestamp, null, null, true from {RETIRED}),
+# Purchases are sightings, users of one remainder by three are a platform's items, days are runs; a platform's run is complete where four does not divide day + platform.
+RETIRED = """(with e as (select *, user_id % 3 as platform, ts::date as d from events), c as (select distinct platform, d from e where (day(ts) + platform) % 4 <> 0), s as (select distinct platform, user_id, d from e where event_type = 'purchase'), a as (select platform, d from c union select platform, d from s),
+ n as (select a.platform, a.d, c.d is not null as whole, sum((c.d is not null)::int) over (partition by a.platform order by a.d) as n from a left join c on c.platform = a.platform and c.d = a.d), p as (select platform, user_id, d, n, n - whole::int as before from s join n using (platform, d)), g as (select *, lead(before) over (partition by user_id order by d) as nxt from p)
+ select user_id, g.platform, n.d as retired_on from g join n on n.platform = g.platform and n.n = g.n + 3 and n.whole where coalesce(nxt, (select max(n) from n m where m.platform = g.platform)) - g.n >= 3)"""
+SEEN_OR_GONE = f"""(with l as (select user_id as item, ts, event_id, event_id % 3 || '/' || event_id % 2 as payload, false as removed from events where event_type = 'purchase' union all select user_id, retired_on::timestamp, null, null, true from {RETIRED}),
  w as (select *, last_value(payload ignore nulls) over (partition by item order by ts rows between unbounded preceding and 1 preceding) as before, coalesce(lag(removed) over (partition by item order by ts), false) as gone from l),
  e as (select *, case when removed then 'removed' when before is null then 'added' when gone then 'recovered' when payload = before then 'unchanged' else 'updated' end as event, not removed and payload is distinct from before as fresh from w)
  select *, sum(fresh::int) over (partition by item order by ts)::int as version_no from e)"""
@@ -53,13 +51,19 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("item"), "ts", "event_id", (F.col("event_id") % 3).cast("string").alias("payload"))
+    part, grade = (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 2).cast("string")
+    return read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("item"), "ts", "event_id", F.concat_ws("/", part, grade).alias("payload"), part.alias("part"), grade.alias("grade"))
+
+
+def complete_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete runs (platform, retired_on): days with an event of one of the platform's users, those of another quarter left out on each platform."""
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("platform"), F.to_date("ts").alias("retired_on"))
+    return rows.where((F.dayofmonth("retired_on") + F.col("platform")) % 4 != 0).distinct()
 
 
 def retired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").withColumn("retired_on", F.to_date("ts"))
-    runs = rows.where(F.dayofmonth("ts") % 4 != 0).select("retired_on").distinct()
-    return V.absences(rows.where("event_type = 'purchase'").select("user_id", "retired_on"), runs, "user_id", "retired_on")
+    seen = read(spark, sf_dir, "events").where("event_type = 'purchase'").select((F.col("user_id") % 3).alias("platform"), "user_id", F.to_date("ts").alias("retired_on"))
+    return V.absences(seen, complete_days(spark, sf_dir), ["user_id"], "retired_on", scope=("platform",))
 
 
 @query(f"select item, ts, event, version_no from {SEEN_OR_GONE}")
@@ -73,13 +77,20 @@ def d05_scd2_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.intervals(purchases(spark, sf_dir), ["item"], ["ts", "event_id"], "ts").select("item", "version_no", "payload", "valid_from", "valid_to", "is_current")
 
 
-@query(f"select item, ts, event, version_no, case when removed then 'missing from complete full scans' end as reason from {SEEN_OR_GONE} where event <> 'unchanged'")
+D09 = f"""select item, ts, event, version_no, case when removed then '{{"reason":"missing from complete full scans"}}' when before is null then '{{"diff":{{}}}}'
+ else '{{"diff":{{' || array_to_string(list_filter([case when split_part(before, '/', 2) <> split_part(payload, '/', 2) then '"grade":{{"old":"' || split_part(before, '/', 2) || '","new":"' || split_part(payload, '/', 2) || '"}}' end,
+ case when split_part(before, '/', 1) <> split_part(payload, '/', 1) then '"part":{{"old":"' || split_part(before, '/', 1) || '","new":"' || split_part(payload, '/', 1) || '"}}' end], lambda x: x is not null), ',') || '}}}}' end as payload from {SEEN_OR_GONE} where event <> 'unchanged'"""
+
+
+@query(D09)
 def d09_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.change_events(purchases(spark, sf_dir), ["item"], ["ts", "event_id"]).drop("event_id")
+    """The change log with the difference of part and grade."""
+    return V.change_events(purchases(spark, sf_dir), ["item"], ["ts", "event_id"], ["part", "grade"]).drop("event_id")
 
 
-@query(f"select user_id, retired_on from {RETIRED}")
+@query(f"select user_id, platform, retired_on from {RETIRED}")
 def d13_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three platforms whose complete runs differ."""
     return retired(spark, sf_dir)
 
 
@@ -101,20 +112,39 @@ def d02_semantic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", V.semantic_hash(rows, HASHED).alias("semantic_hash"))
 
 
-@query("""with d as (select p_partkey, unnest(['product_type', 'brand']) as type, unnest([p_type, p_brand]) as raw from part)
-select p_partkey, type, raw, case when type = 'product_type' and raw = 'PROMO' then 'promotion' when type = 'brand' and raw = 'Brand#11' then 'house' else lower(raw) end as value,
- case when type = 'product_type' and raw = 'PROMO' then 0.99 when type = 'brand' and raw = 'Brand#11' then 0.9 else 0.5 end::double as confidence, case when (type = 'product_type' and raw = 'PROMO') or (type = 'brand' and raw = 'Brand#11') then 'taxonomy_mapping' else 'raw' end as method from d""")
-def d03_mapping_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rules hold; one is disabled, one is of another type."""
-    rules = spark.createDataFrame([("product_type", " Promo", "promotion", 0.99, True), ("brand", "BRAND#11", "house", 0.9, True), ("product_type", "LARGE", "bulk", 0.9, False), ("brand", "SMALL", "x", 0.9, True)], "type string, raw string, mapped string, sure double, enabled boolean")
+RULES = [("product_type", " Promo", "promotion", 0.99, True, 1), ("product_type", "PROMO ", "bargain", 0.97, True, 4), ("brand", "BRAND#11", "house", 0.9, True, 2), ("product_type", "LARGE", "bulk", 0.9, False, 3), ("product_type", "promo", "never", 1.0, False, 9), ("brand", "SMALL", "x", 0.9, True, 5)]
+D03 = """(with d as (select p_partkey, unnest(['product_type', 'brand']) as type, unnest([p_type, p_brand]) as raw from part)
+select p_partkey, type, raw, case when type = 'product_type' and raw = 'PROMO' then 'bargain' when type = 'brand' and raw = 'Brand#11' then 'house' else lower(raw) end as value,
+ case when type = 'product_type' and raw = 'PROMO' then 0.97 when type = 'brand' and raw = 'Brand#11' then 0.9 else 0.5 end::double as confidence, case when (type = 'product_type' and raw = 'PROMO') or (type = 'brand' and raw = 'Brand#11') then 'taxonomy_mapping' else 'raw' end as method from d)"""
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "type string, raw string, mapped string, sure double, enabled boolean, id int")
     dims = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.create_map(F.lit("product_type"), "p_type", F.lit("brand"), "p_brand")).alias("type", "raw"))
-    return V.apply_mappings(dims.select("*", F.lower("raw").alias("value"), F.lit(0.5).alias("confidence"), F.lit("raw").alias("method")), rules)
+    return V.apply_mappings(dims.select("*", F.lower("raw").alias("value"), F.lit(0.5).alias("confidence"), F.lit("raw").alias("method")), rules, "id")
+
+
+@query(f"select * from {D03}")
+def d03_mapping_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two enabled rules for one value, the later of which holds; two are disabled, one is of another type."""
+    return mapped(spark, sf_dir)
+
+
+@query(f"select p_partkey, value as product_type from {D03} where type = 'product_type'")
+def d03_mapped_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items' own types under the same rules."""
+    items = read(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("product_type"))
+    return V.mapped_types(items, mapped(spark, sf_dir), "p_partkey")
 
 
-@query(f"select k, 1 as version_no, field, value as raw, locator, 'rule' as method, 1.0::double as confidence from {RP.FIELDS} where value is not null and k % 2 = 0")
+@query(f"select k, n as version_no, field, case when n = 2 then 'was ' || value else value end as raw, locator, case when n = 2 then 'json' else 'rule' end as method, case when n = 2 then 0.9 else 1.0 end::double as confidence, 's' || k || '-' || n as snapshot from {RP.FIELDS}, (select unnest([1, 2]) as n) where value is not null")
 def d08_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the fields of every second part's page rest on."""
-    return V.evidence_rows(RP.parts(spark, sf_dir).where("k % 2 = 0").select("k", F.lit(1).alias("version_no")), RP.page_fields(spark, sf_dir), "k")
+    """Two versions of each part: the second one's fields come from another extraction."""
+    k, n = F.col("k"), F.col("version_no")
+    versions = RP.parts(spark, sf_dir).select("k", F.explode(F.array(F.lit(1), F.lit(2))).alias("version_no")).withColumn("snapshot", F.concat(F.lit("s"), k, F.lit("-"), n))
+    one = RP.page_fields(spark, sf_dir).select("k", F.lit(1).alias("version_no"), "field", "value", "locator", F.lit("rule").alias("method"), F.lit(1.0).alias("confidence"))
+    two = one.withColumns({"version_no": F.lit(2), "value": F.concat(F.lit("was "), "value"), "method": F.lit("json"), "confidence": F.lit(0.9)})
+    return V.evidence_rows(versions, one.unionByName(two), ["k", "version_no"])
 
 
 D10 = r"""with d as (select doc_id as item, lang as kind, lower(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 40)) as name, case when doc_id % 10 = 0 then '' else 'p' end as provider from documents),
@@ -194,6 +224,24 @@ def i01_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.as_of(versions(spark, sf_dir), F.lit("2024-01-15").cast("timestamp")).select("item", "payload", "version_no")
 
 
+I01_EACH = """with p as (select l_partkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice from lineitem where l_linenumber % 2 = 1), v as (select l_partkey, l_shipdate, l_extendedprice, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) as nth from p),
+o as (select l_orderkey, l_linenumber, l_partkey, o_orderdate from lineitem join orders on o_orderkey = l_orderkey where l_linenumber % 2 = 0),
+u as (select l_partkey, l_shipdate as t, 0 as k, nth, l_extendedprice as price, null::bigint as o, null::bigint as l from v union all select l_partkey, o_orderdate, 1, null, null, l_orderkey, l_linenumber from o),
+h as (select *, last_value(price ignore nulls) over w as price_then, last_value(nth ignore nulls) over w as version_then from u window w as (partition by l_partkey order by t, k, nth rows between unbounded preceding and current row))
+select o as l_orderkey, l as l_linenumber, l_partkey, t as o_orderdate, price_then as price, version_then as version_no from h where k = 1"""
+
+
+@query(I01_EACH)
+def i01_as_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each second line of an order the price of its part that held on the order's day: the last of the other lines shipped by then."""
+    lines = read(spark, sf_dir, "lineitem")
+    nth = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")).cast("long")
+    prices = lines.where("l_linenumber % 2 = 1").select("l_partkey", "l_shipdate", F.col("l_extendedprice").alias("price"), nth.alias("version_no"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    sold = lines.where("l_linenumber % 2 = 0").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey").join(orders, "l_orderkey")
+    return V.as_of_each(sold, prices, ["l_partkey"], "o_orderdate", "l_shipdate", ["version_no"], ["price", "version_no"])
+
+
 @query("with d as (select user_id % 5 as platform, ts::date as run, count(*) as n from events group by all) select platform, run, n, n < 0.8 * median(n) over (partition by platform order by run rows between 4 preceding and 1 preceding) as dropped from d")
 def i02_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("platform"), F.to_date("ts").alias("run")).agg(F.count("*").alias("n"))

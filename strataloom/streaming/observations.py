@@ -1,4 +1,4 @@
-"""Structured Streaming over append-only observation tables: tails, de-duplication, versions with state.
+"""Structured Streaming over append-only observation tables: tails, de-duplication, versions; ``states`` has items with removals.
 
 ``drain`` runs a stream until all files present are read and gives the result as a table. Checkpoints, results and states
 lie in the folder of ``spark.checkpoint.dir``; a batch that is repeated after a failure overwrites its own output.
@@ -6,25 +6,14 @@ lie in the folder of ``spark.checkpoint.dir``; a batch that is repeated after a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local one, but on one machine only: executors elsewhere
-    could not read it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='strataloom-')}"
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+from ..sources.tables import folder
 
 
 def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -36,29 +25,14 @@ def source(spark: SparkSession, path: str, files: int | None = None) -> DataFram
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """All rows that an append-mode stream gives for the files present."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
+def drain(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """All rows that an append-mode stream gives for the files present, and gave before for those that a former call with the same folder ``at`` read."""
+    spark = stream.sparkSession
+    at = at or folder(spark)
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def drain_with_state(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], rows: str, state: str) -> DataFrame:
-    """All rows of ``step(batch, state before) -> (rows, state after)``; both are tables with the given schemas."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
-
-    def one(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        before = own.read.schema(state).parquet(f"{at}/state/{n - 1}") if n else own.createDataFrame([], state)
-        out, after = step(batch, before)
-        after.write.mode("overwrite").parquet(f"{at}/state/{n}")
-        out.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
-
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    spark.createDataFrame([], rows).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")  # a stream without files
-    return spark.read.schema(f"{rows}, batch int").parquet(f"{at}/rows").drop("batch")
-
-
 def tail(stream: DataFrame, key: str, after: int) -> DataFrame:
     """Rows whose id lies behind a cursor; the checkpoint replaces the cursor from then on."""
     return stream.where(F.col(key) > after)
@@ -72,21 +46,6 @@ def once_within(stream: DataFrame, keys: list[str], at: str, overlap: str = "3 d
     return stream.withWatermark(at, overlap).dropDuplicatesWithinWatermark(keys)
 
 
-def drain_whole(stream: DataFrame) -> DataFrame:
-    """The last result of an aggregation, for the files present."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
-
-    def one(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/{n % 2}")
-
-    query = stream.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress
-    if last is None:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows/{last.batchId % 2}")
-
-
 ROWS, STATE = "event_id long, item long, version_no long, event string", "payload string, version_no long"
 
 
@@ -130,32 +89,3 @@ def say_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def tail_with_end(lines: DataFrame) -> DataFrame:
     """Lines (run, line, final) as they come, and one row of kind ``end`` for each run, once a line says that its status is final."""
     return lines.groupBy("run").applyInPandasWithState(say_end, "run long, line long, kind string", "ended boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def absence_step(limit: int) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Folds sightings (item, n; item is null in a row that only says that complete run n is over) into (item, n, gone): removals (item, n) and new states. Runs are
-    numbered and batches come in their order; any sighting begins anew."""
-
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        over = batch.agg(F.max("n").alias("last"))  # one row
-        seen = batch.where("item is not null").select("item", "n", F.lit(False).alias("gone")).unionByName(before).groupBy("item", "n").agg(F.max("gone").alias("gone"))
-        own = Window.partitionBy("item").orderBy("n")
-        rows = seen.withColumn("next", F.lead("n").over(own)).join(F.broadcast(over))
-        missed = F.coalesce(F.col("next"), F.col("last") + 1) - F.col("n") > limit
-        judged = rows.withColumn("missed", missed)
-        removed = judged.where("missed and not gone").select("item", (F.col("n") + limit).alias("n"))
-        return removed, judged.where("next is null").select("item", "n", (F.col("gone") | F.coalesce("missed", F.lit(False))).alias("gone"))
-
-    return step
-
-
-def removals(stream: DataFrame, limit: int = 3) -> DataFrame:
-    """(item, n): items missed in ``limit`` complete runs in a row, and the run that found it."""
-    return drain_with_state(stream, absence_step(limit), "item long, n long", "item long, n long, gone boolean")
-
-
-def trailing(changes: DataFrame, at: str = "ts") -> DataFrame:
-    """Changes (event, at) of the 24 hours before each full hour, as a stream with sliding windows."""
-    kind = lambda e: F.count_if(F.col("event") == e)
-    rows = changes.withWatermark(at, "1 day").groupBy(F.window(at, "24 hours", "1 hour").alias("w")).agg(kind("added").alias("added"), kind("updated").alias("updated"))
-    return rows.select(F.col("w.end").alias("until"), "added", "updated")

@@ -53,7 +53,7 @@ def test_kind_by_route_beats_text(spark):
 def test_three_complete_misses_retire(spark):
     runs = spark.createDataFrame([(k,) for k in range(1, 7)], "run int")
     seen = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1), ("b", 2), ("b", 4)], "item string, run int")
-    assert [tuple(r) for r in V.absences(seen, runs, "item", "run").collect()] == [("a", 4)]
+    assert [tuple(r) for r in V.absences(seen, runs, ["item"], "run").collect()] == [("a", 4)]
 
 
 def test_revert_is_a_version(spark):

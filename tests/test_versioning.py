@@ -25,11 +25,11 @@ def test_same_item_twice_then_changed(spark):
 def test_three_complete_misses_remove_once_and_a_sighting_recovers(spark):
     seen = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("b", 5), ("b", 7), ("a", 7), ("c", 3), ("c", 6)], "item string, run int")
     runs = spark.createDataFrame([(k,) for k in (1, 2, 4, 5, 7)], "run int")  # runs 3 and 6 were not complete
-    gone = V.absences(seen, runs, "item", "run")
+    gone = V.absences(seen, runs, ["item"], "run")
     assert [tuple(r) for r in gone.collect()] == [("a", 5)]
     states = V.history(seen.withColumn("payload", F.lit("p")), gone, ["item"], ["run"], "payload")
     log = V.change_events(states, ["item"], ["run"]).where("item = 'a'").orderBy("run").collect()
-    assert [(r.run, r.event, r.version_no, r.reason is not None) for r in log] == [(1, "added", 1, False), (5, "removed", 1, True), (7, "recovered", 1, False)]
+    assert [(r.run, r.event, r.version_no, r.payload) for r in log] == [(1, "added", 1, '{"diff":{}}'), (5, "removed", 1, '{"reason":"missing from complete full scans"}'), (7, "recovered", 1, '{"diff":{}}')]
 
 
 def test_recovery_with_a_new_payload_makes_a_version(spark):
@@ -107,3 +107,58 @@ def test_archive_checks_the_body(spark):
     rows = spark.createDataFrame([(1, day(1), "online", "x", "x"), (2, day(1), "online", "x", "y"), (3, day(9), "online", "x", "x"), (4, day(1), "archive", "x", "x")], "id int, expires_at timestamp, tier string, stored_hash string, body_hash string")
     got = {r.id: (r.outcome, r.tier, r.alert) for r in V.archived(rows, F.lit(day(2)), 10).collect()}
     assert got == {1: ("archived", "archive", None), 2: ("failed", "online", "snapshot_archive_failure")}
+
+
+def test_runs_of_another_platform_are_no_misses(spark):
+    seen = spark.createDataFrame([("A", "x", 1), ("B", "y", 1), ("B", "y", 5)], "platform string, item string, run int")
+    runs = spark.createDataFrame([("A", k) for k in (1, 2, 3, 4)] + [("B", 1), ("B", 5)], "platform string, run int")
+    assert [tuple(r) for r in V.absences(seen, runs, ["item"], "run", scope=("platform",)).collect()] == [("A", "x", 4)]
+
+
+def test_a_sighting_behind_the_last_miss_comes_too_late(spark):
+    seen = spark.createDataFrame([("a", 1), ("a", 5)], "item string, run int")  # run 5 is not complete
+    runs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "run int")
+    assert [tuple(r) for r in V.absences(seen, runs, ["item"], "run").collect()] == [("a", 4)]
+
+
+def test_evidence_belongs_to_its_version(spark):
+    versions = spark.createDataFrame([("x", 1, "s1"), ("x", 2, "s2")], "item string, version_no int, snapshot string")
+    fields = spark.createDataFrame([("x", 1, "name", "old name", "h1", "rule", 0.9), ("x", 2, "name", "new name", "json.name", "json", 0.8), ("x", 2, "price", "", "p", "json", 0.8)], "item string, version_no int, field string, value string, locator string, method string, confidence double")
+    got = V.evidence_rows(versions, fields, ["item", "version_no"]).orderBy("version_no").collect()
+    assert [tuple(r) for r in got] == [("x", 1, "name", "old name", "h1", "rule", 0.9, "s1"), ("x", 2, "name", "new name", "json.name", "json", 0.8, "s2")]
+
+
+def test_one_rule_a_value_and_the_type_of_the_item(spark):
+    dims = spark.createDataFrame([(1, "product_type", "API", "other", 0.4, "rule"), (2, "product_type", None, "other", 0.4, "rule")], "item int, type string, raw string, value string, confidence double, method string")
+    rules = spark.createDataFrame([("product_type", "api", "first", 1.0, True, 1), ("product_type", " API ", "second", 0.9, True, 2)], "type string, raw string, mapped string, sure double, enabled boolean, id int")
+    mapped = V.apply_mappings(dims, rules, "id")
+    assert [(r.item, r.value) for r in mapped.orderBy("item").collect()] == [(1, "second"), (2, "other")]
+    items = spark.createDataFrame([(1, "other"), (2, "other")], "item int, product_type string")
+    assert sorted(map(tuple, V.mapped_types(items, mapped, "item").collect())) == [(1, "second"), (2, "other")]
+
+
+def test_the_latest_decision_counts(spark):
+    versions = spark.createDataFrame([(1, "t")], "item int, product_type string")
+    dims = spark.createDataFrame([(1, "product_type", "t", 0.4, "rule")], "item int, type string, value string, confidence double, method string")
+    decisions = spark.createDataFrame([(1, "accepted", "zeta", day(1)), (1, "accepted", "alpha", day(2)), (1, "rejected", "beta", day(3)), (1, "accepted", "", day(4))], "item int, status string, value string, at timestamp")
+    out, rows = V.apply_decisions(versions, dims, decisions)
+    assert out.first().product_type == "alpha" and tuple(rows.first()) == (1, "product_type", "alpha", 1.0, "manual_review")
+
+
+def test_changes_carry_their_difference(spark):
+    rows = spark.createDataFrame([("i", 1, "A/1", "A", "1"), ("i", 2, "A/1", "A", "1"), ("i", 3, "B/1", "B", "1"), ("i", 9, "B/2", "B", None)], "item string, at int, payload string, kind string, grade string")
+    gone = spark.createDataFrame([("i", 6)], "item string, at int")
+    log = V.change_events(V.history(rows, gone, ["item"], ["at"], "payload"), ["item"], ["at"], ["kind", "grade"]).orderBy("at").collect()
+    assert [(r.event, r.payload) for r in log] == [("added", '{"diff":{}}'), ("updated", '{"diff":{"kind":{"old":"A","new":"B"}}}'), ("removed", '{"reason":"missing from complete full scans"}'), ("recovered", '{"diff":{"grade":{"old":"1","new":null}}}')]
+
+
+def test_versions_at_many_instants(spark):
+    versions = spark.createDataFrame([("a", day(1), 1, "v1"), ("a", day(3), 2, "v2"), ("a", day(3), 3, "v3"), ("b", day(40), 1, "w1"), (None, day(1), 1, "n")], "item string, since timestamp, no int, name string")
+    asked = [(k, i, t) for k, (i, t) in enumerate([("a", day(0)), ("a", day(1)), ("a", day(2)), ("a", day(3)), ("a", day(90)), ("b", day(39)), ("b", day(400)), ("c", day(5)), (None, day(5)), ("a", None), ("a", day(2))])]
+    instants = spark.createDataFrame(asked, "nth int, item string, at timestamp")
+    want = {0: None, 1: "v1", 2: "v1", 3: "v3", 4: "v3", 5: None, 6: "w1", 7: None, 8: None, 9: None, 10: "v1"}
+    for bucket in (None, "day", "month"):
+        out = V.as_of_each(instants, versions, ["item"], "at", "since", ["no"], ["name"], bucket)
+        assert {r.nth: r.name for r in out.collect()} == want and out.columns == ["nth", "item", "at", "name"]
+    plan = V.as_of_each(instants, versions, ["item"], "at", "since", ["no"], ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
