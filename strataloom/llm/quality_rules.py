@@ -2,15 +2,20 @@
 
 Two histograms describe a document: characters by class, and how often each word of a fixed list of common words occurs
 (with one bin for all other words). The references are the same histograms summed over the documents of each language
-that the corpus names, but only those that pass the base rules, and only languages with ``least_docs`` of them and
-``least_share`` of all of them at least: so junk under a language of its own is no reference to itself, and there are
-1 / ``least_share`` references at most, however dirty the column is. A document is compared with every reference and the
+that the corpus names, but only those that pass the base rules. A document is compared with every reference and the
 nearest counts, so a wrong or missing language does not matter. The divergence is the Jensen-Shannon distance (base 2,
 0 to 1). It is judged only from a minimum length on: below ``min_chars`` characters the class histogram says too little,
 below ``min_words`` words the word histogram, and the document keeps the verdict of the base rules. The base rules reject
 documents under 50 words and those with more than half of their words in repeated three-word windows.
 
-Null text has no words. Documents without a language add to no reference; with no reference at all nothing diverges
+A language has a reference from ``least_docs`` such documents on, a fixed number, whatever else the corpus holds. Documents of a language
+without one are not measured by foreign words or letters: their characters are compared by classes that all alphabets share (letters of
+ASCII and others are one) with those of all documents that pass the base rules, and nothing else. The same comparison keeps junk under a
+name of its own from being its own measure: a language whose summed characters are farther than ``max_char`` from all documents' has no
+reference. A dirty language column may name any number: the ``most_languages`` with the most documents are references, documents of
+the others are judged as those of a language without one.
+
+Null text has no words. Documents without a language (null, or no such column) add to no language's reference; with no reference at all nothing diverges
 (distance 0). An empty table gives no rows. Rows are kept one for one, with repeated rows; other columns are ignored.
 """
 
@@ -39,7 +44,7 @@ CLASS = np.full(256, 5, np.int64)
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[[0x20, 9, 10, 11, 12, 13]], CLASS[list(SYMBOLS)], CLASS[192:], CLASS[128:192] = 0, 1, 2, 3, 4, 6, 7
 CLASSES = 7
 MAX_CHAR, MAX_WORD, MIN_CHARS, MIN_WORDS, BASE_WORDS = 0.30, 0.26, 200, 200, 50
-LEAST_DOCS, LEAST_SHARE = 10, 0.005
+LEAST_DOCS, MOST_LANGUAGES = 10, 1000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -113,7 +118,8 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("lang"), *map(pa.array, base), *lists], ["doc_id", "lang", *COUNTS, "chars", "words"])
 
     schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", chars array<long>, words array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    return docs.select(F.col("doc_id").cast("long"), lang, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def distances(h: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -137,24 +143,57 @@ class Limits(NamedTuple):
     min_words: int = MIN_WORDS
     base_words: int = BASE_WORDS
     least_docs: int = LEAST_DOCS
-    least_share: float = LEAST_SHARE
+    most_languages: int = MOST_LANGUAGES
+
+
+class References(NamedTuple):
+    """A language's name and both histograms for each language that has a reference; the neutral classes of all good documents."""
 
+    languages: list[tuple[str, np.ndarray, np.ndarray]]
+    neutral: np.ndarray
 
-def references(rows: DataFrame, limits: Limits) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """A language's name and both histograms, summed over all its documents that pass the base rules; see above for the
-    languages that count."""
-    good = rows.where(f"lang is not null and n_words >= {limits.base_words} and 100 * n_repeat_words <= 50 * n_words")
+
+def neutral(chars: np.ndarray) -> np.ndarray:
+    """Class histograms with all letters in one class."""
+    out = chars[..., :6].copy()
+    out[..., 0] += chars[..., 6]
+    return out
+
+
+def references(rows: DataFrame, limits: Limits) -> References:
+    """The references of a corpus; see above for the languages that count. Collected are sums for each of ``most_languages`` languages at most."""
+    good = rows.where(f"n_words >= {limits.base_words} and 100 * n_repeat_words <= 50 * n_words")
     sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(CLASSES)] + [F.sum(F.col("words")[k]).alias(f"w{k}") for k in range(len(COMMON) + 1)]
     each = table(rows.sparkSession, good.groupBy("lang").agg(F.count("*").alias("docs"), *sums))
-    total = each.agg(F.sum("docs")).first()[0] or 0
-    found = each.where((F.col("docs") >= limits.least_docs) & (F.col("docs") >= limits.least_share * total)).orderBy("lang").collect()
+    total = neutral(np.array([x or 0 for x in each.agg(*[F.sum(f"c{k}") for k in range(CLASSES)]).first()], np.int64))
+    near = shared_distance(total, limits.max_char)
+    found = each.where((F.col("lang").isNotNull()) & (F.col("docs") >= limits.least_docs) & near).orderBy(F.desc("docs"), "lang").limit(limits.most_languages).collect()
     forget(each)
-    return [(r[0], np.array(r[2 : 2 + CLASSES], np.int64), np.array(r[2 + CLASSES :], np.int64)) for r in found]
-
-
-def verdict(base: list[np.ndarray], chars: np.ndarray, words: np.ndarray, refs: list, limits: Limits):
-    """Distances to the nearest reference, and whether each document diverges, fails the base rules, is kept."""
-    near = [np.min([distances(h, r[k]) for r in refs], axis=0) if refs and len(h) else np.zeros(len(h)) for k, h in enumerate((chars, words), 1)]
+    found = sorted(found, key=lambda r: r["lang"])
+    return References([(r[0], np.array(r[2 : 2 + CLASSES], np.int64), np.array(r[2 + CLASSES :], np.int64)) for r in found], total)
+
+
+def shared_distance(total: np.ndarray, most: float):
+    """Whether a language's summed classes c0 to c6 lie within ``most`` of the corpus's neutral classes: the distance as a column, so that only languages
+    that count are collected."""
+    c = [F.col(f"c{k}").cast("double") for k in range(CLASSES)]
+    own = [c[0] + c[6], *c[1:6]]
+    n, q = sum(own[1:], own[0]), total / max(int(total.sum()), 1)
+    parts = []
+    for x, y in zip(own, q.tolist(), strict=True):
+        p = x / n
+        m = (p + F.lit(y)) / 2
+        parts.append(F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + (F.lit(y) * F.log2(F.lit(y) / m) if y else F.lit(0.0)))
+    return (n > 0) & (F.sqrt(F.greatest(sum(parts[1:], parts[0]) / 2, F.lit(0.0))) <= most)
+
+
+def verdict(base: list[np.ndarray], chars: np.ndarray, words: np.ndarray, langs: list[str | None], refs: References, limits: Limits):
+    """Distances to the nearest reference (to the neutral classes, for a language without one), and whether each document diverges, fails the base rules, is kept."""
+    near = [np.min([distances(h, r[k]) for r in refs.languages], axis=0) if refs.languages and len(h) else np.zeros(len(h)) for k, h in enumerate((chars, words), 1)]
+    names = {r[0] for r in refs.languages}
+    alone = np.fromiter((x is not None and x not in names for x in langs), bool, len(langs))
+    if alone.any():
+        near[0][alone], near[1][alone] = distances(neutral(chars[alone]), refs.neutral), 0
     diverges = (chars.sum(1) >= limits.min_chars) & (near[0] > limits.max_char)
     diverges |= (base[0] >= limits.min_words) & (near[1] > limits.max_word)
     failed = (base[0] < limits.base_words) | (100 * base[4] > 50 * base[0])
@@ -169,7 +208,7 @@ def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             hist = [b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("chars", "words")]
-            near, *flags = verdict([b.column(c).to_numpy() for c in COUNTS], *hist, refs, limits)
+            near, *flags = verdict([b.column(c).to_numpy() for c in COUNTS], *hist, b.column("lang").to_pylist(), refs, limits)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *COUNTS)), *(pa.array(np.round(x, 6)) for x in near), *map(pa.array, flags)], ["doc_id", *COUNTS, "char_distance", "word_distance", "diverges", "base_failed", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", char_distance double, word_distance double, diverges boolean, base_failed boolean, kept boolean")
@@ -184,6 +223,7 @@ def keep(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         listed = listed_hashes()
         for chunk in chunks(batches):
             base, *both = measure(chunk.column("text").cast(pa.string()), listed)
-            yield chunk.filter(pa.array(verdict(base, *both, refs, limits)[3]))
+            langs = chunk.column("lang").cast(pa.string()).to_pylist() if "lang" in chunk.schema.names else [None] * chunk.num_rows
+            yield chunk.filter(pa.array(verdict(base, *both, langs, refs, limits)[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -101,13 +101,22 @@ hist as (select 'c' as kind, * from chars union all select 'w', * from words),
 h as (select *, sum(n) over (partition by kind, doc_id) as all_n from hist),
 base as (select w.doc_id, d.lang, len(ws) as n_words, length(w.t) - c3 as word_chars, c4 as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, length(w.t) as n_chars,
   len(ws) < {quality_rules.BASE_WORDS} or 100 * coalesce(rep.n, 0) > 50 * len(ws) as base_failed from w join d using (doc_id) join c using (doc_id) left join dup using (doc_id) left join rep using (doc_id)),
-langs as (select lang from base where not base_failed and lang is not null group by lang
-  having count(*) >= {quality_rules.LEAST_DOCS} and count(*) >= {quality_rules.LEAST_SHARE} * (select count(*) from base where not base_failed and lang is not null)),
+neutral as (select doc_id, case when k = 6 then 0 else k end as k, sum(n) as n from chars group by 1, 2),
+whole as (select k, sum(n) as n, sum(sum(n)) over () as all_n from neutral join base using (doc_id) where not base_failed group by k),
+own as (select lang, k, sum(n) as n, sum(sum(n)) over (partition by lang) as all_n from neutral join base using (doc_id) where not base_failed and lang is not null group by lang, k),
+shared as (select 'l' as kind, lang as id, p.n / greatest(p.all_n, 1) as p, q.n / greatest(q.all_n, 1) as q, p.all_n, q.all_n as ref_n from own p join whole q using (k)
+  union all select 'd', doc_id::varchar, p.n / greatest(t.n, 1), q.n / greatest(q.all_n, 1), t.n, q.all_n from neutral p join (select doc_id, sum(n) as n from neutral group by 1) t using (doc_id) join whole q using (k)),
+apart as (select kind, id, case when max(all_n) = 0 or max(ref_n) = 0 then 0 else sqrt(greatest((sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end)
+  + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2, 0)) end as js from shared group by all),
+langs as (select lang from base join apart on kind = 'l' and id = lang where not base_failed and lang is not null group by lang having count(*) >= {quality_rules.LEAST_DOCS} and max(js) <= {quality_rules.MAX_CHAR}
+  order by count(*) desc, lang limit {quality_rules.MOST_LANGUAGES}),
 r as (select kind, hist.lang, k, sum(n) as n, sum(sum(n)) over (partition by kind, hist.lang) as all_n from hist join base using (doc_id) join langs on langs.lang = hist.lang where not base_failed group by kind, hist.lang, k),
 pq as (select h.kind, h.doc_id, r.lang, h.all_n, r.all_n as ref_n, h.n / greatest(h.all_n, 1) as p, r.n / greatest(r.all_n, 1) as q from h join r on h.kind = r.kind and h.k = r.k),
 js as (select kind, doc_id, lang, case when max(all_n) = 0 or max(ref_n) = 0 then 0 else sqrt(greatest((sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end)
   + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2, 0)) end as js from pq group by all),
-near as (select doc_id, min(js) filter (kind = 'c') as cd, min(js) filter (kind = 'w') as wd from js group by doc_id)
+nearest as (select doc_id, min(js) filter (kind = 'c') as cd, min(js) filter (kind = 'w') as wd from js group by doc_id),
+near as (select base.doc_id, case when base.lang is null or langs.lang is not null then cd else apart.js end as cd, case when base.lang is null or langs.lang is not null then wd else 0 end as wd
+  from base left join langs on langs.lang = base.lang left join nearest using (doc_id) left join apart on apart.kind = 'd' and apart.id = base.doc_id::varchar)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (n_chars >= {quality_rules.MIN_CHARS} and coalesce(cd, 0) > {quality_rules.MAX_CHAR})
   and not (n_words >= {quality_rules.MIN_WORDS} and coalesce(wd, 0) > {quality_rules.MAX_WORD}) as kept, round(coalesce(cd, 0), 6) as char_distance, round(coalesce(wd, 0), 6) as word_distance
 from base left join near using (doc_id)

@@ -59,16 +59,22 @@ def kept_by_rules(rows):
         grams = list(zip(w, w[1:], w[2:], strict=False))
         inside = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
         base[k], hist[k] = len(w) >= 50 and 100 * len(inside) <= 50 * len(w), histograms(t)
-    refs = []
-    good = [(k, lang) for k, _, lang, *_ in rows if base[k] and lang]
-    for lang in {x for _, x in good}:
+    alike = lambda c: [c[0] + c[6], *c[1:6]]
+    refs, names = [], set()
+    good = [(k, lang) for k, _, lang, *_ in rows if base[k]]
+    every = alike(np.sum([hist[k][0] for k, _ in good] or [[0] * 7], 0))
+    for lang in {x for _, x in good if x}:
         own = [hist[k] for k, x in good if x == lang]
-        if len(own) >= quality_rules.LEAST_DOCS and len(own) >= quality_rules.LEAST_SHARE * len(good):
-            refs.append([np.sum([h[s] for h in own], 0) for s in (0, 1)])
+        sums = [np.sum([h[s] for h in own], 0) for s in (0, 1)]
+        if len(own) >= quality_rules.LEAST_DOCS and distance(alike(sums[0]), every) <= quality_rules.MAX_CHAR:
+            refs.append(sums)
+            names.add(lang)
     out = []
     for r in rows:
         c, w = hist[r[0]]
         near = [min((distance(h, ref[s]) for ref in refs), default=0) for s, h in ((0, c), (1, w))]
+        if r[2] and r[2] not in names:
+            near = [distance(alike(c), every), 0]
         far = sum(c) >= quality_rules.MIN_CHARS and near[0] > quality_rules.MAX_CHAR or sum(w) >= quality_rules.MIN_WORDS and near[1] > quality_rules.MAX_WORD
         if base[r[0]] and not far:
             out.append(r)
@@ -156,15 +162,43 @@ def test_extra_columns_with_odd_names_stay(spark):
         assert out.columns == docs.columns and all(tuple(r[3:]) == tuple(range(len(names))) for r in out.collect())
 
 
+RUSSIAN = "и в не он на я что тот быть с а весь это как она по но они к у ты из мы за вы так же от сказать этот который мочь человек о один ещё бы такой только себя своё какой когда уже для вот кто да говорить год мой знать до или если время рука нет самый ни стать большой даже другой наш свой ну под где дело есть сам раз чтобы два там чем глаз жизнь первый день тут во ничто потом очень со хотеть ли при голова надо без видеть идти теперь тоже стоять друг дом сейчас можно после слово здесь думать место спросить через лицо что тогда ведь хороший каждый новый жить должный смотреть почему потому сторона просто нога сидеть понять иметь конечный делать вдруг над взять никто сделать дверь перед нужный понимать казаться работа три ваш уж земля конец несколько час голос город последний пока хорошо давать вода более хотя всегда второй куда пойти".split()
+
+
+def judged(spark, english, others):
+    rnd = random.Random(5)
+    words = [w for w in quality_rules.COMMON if w.isascii()][:40] + ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(300)), "en", "s", 0) for k in range(english)]
+    return {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows + others, SCHEMA)).where("doc_id >= 100000").collect()}
+
+
+def test_few_documents_of_a_language_stay_whatever_else_there_is(spark):
+    """Four Russian documents among 1,000 and among 6,000 English ones; and twelve, enough for a reference of their own."""
+    rnd = random.Random(6)
+    for english, n in ((1000, 4), (6000, 4), (1000, 12)):
+        russian = [(100_000 + k, " ".join(rnd.choice(RUSSIAN) for _ in range(300)), "ru", "s", 0) for k in range(n)]
+        assert judged(spark, english, russian) == {100_000 + k: True for k in range(n)}
+
+
 def test_junk_under_a_language_of_its_own_is_no_reference(spark):
     rows, _ = corpus()
-    junk = [(200 + k, " ".join(["||||", "###", f"{k}"] * 80 + [f"w{j}" for j in range(200)]), "zz", "s", 0) for k in range(6)]
-    got = quality_rules.judge(spark.createDataFrame(rows + junk, SCHEMA)).where("doc_id >= 200").collect()
+    for n in (6, 40):
+        junk = [(200_000 + k, " ".join(["||||", "###", f"{k}"] * 80 + [f"w{j}" for j in range(200)]), "zz", "s", 0) for k in range(n)]
+        assert judged(spark, 300, junk) == {200_000 + k: False for k in range(n)}
+    got = quality_rules.judge(spark.createDataFrame(rows + junk[:6], SCHEMA)).where("doc_id >= 200000").collect()
     assert len(got) == 6 and all(not r.kept for r in got)
 
 
+def test_without_a_language_column(spark):
+    rows, _ = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    assert quality_rules.keep(docs).columns == ["doc_id", "text"] and quality_rules.judge(docs).where("not kept and not base_failed").count() == 0
+
+
 def test_quality_rules_against_sql(spark):
     rows, _ = corpus(9)
+    rnd = random.Random(7)
+    rows += [(5000 + k, " ".join(rnd.choice(RUSSIAN) for _ in range(250)), "ru", "s", 0) for k in range(3)] + [(6000 + k, " ".join(["||||", "###", f"{k}"] * 80 + [f"w{j}" for j in range(200)]), "zz", "s", 0) for k in range(14)]
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars int)")
     con.executemany("insert into documents values (?, ?, ?, ?, ?)", rows)
