@@ -37,8 +37,8 @@ LETTERS = "a-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-LONGEST, BITS, BLOCK, PROBES, SEGMENT = 64, 16, 512, 6, 4096
-POSITIONS = 16_384
+LONGEST, BITS, BLOCK, PROBES, SEGMENT = 64, 16, 512, 6, 512
+POSITIONS, WORDS = 16_384, 20_000
 
 
 def drop_letters(doc_id: Column, word: Column, one_in: int = 31) -> Column:
@@ -206,9 +206,10 @@ def near_pairs(vocab: DataFrame, filter_mb: float = 32) -> list[DataFrame]:
     counts = vocab.groupBy(F.least(F.length("word"), F.lit(LONGEST)).alias("length")).count().collect()
     layout, out = Layout({r["length"]: r["count"] for r in counts}, filter_mb), []
     exact = vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
+    dealt = vocab.repartition(max(1, sum(r["count"] for r in counts) // WORDS))  # a word has some 400 probes: small rows, long work
     for k in range(layout.rounds):
         shared = spark.sparkContext.broadcast(build(vocab, layout, k).tobytes())
-        out.append(table(spark, probed(vocab, layout, k, shared).join(exact.hint("merge"), F.col("edit") == F.col("near")).select("word", "n", "near", "near_n")))
+        out.append(table(spark, probed(dealt, layout, k, shared).join(exact.hint("merge"), F.col("edit") == F.col("near")).select("word", "n", "near", "near_n")))
         shared.destroy()
     return out
 
