@@ -83,10 +83,48 @@ def declared_total(text: Column, url: Column, role: Column) -> Column:
     return F.when(counts & (hit != "") & near.rlike(CATALOGUE_WORDS), total)
 
 
+@F.pandas_udf(StringType())
+def read_bytes(body: pd.Series, declared: pd.Series) -> pd.Series:
+    """Text of bytes in the first charset that reads them whole: the declared one, UTF-8, GB18030, GBK; else UTF-8 with replacements."""
+
+    def one(raw, name):
+        if raw is None:
+            return None
+        for charset in (name, "utf-8", "gb18030", "gbk"):
+            try:
+                if charset:
+                    return raw.decode(charset.strip())
+            except (UnicodeError, LookupError, ValueError):
+                continue
+        return raw.decode("utf-8", "replace")
+
+    return pd.Series([one(*r) for r in zip(body, declared, strict=True)], dtype=object)
+
+
 def decoded(body: Column, declared: Column) -> Column:
-    """Text of a response body: UTF-8 if it is that (also where another charset is declared but unknown), else GB18030 or GBK."""
-    named = F.when(F.lower(declared).isin("gb18030", "gbk", "gb2312"), F.decode(body, "GB18030")).when(F.lower(declared).isin("iso-8859-1", "latin-1"), F.decode(body, "ISO-8859-1"))
-    return F.coalesce(named, F.try_validate_utf8(body.cast("string")), F.decode(body, "GB18030"))
+    """Text of a response body, whatever its bytes: in the declared charset, UTF-8, GB18030, GBK, or UTF-8 with replacements, the first that reads it whole. Only
+    bodies that are no UTF-8 or declared as something else reach Python."""
+    plain = F.when(F.coalesce(F.lower(F.trim(declared)), F.lit("")).isin("", "utf-8", "utf8", "us-ascii", "ascii"), F.try_validate_utf8(body.cast("string")))
+    odd = F.when(plain.isNull(), body)
+    return F.coalesce(plain, read_bytes(odd, declared))
+
+
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def redact_json(text: Column) -> Column:
+    """Masks string values in free JSON; keys, numbers and the rest of the text stay as they are. A text that is no JSON is masked as plain text."""
+    literals, between = F.regexp_extract_all(text, F.lit(JSON_STRING), F.lit(0)), F.split(text, JSON_STRING, -1)
+
+    def masked(literal: Column) -> Column:
+        inner = F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]
+        told = F.to_json(F.array(redact(inner)))
+        hit = redact(inner)
+        return F.when(inner.isNull() | (hit == inner), literal).otherwise(F.substring(told, F.lit(2), F.length(told) - 2))
+
+    shown = F.zip_with(literals, F.slice(between, F.lit(2), F.size(literals)), lambda s, after: F.when(after.rlike(r"^\s*:"), s).otherwise(masked(s)))
+    pieces = F.flatten(F.zip_with(between, shown, lambda b, s: F.array(b, F.coalesce(s, F.lit("")))))
+    return F.when(F.try_parse_json(text).isNull(), redact(text)).otherwise(F.array_join(pieces, ""))
 
 
 def unescaped(text: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .steps import bound
+
 # Results depend on them.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "source", "timestamp", "_", "t", "v", "rnd", "random")
 TARGET_TERMS = (
@@ -33,9 +37,17 @@ CLOSED = (
     ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"),
     ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"),
 )
-CLOSED_V6 = r"^(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:db8:.*|100::.*|64:ff9b:1:.*)$"
+# The same for the second family; inside the ninth some are public again.
+CLOSED_V6 = (
+    ("::", "::1"), ("64:ff9b:1::", "64:ff9b:1:ffff:ffff:ffff:ffff:ffff"), ("100::", "100::ffff:ffff:ffff:ffff"), ("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff"), ("2002::", "2002:ffff:ffff:ffff:ffff:ffff:ffff:ffff"),
+    ("3fff::", "3fff:fff:ffff:ffff:ffff:ffff:ffff:ffff"), ("fc00::", "fdff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), ("fe80::", "febf:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), ("2001::", "2001:1ff:ffff:ffff:ffff:ffff:ffff:ffff"),
+)
+OPEN_V6 = (
+    ("2001:1::1", "2001:1::2"), ("2001:3::", "2001:3:ffff:ffff:ffff:ffff:ffff:ffff"), ("2001:4:112::", "2001:4:112:ffff:ffff:ffff:ffff:ffff"),
+    ("2001:20::", "2001:2f:ffff:ffff:ffff:ffff:ffff:ffff"), ("2001:30::", "2001:3f:ffff:ffff:ffff:ffff:ffff:ffff"),
+)
 
-PARTS = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+PARTS = r"^(?i)(https?)://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def part(url: Column, k: int) -> Column:
@@ -133,13 +145,51 @@ def address(dotted: Column) -> Column:
 
 
 def public_literal(host_name: Column) -> Column:
-    """False for empty names, localhost and addresses that are not public; names are not looked up."""
-    bare = F.regexp_replace(F.lower(host_name), r"^\[|\]$", "")
-    number, closed = address(bare), F.lit(False)
-    for first, last in CLOSED:
-        closed = closed | number.between(*[sum(int(x) << (24 - 8 * k) for k, x in enumerate(v.split("."))) for v in (first, last)])
-    quad = bare.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$")
-    return F.coalesce(~bare.isin("", "localhost") & ~(quad & closed) & ~(F.contains(bare, F.lit(":")) & bare.rlike(CLOSED_V6)), F.lit(False))
+    """False for empty names, localhost and addresses that are not public, in either family, by number and in any spelling; names are not looked up. An address in
+    brackets or with colons that is none counts as not public."""
+    return F.coalesce(bound(F.regexp_replace(F.lower(F.trim(host_name)), r"^\[|\]$", ""), lambda bare: bound(F.struct(bare.alias("bare"), digits_of_v6(bare).alias("six")), public_address)), F.lit(False))
+
+
+def public_address(named: Column) -> Column:
+    """Whether a host (bare, six: its 32 digits, if it is an address of the second family) is public."""
+    bare, six = named["bare"], named["six"]
+    mapped = F.coalesce(F.substring(six, 1, 24) == "0" * 20 + "ffff", F.lit(False))
+    quad = bare.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$") | mapped
+    four = F.when(mapped, F.conv(F.substring(six, 25, 8), 16, 10).cast("long")).otherwise(address(bare))
+    low = lambda v: sum(int(x) << (24 - 8 * k) for k, x in enumerate(v.split(".")))
+    high = lambda v: ipaddress.ip_address(v).exploded.replace(":", "")
+
+    def within(value: Column, ranges, number) -> Column:
+        out = F.lit(False)
+        for first, last in ranges:
+            out = out | value.between(number(first), number(last))
+        return out
+
+    closed = bound(four, lambda n: within(n, CLOSED, low))
+    inside = within(six, CLOSED_V6, high) & ~within(six, OPEN_V6, high)
+    return ~bare.isin("", "localhost") & ~(quad & closed) & ~(F.contains(bare, F.lit(":")) & (six.isNull() | ~mapped & inside))
+
+
+def digits_of_v6(bare: Column) -> Column:
+    """The 32 hexadecimal digits of an address of the second family, null for anything else; the last two groups may be a dotted quad, a zone is left out."""
+    text = F.regexp_replace(bare, "%.*$", "")
+    tail = address(F.regexp_extract(text, r"((?:\d{1,3}\.){3}\d{1,3})$", 1))
+    dotted = F.concat_ws(":", F.lower(F.hex(F.shiftright(tail, 16))), F.lower(F.hex(tail.bitwiseAND(65535))))
+    text = F.when(text.rlike(r":(?:\d{1,3}\.){3}\d{1,3}$"), F.concat(F.regexp_extract(text, "^(.*:)[^:]*$", 1), dotted)).otherwise(text)
+    some = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+
+    def spread(text: Column) -> Column:
+        halves = F.split(text, "::", -1)
+        cut = F.struct(text.alias("text"), F.size(halves).alias("n"), some(F.get(halves, 0)).alias("left"), some(F.coalesce(F.get(halves, 1), F.lit(""))).alias("right"))
+        return bound(cut, padded)
+
+    def padded(cut: Column) -> Column:
+        text, gap = cut["text"], 8 - F.size(cut["left"]) - F.size(cut["right"])
+        every = F.concat(cut["left"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), cut["right"])
+        fits = text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")) & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$") & F.when(cut["n"] == 2, gap >= 1).otherwise(gap == 0)
+        return F.when(fits & F.forall(every, lambda g: F.length(g) <= 4), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return bound(text, spread)
 
 
 def page_url(endpoint: Column, page: Column, marker: str = "_page") -> Column:

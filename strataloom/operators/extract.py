@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..functions.steps import settled
 
 # Results depend on them.
 GENERIC_NAMES = ("首页", "数据产品", "产品中心", "产品目录", "数据服务", "数据组件", "应用场景", "解决方案", "数据交易", "更多", "详情", "产品详情", "场景案例")
@@ -22,7 +23,7 @@ CONTEXT_KINDS = (
     ("demand", ("数据需求", "需求详情", "demand")),
 )
 LIST_PATHS = "/list|/catalog|/search|/index|/(?:product|goods|dataset|scenario|demand)$"
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1[^>]*>(.*?)</a>"""
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:(["'])(.*?)\1|([^\s>"']+))[^>]*>(.*?)</a>"""
 NEWS = ("新闻", "通知", "公告", "政策", "资讯")
 
 
@@ -42,11 +43,11 @@ def links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     is dropped before the window, so only link rows are shuffled."""
     pattern = F.lit(ANCHOR)
     found = pages.select(id_col, "url", F.posexplode(F.regexp_extract_all("html", pattern, 0)).alias("place", "a"))  # one pass over a page
-    found = found.select(id_col, "url", "place", F.regexp_extract("a", ANCHOR, 2).alias("href"), F.regexp_extract("a", ANCHOR, 3).alias("inner"))
+    found = found.select(id_col, "url", "place", F.concat(F.regexp_extract("a", ANCHOR, 2), F.regexp_extract("a", ANCHOR, 3)).alias("href"), F.regexp_extract("a", ANCHOR, 4).alias("inner"))
     anchor = T.unescaped(F.regexp_replace("inner", r"(?s)<[^>]*>", " "))
-    rows = found.select(id_col, "place", U.resolved(F.col("url"), F.trim(T.unescaped(F.col("href")))).alias("to"), anchor.alias("anchor"))  # long expressions step by step: each would be repeated in the next
-    rows = rows.select(id_col, "place", U.canonical_url(F.col("to")).alias("to_url"), T.normalize_text(F.col("anchor")).alias("anchor")).where("to_url <> ''").withColumn("anchor", T.snippet(F.col("anchor"), 300))
-    rows = rows.withColumn("relevance", U.link_relevance(F.col("to_url"), F.col("anchor")))
+    rows = settled(found, {"to": U.resolved(F.col("url"), F.trim(T.unescaped(F.col("href")))), "anchor": anchor}).drop("inner", "href", "url")
+    rows = settled(rows, {"to_url": U.canonical_url(F.col("to")), "anchor": T.snippet(T.normalize_text(F.col("anchor")), 300)}).drop("to").where("to_url <> ''")
+    rows = settled(rows, {"relevance": U.link_relevance(F.col("to_url"), F.col("anchor"))})
     own = Window.partitionBy(id_col, "to_url").orderBy("place")
     return rows.withColumn("nth", F.row_number().over(own)).where("nth = 1").drop("nth")
 

@@ -1,7 +1,6 @@
 """Records from listing pages, detail pages and JSON responses: fields, cards, types, industries, dimensions.
 
-Rule lists are parameters; the defaults are fixed values. HTML is read by patterns: nesting is never relied on, a card ends
-where the next one begins. Page bodies leave the plan before any shuffle.
+Rule lists are parameters; the defaults are fixed values. Labels and cards are read from a page's tree (``tree``). Page bodies leave the plan before any shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..functions.steps import settled
 from . import extract as X
+from . import tree as TR
 
 # Results depend on them.
 LABELS = {
@@ -117,37 +118,40 @@ def class_text(html: Column, name: str) -> Column:
     return plain(F.regexp_extract(html, rf'(?is)<(\w+)\b[^>]*\bclass="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1>', 2))
 
 
-def labelled_pairs(html: Column) -> Column:
-    """All pairs (label, value, locator, order) of table cells, definition lists, texts with a colon and label classes."""
+def labelled_pairs(text: Column, nodes: Column) -> Column:
+    """All pairs (label, value, locator, place) of a page's tree: table cells two by two, each dt with the next dd beside it, texts with a colon, and
+    elements of a label class with what stands behind them."""
     none = "array<struct<label:string,value:string,locator:string,place:struct<branch:int,at:int,nth:int>>>"
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1>|<!--.*?-->", " ")
+    inner = lambda n: TR.text_of(text, n)
 
-    def pair(label: Column, value: Column, locator: Column, branch: int, at: Column, nth: Column) -> Column:
-        return F.struct(label.alias("label"), value.alias("value"), locator.alias("locator"), F.struct(F.lit(branch).alias("branch"), at.cast("int").alias("at"), nth.cast("int").alias("nth")).alias("place"))
+    def pair(label: Column, value: Column, locator: str, behind: str, branch: int, at: Column, nth: Column) -> Column:
+        named = F.concat(F.lit(f"{locator}["), at.cast("string"), F.lit(f"]{behind}"))
+        return F.struct(label.alias("label"), value.alias("value"), named.alias("locator"), F.struct(F.lit(branch).alias("branch"), at.cast("int").alias("at"), nth.cast("int").alias("nth")).alias("place"))
 
     def row(tr: Column, at: Column) -> Column:
-        cells = F.regexp_extract_all(tr, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), 1)
-        offsets = F.when(F.size(cells) >= 2, F.sequence(F.lit(0), F.size(cells) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        return F.transform(offsets, lambda k: pair(plain(F.get(cells, k)), plain(F.get(cells, k + 1)), F.concat(F.lit("table tr["), at.cast("string"), F.lit("]")), 0, at, k))
+        cells = F.transform(F.filter(TR.below(nodes, tr["at"], tr["node"]), lambda c: (c["parent"] == tr["at"]) & c["tag"].isin("td", "th")), inner)
+        twos = F.zip_with(cells, F.slice(cells, F.lit(2), F.size(cells)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.filter(F.transform(twos, lambda c, k: pair(c["a"], c["b"], "table tr", "", 0, at, k)), lambda p: (p["place"]["nth"] % 2 == 0) & p["value"].isNotNull())
 
-    tables = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), row))
-    terms = F.arrays_zip(*[F.regexp_extract_all(bare, F.lit(r"(?is)<dt\b[^>]*>(.*?)</dt>\s*<dd\b[^>]*>(.*?)</dd>"), k).alias(n) for k, n in ((1, "l"), (2, "v"))])
-    lists = F.transform(terms, lambda t, at: pair(plain(t.l), plain(t.v), F.concat(F.lit("dl dt["), at.cast("string"), F.lit("]+dd")), 1, at, F.lit(0)))
-    texts = F.regexp_extract_all(bare, F.lit(r'(?is)<(?:(li|p)\b[^>]*>(.*?)</\1>|div\b[^>]*\bclass="(?:[^"]*\s)?(?:form-item|info-item|detail-item)(?:\s[^"]*)?"[^>]*>(.*?)</div>)'), 0)
+    tables = F.flatten(F.transform(TR.numbered(nodes, lambda n: n["tag"] == "tr"), row))
+    lists = F.transform(TR.numbered(nodes, lambda n: n["tag"] == "dt"), lambda x, at: pair(inner(x["node"]), inner(F.get(nodes, x["node"]["dd"])), "dl dt", "+dd", 1, at, x["node"]["dd"]))
 
-    def spoken(piece: Column, at: Column) -> Column:
-        t = plain(piece)
-        return pair(F.regexp_extract(t, "^([^:：]*)[:：]", 1), F.regexp_extract(t, "(?s)^[^:：]*[:：](.*)$", 1), F.concat(F.lit("text-pair["), at.cast("string"), F.lit("]")), 2, at, F.length(t))
+    def spoken(x: Column, at: Column) -> Column:
+        t = inner(x["node"])
+        return pair(F.regexp_extract(t, "^([^:：]*)[:：]", 1), F.regexp_extract(t, "(?s)^[^:：]*[:：](.*)$", 1), "text-pair", "", 2, at, F.length(t))
 
-    colons = F.filter(F.transform(texts, spoken), lambda p: (p.label != "") & (F.length(p.label) <= 24) & (p.place.nth > 2) & (p.place.nth <= 600))
-    sides = F.arrays_zip(*[F.regexp_extract_all(bare, F.lit(r'(?is)<(\w+)\b[^>]*\bclass="[^"]*[lL]abel[^"]*"[^>]*>(.*?)</\1>\s*<(\w+)\b[^>]*>(.*?)</\3>'), k).alias(n) for k, n in ((2, "l"), (4, "v"))])
-    beside = F.transform(sides, lambda t, at: pair(plain(t.l), plain(t.v), F.concat(F.lit("class-label["), at.cast("string"), F.lit("]")), 3, at, F.lit(0)))
-    return F.concat(*[a.cast(none) for a in (tables, lists, colons, beside)])
+    told = TR.numbered(nodes, lambda n: n["tag"].isin("li", "p") | (n["tag"] == "div") & TR.has_class(n, "form-item", "info-item", "detail-item"))
+    colons = F.filter(F.transform(told, spoken), lambda p: (p["label"] != "") & (F.length(p["label"]) <= 24) & (p["place"]["nth"] > 2) & (p["place"]["nth"] <= 600))
+    marked = TR.numbered(nodes, lambda n: F.coalesce(n["classes"].rlike("[lL]abel"), F.lit(False)))
+    beside = F.transform(marked, lambda x, at: pair(inner(x["node"]), inner(F.get(nodes, x["node"]["next"])), "class-label", "", 3, at, x["node"]["next"]))
+    good = lambda p: (p["place"]["branch"].isin(0, 2)) | (p["place"]["nth"] >= 0)
+    return F.filter(F.concat(*[a.cast(none) for a in (tables, lists, colons, beside)]), good)
 
 
 def labelled_fields(pages: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """(key, field, value, locator): the longest value of each known field of a page, of equal ones the first."""
-    pairs = pages.select(key, F.explode(labelled_pairs(F.col("html"))).alias("p")).select(key, F.regexp_replace(T.normalize_text(F.col("p.label")), "[:：]+$", "").alias("label"), T.normalize_text(F.col("p.value")).alias("value"), "p.locator", "p.place")
+    trees = TR.parsed(pages, [key])
+    pairs = trees.select(key, F.explode(labelled_pairs(F.col("text"), F.col("nodes"))).alias("p")).select(key, F.regexp_replace(T.normalize_text(F.col("p.label")), "[:：]+$", "").alias("label"), T.normalize_text(F.col("p.value")).alias("value"), "p.locator", "p.place")
     fits = pairs.where("value <> '' and value <> label and length(value) <= 10000")
     order = F.struct(F.length("value"), -F.col("place.branch"), -F.col("place.at"), -F.col("place.nth"))
     best = canonical_field(fits, "label", rules).groupBy(key, "field").agg(F.max_by(F.struct("value", "locator"), order).alias("v"))
@@ -206,69 +210,94 @@ def item_confidence(score: Column) -> Column:
 def cards(pages: DataFrame, key: str, site_rules: tuple = ()) -> DataFrame:
     """(key, place, url, name, external_id, description, provider, delivery_method, kind, confidence) of the cards of listing pages: one for each target
     URL of a page. ``site_rules``: (host, route, classes, prefix) of sites whose cards have no link; their cards are named by prefix and
-    name."""
-    url, html = F.col("url"), F.col("html")
-    listing = U.any_of(F.lower(F.concat_ws(" ", T.element(html, "title"), url)), U.TARGET_TERMS)
-    opening = r'<\w+\b[^>]*\bclass="(?:[^"]*\s)?(?:{})(?:\s[^"]*)?"'
-
-    def blocks(classes: tuple[str, ...]) -> Column:
-        """From each card's tag to the next one's, or to the end of the list."""
-        start = opening.format("|".join(classes))
-        pieces = F.filter(F.split(html, rf"(?i)(?={start})"), lambda c: c.rlike(rf"^(?i){start}"))
-        return F.transform(pieces, lambda c: F.regexp_replace(c, r"(?is)(?:</main>|</section>|<footer\b).*$", ""))
-
-    found, prefix = blocks(CARD_CLASSES), F.lit("")
+    name. Cards, their first links, titles and providers are nodes of the page's tree, so a card may hold others."""
+    url, text, nodes = F.col("url"), F.col("text"), F.col("nodes")
+    listing = U.any_of(F.lower(F.concat_ws(" ", T.element(F.col("html"), "title"), url)), U.TARGET_TERMS)
+    found = TR.with_classes(nodes, CARD_CLASSES)
+    more, prefix = F.array().cast(f"array<struct<at:int,node:struct<{TR.NODE}>>>"), F.lit("")
     for host, route, classes, name in site_rules:
         here = (U.host(url) == host) & F.lower(U.part(url, 4)).endswith(route)
-        found = F.when(here, blocks((*CARD_CLASSES, *classes))).otherwise(found)
+        more = F.when(here, TR.with_classes(nodes, classes)).otherwise(more)
         prefix, listing = F.when(here, name).otherwise(prefix), listing | here
-    anchors = F.regexp_extract_all(html, F.lit(rf'(?is)<a\b[^>]*\bhref="[^"]*{CARD_ROUTES}[^"]*"[^>]*>.*?</a>'), 0)
-    rows = pages.where(listing).select(key, "url", prefix.alias("prefix"), F.posexplode(F.concat(found, anchors)).alias("place", "card"))
-    card = F.col("card")
-    href = F.trim(T.unescaped(F.regexp_extract(card, r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1""", 2)))
-    named = [F.nullif(class_text(card, c), F.lit("")) for c in CARD_NAMES] + [F.nullif(T.element(card, t), F.lit("")) for t in ("h2", "h3", "h4")]
-    makers = [F.nullif(class_text(card, c), F.lit("")) for c in ("product-org", "provider", r"[^\" ]*provider[^\" ]*")]
-    rows = rows.select(key, "url", "place", "prefix", href.alias("href"), plain(card).alias("text"), F.coalesce(*named).alias("title"), F.coalesce(*makers, F.lit("")).alias("provider"))
-    rows = rows.where("href <> '' or prefix <> ''").withColumn("to", F.when(F.col("href") != "", U.resolved(url, F.col("href"))).otherwise(url))  # step by step: each expression would be repeated in the next
-    rows = rows.withColumns({"target": U.canonical_url(F.col("to")), "linked": F.col("href") != "", "text": T.normalize_text(F.col("text")), "title": T.normalize_text(F.col("title"))})
+    anchors = TR.numbered(nodes, lambda n: (n["tag"] == "a") & F.coalesce(n["href"].rlike(CARD_ROUTES), F.lit(False)))
+
+    def card(x: Column) -> Column:
+        n, inside = x["node"], TR.below(nodes, x["at"], x["node"])
+        first = lambda good: F.get(F.filter(inside, lambda c: ~c["hidden"] & good(c)), 0)
+        link = F.when((n["tag"] == "a") & n["href"].isNotNull(), n["href"]).otherwise(F.get(F.filter(inside, lambda c: (c["tag"] == "a") & c["href"].isNotNull()), 0)["href"])
+        title = first(lambda c: TR.has_class(c, *CARD_NAMES) | c["tag"].isin("h2", "h3", "h4"))
+        maker = first(lambda c: TR.has_class(c, "product-org") | F.coalesce(F.contains(c["classes"], F.lit("provider")), F.lit(False)))
+        return F.struct(F.trim(F.coalesce(link, F.lit(""))).alias("href"), TR.text_of(text, n).alias("text"), TR.text_of(text, title).alias("title"), F.coalesce(TR.text_of(text, maker), F.lit("")).alias("provider"))
+
+    own = pages.where(listing).select(key, "url", prefix.alias("prefix"), "html")
+    trees = TR.parsed(own, [key, "url", "prefix"])
+    rows = trees.select(key, "url", "prefix", F.posexplode(F.transform(F.concat(found, more, anchors), card)).alias("place", "card")).select(key, "url", "place", "prefix", "card.*")
+    rows = settled(rows.where("href <> '' or prefix <> ''"), {"to": F.when(F.col("href") != "", U.resolved(url, F.col("href"))).otherwise(url)})
+    rows = settled(rows, {"target": U.canonical_url(F.col("to")), "linked": F.col("href") != "", "text": T.normalize_text(F.col("text")), "title": T.normalize_text(F.col("title")), "provider": T.normalize_text(F.col("provider"))}).drop("to", "href")
     rows = rows.withColumn("name", F.coalesce("title", "text")).where(F.col("target") != "")
     external = F.when(F.col("linked"), U.external_id(F.col("target"))).otherwise(F.concat_ws(":", "prefix", "name"))
-    rows = rows.withColumn("external_id", external).withColumn("own", F.when(F.col("linked"), F.col("target")).otherwise(F.col("external_id")))
+    rows = settled(rows, {"external_id": external}).withColumn("own", F.when(F.col("linked"), F.col("target")).otherwise(F.col("external_id")))
     first = F.row_number().over(Window.partitionBy(key, "own").orderBy("place"))
     delivery = T.squeezed(F.regexp_extract("text", DELIVERY, 1))
     kind = X.item_kind(F.col("target"), F.concat_ws(" ", "target", "name", F.substring("text", 1, 1500)))
     return rows.withColumn("nth", first).where((F.col("nth") == 1) & X.usable_name(F.col("name"))).select(key, "place", F.col("target").alias("url"), "name", "external_id", T.snippet(F.col("text"), 2000).alias("description"), "provider", delivery.alias("delivery_method"), kind.alias("kind"), F.lit(0.6).alias("confidence"))
 
 
+def card_evidence(cards: DataFrame, key: str) -> DataFrame:
+    """(key, place, field, value, locator, method, confidence): what name and provider of each card rest on; a blank provider rests on nothing."""
+    at = F.concat(F.lit("catalog-card["), F.col("place").cast("string"), F.lit("]"))
+    row = lambda field, locator, sure: F.struct(F.lit(field).alias("field"), F.col(field).alias("value"), locator.alias("locator"), F.lit("rule").alias("method"), F.lit(sure).alias("confidence"))
+    each = F.filter(F.array(row("name", at, 0.75), row("provider", F.concat(at, F.lit(".provider")), 0.70)), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return cards.select(key, "place", F.explode(each).alias("e")).select(key, "place", "e.*")
+
+
 def rendered(value) -> str:
     return json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) else str(value)
 
 
-def walk(text: str | None) -> list[tuple[str, list[tuple[str, str | None, bool]]]]:
+#: Keys whose values may be objects or lists that count as a value: those of the fields above, folded.
+NESTED = frozenset(k for names in JSON_KEYS.values() for k in names)
+
+
+def walk(text: str | None, nested: frozenset[str] = NESTED) -> list[tuple[str, list[tuple[str, str | None, bool]]]]:
     """(path, [(key, value as text, is a string)]) of every object in a JSON text, outer before inner, in the order of the text;
-    blank values are null. A text that is no JSON gives nothing."""
+    blank values are null, and so are objects and lists under keys that are not among ``nested``. A text that is no JSON, or nested too deeply to be
+    read, gives nothing."""
     try:
         todo, out = [("$", json.loads(text or ""))], []
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
+
+    def shown(key: str, value) -> str | None:
+        if value in (None, "", [], {}):
+            return None
+        if isinstance(value, (dict, list)):
+            if "".join(c for c in key.lower() if c.isdigit() or "a" <= c <= "z" or "一" <= c <= "鿿") not in nested:
+                return None
+            try:
+                return rendered(value)
+            except RecursionError:
+                return None
+        return str(value)
+
     while todo:
         path, value = todo.pop()
         if isinstance(value, dict):
-            out.append((path, [(k, None if v in (None, "", [], {}) else rendered(v), isinstance(v, str)) for k, v in value.items()]))
+            out.append((path, [(k, shown(k, v), isinstance(v, str)) for k, v in value.items()]))
             todo += [(f"{path}.{k}", v) for k, v in reversed(value.items())]
         elif isinstance(value, list):
             todo += [(f"{path}[{k}]", v) for k, v in reversed(list(enumerate(value)))]
     return out
 
 
-def json_records(rows: DataFrame, key: str, column: str) -> DataFrame:
+def json_records(rows: DataFrame, key: str, column: str, nested: frozenset[str] = NESTED) -> DataFrame:
     """(key, nth, path, entries): every object in a JSON column. Spark's own variants lose the order of keys, on which the first
-    of several names of a field depends; so a small function walks the texts of Arrow batches."""
+    of several names of a field depends; so a small function walks the texts of Arrow batches, some four megabytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string()), ("is_text", pa.bool_())]))
-        for b in batches:
-            found = [(i, n, p, [dict(zip(("key", "value", "is_text"), e, strict=True)) for e in entries]) for i, t in enumerate(b.column(1).to_pylist()) for n, (p, entries) in enumerate(walk(t))]
+        for b in TR.in_chunks(batches, 1):
+            found = [(i, n, p, [dict(zip(("key", "value", "is_text"), e, strict=True)) for e in entries]) for i, t in enumerate(b.column(1).to_pylist()) for n, (p, entries) in enumerate(walk(t, nested))]
             at, nth, path, entries = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(nth, pa.int64()), pa.array(path, pa.string()), pa.array(entries, kind)], [key, "nth", "path", "entries"])
 
@@ -294,14 +323,14 @@ def json_items(rows: DataFrame, key: str, url: str, column: str, rules: DataFram
     rows = rows.select(key, url).join(names.join(links.hint("merge"), [key, "nth"]).hint("merge"), key)
     field = lambda n: F.coalesce(F.col("fields")[n], F.lit(""))
     page = F.col(url)
-    rows = rows.withColumns({"name": T.normalize_text(field("name")), "external_id": T.normalize_text(field("external_id")), "listed": U.any_of(F.lower(page), U.TARGET_TERMS)})
+    rows = settled(rows, {"name": T.normalize_text(field("name")), "external_id": T.normalize_text(field("external_id")), "listed": U.any_of(F.lower(page), U.TARGET_TERMS)})
     support = F.size(F.filter(F.map_keys("fields"), lambda f: ~f.isin("name", "description", "external_id")))
     rows = rows.where((F.col("name") != "") & (F.length("name") <= 300) & ~F.col("name").isin(*X.GENERIC_NAMES) & (F.col("listed") | (support >= 2)))
     first = F.row_number().over(Window.partitionBy(key, "external_id", "name").orderBy("nth"))
     rows = rows.withColumn("order", first).where("order = 1").drop("order")
     targets = F.filter(F.transform("links", lambda h: U.resolved(page, h)), lambda u: u.rlike(r"^(?i)https?://[^/?#]"))
-    rows = rows.withColumn("to", F.coalesce(F.try_element_at(targets, F.lit(1)), F.lit("")))
-    rows = rows.withColumn("target", U.canonical_url(F.col("to")))
+    rows = settled(rows, {"to": F.coalesce(F.try_element_at(targets, F.lit(1)), F.lit(""))})
+    rows = settled(rows, {"target": U.canonical_url(F.col("to"))})
     has = F.map_contains_key("fields", F.lit("name"))
     trade = F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, TRADE)))
     score = X.item_score(page, F.col("name"), F.size("fields"), has, trade) + F.when(F.col("listed"), 1.5).otherwise(0.0)

@@ -240,17 +240,24 @@ def i08_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", L.text_flags(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
-@query("select doc_id, md5(text) as text_md5 from documents where text is not null")
+@query(r"""select doc_id, case doc_id % 7 when 5 then md5(regexp_replace(text, '[^\x00-\x7F]', chr(65533), 'g') || chr(65533) || chr(65533)) else md5(text) end as text_md5 from documents where text is not null""")
 def a07_charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as bytes in UTF-8, GB18030 (declared and not) and, where that can hold them, Latin-1, and back."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for GB18030
+    """Texts as bytes, and back: UTF-8; declared as UTF-16 and, where that can hold them, Latin-1; under a charset that is none; with signs beyond ASCII and an end that no charset of the chain reads."""
     k, text = F.col("doc_id"), F.col("text")
-    kind = F.when(text.rlike("^[\\x00-\\xFF]*$") & (k % 4 == 3), "latin").when(k % 4 == 1, "gb").when(k % 4 == 2, "plain gb").otherwise("utf")
-    body = F.when(kind == "latin", F.encode(text, "ISO-8859-1")).when(kind == "gb", F.encode(text, "GB18030")).when((kind == "plain gb") & text.rlike("[^\\x00-\\x7F]"), F.encode(text, "UTF-8")).otherwise(F.encode(text, "UTF-8"))
-    declared = F.when(kind == "latin", "ISO-8859-1").when(kind == "gb", "GB18030")
+    narrow = text.rlike("^[\\x00-\\xFF]*$")
+    body = F.when((k % 7 == 3) & narrow, F.encode(text, "ISO-8859-1")).when(k % 7 == 4, F.encode(text, "UTF-16BE")).when(k % 7 == 5, F.concat(F.encode(F.regexp_replace(text, "[^\\x00-\\x7F]", "\ufffd"), "UTF-8"), F.unhex(F.lit("FFFF")))).otherwise(F.encode(text, "UTF-8"))
+    declared = F.when((k % 7 == 3) & narrow, "ISO-8859-1").when(k % 7 == 4, "utf-16-be").when(k % 7 == 6, "no such charset").when(k % 7 == 2, "ascii")
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(T.decoded(body, declared)).alias("text_md5"))
 
 
+@query("""select event_id, '{"mail":"us***@example.org","phone":1381234' || lpad((event_id % 10000)::varchar, 4, '0') || ',"13912345678":["138****' || lpad((event_id % 10000)::varchar, 4, '0') || '", "x\\"y"],"props":' || props || '}' as body from events""")
+def b15_redact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free JSON around the events' own: values that are text are masked; keys, numbers and escapes stay."""
+    tail = F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0")
+    body = F.concat(F.lit('{"mail":"user'), "event_id", F.lit('@example.org","phone":1381234'), tail, F.lit(',"13912345678":["1381234'), tail, F.lit('", "x\\"y"],"props":'), "props", F.lit("}"))
+    return read(spark, sf_dir, "events").select("event_id", T.redact_json(body).alias("body"))
+
+
 @query("""with p as (select p_partkey // 50 as page, p_partkey as k, row_number() over (partition by p_partkey // 50 order by p_partkey) - 1 as place from part), u as (select page, place, 'https://data.example.org/' || case when k % 3 = 0 then 'product/detail/' else 'about/' end || k || case when k % 5 = 0 then '?a=1&b=2' else '' end as to_url from p)
 select page, place::int as place, to_url, case when contains(to_url, 'product') then 3.5 else 2.0 end::double as relevance from u""")
 def a09_sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,12 +71,16 @@ OCTETS = "(select s_suppkey, [s_suppkey * 7 % 256, s_nationkey * 31 % 256, (s_su
 CLOSED_SQL = " or ".join("n between " + " and ".join(str(sum(int(x) << (24 - 8 * k) for k, x in enumerate(v.split(".")))) for v in pair) for pair in U.CLOSED)
 
 
-@query(f"with h as (select s_suppkey, array_to_string(o, '.') as host, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as n from {OCTETS}) select s_suppkey, host, not ({CLOSED_SQL}) as public from h")
+@query(f"""with h as (select s_suppkey, array_to_string(o, '.') as host, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as n from {OCTETS}), p as (select *, not ({CLOSED_SQL}) as public from h)
+select s_suppkey, host, public from p union all select s_suppkey, '::FFFF:' || host, public from p union all select s_suppkey, '[2002:' || format('{{:x}}', n // 65536) || ':' || format('{{:x}}', n % 65536) || '::1]', false from p
+ union all select s_suppkey, '2a00:' || format('{{:x}}', s_suppkey) || '::' || host, true from p union all select s_suppkey, '0:0:0::' || s_suppkey % 3, s_suppkey % 3 = 2 from p""")
 def b05_public_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses made of supplier keys."""
+    """Addresses made of supplier keys, in both families and several spellings."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    host = F.concat_ws(".", k * 7 % 256, n * 31 % 256, (k * 3 + n) % 256, k % 256)
-    return read(spark, sf_dir, "supplier").select("s_suppkey", host.alias("host")).withColumn("public", U.public_literal(F.col("host")))
+    octets = [k * 7 % 256, n * 31 % 256, (k * 3 + n) % 256, k % 256]
+    quad, pair = F.concat_ws(".", *octets), lambda a, b: F.lower(F.hex(a * 256 + b))
+    every = F.array(quad, F.concat(F.lit("::FFFF:"), quad), F.concat(F.lit("[2002:"), pair(*octets[:2]), F.lit(":"), pair(*octets[2:]), F.lit("::1]")), F.concat(F.lit("2a00:"), F.lower(F.hex(k)), F.lit("::"), quad), F.concat(F.lit("0:0:0::"), k % 3))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(every).alias("host")).withColumn("public", U.public_literal(F.col("host")))
 
 
 @query(f"select page_id, {role_sql('url', chr(39) * 2)} as role from pages")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..functions.steps import settled
 
 FIELDS = ("province", "city", "name", "operator", "source_url", "canonical_url", "url_status", "render_mode", "adapter", "notes")
 RULE = "struct<adapter:string,render_mode:string,collections:array<struct<code:string,name:string,object_kind:string,entry_url:string,enabled:boolean,pagination_mode:string>>>"
@@ -62,8 +63,9 @@ def apply_site_rules(platforms: DataFrame, collections: DataFrame, rules: DataFr
 def sitemap_links(pages: DataFrame, key: str, column: str = "body") -> DataFrame:
     """(key, place, to_url, relevance): the addresses in sitemaps; each is worth 2.0 at least."""
     found = pages.select(key, "url", F.posexplode(F.regexp_extract_all(column, F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>(.*?)</(?:\w+:)?loc>"), 1)).alias("place", "loc"))
-    found = found.select(key, "place", U.resolved(F.col("url"), F.trim(T.unescaped(F.col("loc")))).alias("to"))
-    return found.select(key, "place", U.canonical_url(F.col("to")).alias("to_url")).where("to_url <> ''").withColumn("relevance", F.greatest(F.lit(2.0), U.link_relevance(F.col("to_url"), F.lit("sitemap"))))
+    found = settled(found, {"to": U.resolved(F.col("url"), F.trim(T.unescaped(F.col("loc"))))}).select(key, "place", "to")
+    found = settled(found, {"to_url": U.canonical_url(F.col("to"))}).drop("to").where("to_url <> ''")
+    return found.withColumn("relevance", F.greatest(F.lit(2.0), U.link_relevance(F.col("to_url"), F.lit("sitemap"))))
 
 
 def snapshots(online: DataFrame, archive: DataFrame, ids: DataFrame) -> DataFrame:
