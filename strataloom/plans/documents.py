@@ -12,6 +12,7 @@ from ..operators import records as RC
 from ..operators import similar as S
 from ..operators import versioning as V
 from ..sources import registry as R
+from ..sources import snapshots as SN
 from ..sources.tables import folder
 from . import records as RP
 from .registry import query, read
@@ -127,6 +128,35 @@ def a10_snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", "content_hash", "changed", "expires_at", "object_key")
 
 
+STORED = "(select 'u' || doc_id % 97 as url, sha256(text) as content_hash, min(timestamp '2024-01-01' + to_minutes(doc_id::int)) filter (doc_id % 2 = 0) as even, min(timestamp '2024-01-01' + to_minutes(doc_id::int)) as any_at, min(md5(text)) as body_md5 from documents where text is not null group by 1, 2)"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """A store filled with the documents in two batches, one of which comes twice."""
+    at = folder(spark)
+    SN.create(spark, at)
+    rows = fetched(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body")), "doc_id")
+    for batch, rest in (("a", 0), ("b", 1), ("a", 0)):
+        SN.append(rows.where(F.col("doc_id") % 2 == rest).drop("doc_id"), at, batch)
+    return at
+
+
+@query(f"select url, content_hash, coalesce(even, any_at) as fetched_at, body_md5 from {STORED}")
+def a10_snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All objects of the store with their bodies, read back."""
+    at = stored(spark, sf_dir)
+    return SN.bodies(spark, at, SN.current(spark, at)).select("url", "content_hash", "fetched_at", F.md5("body").alias("body_md5"))
+
+
+@query(f"with s as (select *, row_number() over (order by coalesce(even, any_at), url, content_hash) as nth from {STORED} where coalesce(even, any_at) <= timestamp '2024-01-01 12:00:00') select s.url, s.content_hash, case when nth <= 400 then 'archive' else 'online' end as tier, s.body_md5 from s union all select url, content_hash, 'online', body_md5 from {STORED} where coalesce(even, any_at) > timestamp '2024-01-01 12:00:00'")
+def a13_archive_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after the 400 objects that expired first have moved, bodies from both tiers."""
+    at = stored(spark, sf_dir)
+    for _ in range(2):  # the second time changes nothing
+        SN.archive(spark, at, "move", F.lit("2024-01-31 12:00:00").cast("timestamp"), 400)
+    return SN.bodies(spark, at, SN.current(spark, at)).select("url", "content_hash", "tier", F.md5("body").alias("body_md5"))
+
+
 @query("select doc_id as id, case when doc_id % 4 = 0 then 'archive' else 'online' end as tier, sha256(text) as content_hash from documents where doc_id % 3 <> 0 and exists (select 1 from labels l where l.doc_id = documents.doc_id)")
 def a12_snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents read back from two tiers that were written by platform and day; some are in both."""
