@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 
 REGION_TYPES = ("platform_province", "platform_city", "coverage_region")
 FACET_TYPES = ("industry", "platform_province", "coverage_region")
@@ -67,18 +68,24 @@ def dimension_maps(dims: DataFrame) -> DataFrame:
 
 
 def item_details(items, versions, dims, evidence, snapshots, links, platforms, chosen: DataFrame) -> DataFrame:
-    """All that is known of the items in ``chosen`` (item): current version, platform, entity, snapshot, dimensions and evidence as lists; masked.
-    ``evidence``: item, version_no, field, raw, locator, method, confidence; ``snapshots``: state, fetched_at, content_hash, object_key, tier;
-    ``links``: item, entity."""
+    """All that is known of the items in ``chosen`` (item): current version, platform, entity, the version's snapshot, dimensions and evidence as lists; masked.
+    ``versions``: item, version_no, is_current, snapshot and more, among them perhaps the maps source_fields, whose values are masked, and normalized; ``evidence``: item,
+    version_no, field, raw, locator, method, confidence, snapshot; ``snapshots``: snapshot, fetched_at, content_hash, object_key, tier; ``links``: item, entity.
+
+    The chosen items with their versions are written first, as all lists are looked up for them only."""
     own = items.join(chosen.select("item").distinct().hint("merge"), "item", "left_semi")
-    rows = own.join(versions.where("is_current").drop("is_current").hint("merge"), "item")
-    listed = lambda df, *c: df.join(rows.select("item", "version_no").hint("merge"), ["item", "version_no"], "left_semi").groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*c))))
+    rows = written(own.join(versions.where("is_current").drop("is_current").hint("merge"), "item"))
+    keys = rows.select("item", "version_no")
+    listed = lambda df, *c: df.join(keys, ["item", "version_no"], "left_semi").groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*c))))
     d = listed(dims, "type", "raw", "value", "confidence", "method").toDF("item", "dimensions")
-    e = listed(evidence.withColumn("raw", T.redact(F.col("raw"))), "field", "raw", "locator", "method", "confidence").toDF("item", "evidence")
-    latest = snapshots.groupBy("state").agg(F.max_by(F.struct("fetched_at", "content_hash", "object_key", "tier"), "fetched_at").alias("snapshot"))
-    rows = rows.join(platforms.select("platform", shown(F.col("name")).alias("platform_name")), "platform")
-    rows = rows.join(d.hint("merge"), "item", "left").join(e.hint("merge"), "item", "left").join(links.select("item", "entity").hint("merge"), "item", "left").join(latest.hint("merge"), "state", "left")
-    return rows.withColumn("description", T.redact(F.col("description")))
+    e = listed(evidence.withColumn("raw", T.redact(F.col("raw"))), "field", "raw", "locator", "method", "confidence", "snapshot").toDF("item", "evidence")
+    shot = snapshots.select("snapshot", F.struct(F.col("snapshot").alias("id"), "fetched_at", "content_hash", "object_key", "tier").alias("__shot"))
+    out = rows.join(platforms.select("platform", shown(F.col("name")).alias("platform_name")), "platform")
+    out = out.join(d, "item", "left").join(e, "item", "left").join(links.select("item", "entity"), "item", "left").join(shot, "snapshot", "left").drop("snapshot").withColumnRenamed("__shot", "snapshot")
+    masked = {"description": T.redact(F.col("description"))}
+    if "source_fields" in out.columns:
+        masked["source_fields"] = T.redact_fields(F.col("source_fields"), out.schema["source_fields"].dataType)
+    return out.withColumns(masked)
 
 
 def type_facet(items: DataFrame, versions: DataFrame) -> DataFrame:

@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 RANK = {"complete": 4, "partial": 3, "blocked": 2, "unknown": 1, "out_of_scope": 0}
 
 
-def completeness(collections: DataFrame, counts: DataFrame, *, full: bool, errors: int = 0, hit_limit: bool = False, cancelled: bool = False, api: bool = False) -> DataFrame:
+def completeness(collections: DataFrame, counts: DataFrame, *, full, errors=0, hit_limit=False, cancelled=False, api=False, kept: tuple[str, ...] = ()) -> DataFrame:
     """Collections (platform, collection, expected, status, last_complete) after a run that ended at ``ended`` (a column of ``counts``:
-    platform, collection, observed, declared, ended): expected, inferred, whole, status, last_complete.
+    platform, collection, observed, declared, ended): expected, inferred, whole, status, last_complete. What happened in the run is a value, or a column of
+    ``collections`` for several runs at once; ``kept`` names columns of theirs to be kept.
 
     A full run forgets the old expectation and takes the declared total or, if there is none and all went well, what was observed.
     Whole is what reached its expectation without errors, page limit or cancellation. An incremental run of an API keeps the old
     status; other incremental runs are judged like full ones, against the old expectation."""
-    well = F.lit(errors == 0 and not hit_limit and not cancelled)
+    full, errors, hit_limit, cancelled, api = (v if isinstance(v, Column) else F.lit(v) for v in (full, errors, hit_limit, cancelled, api))
+    well = (errors == 0) & ~hit_limit & ~cancelled
     rows = collections.hint("merge").join(counts, ["platform", "collection"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
-    known = F.col("declared") if full else F.coalesce("declared", "expected")
-    inferred = known.isNull() & (F.col("observed") > 0) & well & F.lit(full)
+    known = F.coalesce("declared", F.when(~full, F.col("expected")))
+    inferred = known.isNull() & (F.col("observed") > 0) & well & full
     expected = F.coalesce(known, F.when(inferred, F.col("observed")))
     reached = expected.isNotNull() & (F.col("observed") >= expected) & well
-    keep = F.lit(api and not full)
+    keep = api & ~full
     whole = F.when(keep, F.coalesce(F.col("status") == "complete", F.lit(False))).otherwise(reached)
-    return rows.select("platform", "collection", "observed", expected.alias("expected"), inferred.alias("inferred"), whole.alias("whole"), F.when(keep, F.col("status")).otherwise(F.when(reached, "complete").otherwise("partial")).alias("status"), F.when(whole, F.col("ended")).otherwise(F.col("last_complete")).alias("last_complete"))
+    return rows.select(*kept, "platform", "collection", "observed", expected.alias("expected"), inferred.alias("inferred"), whole.alias("whole"), F.when(keep, F.col("status")).otherwise(F.when(reached, "complete").otherwise("partial")).alias("status"), F.when(whole, F.col("ended")).otherwise(F.col("last_complete")).alias("last_complete"))
 
 
 def run_status(cancelled: Column, blocked: Column, fetched: Column, errors: Column, hit_limit: Column) -> Column:

@@ -305,22 +305,23 @@ def json_records(rows: DataFrame, key: str, column: str, nested: frozenset[str]
     return own.mapInArrow(run, f"{key} {own.schema[key].dataType.simpleString()}, nth long, path string, entries array<struct<key:string,value:string,is_text:boolean>>")
 
 
-def json_fields(records: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """(key, nth, field, value, locator): the first non-blank value of each known field of a record, of 20,000 characters at most."""
-    each = records.select(key, "nth", F.posexplode("entries").alias("at", "e")).where("e.value is not null and length(e.value) <= 20000")
-    found = canonical_field(each.select(key, "nth", "at", F.col("e.key").alias("label"), "e.value"), "label", rules)
-    first = found.groupBy(key, "nth", "field").agg(F.min_by(F.struct("value", "label"), "at").alias("v"))
-    return first.select(key, "nth", "field", "v.value", F.concat(F.lit("json."), "v.label").alias("locator"))
+def json_fields(records: DataFrame, key: str, rules: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, nth, field, value, locator): the first non-blank value of each known field of a record, of 20,000 characters at most; ``carried`` names columns
+    of the records to be kept."""
+    each = records.select(key, "nth", *carried, F.posexplode("entries").alias("at", "e")).where("e.value is not null and length(e.value) <= 20000")
+    found = canonical_field(each.select(key, "nth", *carried, "at", F.col("e.key").alias("label"), "e.value"), "label", rules)
+    first = found.groupBy(key, "nth", "field").agg(F.min_by(F.struct("value", "label"), "at").alias("v"), *[F.any_value(c).alias(c) for c in carried])
+    return first.select(key, "nth", "field", "v.value", F.concat(F.lit("json."), "v.label").alias("locator"), *carried)
 
 
 def json_items(rows: DataFrame, key: str, url: str, column: str, rules: DataFrame) -> DataFrame:
     """(key, nth, url, name, external_id, kind, score, fields) of the records that are items: a usable name and, unless the URL says
-    so, two supporting fields; of records with one id and name the first."""
-    records = json_records(rows, key, column)
-    names = json_fields(records, key, rules).groupBy(key, "nth").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    so, two supporting fields; of records with one id and name the first. Texts are walked once: a record's links go with its fields."""
     links = F.transform(F.array(*map(F.lit, RECORD_URLS)), lambda n: F.try_element_at(F.filter("entries", lambda e: (e.key == n) & e.is_text), F.lit(1)).value)
-    links = records.select(key, "nth", F.filter(links, lambda v: v.isNotNull()).alias("links"))
-    rows = rows.select(key, url).join(names.join(links.hint("merge"), [key, "nth"]).hint("merge"), key)
+    records = json_records(rows, key, column).withColumn("links", F.filter(links, lambda v: v.isNotNull()))
+    found = json_fields(records, key, rules, ("links",))
+    names = found.groupBy(key, "nth").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.any_value("links").alias("links"))
+    rows = rows.select(key, url).join(names.hint("merge"), key)
     field = lambda n: F.coalesce(F.col("fields")[n], F.lit(""))
     page = F.col(url)
     rows = settled(rows, {"name": T.normalize_text(field("name")), "external_id": T.normalize_text(field("external_id")), "listed": U.any_of(F.lower(page), U.TARGET_TERMS)})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as K
+from ..sources.tables import written
 from . import model as M
 from .registry import query, read
 
@@ -37,11 +38,12 @@ MASKED = "regexp_replace(description, '(co)ntact[0-9]+@', '\\1***@')"
 
 @query(f"with s as ({G03}) select item, platform_name, name, provider, {MASKED} as description, \"at\", version_no::int as version_no from s order by \"at\" desc, item limit 20")
 def g03_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All filters at once."""
+    """All filters at once, over versions that are made once."""
     import datetime
 
+    made = written(M.versions(spark, sf_dir))
     rows = K.search(
-        M.items(spark, sf_dir), M.versions(spark, sf_dir), M.dims(spark, sf_dir), M.platforms(spark, sf_dir), q="e", kind="product", product_type="PROMO", industry="trade 3", region="ASIA", provider="0",
+        M.items(spark, sf_dir), made, M.dims(spark, sf_dir, made), M.platforms(spark, sf_dir), q="e", kind="product", product_type="PROMO", industry="trade 3", region="ASIA", provider="0",
         published_from=datetime.datetime(1999, 1, 1), published_to=datetime.datetime(2001, 12, 31),
     )
     return K.page_of(rows, [F.desc("at"), "item"], 1, 20).select("item", "platform_name", "name", "provider", "description", "at", "version_no")
@@ -72,27 +74,29 @@ def g07_dimension_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 G08 = f"""
 with c as (select l_partkey as item from (select distinct l_partkey from lineitem where l_suppkey % 10 = 3)), v as (select * from {CURRENT} semi join c using (item)),
 d as (select item, string_agg(type || '=' || value || '/' || method, ';' order by type) as dims from {M.DIMS} semi join v using (item, version_no) group by item),
-e as (select item, 'provider=' || case when provider = '' then '' else 'ma***@example.org' end as ev from v),
-s as (select p_partkey as state, sha256(p_name) as content_hash from part where p_partkey % 4 <> 0)
-select v.item, coalesce(nullif(p.name, ''), 'unknown') as platform_name, i.external_id, v.version_no::int as version_no, {MASKED} as description, dims, ev as evidence, case when v.item % 2 = 0 then v.item // 10 end as entity, content_hash
-from v join {M.ITEMS} i using (item) join {M.PLATFORMS} p on p.platform = i.platform left join d using (item) left join e using (item) left join s on s.state = i.state
+e as (select item, 'provider=' || case when provider = '' then '' else 'ma***@example.org' end || '@' || item || '-' || version_no as ev from v)
+select v.item, coalesce(nullif(p.name, ''), 'unknown') as platform_name, i.external_id, v.version_no::int as version_no, {MASKED} as description, dims, ev as evidence, case when v.item % 2 = 0 then v.item // 10 end as entity,
+  case when v.item % 4 <> 0 then sha256(v.item || '-' || v.version_no) end as content_hash, '{{"mail":"ma***@example.org","state":"' || v.product_type || '"}}' as source_fields
+from v join {M.ITEMS} i using (item) join {M.PLATFORMS} p on p.platform = i.platform left join d using (item) left join e using (item)
 """
 
 
 @query(G08)
 def g08_item_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Details of the items that some suppliers sell, with evidence, snapshot and entity."""
-    versions = M.versions(spark, sf_dir)
+    """Details of the items that some suppliers sell, with evidence, entity and the snapshot of their current version, though later and earlier ones exist."""
+    shot = F.concat_ws("-", "item", "version_no")
+    made = written(M.versions(spark, sf_dir))
     mail = F.when(F.col("provider") == "", "").otherwise(F.concat(F.lit("maker"), F.col("item"), F.lit("@example.org")))
-    evidence = versions.select("item", "version_no", F.lit("provider").alias("field"), mail.alias("raw"), F.lit("dl").alias("locator"), F.lit("rule").alias("method"), F.lit(1.0).alias("confidence"))
-    k = F.col("p_partkey")
-    snapshots = read(spark, sf_dir, "part").where(k % 4 != 0).select(k.alias("state"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.sha2("p_name", 256).alias("content_hash"), F.lit("key").alias("object_key"), F.lit("online").alias("tier"))
+    evidence = made.select("item", "version_no", F.lit("provider").alias("field"), mail.alias("raw"), F.lit("dl").alias("locator"), F.lit("rule").alias("method"), F.lit(1.0).alias("confidence"), shot.alias("snapshot"))
+    versions = made.withColumns({"snapshot": shot, "source_fields": F.create_map(F.lit("state"), "product_type", F.lit("mail"), F.concat(F.lit("maker"), F.col("item"), F.lit("@example.org")))})
+    every = made.where("item % 4 <> 0").select(shot.alias("snapshot"), F.col("detected_at").alias("fetched_at"), F.sha2(shot, 256).alias("content_hash"), F.lit("key").alias("object_key"), F.lit("online").alias("tier"))
     links = M.items(spark, sf_dir).where("item % 2 = 0").select("item", F.floor(F.col("item") / 10).alias("entity"))
     chosen = read(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 3").select(F.col("l_partkey").alias("item"))
-    rows = K.item_details(M.items(spark, sf_dir), versions, M.dims(spark, sf_dir), evidence, snapshots, links, M.platforms(spark, sf_dir), chosen)
+    rows = K.item_details(M.items(spark, sf_dir), versions, M.dims(spark, sf_dir, made), evidence, every, links, M.platforms(spark, sf_dir), chosen)
     dims = F.array_join(F.transform("dimensions", lambda d: F.concat(d.type, F.lit("="), d.value, F.lit("/"), d.method)), ";")
-    seen = F.array_join(F.transform("evidence", lambda e: F.concat(e.field, F.lit("="), e.raw)), ";")
-    return rows.select("item", "platform_name", "external_id", "version_no", "description", dims.alias("dims"), seen.alias("evidence"), "entity", F.col("snapshot.content_hash").alias("content_hash"))
+    seen = F.array_join(F.transform("evidence", lambda e: F.concat(e.field, F.lit("="), e.raw, F.lit("@"), e.snapshot)), ";")
+    fields = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("source_fields"))))
+    return rows.select("item", "platform_name", "external_id", "version_no", "description", dims.alias("dims"), seen.alias("evidence"), "entity", F.col("snapshot.content_hash").alias("content_hash"), fields.alias("source_fields"))
 
 
 @query(f"select product_type as value, count(*) as n from {M.ITEMS} join {CURRENT} using (item) where status = 'active' group by 1")

@@ -127,13 +127,17 @@ def a15_collection_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(lines.groupBy(F.col("l_orderkey").alias("kept_id")).agg(F.count("*").alias("children")), "kept_id", "left").fillna(0, ["children"])
 
 
-def after_run(spark: SparkSession, sf_dir: str, **run) -> DataFrame:
-    """Collections of parts after a run; platforms of even number declare their totals."""
+def before_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Collections of parts, and what a run counts in them; platforms of even number declare their totals."""
     rows = collections(spark, sf_dir)
     p = F.col("platform")
     old = rows.select("platform", F.col("p_type").alias("collection"), F.when(p % 3 == 0, F.col("expected") + 1).alias("expected"), F.when(p % 4 == 0, "complete").otherwise("unknown").alias("status"), F.lit(None).cast("timestamp").alias("last_complete"))
     counts = rows.select("platform", F.col("p_type").alias("collection"), "observed", F.when(p % 2 == 0, F.col("expected")).alias("declared"), F.lit("2024-01-02").cast("timestamp").alias("ended"))
-    return C.completeness(old, counts, **run)
+    return old, counts
+
+
+def after_run(spark: SparkSession, sf_dir: str, **run) -> DataFrame:
+    return C.completeness(*before_run(spark, sf_dir), **run)
 
 
 RUNS = "(values ('full', true, true, false), ('failed', true, false, false), ('pages', false, true, false), ('api', false, true, true)) r(run, is_full, well, api)"
@@ -144,10 +148,12 @@ select run, platform, collection, observed, expected, known is null and expected
 
 @query(F01)
 def f01_collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full run, one with an error, an incremental one, and one of an API."""
-    runs = {"full": {"full": True}, "failed": {"full": True, "errors": 1}, "pages": {"full": False}, "api": {"full": False, "api": True}}
-    out = [after_run(spark, sf_dir, **v).select(F.lit(k).alias("run"), "platform", "collection", "observed", "expected", "inferred", "status", "whole") for k, v in runs.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    """A full run, one with an error, an incremental one, and one of an API, all in one plan."""
+    runs = [F.struct(F.lit(n).alias("run"), F.lit(full).alias("full"), F.lit(errors).alias("errors"), F.lit(api).alias("api")) for n, full, errors, api in (("full", True, 0, False), ("failed", True, 1, False), ("pages", False, 0, False), ("api", False, 0, True))]
+    old, counts = before_run(spark, sf_dir)
+    old = old.select("*", F.explode(F.array(*runs)).alias("r")).select("*", "r.*").drop("r")
+    out = C.completeness(old, counts, full=F.col("full"), errors=F.col("errors"), api=F.col("api"), kept=("run",))
+    return out.select("run", "platform", "collection", "observed", "expected", "inferred", "status", "whole")
 
 
 @query(f"select platform, p_type as collection, case when platform % 2 = 0 then expected when observed > 0 then observed end as expected, platform % 2 <> 0 and observed > 0 as inferred from {COLL}")

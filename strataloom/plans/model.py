@@ -49,9 +49,10 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dims(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
+    """Dimensions of the versions; ``made``: the versions, if they are at hand."""
     places = platforms(spark, sf_dir).select("platform", "province", "city")
-    rows = versions(spark, sf_dir).withColumn("platform", F.col("item") % 25).join(places, "platform")
+    rows = (versions(spark, sf_dir) if made is None else made).withColumn("platform", F.col("item") % 25).join(places, "platform")
     one = lambda kind, value, sure, method: F.struct(F.lit(kind).alias("type"), value.alias("raw"), value.alias("value"), F.lit(sure).alias("confidence"), F.lit(method).alias("method"))
     every = F.array(
         one("product_type", F.col("product_type"), 0.96, "source"), one("industry", F.concat(F.lit("trade "), F.col("l_suppkey") % 7), 0.73, "rule"),
