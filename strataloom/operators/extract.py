@@ -132,8 +132,9 @@ def sub_responses(pages: DataFrame, key: list[str]) -> DataFrame:
 
 
 def declared_kind(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """The kind that the item's collection declares (rules: collection, declared), unless that is mixed. The rule table is broadcast."""
-    out = items.join(F.broadcast(rules), "collection", "left")
+    """The kind that the item's collection declares (rules: collection, declared), unless that is mixed; of several rules for a collection the
+    largest counts. Spark broadcasts the rules if their size allows."""
+    out = items.join(rules.groupBy("collection").agg(F.max("declared").alias("declared")), "collection", "left")
     return out.withColumn("kind", F.when(F.coalesce("declared", F.lit("mixed")) != "mixed", F.col("declared")).otherwise(F.col("kind"))).drop("declared")
 
 

@@ -58,12 +58,10 @@ def outcome(code: Column, role: Column, is_json: Column, business_ok: Column, ha
 
 
 def without_covered(links: DataFrame, rules: DataFrame) -> DataFrame:
-    """Links (adapter, to_url) that no rule (adapter, pattern) of their adapter covers. The rule table is gathered into one array for
-    each adapter and broadcast."""
-    by = rules.groupBy("adapter").agg(F.collect_set("pattern").alias("__patterns"))
-    rows = links.join(F.broadcast(by), "adapter", "left")
-    hit = F.exists("__patterns", lambda p: F.contains(F.lower("to_url"), p))
-    return rows.where(~F.coalesce(hit, F.lit(False))).drop("__patterns")
+    """Links (adapter, to_url) that no rule (adapter, pattern) of their adapter covers."""
+    own = rules.select(F.col("adapter").alias("__adapter"), F.col("pattern").alias("__pattern")).distinct()
+    covered = (F.col("adapter") == F.col("__adapter")) & F.contains(F.lower("to_url"), F.col("__pattern"))
+    return links.join(own, covered, "left_anti")
 
 
 def stored_links(unchanged: DataFrame, edges: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def aliases(spark: SparkSession, names: dict[str, tuple[str, ...]]) -> DataFrame
 
 
 def canonical_field(rows: DataFrame, label: str, rules: DataFrame) -> DataFrame:
-    """Adds the canonical field of a label; rows with an unknown label go. The rule table is broadcast."""
-    return rows.withColumn("folded", T.key_fold(F.col(label))).join(F.broadcast(rules), "folded").drop("folded")
+    """Adds the canonical field of a label; rows with an unknown label go. Spark broadcasts the rules if their size allows."""
+    return rows.withColumn("folded", T.key_fold(F.col(label))).join(rules, "folded").drop("folded")
 
 
 def plain(html: Column) -> Column:

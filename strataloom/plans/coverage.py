@@ -226,4 +226,4 @@ def a04_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     every.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).coalesce(1).write.text(f"{at}/rules")  # a rule table
     held = platforms.select("platform", F.explode(F.array(F.lit("public-catalog-auto"), F.lit("products"))).alias("code")).select("*", F.lit("old").alias("name"), F.lit("mixed").alias("kind"), F.lit("").alias("entry_url"), F.lit(True).alias("enabled"), F.lit("unknown").alias("coverage"))
     ruled, out = R.apply_site_rules(platforms, held, R.site_rules(spark, f"{at}/rules"))
-    return out.join(ruled.select("platform", "adapter"), "platform").select("platform", "code", "name", "enabled", "coverage", "adapter")
+    return out.join(ruled.select("platform", "adapter").hint("merge"), "platform").select("platform", "code", "name", "enabled", "coverage", "adapter")

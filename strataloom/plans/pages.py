@@ -269,7 +269,7 @@ select from_url, to_url, case when page_id % 2 = 0 then coalesce(nullif(anchor,
 def a11_link_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the links are known, from all pages; a new batch has those of even pages, some without anchor."""
     pages = read(spark, sf_dir, "pages")
-    rows = X.links(pages).join(pages.select("page_id", F.col("url").alias("from_url")), "page_id")
+    rows = X.links(pages).join(pages.select("page_id", F.col("url").alias("from_url")).hint("merge"), "page_id")
     known = rows.where("place % 2 = 0").select("from_url", "to_url", F.lit("old").alias("anchor"), F.lit(0.0).alias("relevance"), F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"))
     found = rows.where("page_id % 2 = 0").select("from_url", "to_url", "place", F.when(F.col("place") % 3 == 0, "").otherwise(F.col("anchor")).alias("anchor"), "relevance", F.lit(2).alias("at"))
     return V.merge_links(known, found)

@@ -46,16 +46,16 @@ def site_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def apply_site_rules(platforms: DataFrame, collections: DataFrame, rules: DataFrame, automatic: str = "public-catalog-auto") -> tuple[DataFrame, DataFrame]:
     """Platforms (platform, adapter, render_mode) under the rules, and collections (platform, code, name, kind, entry_url, enabled, coverage): those of the rules are
-    added or replaced, the automatic one of a ruled platform is disabled. The rule table is broadcast."""
+    added or replaced, the automatic one of a ruled platform is disabled. Rules come out of exploded JSON, so their joins are merge joins."""
     own = rules.select("platform", F.col("adapter").alias("__adapter"), F.col("render_mode").alias("__mode"))
-    ruled = platforms.join(F.broadcast(own), "platform", "left")
+    ruled = platforms.join(own.hint("merge"), "platform", "left")
     set_ = lambda new, old: F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old))
     ruled = ruled.withColumns({"adapter": set_("__adapter", "adapter"), "render_mode": set_("__mode", "render_mode")}).drop("__adapter", "__mode")
-    given = rules.join(platforms.select("platform"), "platform", "left_semi").select("platform", F.explode("collections").alias("c"))
+    given = rules.join(platforms.select("platform").hint("merge"), "platform", "left_semi").select("platform", F.explode("collections").alias("c"))
     given = given.select("platform", "c.code", "c.name", F.col("c.object_kind").alias("kind"), "c.entry_url", F.coalesce("c.enabled", F.lit(True)).alias("enabled"), F.lit("unknown").alias("coverage"))
-    old = collections.join(F.broadcast(given.select("platform", "code").distinct()), ["platform", "code"], "left_anti")
+    old = collections.join(given.select("platform", "code").distinct().hint("merge"), ["platform", "code"], "left_anti")
     off = (F.col("code") == automatic) & F.col("__ruled").isNotNull()
-    old = old.join(F.broadcast(rules.select("platform", F.lit(True).alias("__ruled"))), "platform", "left")
+    old = old.join(rules.select("platform", F.lit(True).alias("__ruled")).hint("merge"), "platform", "left")
     old = old.withColumns({"enabled": F.col("enabled") & ~F.coalesce(off, F.lit(False)), "coverage": F.when(off, "out_of_scope").otherwise(F.col("coverage"))}).drop("__ruled")
     return ruled, old.unionByName(given)
 
