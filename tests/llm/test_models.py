@@ -73,7 +73,7 @@ def test_folded_scores_are_those_of_the_embedding():
     rnd = np.random.default_rng(4)
     vectors, weights = rnd.normal(size=(1 << L.BITS, 3)), rnd.normal(size=(3, 2))
     texts = ["Haus und Été", "", "ab", None, "x"]
-    got = L.class_scores(pa.array(texts), vectors @ weights)
+    got = L.class_scores(pa.array(texts), (vectors @ weights, None))
     for t, row in zip(texts, got, strict=True):
         rows = [vectors[int(h)] for g, _ in L.ngrams(pa.array([t], pa.string())) for h in g]
         body = len((t or "").encode())

@@ -309,3 +309,17 @@ def test_rare_languages_are_learned_in_large_tables(spark):
     rows = [(k, "the house river walks", "x") for k in range(2000)] + [(5000 + k, "der fluss geht heim", "y") for k in range(8)]
     langs, *_ = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 0, 60)
     assert langs == ["x", "y"]
+
+
+def test_every_language_is_learned_however_many_there_are(spark):
+    """230 languages, each with syllables of its own: none is left out, and the model is not folded for each of them."""
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñåøæœ"
+    own = {f"l{k:03}": [rnd.choice(letters) + rnd.choice(letters) + rnd.choice(letters) for _ in range(6)] for k in range(230)}
+    rows = [(k, " ".join("".join(rnd.choice(s) for _ in range(rnd.randint(1, 3))) for _ in range(60)), lang) for k, (lang, s) in enumerate(sorted(own.items()) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, (vectors, weights), *_ = language_id.fit(docs, 5, 0, 400)
+    assert langs == sorted(own) and vectors.shape[1] == language_id.WIDTH and weights.shape == (language_id.WIDTH, 230)
+    held = language_id.identify(docs, sample=400).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    right = sum(r.lang_pred == r.lang for r in held)
+    assert right > 0.3 * len(held), (right, len(held))
