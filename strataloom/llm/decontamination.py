@@ -5,7 +5,8 @@ byte. If a passage holds a benchmark item of m units with at most e edits, the t
 q-grams, all within e neighbouring diagonals (place in the text minus place in the item). Each shared q-gram is counted
 in two overlapping bands of 2 (e + 1) diagonals, so that any e + 1 neighbours lie in one; bands that reach the bound are
 verified by banded alignment (semi-global edit distance). The budget e is ``rate`` times m, lowered for short items
-so that the bound stays positive; items shorter than q are matched exactly, as whole words.
+so that the bound stays positive; items shorter than q are matched exactly, as whole words: between letters of scripts
+that write words apart there must be a border, beside Han, Kana, Thai, Lao, Khmer or Burmese letters none is needed.
 
 A place of the text counts once in each band of an item, however often the item has its q-gram nearby: that loses no
 match, as the q-grams of an alignment lie at different places of the text. Places of an item with the same q-gram and no
@@ -169,6 +170,20 @@ def full_bands(i: np.ndarray, k: np.ndarray, at: np.ndarray, items: Items):
         start = stop
 
 
+#: UTF-8 of letters of scripts that do not write words apart (with their punctuation): U+0E00 to 0EFF, 1000 to 109F, 1780 to 17FF, 3000 to 9FFF.
+JOINED = rb"(?:[\xe3-\xe9][\x80-\xbf]|\xe0[\xb8-\xbb]|\xe1(?:[\x80-\x81]|\x82[\x80-\x9f]|[\x9e-\x9f]))"
+BEFORE = rb"(?:(?<![^\x00 ])|(?<=[\xe3-\xe9][\x80-\xbf][\x80-\xbf])|(?<=\xe0[\xb8-\xbb][\x80-\xbf])|(?<=\xe1[\x80-\x81][\x80-\xbf])|(?<=\xe1\x82[\x80-\x9f])|(?<=\xe1[\x9e-\x9f][\x80-\xbf]))"
+AFTER = rb"(?:(?![^\x00 ])|(?=" + JOINED + rb"))"
+LAST_JOINED = re.compile(rb"(?:[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x81][\x80-\xbf]|\xe1\x82[\x80-\x9f]|\xe1[\x9e-\x9f][\x80-\xbf])\Z")
+
+
+def whole_word(item: bytes) -> re.Pattern:
+    """A pattern for a short item with the borders that its first and last letters need."""
+    before = b"" if re.match(JOINED, item) else BEFORE
+    after = b"" if LAST_JOINED.search(item) else AFTER
+    return re.compile(before + re.escape(item) + after)
+
+
 def found_in(chunk: pa.Array, items: Items, q: int):
     """(row, item, edits, shared q-grams, begin, end) of all items that the texts hold; begin and end in bytes of the text."""
     buf, at, origin = folded(chunk)
@@ -214,7 +229,7 @@ def found_in(chunk: pa.Array, items: Items, q: int):
     if items.short:
         whole = buf.tobytes()
         for item in items.short:
-            word, place = re.compile(rb"(?<![^\x00 ])" + re.escape(items.text[item].tobytes()) + rb"(?![^\x00 ])"), 0
+            word, place = whole_word(items.text[item].tobytes()), 0
             while hit := word.search(whole, place):
                 s, d = hit.start(), int(np.searchsorted(at, hit.start(), "right")) - 1
                 best[d, item] = (0, 0, int(origin[s]), int(origin[s + items.m[item] - 1]) + 1)

@@ -65,6 +65,12 @@ def test_short_items_are_whole_words():
     assert {(d, held.id[k]) for d, k, *_ in D.found_in(texts, held, 10)} == {(1, 1), (2, 1), (4, 1), (4, 2), (4, 3), (5, 2)}
 
 
+def test_short_items_beside_letters_of_scripts_without_blanks():
+    held = D.Items([(1, "日本"), (2, "AI"), (3, "ไทย"), (4, "本 AI")], 10, 0.08)
+    texts = pa.array(["これは日本語です", "AI技術とMAIL", "the AI", "MAIL aid", "ภาษาไทยดี", "日 本", "한AI국", "日本AI", "xAIไ"])
+    assert {(d, held.id[k]) for d, k, *_ in D.found_in(texts, held, 10)} == {(0, 1), (1, 2), (2, 2), (4, 3), (7, 1), (7, 2)}
+
+
 def test_places_of_a_match_are_those_of_the_text():
     held = D.Items([(1, "one two three four five")], 10, 0.08)
     text = "é -- one,  two THREE four five. end"
