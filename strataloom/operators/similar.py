@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.steps import settled
 from ..sources.tables import written
 
 SOLID = r"[぀-ヿ㐀-䶿一-鿿]"
@@ -79,8 +80,10 @@ def possible_same_as(items: DataFrame, threshold: float = 0.8, linked: DataFrame
 
     Items without a token, or of null kind, are candidates of nothing; blank names are no equal names; repeated rows count once."""
     folded = F.lower(T.normalize_text(F.coalesce("name", F.lit(""))))
-    rows = items.where("item is not null and kind is not null").select("item", "kind", folded.alias("name"), F.array_sort(F.transform(tokens(F.concat_ws(" ", "name", "description")), lambda w: F.xxhash64(w))).alias("set"))
-    rows = written(rows.where(F.size("set") > 0).dropDuplicates(["item"]).withColumn("digest", F.md5(F.array_join(F.transform("set", lambda h: h.cast("string")), ",").cast("binary"))))
+    known = items.where("item is not null and kind is not null").select("item", "kind", folded.alias("name"), F.concat_ws(" ", "name", "description").alias("text"))
+    rows = settled(known, {"set": F.array_sort(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)))}).drop("text").where(F.size("set") > 0)
+    rows = settled(rows, {"digest": F.md5(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary"))})
+    rows = written(rows.dropDuplicates(["item"]))
     heads = rows.groupBy("kind", "digest").agg(F.min("item").alias("head"))
     placed = rows.select("item", "kind", "digest").join(heads.hint("merge"), ["kind", "digest"]).select("item", "kind", "head")
     placed = written(placed)
