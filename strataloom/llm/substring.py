@@ -8,7 +8,7 @@ anchors, one in seven positions, seed every match.
    ends count). Within a task, a repeated (anchor, context) is settled at once where an earlier copy was sent on.
 2. Join on anchors: the rest is partitioned and sorted by anchor. An occurrence whose whole context occurred earlier is
    settled: all its windows are repeats (the match extends past both ends). The first occurrence of a context whose
-   anchor has other contexts too is open: the match ends within reach, and must be extended word by word.
+   anchor has other contexts too is open: the match ends within reach of the anchor.
 3. Extend: for open anchors only, in all steps to the left and to the right that keep ``length`` words (the 13 windows about
    the anchor). Each extension is hashed (128 bits) and meets all occurrences at once, the earliest of which stays; comparing
    pairs of occurrences would grow with the square of a passage's copies.
