@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import decontamination, minhash, pieces, quality_rules, substring
-from strataloom.llm.common import read, table
+from strataloom.llm.common import forget, read, table
 from strataloom.llm.queries import TOKENIZER
 
 
@@ -47,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = table(spark, docs)
+            if before is not None:
+                forget(before)  # nothing reads it any more; the last one stays, as the result is read from it
+            before = docs
     return docs
