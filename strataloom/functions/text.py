@@ -15,6 +15,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 EMAIL = r"(?<![A-Za-z0-9_.+-])([A-Za-z0-9_.+-]{1,2})[A-Za-z0-9_.+-]{0,62}@([A-Za-z0-9.-]+\.[A-Za-z]{2,})(?![A-Za-z0-9_.-])"
 MOBILE = r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)"
 IDENTITY = r"(?<!\d)(\d{6})\d{8}(\d{3}[0-9Xx])(?!\d)"
+TOTAL = r"共\s*[0-9,，]+\s*(?:条|个)"
 CATALOGUE_WORDS = r"(?i)数据产品|数据商品|产品|商品|数据集|数据服务|数据组件|组件|场景|需求|数商|catalog|product|dataset|component|scenario|demand"
 COUNTED_ROUTES = ("product", "goods", "catalog", "dataset", "scenario", "component", "demand", "market")
 
@@ -76,7 +77,7 @@ def declared_total(text: Column, url: Column, role: Column) -> Column:
     counts = role.isin("listing", "api")
     for route in COUNTED_ROUTES:
         counts = counts | F.contains(F.lower(url), F.lit(route))
-    hit = F.regexp_extract(text, r"共\s*[0-9,，]+\s*(?:条|个)", 0)
+    hit = F.regexp_extract(text, TOTAL, 0)
     at = F.instr(text, hit)
     near = F.substring(text, F.greatest(at - 80, F.lit(1)), F.length(hit) + F.least(at - 1, F.lit(80)) + 80)
     total = F.regexp_replace(F.regexp_extract(hit, r"([0-9,，]+)", 1), "[,，]", "").try_cast("long")

@@ -17,6 +17,7 @@ TARGET_TERMS = (
     "数据产品", "数据商品", "产品目录", "产品详情", "数据集", "数据接口", "数据服务", "数据组件", "组件", "应用场景", "数据场景", "解决方案", "场景案例", "数据需求",
     "product", "catalog", "dataset", "component", "scenario", "solution", "demand",
 )
+DETAIL_WORDS = ("detail", "info", "view")
 DETAIL_TERMS = ("detail", "info", "view", "product/", "goods/", "dataset/", "component/", "scene/", "scenario/", "solution/", "demand/", "productdetail", "product-detail")
 LISTING_TERMS = ("list", "catalog", "product", "goods", "dataset", "component", "scene", "scenario", "demand", "产品", "商品", "场景")
 EXIT_TERMS = ("login", "logout", "register", "javascript:", "mailto:")
@@ -240,7 +241,7 @@ def page_role(url: Column, anchor: Column, mime: Column) -> Column:
         F.when(F.contains(mime, F.lit("json")) | F.contains(v, F.lit("/api/")), "api")
         .when(F.contains(v, F.lit("sitemap")) | v.endswith(".xml"), "sitemap")
         .when(F.contains(mime, F.lit("pdf")) | v.rlike(r"\.pdf(?:\?|$)"), "document")
-        .when(any_of(v, ("detail", "info", "view")), "detail")
+        .when(any_of(v, DETAIL_WORDS), "detail")
         .when(any_of(v, LISTING_TERMS), "listing")
         .otherwise("unknown")
     )

@@ -55,8 +55,8 @@ JSON_KEYS = {
     "refresh_frequency": ("updatefrequency", "refreshfrequency", "updatecycle", "datafrequency", "frequency"),
     "published_at": ("publishtime", "publishdate", "releasedate", "shelftime", "launchdate", "uptime", "createdat", "createtime"),
     "source_updated_at": ("updatetime", "updatedat", "updatedate", "modifytime", "lastmodified"),
-    "region_raw": ("regionname", "region", "coveragearea", "servicearea", "areaname"),
-    "external_id": ("productid", "goodsid", "resourceid", "proresourceid", "sceneid", "componentid", "componentcode", "productcode", "goodscode", "dataid", "id", "uuid", "code"),
+    "region_raw": ("regionname", "region", "coveragearea", "servicearea", "areaName"),
+    "external_id": ("productid", "goodsid", "resourceid", "proresourceid", "sceneid", "componentid", "componentcode", "productcode", "goodsCode", "dataid", "id", "uuid", "code"),
     "tags": ("tags", "taglist", "keywords", "labels"),
 }
 PRODUCT_TYPES = (
@@ -97,9 +97,14 @@ RECORD_URLS = ("detailUrl", "url", "link", "productUrl")
 TRADE = ("provider", "product_type_raw", "delivery_method", "price_raw")
 
 
+def folded(label: str) -> str:
+    """A label as ``text.key_fold`` makes it."""
+    return "".join(c for c in label.lower() if c.isdigit() or "a" <= c <= "z" or "一" <= c <= "鿿")
+
+
 def aliases(spark: SparkSession, names: dict[str, tuple[str, ...]]) -> DataFrame:
     """Rule table: folded label, field. Of a label listed twice the last field counts."""
-    rows = {"".join(c for c in label.lower() if c.isdigit() or "a" <= c <= "z" or "一" <= c <= "鿿"): field for field, labels in names.items() for label in labels}
+    rows = {folded(label): field for field, labels in names.items() for label in labels}
     return spark.createDataFrame(sorted(rows.items()), "folded string, field string")
 
 
@@ -256,7 +261,7 @@ def rendered(value) -> str:
 
 
 #: Keys whose values may be objects or lists that count as a value: those of the fields above, folded.
-NESTED = frozenset(k for names in JSON_KEYS.values() for k in names)
+NESTED = frozenset(folded(k) for names in JSON_KEYS.values() for k in names)
 
 
 def walk(text: str | None, nested: frozenset[str] = NESTED) -> list[tuple[str, list[tuple[str, str | None, bool]]]]:
@@ -272,7 +277,7 @@ def walk(text: str | None, nested: frozenset[str] = NESTED) -> list[tuple[str, l
         if value in (None, "", [], {}):
             return None
         if isinstance(value, (dict, list)):
-            if "".join(c for c in key.lower() if c.isdigit() or "a" <= c <= "z" or "一" <= c <= "鿿") not in nested:
+            if folded(key) not in nested:
                 return None
             try:
                 return rendered(value)
