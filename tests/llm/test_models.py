@@ -161,7 +161,7 @@ def test_samples_are_bounded_in_bytes(spark):
 def test_only_allowed_rows_are_learned(spark):
     held = lambda k, m, r: zlib.crc32(str(k).encode()) % m == r
     docs = spark.createDataFrame([(k, f"{'held' if held(k, 5, 0) else 'free'} text {k}", "ab"[k % 2]) for k in range(300)] + [(1, None, "a"), (2, "123", "a"), (None, "held none", "a")], "doc_id long, text string, lang string")
-    got = L.learnable(docs, 5, 0, 10_000, 200, 1 << 20)
+    got = L.learnable(docs, 5, 0, 10_000, 1 << 20)
     assert len(got) == sum(not held(k, 5, 0) for k in range(300)) and all("held" not in t for t, _ in got)
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)] * 2, "doc_id long, toxic int")
     rows, share = T.labelled(docs.where("lang is not null and text like '% text %'"), labels, "toxic", 3, 1, 10_000, 1 << 20)
