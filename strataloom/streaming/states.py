@@ -136,7 +136,7 @@ class ItemStates(StatefulProcessor):
             for k in range(parts):
                 for item in self.waiting.getValue((bucket, k))[0]:
                     s = state(item)
-                    if s[3] == bucket and not s[4] and (s[2] >= closed) == own and item not in out[-1:]:
+                    if s[3] == bucket and not s[4] and (s[2] >= closed) == own:
                         out.append(item)
                 if own:
                     self.waiting.removeKey((bucket, k))
