@@ -103,14 +103,16 @@ def folded(label: str) -> str:
 
 
 def aliases(spark: SparkSession, names: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Rule table: folded label, field. Of a label listed twice the last field counts."""
+    """Rule table: folded label, field. Of a label listed twice the last field counts. It is made from names in the code, so it is small, and carries a
+    broadcast hint: Spark takes the size of such a table for unknown and would rather broadcast the rows that it is joined with."""
     rows = {folded(label): field for field, labels in names.items() for label in labels}
-    return spark.createDataFrame(sorted(rows.items()), "folded string, field string")
+    return F.broadcast(spark.createDataFrame(sorted(rows.items()), "folded string, field string"))
 
 
 def canonical_field(rows: DataFrame, label: str, rules: DataFrame) -> DataFrame:
-    """Adds the canonical field of a label; rows with an unknown label go. Spark broadcasts the rules if their size allows."""
-    return rows.withColumn("folded", T.key_fold(F.col(label))).join(rules, "folded").drop("folded")
+    """Adds the canonical field of a label; rows with an unknown label go. The rows are never broadcast; rules are if they carry that hint
+    (``aliases``), which goes before the merge hint, else both are sorted and merged."""
+    return rows.withColumn("folded", T.key_fold(F.col(label))).hint("merge").join(rules, "folded").drop("folded")
 
 
 def plain(html: Column) -> Column:

@@ -104,3 +104,12 @@ def test_links_in_either_quotes(spark):
     html = """<a class=x href='/a?b=1&amp;c=2'>One's</a> <A HREF = "it's">Two</A> <a href="/a?c=2&b=1">again</a> <a name="x">none</a>"""
     pages = spark.createDataFrame([(1, "https://h.org/d/", html), (2, "https://h.org/", None)], "page_id int, url string, html string")
     assert [(r.place, r.to_url, r.anchor) for r in X.links(pages).orderBy("place").collect()] == [(0, "https://h.org/a?b=1&c=2", "One's"), (1, "https://h.org/d/it's", "Two")]
+
+
+def test_rules_are_broadcast_and_rows_never(spark):
+    rows = spark.range(100).select("id", F.concat(F.lit("产品名称"), F.repeat(F.lit("："), (F.col("id") % 2).cast("int"))).alias("label"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    own = R.canonical_field(rows, "label", R.aliases(spark, R.LABELS))
+    assert "Inner, BuildRight" in plan(own) and own.where("field = 'name'").count() == 100
+    given = R.canonical_field(rows, "label", spark.createDataFrame([("产品名称", "x")], "folded string, field string"))
+    assert "SortMergeJoin" in plan(given) and "BroadcastHashJoin" not in plan(given) and given.where("field = 'x'").count() == 100
