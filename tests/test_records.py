@@ -113,3 +113,13 @@ def test_rules_are_broadcast_and_rows_never(spark):
     assert "Inner, BuildRight" in plan(own) and own.where("field = 'name'").count() == 100
     given = R.canonical_field(rows, "label", spark.createDataFrame([("产品名称", "x")], "folded string, field string"))
     assert "SortMergeJoin" in plan(given) and "BroadcastHashJoin" not in plan(given) and given.where("field = 'x'").count() == 100
+
+
+def test_texts_are_walked_a_quarter_of_a_megabyte_at_a_time():
+    import pyarrow as pa
+
+    from strataloom.operators import tree as TR
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["x" * 1000] * 1999 + ["y" * 600_000])], ["id", "body"])
+    parts = list(TR.in_chunks(iter([batch]), 1))
+    assert sum(p.num_rows for p in parts) == 2000 and all(p.num_rows <= 262 for p in parts) and parts[-1].num_rows == 1
