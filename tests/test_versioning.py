@@ -162,3 +162,11 @@ def test_versions_at_many_instants(spark):
         assert {r.nth: r.name for r in out.collect()} == want and out.columns == ["nth", "item", "at", "name"]
     plan = V.as_of_each(instants, versions, ["item"], "at", "since", ["no"], ["name"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_pages_of_one_url_share_an_edge(spark):
+    edge = "from_url string, to_url string, anchor string, relevance double, first_seen int, last_seen int"
+    known = spark.createDataFrame([("u", "v", "old", 0.0, 1, 1)], edge)
+    for rows in ([("b", 2.0), ("a", 1.0)], [("a", 1.0), ("b", 2.0)]):
+        found = spark.createDataFrame([("u", "v", 3, a, r, 2) for a, r in rows], "from_url string, to_url string, place int, anchor string, relevance double, at int").coalesce(1)
+        assert [tuple(r) for r in V.merge_links(known, found).collect()] == [("u", "v", "a", 1.0, 1, 2)]
