@@ -170,3 +170,10 @@ def test_pages_of_one_url_share_an_edge(spark):
     for rows in ([("b", 2.0), ("a", 1.0)], [("a", 1.0), ("b", 2.0)]):
         found = spark.createDataFrame([("u", "v", 3, a, r, 2) for a, r in rows], "from_url string, to_url string, place int, anchor string, relevance double, at int").coalesce(1)
         assert [tuple(r) for r in V.merge_links(known, found).collect()] == [("u", "v", "a", 1.0, 1, 2)]
+
+
+def test_of_tags_at_one_time_the_largest_counts(spark):
+    states = spark.createDataFrame([("u", 200, day(1), 2, "e1")], "url string, http_status int, last_fetched timestamp, errors int, etag string")
+    for tags in (("t1", "t2", None), ("t2", None, "t1")):
+        answers = spark.createDataFrame([("u", day(2), t) for t in tags], "url string, at timestamp, new_etag string").coalesce(1)
+        assert V.not_modified(states, answers).first().etag == "t2"
