@@ -177,3 +177,17 @@ def test_of_tags_at_one_time_the_largest_counts(spark):
     for tags in (("t1", "t2", None), ("t2", None, "t1")):
         answers = spark.createDataFrame([("u", day(2), t) for t in tags], "url string, at timestamp, new_etag string").coalesce(1)
         assert V.not_modified(states, answers).first().etag == "t2"
+
+
+def test_a_name_cut_at_a_blank_is_its_folded_name(spark, tmp_path):
+    import duckdb
+
+    from strataloom.plans import versions as PV
+
+    text = "x" * 39
+    spark.createDataFrame([(1, text, "en"), (2, text + " and more", "en"), (3, text + "y", "en")], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in PV.d10_entity_link(spark, str(tmp_path)).select("item", "entity", "method").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == [(1, 1, "new_entity"), (2, 1, "exact_name_provider"), (3, 3, "new_entity")]
+    assert got == sorted(con.execute(f"select item, entity, method from ({PV.D10})").fetchall())
