@@ -58,12 +58,17 @@ def h04_overlap_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.drain(O.once_within(own.unionByName(again), ["event_id", "content_hash"], "ts").select("event_id", "user_id", "content_hash"))
 
 
-@query(f"select * from ({V.TRAILING}) where until <= (select max(ts) from events) - interval 1 day")
+@query(V.TRAILING)
 def h05_stream_trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows that are closed: those up to a day before the last event."""
-    rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("item"), F.col("ts").alias("at"), "event_id", F.col("event_type").alias("payload"))
+    """All windows: the events are written as a log and read as a stream; a row of no item, three days behind the last, then ends the log and closes those still open."""
+    own = V.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("item"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.col("event_type").alias("payload"))
+    log, at = folder_of(own), folder(spark)
+    changes = ST.trailing_day(O.source(spark, log), shards=256)
     with ST.rocks(spark, evolving=False):
-        return O.drain(ST.trailing_day(rows, shards=8))
+        O.drain(changes, at)
+        end = own.agg(F.max("at").alias("at")).select(F.lit(None).cast("string").alias("item"), (F.col("at") + F.make_dt_interval(F.lit(3))).alias("at"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("payload"))
+        end.write.mode("append").parquet(log)
+        return O.drain(changes, at)
 
 
 @query(f"select user_id as item, platform, retired_on from {V.RETIRED}")

@@ -112,3 +112,14 @@ def test_empty_stream_and_repeats(spark, tmp_path):
     stream = observations.source(spark, str(tmp_path / "some"))
     assert observations.drain(observations.once_within(stream, ["event_id"], "ts")).count() == 3  # a row without time is kept
     assert observations.drain(observations.tail(stream, "event_id", 1)).count() == 2
+
+
+def test_windows_behind_the_last_event_come_out(spark, tmp_path):
+    import datetime
+
+    from strataloom.plans import registry
+
+    t = datetime.datetime(2024, 1, 1, 5, 30)
+    spark.createDataFrame([(1, t, 7, "view")], "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["h05_stream_trailing_day"](spark, str(tmp_path)).collect()
+    assert sorted((r.until, r.added, r.updated) for r in got) == [(t.replace(minute=0) + datetime.timedelta(hours=k), 1, 0) for k in range(1, 25)]
