@@ -7,8 +7,10 @@ of the representative, and only representatives are compared, so copies are not
 Two sets of sizes n <= m with a Jaccard similarity of t or more share at least ceil(t / (1 + t) * (n + m)) tokens. So if all tokens are put in one order,
 each pair shares one of the first n - ceil(t n) + 1 tokens of both. The order puts rare tokens first: tokens that are not among the
 ``ranked`` most frequent ones, by hash, then those by frequency. The order decides speed only; its table is bounded by ``ranked``.
-Rows (kind, token) of these prefixes meet in a merge join, in which a pair counts only at its first common prefix token and only
-if sizes and places still allow the overlap; the pairs left are verified on the whole sets. Tokens are compared by 64-bit hashes.
+Rows (kind, token) of these prefixes meet in a merge join, in which a pair counts only if sizes, places and bitmaps still allow the overlap.
+An item's bitmap holds for each of its bits whether an even or an odd number of its tokens falls there: two sets differ in at least as many
+tokens as their bitmaps in bits. It grows with the set, so that it turns long texts away too; the pairs left, each once, are verified on the whole sets. Tokens are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
 from ..functions.steps import settled
@@ -39,7 +42,7 @@ def most_frequent(sets: DataFrame, ranked: int) -> np.ndarray:
 
 
 def in_order(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``sets`` (item, kind, set) with each set in the common order."""
+    """``sets`` (item, kind, set) with each set in the common order, and its ``bits``."""
     by_hash = np.argsort(frequent, kind="stable")
     known = frequent[by_hash]
 
@@ -50,26 +53,47 @@ def in_order(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
             place = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
             rank = np.where(known[place] == flat, by_hash[place] + 1, 0) if len(known) else np.zeros(len(flat), np.int64)
             order = np.lexsort((flat, rank, np.repeat(np.arange(b.num_rows), np.diff(off))))
-            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("kind"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat[order]))], ["item", "kind", "set"])
+            ordered = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat[order]))
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("kind"), ordered, bitmaps(flat, np.diff(off))], ["item", "kind", "set", "bits"])
 
-    return sets.select("item", "kind", "set").mapInArrow(run, sets.select("item", "kind", "set").schema)
+    return sets.select("item", "kind", "set").mapInArrow(run, sets.select("item", "kind", "set").schema.add("bits", ArrayType(LongType())))
+
+
+def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The bitmaps of sets of those sizes that lie one after the other in ``flat``, as words of 64 bits: a power of two, so that the halves of
+    a bitmap, one laid on the other, are the bitmap of half its length; 5 to 10 bits for 8 tokens."""
+    words = 2 ** np.ceil(np.log2(np.maximum(sizes * 5 / 512, 1))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(words)])
+    h = flat.view(np.uint64)
+    place = np.repeat(first[:-1], sizes) + ((h >> np.uint64(6)) & np.repeat(words - 1, sizes).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(first[-1], np.uint64)
+    np.bitwise_xor.at(out, place, np.uint64(1) << (h & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(out.view(np.int64)))
+
+
+def differing(x: str, y: str) -> Column:
+    """In how many bits two bitmaps differ, of which one may be twice as long as the other."""
+    k = f"least(size({x}), size({y}))"
+    folded = lambda b: f"{b}[j] ^ if(size({b}) > {k}, {b}[j + {k}], 0L)"
+    return F.expr(f"aggregate(sequence(0, {k} - 1), 0, (s, j) -> s + bit_count({folded(x)} ^ {folded(y)}))")
 
 
 def close_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(item, other, kind, score) of the ordered ``sets`` (item, kind, set) of one kind with that similarity or more; item < other."""
     t, n = F.lit(threshold), F.size("set")
     first = n - F.ceil(t * n - 1e-9).cast("int") + 1
-    rows = sets.select("item", "kind", n.alias("n"), F.slice("set", F.lit(1), first).alias("prefix"))
-    rows = rows.select("item", "kind", "n", "prefix", F.posexplode("prefix").alias("at", "token"))
+    rows = sets.select("item", "kind", n.alias("n"), "bits", F.posexplode(F.slice("set", F.lit(1), first)).alias("at", "token"))
+    rows = rows.select("item", F.xxhash64("kind", "token").alias("key"), "n", "at", "bits")
     a, b = rows.alias("a"), rows.alias("b").hint("merge")
     c = F.col
     need = F.ceil(t / (1 + t) * (c("a.n") + c("b.n")) - 1e-9)
-    met = (c("a.kind") == c("b.kind")) & (c("a.token") == c("b.token")) & (c("a.item") < c("b.item"))
+    met = (c("a.key") == c("b.key")) & (c("a.item") < c("b.item"))
     fits = (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - 1e-9) & (1 + F.least(c("a.n") - c("a.at") - 1, c("b.n") - c("b.at") - 1) >= need)
-    once = F.get(F.array_intersect("a.prefix", "b.prefix"), 0) == c("a.token")
-    found = a.join(b, met & fits & once).select(c("a.item").alias("item"), c("b.item").alias("other"), c("a.kind").alias("kind"))
-    whole = sets.select(c("item").alias("id"), c("set"))
-    found = found.join(whole.select(c("id").alias("item"), c("set").alias("x")).hint("merge"), "item").join(whole.select(c("id").alias("other"), c("set").alias("y")).hint("merge"), "other")
+    # bitmaps are compared last and, of pairs whose sizes are that far apart that one is folded more than once, not at all
+    near = F.when(F.greatest(F.size("a.bits"), F.size("b.bits")) > 2 * F.least(F.size("a.bits"), F.size("b.bits")), True).otherwise(differing("a.bits", "b.bits") <= c("a.n") + c("b.n") - 2 * need)
+    found = a.join(b, met & fits & near).select(c("a.item").alias("item"), c("b.item").alias("other")).distinct()
+    found = found.join(sets.select("item", "kind", c("set").alias("x")).hint("merge"), "item")
+    found = found.join(sets.select(c("item").alias("other"), c("kind").alias("other_kind"), c("set").alias("y")).hint("merge"), "other").where("kind = other_kind")
     common = F.size(F.array_intersect("x", "y"))
     return found.withColumn("score", common / (F.size("x") + F.size("y") - common)).where(c("score") >= threshold - 1e-9).select("item", "other", "kind", "score")
 

@@ -68,3 +68,30 @@ def test_known_links_are_left_out_and_empty_tables_give_nothing(spark):
     linked = spark.createDataFrame([(1, 7), (3, 7)], "item long, entity long")
     assert [(r.item, r.other) for r in similar.possible_same_as(df, linked=linked).collect()] == [(1, 2)]
     assert similar.possible_same_as(df.limit(0)).count() == 0
+
+
+def test_bitmaps_bound_differences_and_turn_long_strangers_away(spark):
+    """Two bitmaps differ in no more bits than their sets in tokens, also where one is twice as long; of long sets with half their tokens in common no pair is left."""
+    rnd = random.Random(3)
+    every = [rnd.getrandbits(64) - 2**63 for _ in range(6000)]
+    sets = []
+    for n in (1, 40, 102, 103, 120, 800, 820, 1000, 3000):
+        base = rnd.sample(every, n)
+        sets += [base, base[: max(1, n * 9 // 10)], rnd.sample(every, n), base[: n // 2] + rnd.sample(every, n - n // 2)]
+    df = spark.createDataFrame([(k, "p", sorted(set(s))) for k, s in enumerate(sets)], "item long, kind string, set array<long>")
+    ordered = similar.in_order(df, similar.most_frequent(df, 100))
+    a, b = ordered.alias("a"), ordered.alias("b")
+    pairs = a.join(b, similar.F.expr("a.item < b.item and greatest(size(a.bits), size(b.bits)) <= 2 * least(size(a.bits), size(b.bits))"))
+    got = pairs.select(similar.F.col("a.item").alias("x"), similar.F.col("b.item").alias("y"), similar.differing("a.bits", "b.bits").alias("d"), similar.F.expr("size(a.bits) <> size(b.bits)").alias("folded")).collect()
+    assert all(r.d <= len(set(sets[r.x]) ^ set(sets[r.y])) for r in got) and any(r.folded for r in got)
+    strangers = [r for r in got if len(sets[r.x]) >= 800 and len(set(sets[r.x]) ^ set(sets[r.y])) >= 0.9 * len(sets[r.x])]
+    assert strangers and all(r.d > (len(sets[r.x]) + len(sets[r.y])) / 9 for r in strangers)
+
+
+def test_rows_of_the_join_carry_no_prefixes(spark):
+    """Each of a long text's prefix tokens carried all of them, which grew with the square of its length."""
+    df = spark.createDataFrame([(k, "p", list(range(k, k + 50))) for k in range(4)], "item long, kind string, set array<long>")
+    pairs = similar.close_pairs(similar.in_order(df, similar.most_frequent(df, 10)), 0.8)
+    joins = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("prefix" in line for line in joins)
+    assert {(r.item, r.other) for r in pairs.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
