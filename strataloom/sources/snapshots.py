@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import versioning as V
+from .tables import written
 
 BODIES = "object_key string, body binary, batch string, platform_id long, fetch_date date"
 INDEX = "object_key string, url string, content_hash string, semantic_hash string, platform long, run string, fetched_at timestamp, expires_at timestamp, changed boolean, tier string, place string, nth long, batch string"
@@ -48,14 +49,15 @@ def bodies(spark: SparkSession, at: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` (rows of ``current``) with the body of each, from the tier and batch that the index names."""
     both = read(spark, at, "online").withColumn("tier", F.lit("online")).unionByName(read(spark, at, "archive").withColumn("tier", F.lit("archive")))
     held = both.select("object_key", "tier", F.col("batch").alias("place"), "body")
-    return wanted.join(held.hint("merge"), ["object_key", "tier", "place"])
+    return wanted.join(held, ["object_key", "tier", "place"])
 
 
 def put(rows: DataFrame, at: str, tier: str, batch: str) -> DataFrame:
-    """Writes (object_key, platform, fetched_at, body) as the bodies of a batch, by platform and date, and reads back (object_key, body_hash)."""
+    """Writes (object_key, platform, fetched_at, body) as the bodies of a batch, by platform and date, and reads back (object_key, body_hash). The rows
+    of a folder meet in one task (large ones in several) before, so that there are about as many files as folders, not tasks times folders."""
     spark = rows.sparkSession
     own = rows.select("object_key", "body", F.col("platform").alias("platform_id"), F.to_date("fetched_at").alias("fetch_date"))
-    own.write.mode("overwrite").partitionBy("platform_id", "fetch_date").parquet(f"{at}/{tier}/batch={batch}")
+    own.hint("rebalance", "platform_id", "fetch_date").write.mode("overwrite").partitionBy("platform_id", "fetch_date").parquet(f"{at}/{tier}/batch={batch}")
     back = spark.read.schema("object_key string, body binary, platform_id long, fetch_date date").parquet(f"{at}/{tier}/batch={batch}")
     return back.select("object_key", F.sha2("body", 256).alias("body_hash"))
 
@@ -85,10 +87,11 @@ def append(fetched: DataFrame, at: str, batch: str, keep_days: int = 30) -> dict
     old = current(spark, at)
     states = old.groupBy("url").agg(F.max_by(F.struct("content_hash", "semantic_hash"), F.struct("fetched_at", "nth")).alias("s")).select("url", "s.*")
     hashes = fetched.select("url", "at", "content_hash", "semantic_hash", "platform", "run")
-    new = V.new_snapshots(hashes, old.select("url", "content_hash"), states, keep_days).withColumnRenamed("at", "fetched_at")
-    body = fetched.groupBy("url", "content_hash").agg(F.min("body").alias("body"))
-    back = put(new.join(body.hint("merge"), ["url", "content_hash"]), at, "online", batch)
-    entries = new.join(back.hint("merge"), "object_key").withColumns({"tier": F.lit("online"), "place": F.lit(batch)})
+    new = written(V.new_snapshots(hashes, old.select("url", "content_hash"), states, keep_days).withColumnRenamed("at", "fetched_at"))
+    keys = ["url", "content_hash"]
+    body = fetched.select(*keys, "body").join(new.select(*keys).hint("merge"), keys, "left_semi").groupBy(*keys).agg(F.min("body").alias("body"))
+    back = put(new.join(body.hint("merge"), keys), at, "online", batch)
+    entries = written(new.join(back.hint("merge"), "object_key").withColumns({"tier": F.lit("online"), "place": F.lit(batch)}))
     good = entries.where("body_hash = content_hash")
     n = entries.agg(F.count_if(F.col("body_hash") == F.col("content_hash")).alias("good"), F.count("*").alias("every")).first()
     return enter(good, at, batch, len(done) + 1, {"written": n.good, "known": fetched.count() - n.every, "failed": n.every - n.good})
@@ -101,11 +104,11 @@ def archive(spark: SparkSession, at: str, batch: str, now: Column, limit: int, c
     done = committed(spark, at)
     if batch in done:
         return told(done[batch])
-    due = current(spark, at).where((F.col("tier") == "online") & (F.col("expires_at") <= now)).orderBy("expires_at", "url", "content_hash").limit(limit)
+    due = written(current(spark, at).where((F.col("tier") == "online") & (F.col("expires_at") <= now)).orderBy("expires_at", "url", "content_hash").limit(limit))
     held = bodies(spark, at, due).withColumn("intact", F.sha2("body", 256) == F.col("content_hash"))
     sent = held.where("intact")
     back = put(copied(sent) if copied else sent, at, "archive", batch)
-    judged = due.join(back.hint("merge"), "object_key", "left").withColumn("fine", F.coalesce(F.col("body_hash") == F.col("content_hash"), F.lit(False)))
+    judged = written(due.join(back.hint("merge"), "object_key", "left").withColumn("fine", F.coalesce(F.col("body_hash") == F.col("content_hash"), F.lit(False))))
     moved = judged.where("fine").withColumns({"tier": F.lit("archive"), "place": F.lit(batch)})
     n = judged.agg(F.count_if("fine").alias("fine"), F.count("*").alias("every")).first()
     alerts = judged.where("not fine").select("object_key", F.when(F.col("body_hash").isNull(), "object checksum mismatch").otherwise("archive checksum mismatch").alias("alert"))

@@ -64,3 +64,14 @@ def test_damaged_copies_are_found_and_stay_online(spark, store):
     assert [r.alert for r in S.read(spark, store, "alerts").collect()] == ["archive checksum mismatch"]
     assert S.archive(spark, store, "m2", F.lit(NOW), 10) == {"written": 2, "known": 0, "failed": 0}
     assert whole(spark, store)["x", b"d"] == "online" and list(whole(spark, store).values()).count("archive") == 3
+
+
+def test_a_batch_has_a_file_for_each_folder(spark, store, tmp_path):
+    """Not one for each task and folder, which grew with the square of the days of a batch."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        S.append(rows(spark, [(f"u{k}", 1440 * (k % 3), b"%d" % k, k % 2, None) for k in range(60)]), store, "1")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p.parent for p in (tmp_path / "store/online/batch=1").rglob("*.parquet")]
+    assert len(files) == len(set(files)) == 6 and len(whole(spark, store)) == 60
