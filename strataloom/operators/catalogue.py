@@ -62,9 +62,11 @@ def with_total(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
 
 
 def dimension_maps(dims: DataFrame) -> DataFrame:
-    """(item, version_no, dimensions): value by type; of several the greatest."""
-    last = dims.groupBy("item", "version_no", "type").agg(F.max("value").alias("value"))
-    return last.groupBy("item", "version_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "value")))).alias("dimensions"))
+    """(item, version_no, dimensions): value by type; of several the greatest. Rows are grouped, and so sorted, once only."""
+    every = dims.groupBy("item", "version_no").agg(F.collect_set(F.struct("type", "value")).alias("d"))
+    types = F.array_sort(F.array_distinct(F.transform("d", lambda d: d.type)))
+    greatest = F.transform(types, lambda t: F.array_max(F.transform(F.filter("d", lambda d: d.type == t), lambda d: d.value)))
+    return every.select("item", "version_no", F.map_from_arrays(types, greatest).alias("dimensions"))
 
 
 def item_details(items, versions, dims, evidence, snapshots, links, platforms, chosen: DataFrame) -> DataFrame:
