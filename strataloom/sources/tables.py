@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,3 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     spark, at = df.sparkSession, folder(df.sparkSession)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of a table from ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search("/[0-9a-f]{32}$", path):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -95,3 +95,44 @@ def test_rows_of_the_join_carry_no_prefixes(spark):
     joins = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert joins and not any("prefix" in line for line in joins)
     assert {(r.item, r.other) for r in pairs.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+
+
+def small_sets():
+    rnd = random.Random(11)
+    rows = []
+    for n in range(1, 25):
+        for _ in range(5):
+            base = rnd.sample(range(40), n)
+            rows += [base, base[1:] + rnd.sample(range(40), 1), base + rnd.sample(range(40), 1 + n // 6), base[: n - n // 6]]
+    return [sorted(x) for x in sorted({frozenset(x) for x in rows if x}, key=sorted)]
+
+
+def test_steps_find_all_pairs_of_small_sets_at_any_threshold(spark):
+    """Sets of few and common tokens, where each step may be the last one that two sets share."""
+    sets = small_sets()
+    df = spark.createDataFrame([(k, "p", s) for k, s in enumerate(sets)], "item long, kind string, set array<long>")
+    for threshold, ranked in ((0.5, 5), (0.51, 40), (0.6, 5), (0.8, 40), (0.8, 0), (0.95, 40)):
+        got = similar.close_pairs(similar.in_order(df, similar.most_frequent(df, ranked)), threshold).collect()
+        every = {(a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b in itertools.combinations(range(len(sets)), 2)}
+        assert len(got) == len({(r.item, r.other) for r in got}) and {(r.item, r.other): r.score for r in got} == {p: s for p, s in every.items() if s >= threshold - 1e-9}
+
+
+def test_strangers_that_share_single_tokens_do_not_meet(spark):
+    """Each set has 40 of 800 tokens: of their rarest, any two sets in three shared one, and pairs that met grew with the square of the sets."""
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(k, "p", sorted(rnd.sample(range(800), 40))) for k in range(500)], "item long, kind string, set array<long>")
+    ordered = similar.in_order(df, similar.most_frequent(df, 1000))
+    pairs = similar.F.expr("coalesce(sum(c * (c - 1) div 2), 0) as pairs")
+    single = ordered.select(similar.F.explode(similar.F.slice("set", 1, 9)).alias("key")).groupBy("key").agg(similar.F.count("*").alias("c")).select(pairs).first()
+    rows, k = similar.steps(ordered, 0.8)
+    met = rows.groupBy("key").agg(similar.F.count("*").alias("c")).select(pairs).first()
+    assert k == 2 and single.pairs > 10_000 and met.pairs < single.pairs / 10
+
+
+def test_near_copies_are_compared_by_their_differences(spark):
+    """Sets that drift, so that two of a pair have different smallest partners, and pairs of two kinds."""
+    df = spark.createDataFrame([(k, "pq"[k % 9 == 8], list(range(k, k + 30))) for k in range(40)], "item long, kind string, set array<long>")
+    found = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, min(a + 5, 40))], "item long, other long")
+    got = similar.verified(found, df).collect()
+    one = [(a, b) for a, b in itertools.combinations(range(40), 2) if b < a + 5 and (a % 9 == 8) == (b % 9 == 8)]
+    assert sorted((r.item, r.other, r.kind, r.n, r.m, r.common) for r in got) == [(a, b, "pq"[a % 9 == 8], 30, 30, 30 - b + a) for a, b in one]
